@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from microflow.llm import decontaminate, exact_dedup, mixing
+from microflow.llm import ctw, decontaminate, exact_dedup, jaccard, mixing, packing, quality, substrings
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_lm_score": ctw.op7_lm_score,
     "op8_mixing": mixing.op8_mixing,
+    "op9_token_packing": packing.op9_token_packing,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 SQL = {"op1_exact_dedup": exact_dedup.SQL}
