@@ -9,21 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microflow.llm.common import as_bytes, mix64, table, word_hashes, written
+from microflow.llm.common import _LOWER, as_bytes, mix64, table, word_hashes, written
 
-#: Hash buckets: the first half for single words, the second for pairs.
-BUCKETS = 1 << 20
+#: Hash buckets of each kind of n-gram: words, pairs of neighbouring words, GRAM bytes in a row.
+PER_KIND, KINDS, GRAM = 1 << 19, 3, 5
+BUCKETS = PER_KIND * KINDS
 #: Labelled rows that the target model and the cut are fitted on, at most.
 LABELLED = 20_000
 
 
 def features(texts: list[bytes]):
-    """Runs of (first, last, document of each feature, its bucket): words and pairs of neighbouring words."""
-    half = np.uint64(BUCKETS // 2)
-    for first, last, doc, h, _, _ in word_hashes(texts):
+    """Runs of (first, last, document of each feature, its bucket). A word's third time in a row is one feature for all words."""
+    size = np.uint64(PER_KIND)
+    for first, last, doc, h, start, end in word_hashes(texts):
         pair = doc[1:] == doc[:-1]
-        two = mix64(h[:-1] * np.uint64(31) + mix64(h[1:]))[pair]
-        yield first, last, np.concatenate((doc, doc[1:][pair])), np.concatenate((h % half, two % half + half)).astype(np.int64)
+        same = h[1:] == h[:-1]
+        third = same & np.concatenate(([False], same[:-1])) if len(same) else same
+        two = np.where(third, np.uint64(1), mix64(h[:-1] * np.uint64(31) + mix64(h[1:])))[pair]
+        data = np.frombuffer(b" ".join(texts[first:last]).translate(_LOWER), np.uint8)
+        grams = np.zeros(max(0, len(data) - GRAM + 1), np.uint64)
+        for k in range(GRAM):
+            grams = (grams << np.uint64(8)) | data[k : k + len(grams)]
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts[first:last]), np.int64, last - first))
+        of = np.repeat(np.arange(last - first), np.diff(ends, prepend=0))[: len(grams)]
+        # grams across two texts belong to the first of them
+        yield first, last, np.concatenate((doc, doc[1:][pair], of)), np.concatenate((h % size, two % size + size, mix64(grams) % size + 2 * size)).astype(np.int64)
 
 
 def labelled(labels: DataFrame, id_col: str = "doc_id") -> dict:
@@ -59,7 +69,8 @@ def log_ratio(base: DataFrame, known: dict, shrink: float = 3.0, margin: float =
     if not good.sum():
         return np.zeros(BUCKETS)
     out = np.zeros(BUCKETS)
-    for part in (slice(0, BUCKETS // 2), slice(BUCKETS // 2, BUCKETS)):  # a model each for words and pairs
+    for kind in range(KINDS):  # a model each
+        part = slice(kind * PER_KIND, (kind + 1) * PER_KIND)
         r, g = raw[part], good[part]
         expected = r * (g.sum() / r.sum()) if r.sum() else r
         ratio = np.log((g + shrink) / (expected + shrink))
@@ -82,9 +93,9 @@ def kth_largest(scored: DataFrame, k: int, column: str = "key", bins: int = 4096
 
 
 def score(docs: DataFrame, labels: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", temperature: float = 0.05) -> DataFrame:
-    """id, n_words, log_weight (of importance), key (with Gumbel noise) and kept.
+    """id, log_weight (of importance), key (with Gumbel noise) and kept.
 
-    log_weight is the sum of the log ratios of target to raw model over a document's words and pairs. The cut that parts labelled target rows from the others best
+    log_weight is the sum of the log ratios of target to raw model over a document's n-grams. The cut that parts labelled target rows from the others best
     gives k, the number of documents above it; the k documents of largest log_weight / temperature plus seeded Gumbel
     noise stay: a sample without replacement in proportion to the (tempered) weights.
 
@@ -103,13 +114,12 @@ def score(docs: DataFrame, labels: DataFrame, seed: int = 11, id_col: str = "doc
     def weigh(batches):
         for b in batches:
             texts = as_bytes(b.column(1))
-            total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            total = np.zeros(len(texts))
             for first, last, doc, bucket in features(texts):
                 total[first:last] = np.bincount(doc, sent.value[bucket], last - first)[: last - first]
-                n[first:last] = np.bincount(doc, minlength=last - first)[: last - first]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((n + 1) // 2), pa.array(total)], ["id", "n_words", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total)], ["id", "log_weight"])
 
-    scored = base.mapInArrow(weigh, f"id {base.schema['id'].dataType.simpleString()}, n_words long, log_weight double")
+    scored = base.mapInArrow(weigh, f"id {base.schema['id'].dataType.simpleString()}, log_weight double")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = written(scored.withColumn("key", F.col("log_weight") / temperature - F.log(-F.log(uniform))), "quality-scores")
     if not any(even.values()) or not any(odd.values()) or all(odd.values()):
