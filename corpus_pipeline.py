@@ -2,12 +2,50 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from microflow.llm.common import table, written
+from microflow.llm.decontaminate import decontaminate
+from microflow.llm.jaccard import drop_near_copies
+from microflow.llm.mixing import mixed
+from microflow.llm.packing import pack
+from microflow.llm.quality import filter_quality
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return filter_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links join (five-word shingles, similarity 0.8), the smallest id stays."""
+    return drop_near_copies(docs, percent=80, words=5)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more are benchmark passages go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources get their weights: documents are repeated, cut or left out as their source's target asks."""
+    return mixed(docs, length_col="n_chars")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in rows of 2048."""
+    return pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", decontamination), ("mixing sources", mixing), ("token packing", packing)]
+
+#: The classifier, links and packing have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; each stage's result is written, as the next one reads it more than once."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

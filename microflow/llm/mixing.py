@@ -32,11 +32,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return s.select("source", "sid", F.col("source_size").cast("long").alias("source_size"), "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 1024, shard_blocks: int = 4096, seed: int = 7, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 1024, shard_blocks: int = 4096, seed: int = 7, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pieces, slots) of a mix.
 
-    documents: row, id, size (words), sid, source_size, target. pieces: (sid, block, row, lo, hi), the words lo to hi of the
-    block that the document holds. slots: (shard, sid, slot, block, words): the block that each slot of the output
+    documents: row, id, size (words), sid, source_size, target. pieces: (sid, block, row, at, lo, hi): words lo to hi of the
+    block are the document's, from its word number `at` on. slots: (shard, sid, slot, round, block, words): the block that each slot of the output
     holds, and how many of its first words it takes (all but for a source's last slot, which ends at the target).
 
     A source's words, its documents in a seeded order, are cut into blocks of `block` words. Each of its slots falls into a
@@ -46,7 +46,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     documents of their own (`row` tells them apart). Empty tables give empty results.
     """
     q = "`" + text_col.replace("`", "``") + "`"
-    sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.expr(f"coalesce({q}, '')"), F.lit(WORD)).cast("long").alias("size"))
+    sized = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.expr(f"coalesce({q}, '')"), F.lit(WORD)).cast("long").alias("size"))
     sized = written(sized, "mix-sizes")
     t = written(targets(sized, weights, share, most), "mix-targets")
     rows = sized.join(t.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("row", "id", "size", "sid", "source_size", "target")
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = salted.withColumn("off", F.sum("size").over(inside) - F.col("size")).join(bases, ["sid", "salt"]).withColumn("off", F.col("off") + F.col("base"))
     pieces = placed.select("sid", "row", "off", "size", F.explode(F.expr(f"sequence(off div {block}, (off + size - 1) div {block})")).alias("block"))
     start = F.col("off") - F.col("block") * block
-    pieces = pieces.select("sid", "block", "row", F.greatest(start, F.lit(0)).alias("lo"), F.least(start + F.col("size"), F.lit(block)).alias("hi"))
+    pieces = pieces.select("sid", "block", "row", F.greatest(-start, F.lit(0)).alias("at"), F.greatest(start, F.lit(0)).alias("lo"), F.least(start + F.col("size"), F.lit(block)).alias("hi"))
 
     # whole rounds over a source's words, then as much of one more as the target asks for
     s = t.where("source_size > 0").select("sid", "source_size", F.round("target").cast("long").alias("want"), F.expr(f"source_size div {block}").alias("full"), F.expr(f"(source_size + {block} - 1) div {block}").alias("blocks"))
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slots = slots.withColumn("block", F.when(F.col("i") < F.col("full"), (F.col("i") * step + shift) % full).otherwise(F.col("i")))
     left = F.when(F.expr("round < want div source_size"), F.lit(block)).otherwise(F.expr("want % source_size") - F.col("i") * block)
     slots = slots.withColumn("words", F.least(F.lit(block), F.expr(f"source_size - block * {block}"), left))
-    slots = slots.select(F.pmod(F.xxhash64(F.lit(seed + 2), "sid", "slot"), F.lit(shards)).alias("shard"), "sid", "slot", "block", "words")
+    slots = slots.select(F.pmod(F.xxhash64(F.lit(seed + 2), "sid", "slot"), F.lit(shards)).alias("shard"), "sid", "slot", "round", "block", "words")
     return rows, pieces, slots
 
 
@@ -93,5 +93,28 @@ def taken(rows: DataFrame, pieces: DataFrame, slots: DataFrame) -> DataFrame:
     return rows.join(got, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
+def mixed(docs: DataFrame, text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
+    """The documents of the mix: a row for each round that takes words of a document, all columns kept.
+
+    A round that takes all words gives the text as it is, any other the words taken, joined by single spaces; then
+    length_col, if given, becomes the new text's count of code points. Documents that are not drawn have no row.
+    """
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
+    rows, pieces, slots = mix(numbered, text_col=text_col, row_col="_row", **options)
+    n = F.least("hi", "words") - F.col("lo")
+    got = slots.join(pieces, ["sid", "block"]).where(n > 0).groupBy("row", "round").agg(F.sum(n).alias("_n"), F.array_sort(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), n.cast("int").alias("n")))).alias("_parts"))
+    got = got.join(rows.select("row", "size"), "row")
+    got = got.select(F.col("row").alias("_row"), F.when(F.col("_n") < F.col("size"), F.col("_parts")).alias("_parts"))
+    out = numbered.join(got, "_row")
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    # an array argument is computed once, whatever the number of parts
+    cut = F.expr("aggregate(_parts, struct(_words as w, '' as t), (a, x) -> struct(a.w as w, concat(a.t, if(a.t = '', '', ' '), array_join(slice(a.w, x.at + 1, x.n), ' ')) as t), a -> a.t)")
+    out = out.withColumn("_words", F.when(F.col("_parts").isNotNull(), words)).withColumn("_cut", cut)
+    changed = {text_col: F.coalesce("_cut", text_col)}
+    if length_col:
+        changed[length_col] = F.when(F.col("_cut").isNotNull(), F.length("_cut")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)
+    return out.withColumns(changed).select(*docs.columns)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(*mix(table(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from microflow.llm import ctw, decontaminate, exact_dedup, jaccard, mixing, packing, quality, substrings
+from microflow.llm import ctw, decontaminate, exact_dedup, jaccard, line_dedup, mixing, packing, pii, quality, substrings
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_pii": pii.op2_pii,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_quality": quality.op5_quality,
     "op6_decontamination": decontaminate.op6_decontamination,
