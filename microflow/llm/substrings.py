@@ -19,8 +19,8 @@ from microflow.llm.common import as_bytes, mix64, powers, prefix_hash, span_hash
 #: Length of the strings, and of the sampled grams.
 L, K = 100, 32
 REACH = L - K  # a string begins so many bytes before its sample at most
-#: Distances between a string's start and its sample, by part.
-PARTS = ((0, 16), (17, 33), (34, 50), (51, REACH))
+#: The distances between a string's start and its sample are looked at as a whole, then in parts, then one by one.
+LEVELS = (((0, REACH),), ((0, 16), (17, 33), (34, 50), (51, REACH)), tuple((d, d) for d in range(REACH + 1)))
 #: Bits of the filters that tell tasks which names repeat.
 FILTER_BITS = 27
 _CHUNK, _LONGEST = 1 << 21, 1 << 23
@@ -59,23 +59,21 @@ class Samples:
         self.shift = np.fromiter((s[1] for s in stretches), np.int64, len(stretches))[which] - begins[which]
         self.gram = gram[self.at]
 
-    def whole(self) -> np.ndarray:
-        """Names of all that a sample's strings cover."""
-        return mix64(span_hash(self.prefix, self.lo, self.hi + L) + (self.at - self.lo).astype(np.uint64))
+    def parts(self, level: int):
+        """For each part of a level: the samples that have strings in it, the first and last start of these, and where the part begins."""
+        for near, far in LEVELS[level]:
+            lo, hi = np.maximum(self.lo, self.at - far), np.minimum(self.hi, self.at - near)
+            some = np.flatnonzero(lo <= hi)
+            yield some, lo[some], hi[some], near, far
 
-    def part(self, k: int, chosen: np.ndarray):
-        """Of the samples that have strings in a part: their numbers, the part's first and last start, and a name of what all its strings cover."""
-        near, far = PARTS[k]
-        lo, hi = np.maximum(self.lo[chosen], self.at[chosen] - far), np.minimum(self.hi[chosen], self.at[chosen] - near)
-        some = np.flatnonzero(lo <= hi)
-        at = self.at[chosen[some]]
-        return chosen[some], lo[some], hi[some], mix64(span_hash(self.prefix, at - near, at - far + L) + np.uint64(k + 1))
-
-    def strings(self, sample: np.ndarray, lo: np.ndarray, hi: np.ndarray):
-        """Every string start between lo and hi: its sample and name."""
-        many = hi - lo + 1
-        p = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-        return np.repeat(sample, many), p, span_hash(self.prefix, p, p + L)
+    def names(self, sample, lo, hi, near: int, far: int):
+        """Of strings that start from lo to hi: a name of what all strings of the part would share, and of all that they cover."""
+        at = self.at[sample]
+        if near == far:
+            name = span_hash(self.prefix, lo, lo + L)
+            return name, name
+        shared = mix64(span_hash(self.prefix, at - near, at - far + L) + np.uint64(near + 1))
+        return shared, mix64(span_hash(self.prefix, lo, hi + L) + mix64((at - lo + 1).astype(np.uint64)))
 
 
 def _samples(batch):
@@ -123,78 +121,75 @@ _FIELDS = ["grp", "name", "doc", "lo", "more", "again"]
 _SCHEMA = "grp int, name long, doc long, lo int, more short, again boolean"
 
 
-def repeat_filter(names: DataFrame) -> np.ndarray:
-    """A bit map of names that repeat, of FILTER_BITS bits whatever their number; a set bit may be another name's."""
+def _slot(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return (mix64(doc.view(np.uint64) * _MIX + lo.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def place_filter(places: DataFrame) -> np.ndarray:
+    """A bit map of places (doc, lo), of FILTER_BITS bits whatever their number; a set bit may be another place's."""
     block = 20
 
+    def slots(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(b.column(0).to_numpy(), b.column(1).to_numpy())))], ["slot"])
+
     def bits(t: pa.Table) -> pa.Table:
         out = np.zeros(1 << (block - 3), np.uint8)
         at = t["slot"].to_numpy() & ((1 << block) - 1)
         np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
         return pa.table({"block": t["block"].slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
 
-    slots = names.select(F.shiftrightunsigned("name", 64 - FILTER_BITS).alias("slot")).distinct().withColumn("block", F.shiftright("slot", block))
+    found = places.mapInArrow(slots, "slot long").distinct().withColumn("block", F.shiftright("slot", block))
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in slots.groupBy("block").applyInArrow(bits, "block long, bits binary").toLocalIterator():
+    for r in found.groupBy("block").applyInArrow(bits, "block long, bits binary").toLocalIterator():
         out[r.block << (block - 3) : (r.block + 1) << (block - 3)] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def _in_filter(bits: np.ndarray, name: np.ndarray) -> np.ndarray:
-    slot = (name >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _in_filter(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc, lo, more): string starts lo to lo + more of doc whose string also starts earlier; docs: unique long id, text."""
-    sc = docs.sparkSession.sparkContext
+    """(doc, lo, more): string starts lo to lo + more of doc whose string also starts earlier; docs: unique long id, text.
 
-    def first(batches):
-        folded = Folded()
-        for b in batches:
-            for s in _samples(b):
-                yield from folded.add(s.gram, s.whole(), s.doc, s.lo + s.shift, s.hi + s.shift)
-        yield folded.flush()
-
-    rows = docs.mapInArrow(first, _SCHEMA)
-    # copies of all that a sample's strings cover are repeats; other texts around the same gram are looked at closer
+    A part of a sample's strings that covers the same bytes as an earlier part is a repeat as a whole. The first of
+    its kind is looked at on the next level, if other text shares what all strings of such a part have in common.
+    """
+    sc, out, opened = docs.sparkSession.sparkContext, None, None
     own = Window.partitionBy("grp").orderBy("name", "doc", "lo")
     whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = rows.select("*", F.lag("name").over(own).alias("before"), F.min("name").over(whole).alias("least"), F.max("name").over(whole).alias("most"))
-    same = F.coalesce(F.col("before") == F.col("name"), F.lit(False))
-    # rows that a task has found again have an earlier row of that task and name before them
-    met = written(met.where(same | F.col("again") | (F.col("least") < F.col("most"))).select("grp", "doc", "lo", "more", (same | F.col("again")).alias("repeat"), (F.col("least") < F.col("most")).alias("open")), "samples")
-    done = met.where("repeat").select("doc", "lo", "more")
-    opened = sc.broadcast(repeat_filter(met.where("open").select(F.shiftleft(F.col("grp").cast("long"), 32).alias("name"))))
-
-    def second(batches):
-        folded = Folded()
-        for b in batches:
-            for s in _samples(b):
-                chosen = np.flatnonzero(_in_filter(opened.value, s.gram))
-                for k in range(len(PARTS)):
-                    sample, lo, _, name = s.part(k, chosen)
-                    yield from folded.add(name, name, s.doc[sample], lo + s.shift[sample], lo + s.shift[sample])
-        yield folded.flush()
-
-    parts = docs.mapInArrow(second, _SCHEMA).groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-    covers = sc.broadcast(repeat_filter(parts))
-
-    def third(batches):
-        folded = Folded()
-        for b in batches:
-            for s in _samples(b):
-                chosen = np.flatnonzero(_in_filter(opened.value, s.gram))
-                for k in range(len(PARTS)):
-                    sample, lo, hi, name = s.part(k, chosen)
-                    some = _in_filter(covers.value, name)
-                    sample, p, name = s.strings(sample[some], lo[some], hi[some])
-                    yield from folded.add(name, name, s.doc[sample], p + s.shift[sample], p + s.shift[sample])
-        yield folded.flush()
-
-    own = Window.partitionBy("name").orderBy("doc", "lo")
-    strings = docs.mapInArrow(third, _SCHEMA).withColumn("before", F.lag("doc").over(own))
-    return done.unionByName(strings.where("again or before is not null").select("doc", "lo", "more"))
+    for level in range(len(LEVELS)):
+
+        def scan(batches, level=level, opened=opened):
+            folded = Folded()
+            for b in batches:
+                for s in _samples(b):
+                    outer = None
+                    if level:  # the part of the level before that each part lies in
+                        outer = [(x[3], x[4], np.isin(np.arange(len(s.at)), x[0][_in_filter(opened.value, _slot(s.doc[x[0]], x[1] + s.shift[x[0]]))])) for x in s.parts(level - 1)]
+                    for sample, lo, hi, near, far in s.parts(level):
+                        if level:
+                            keep = next(x[2] for x in outer if x[0] <= near and far <= x[1])[sample]
+                            sample, lo, hi = sample[keep], lo[keep], hi[keep]
+                        shared, name = s.names(sample, lo, hi, near, far)
+                        yield from folded.add(shared, name, s.doc[sample], lo + s.shift[sample], hi + s.shift[sample])
+            yield folded.flush()
+
+        rows = docs.mapInArrow(scan, _SCHEMA)
+        # rows that a task has found again have an earlier row of that task and name before them
+        met = rows.select("*", F.lag("name").over(own).alias("before"), F.min("name").over(whole).alias("least"), F.max("name").over(whole).alias("most"))
+        same = F.coalesce(F.col("before") == F.col("name"), F.lit(False)) | F.col("again")
+        met = met.where(same | (F.col("least") < F.col("most"))).select("doc", "lo", "more", same.alias("repeat"))
+        if level + 1 < len(LEVELS):
+            met = written(met, "samples")
+            opened = sc.broadcast(place_filter(met.where(~F.col("repeat")).select("doc", "lo")))
+        done = met.where("repeat").select("doc", "lo", "more")
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def _cuts(spans: list, size: int) -> np.ndarray:
