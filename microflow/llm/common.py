@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+_GIVE_BACK = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 #: ASCII white space of the text contracts: 0x20 and 0x09 to 0x0D.
@@ -49,10 +50,18 @@ def drop(spark: SparkSession, frame: DataFrame) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends there and a lost executor costs nothing."""
+    """df as a Parquet table in the shared folder, read again: lineage ends there and a lost executor costs nothing.
+
+    The shuffle files of the write are given back at its end, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/microflow/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_GIVE_BACK, None)
+    spark.conf.set(_GIVE_BACK, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_GIVE_BACK) if before is None else spark.conf.set(_GIVE_BACK, before)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))

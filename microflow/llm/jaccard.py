@@ -154,21 +154,29 @@ class Join:
         n = reps.count()
         if not n:
             return pairs.select("a", "b")
-        words = self.words
+        # texts are a fraction of their sets' size, so they travel and the sets are made where a pair meets
+        keyed = self.docs.withColumn("k", F.xxhash64("id"))
+        texts = written(keyed.join(F.broadcast(reps) if n <= BROADCAST_IDS else reps, "k").select("cls", "text"), "pair-texts")
+        both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
+        words, percent = self.words, self.percent
 
-        def fetch(batches):
-            for b in batches:
-                got = [(set_class(u), u) for _, u in shingle_sets(as_bytes(b.column(1)), words)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1].view(np.int64) for x in got], pa.list_(pa.int64()))], ["cls", "set"])
-
-        wanted = reps.select("k")
-        chosen = self.docs.withColumn("k", F.xxhash64("id")).join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "k", "left_semi").select("id", "text")
-        sets = chosen.mapInArrow(fetch, "cls long, set array<long>").dropDuplicates(["cls"]).join(reps.select("cls"), "cls", "left_semi")
-        sets = written(sets, "shingle-sets")
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        both = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("t"))
-        return both.where(100 * F.col("c") >= self.percent * (F.col("t") - F.col("c"))).select("a", "b")
+        def compare(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 200):
+                    b = batch.slice(at, 200)
+                    left, right = (dict(shingle_sets(as_bytes(b.column(c)), words)) for c in (2, 3))
+                    keep = []
+                    for i, (one, two) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                        x, y = left.get(i), right.get(i)
+                        # a repeated id may have brought another row's text
+                        if x is not None and y is not None and set_class(x) == one and set_class(y) == two:
+                            common = len(np.intersect1d(x, y, assume_unique=True))
+                            if 100 * common >= percent * (len(x) + len(y) - common):
+                                keep.append(i)
+                    if keep:
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))], ["a", "b"])
+
+        return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
