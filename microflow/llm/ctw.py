@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microflow.llm.common import _LOWER, as_bytes, partitions, prefix_hash, span_hash, table, written
+from microflow.llm.common import _LOWER, as_bytes, prefix_hash, span_hash, table, written
 
 #: Bytes of context of the deepest tree node.
 DEPTH = 5
 #: Bytes of text whose n-grams are looked up together.
-BUCKET_BYTES = 64_000_000
+BUCKET_BYTES = 40_000_000
 _WORD_END = 0x0A  # ends the last word of a document; stands before its first
 _HALF_LOG_PI = 0.5723649429247001
 
