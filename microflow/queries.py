@@ -371,6 +371,27 @@ def resting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return queue.placed(queue.probes(best, EVERY, DEPTHS, ORDER_QTY), book.levels(md)), md, best
 
 
+def sql_queue(model: str) -> str:
+    """The fold of one model as a recursion over each order's events."""
+    n = "least(cancel, a + b)"
+    share = f"CASE WHEN a + b = 0 THEN 0 ELSE least(a, (2 * {n} * a + a + b) // (2 * (a + b))) END"
+    ahead, behind = {
+        "PESS": ("greatest(a - greatest(cancel - b, 0), 0)", "greatest(b - cancel, 0)"),
+        "OPT": ("greatest(a - cancel, 0)", "greatest(b - greatest(cancel - a, 0), 0)"),
+        "PROP": (f"a - ({share})", f"greatest(b - ({n} - ({share})), 0)"),
+    }[model]
+    on, trade = "rem > 0", "t = 1"
+    return SQL_PROBES.replace("raw_events AS", "RECURSIVE raw_events AS", 1) + f""",
+placed AS (SELECT p.*, coalesce(s.qty, 0) AS ahead FROM probes p LEFT JOIN spans s ON p.symbol_id = s.symbol_id AND p.side = s.side AND p.price = s.price AND s.from_idx <= p.idx AND p.idx < s.to_idx),
+own AS MATERIALIZED (SELECT p.order_id, row_number() OVER (PARTITION BY p.order_id ORDER BY m.idx) AS r, m.ts_us, m.type AS t, m.qty AS q FROM placed p JOIN md m ON m.symbol_id = p.symbol_id AND m.price = p.price AND CASE m.type WHEN 1 THEN 1 - m.side ELSE m.side END = p.side AND m.idx > p.idx AND m.ts_us <= p.ts_us + {REST_US}),
+states AS (SELECT order_id, CAST(0 AS BIGINT) AS r, CAST(ahead AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(qty AS BIGINT) AS rem, CAST(ahead AS BIGINT) AS v, CAST(0 AS BIGINT) AS c, CAST(-1000000000000000 AS BIGINT) AS g, CAST(0 AS BIGINT) AS f, CAST(NULL AS BIGINT) AS w, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS z FROM placed
+  UNION ALL SELECT order_id, r, CASE WHEN {on} AND {trade} THEN greatest(a - q, 0) WHEN {on} AND cancel > 0 THEN {ahead} ELSE a END, CASE WHEN {on} AND {trade} THEN greatest(b - past, 0) WHEN {on} THEN CASE WHEN cancel > 0 THEN {behind} ELSE b END + greatest(q - v, 0) ELSE b END,
+    CASE WHEN {on} AND {trade} THEN rem - fill ELSE rem END, CASE WHEN {on} AND NOT {trade} THEN q ELSE v END, CASE WHEN {on} AND {trade} THEN fresh + q WHEN {on} THEN fresh - used ELSE c END, CASE WHEN {on} AND {trade} THEN ts_us ELSE g END,
+    CASE WHEN {on} AND {trade} THEN f + fill ELSE f END, CASE WHEN {on} AND {trade} AND fill > 0 THEN coalesce(w, ts_us) ELSE w END, CASE WHEN {on} AND NOT {trade} THEN k + used ELSE k END, CASE WHEN {on} AND NOT {trade} THEN x + cancel ELSE x END, CASE WHEN {on} THEN z + c - fresh ELSE z END
+  FROM (SELECT *, greatest(v - q, 0) - used AS cancel FROM (SELECT *, least(greatest(v - q, 0), fresh) AS used FROM (SELECT s.*  EXCLUDE (r), o.r, o.ts_us, o.t, o.q, CASE WHEN o.ts_us - s.g > 250000 THEN 0 ELSE s.c END AS fresh, least(greatest(o.q - s.a, 0), s.rem) AS fill, greatest(o.q - s.a - s.rem, 0) AS past FROM states s JOIN own o ON o.order_id = s.order_id AND o.r = s.r + 1)))),
+followed AS (SELECT p.*, l.a AS ahead_end, l.b AS behind_end, l.f AS filled, l.w AS first_fill_us, l.k AS explained, l.x AS cancels, l.z AS expired FROM placed p JOIN (SELECT order_id, unnest(arg_max(struct_pack(a, b, f, w, k, x, z), r)) FROM states GROUP BY 1) l USING (order_id))"""
+
+
 def _followed(model: str):
     def plan(spark, sf_dir):
         orders, md, _ = resting(spark, sf_dir)
@@ -382,7 +403,7 @@ def _followed(model: str):
 
 _FOLLOWED = "order_id:s symbol_id:l side:l depth:l price:l ahead:l ahead_end:l behind_end:l filled:l first_fill_us:l explained:l cancels:l expired:l"
 for _model in queue.MODELS:
-    query(f"queue_{_model.lower()}", _FOLLOWED, "")(_followed(_model))
+    query(f"queue_{_model.lower()}", _FOLLOWED, sql_queue(_model) + ";SELECT * FROM followed")(_followed(_model))
 
 
 @query("probe_placement", "order_id:s ahead:l price:l", SQL_PROBES + ";SELECT order_id, p.price, coalesce(s.qty, 0) AS ahead FROM probes p LEFT JOIN spans s ON p.symbol_id = s.symbol_id AND p.side = s.side AND p.price = s.price AND s.from_idx <= p.idx AND p.idx < s.to_idx")
@@ -391,7 +412,7 @@ def probe_placement(spark, sf_dir):
     return resting(spark, sf_dir)[0]
 
 
-@query("queue_stats", "depth:l placements:l filled_orders:l filled_lots:l explained:l cancels:l expired:l residual:d", "")
+@query("queue_stats", "depth:l placements:l filled_orders:l filled_lots:l explained:l cancels:l expired:l residual:d", sql_queue("PESS") + """;SELECT depth, count(*) AS placements, count(*) FILTER (filled > 0) AS filled_orders, sum(filled) AS filled_lots, sum(explained) AS explained, sum(cancels) AS cancels, sum(expired) AS expired, CASE WHEN sum(explained) + sum(expired) = 0 THEN 0 ELSE CAST(sum(expired) AS DOUBLE) / (sum(explained) + sum(expired)) END AS residual FROM followed GROUP BY 1""")
 def queue_stats(spark, sf_dir):
     """Totals of the pessimistic model per depth; residual: share of print credit that expired unseen (Q10)."""
     rows = _followed("PESS")(spark, sf_dir)
@@ -399,10 +420,11 @@ def queue_stats(spark, sf_dir):
     return out.withColumn("residual", F.coalesce(F.try_divide(F.col("expired"), F.col("explained") + F.col("expired")), F.lit(0.0)))
 
 
-_SQL_TOUCH = SQL_PROBES + f""",
+_TOUCHED = f""",
 met AS (SELECT p.order_id, p.symbol_id, p.side, p.depth, p.price, t.idx AS t_idx, t.ts_us AS t_us, p.qty, t.qty AS t_qty, coalesce(sum(t.qty) OVER (PARTITION BY order_id ORDER BY t.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM probes p JOIN md t ON t.symbol_id = p.symbol_id AND t.type = 1 AND t.side = 1 - p.side AND t.idx > p.idx AND t.ts_us <= p.ts_us + {REST_US} AND CASE p.side WHEN 0 THEN t.price <= p.price ELSE t.price >= p.price END),
 touched AS (SELECT *, greatest(least(t_qty, qty - before), 0) AS fill FROM met)"""
+_SQL_TOUCH = SQL_PROBES + _TOUCHED
 
 
 @query("touch_fills", "order_id:s t_idx:l t_us:l fill:l", _SQL_TOUCH + ";SELECT * FROM touched WHERE fill > 0")
@@ -412,7 +434,9 @@ def touch_fills(spark, sf_dir):
     return queue.touch_fills(orders, md, REST_US)
 
 
-@query("touch_vs_queue", "depth:l touch_lots:l queue_lots:l ratio:d", "")
+@query("touch_vs_queue", "depth:l touch_lots:l queue_lots:l ratio:d", sql_queue("PESS") + _TOUCHED + """,
+lots AS (SELECT order_id, sum(fill) AS lots FROM touched GROUP BY 1)
+;SELECT depth, sum(coalesce(lots, 0)) AS touch_lots, sum(filled) AS queue_lots, CASE WHEN sum(filled) = 0 THEN 0 ELSE CAST(sum(coalesce(lots, 0)) AS DOUBLE) / sum(filled) END AS ratio FROM followed LEFT JOIN lots USING (order_id) GROUP BY 1""")
 def touch_vs_queue(spark, sf_dir):
     """How much more the touch rule fills than the queue model."""
     orders, md, _ = resting(spark, sf_dir)
@@ -429,24 +453,32 @@ def cross_fills(spark, sf_dir):
     return queue.cross_fills(orders, best, REST_US)
 
 
+SQL_OUTCOMES = sql_queue("PESS") + f""",
+outcomes AS (SELECT f.*, h.h AS horizon_us, coalesce(first_fill_us - ts_us <= h.h, false) AS hit, coalesce(first_fill_us - ts_us, -1) AS time_to_fill_us FROM followed f CROSS JOIN (SELECT unnest([60000000, 600000000, {REST_US}]) AS h) h)"""
+
+
 def probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.outcomes(_followed("PESS")(spark, sf_dir), [60_000_000, 600_000_000, REST_US])
 
 
-@query("probe_outcomes", "order_id:s horizon_us:l hit:b time_to_fill_us:l", "")
+@query("probe_outcomes", "order_id:s horizon_us:l hit:b time_to_fill_us:l", SQL_OUTCOMES + ";SELECT * FROM outcomes")
 def probe_outcomes(spark, sf_dir):
     """Each probe at each horizon."""
     return probe_rows(spark, sf_dir)
 
 
-@query("fill_surface", "depth:l b0:d b1:d b2:d b3:d b4:d b5:d b6:d b7:d b8:d b9:d", "")
+@query("fill_surface", "depth:l b0:d b1:d b2:d b3:d b4:d b5:d b6:d b7:d b8:d b9:d", SQL_OUTCOMES + """,
+binned AS (SELECT depth, CAST(hit AS INT) AS hit, CAST(ahead AS DOUBLE) / (ahead + qty) AS f FROM outcomes WHERE horizon_us = """ + str(REST_US) + """)
+;SELECT depth, """ + ", ".join(f"avg(hit) FILTER (f {'>=' if i == 0 else '>'} {report.EDGES[i]!r}::DOUBLE AND f <= {report.EDGES[i + 1]!r}::DOUBLE) AS b{i}" for i in range(10)) + " FROM binned GROUP BY 1")
 def fill_surface(spark, sf_dir):
     """Fill probability by depth and queue fraction at the longest horizon."""
     out = report.fill_surface(probe_rows(spark, sf_dir).where(F.col("horizon_us") == REST_US))
     return out.select("depth", *[F.col(str(i)).alias(f"b{i}") for i in range(10)])
 
 
-@query("probe_monotone", "horizon_us:l n:l fill_rate:d falls:b", "")
+@query("probe_monotone", "horizon_us:l n:l fill_rate:d falls:b", SQL_OUTCOMES + """,
+rates AS (SELECT horizon_us, count(*) AS n, avg(CAST(hit AS INT)) AS fill_rate FROM outcomes GROUP BY 1)
+;SELECT *, coalesce(fill_rate < lag(fill_rate) OVER (ORDER BY horizon_us) - 1e-9, false) AS falls FROM rates""")
 def probe_monotone(spark, sf_dir):
     """Fill rates per horizon, which never fall as the horizon grows."""
     rates = probe_rows(spark, sf_dir).groupBy("horizon_us").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("fill_rate"))
