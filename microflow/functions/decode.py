@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from microflow.functions.grid import parse_fixed, power_of_ten, to_grid
 
 ENVELOPE = "t long, c string, s string, d string, _bad string"
-DEPTH = "E long, T long, U long, u long, pu long, b array<array<string>>, a array<array<string>>"
+DEPTH = "E long, T long, pu long, b array<array<string>>, a array<array<string>>"
 TRADE = "T long, E long, a long, p string, q string, m boolean"
-TICKER = "u long, b string, B string, a string, A string"
 SNAPSHOT = "lastUpdateId long, E long, T long, bids array<array<string>>, asks array<array<string>>"
 
 
@@ -48,6 +47,11 @@ def _price_qty(tick: float, lot: float):
     return price, qty
 
 
+def _field(name: str) -> Column:
+    """A field whose name differs from another's in case only."""
+    return F.get_json_object("payload", f"$.{name}")
+
+
 def _millis(*columns: Column) -> Column:
     """The first positive time, in microseconds."""
     return F.coalesce(*[F.when(c > 0, c) for c in columns]) * 1000
@@ -56,7 +60,7 @@ def _millis(*columns: Column) -> Column:
 def depth_updates(rows: DataFrame) -> DataFrame:
     """Depth payloads with ts_us, first_id, final_id, prev_id, bids and asks; malformed without ids or time."""
     d = rows.where("channel = 'depth' and not malformed").withColumn("_d", F.from_json("payload", DEPTH))
-    out = d.withColumn("ts_us", _millis(F.col("_d.T"), F.col("_d.E"))).withColumns({"first_id": F.col("_d.U"), "final_id": F.col("_d.u"), "prev_id": F.col("_d.pu"), "bids": F.col("_d.b"), "asks": F.col("_d.a")}).drop("_d")
+    out = d.withColumn("ts_us", _millis(F.col("_d.T"), F.col("_d.E"))).withColumns({"first_id": _field("U").cast("long"), "final_id": _field("u").cast("long"), "prev_id": F.col("_d.pu"), "bids": F.col("_d.b"), "asks": F.col("_d.a")}).drop("_d")
     return out.withColumn("malformed", F.col("ts_us").isNull() | F.col("first_id").isNull() | F.col("final_id").isNull())
 
 
@@ -79,8 +83,8 @@ def trades(rows: DataFrame, tick: float, lot: float) -> DataFrame:
 
 def tickers(rows: DataFrame, tick: float, lot: float) -> DataFrame:
     """Best prices and quantities as the exchange sends them; they are counted and compared, not replayed."""
-    d = rows.where("channel = 'ticker' and not malformed").withColumn("_d", F.from_json("payload", TICKER))
-    return d.withColumns({"update_id": F.col("_d.u"), "best_bid": to_grid(F.col("_d.b"), tick), "bid_qty": to_grid(F.col("_d.B"), lot), "best_ask": to_grid(F.col("_d.a"), tick), "ask_qty": to_grid(F.col("_d.A"), lot)}).drop("_d")
+    d = rows.where("channel = 'ticker' and not malformed")
+    return d.withColumns({"update_id": _field("u").cast("long"), "best_bid": to_grid(_field("b"), tick), "bid_qty": to_grid(_field("B"), lot), "best_ask": to_grid(_field("a"), tick), "ask_qty": to_grid(_field("A"), lot)})
 
 
 def snapshots(rows: DataFrame, tick: float, lot: float) -> DataFrame:

@@ -68,17 +68,24 @@ def follow(orders: DataFrame, md: DataFrame, model: str, horizon_us: int) -> Dat
     """
     if model not in MODELS:
         raise ValueError(f"unknown queue model {model!r}")
+    return follow_models(orders, md, horizon_us, (model,)).drop("model")
+
+
+def follow_models(orders: DataFrame, md: DataFrame, horizon_us: int, models: tuple[str, ...] = MODELS) -> DataFrame:
+    """follow() under several models at once: a row per order and `model`, from one gathering of the events."""
     hit = F.when(F.col("type") == TRADE, 1 - F.col("side")).otherwise(F.col("side"))
     bucket = F.floor(F.col("ts_us") / horizon_us)
     events = md.select("symbol_id", hit.alias("side"), "price", F.struct("idx", "ts_us", F.col("type").alias("t"), F.col("qty").alias("q")).alias("e"), bucket.alias("bucket"))
     # an order's horizon touches two buckets of that length
-    o = orders.withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
+    o = orders.select("order_id", "symbol_id", "side", "price", "idx", "ts_us", F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
     met = o.join(events, ["symbol_id", "side", "price", "bucket"]).where((F.col("e.idx") > F.col("idx")) & (F.col("e.ts_us") <= F.col("ts_us") + horizon_us))
     mine = met.groupBy("order_id").agg(F.array_sort(F.collect_list("e")).alias("events"))
     start = "struct(ahead as a, 0L as b, qty as r, ahead as v, 0L as c, cast(-1e15 as bigint) as g, 0L as f, cast(null as bigint) as w, 0L as k, 0L as x, 0L as z)"
     none = "cast(array() as array<struct<idx:bigint,ts_us:bigint,t:int,q:bigint>>)"
-    folded = orders.join(mine, "order_id", "left").withColumn("s", F.expr(f"aggregate(coalesce(events, {none}), {start}, (s, e) -> {_step(model)})"))
-    return folded.drop("events").select("*", F.col("s.a").alias("ahead_end"), F.col("s.b").alias("behind_end"), F.col("s.f").alias("filled"), F.col("s.w").alias("first_fill_us"), F.col("s.k").alias("explained"), F.col("s.x").alias("cancels"), F.col("s.z").alias("expired")).drop("s")
+    ends = F.array(*[F.struct(F.lit(m).alias("model"), F.expr(f"aggregate(events, {start}, (s, e) -> {_step(m)})").alias("s")) for m in models])
+    folded = orders.join(mine, "order_id", "left").withColumn("events", F.expr(f"coalesce(events, {none})")).withColumn("x", F.explode(ends))
+    out = {"ahead_end": "a", "behind_end": "b", "filled": "f", "first_fill_us": "w", "explained": "k", "cancels": "x", "expired": "z"}
+    return folded.select(*orders.columns, F.col("x.model").alias("model"), *[F.col(f"x.s.{c}").alias(name) for name, c in out.items()])
 
 
 def touch_fills(orders: DataFrame, md: DataFrame, horizon_us: int) -> DataFrame:

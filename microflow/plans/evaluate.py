@@ -79,11 +79,8 @@ def evaluate(md: DataFrame, cells: DataFrame, period_us: int, qty: int = 20, fee
     known = features(md, period_us, sample_us, window_us)
     best, spans = book.bbo(md), book.levels(md)
     placed = orders(quoted(known, cells.select(*cell_cols).distinct()), md, spans, qty, cell_cols)
-    done = None
-    for model in queue.MODELS:
-        one = queue.follow(placed, md, model, period_us).withColumn("model", F.lit(model))
-        done = one if done is None else done.unionByName(one)
-    done = done.join(F.broadcast(cells), ["strategy", "latency_us", "model"], "left_semi")
+    # cells are a few literal rows
+    done = queue.follow_models(placed, md, period_us).join(F.broadcast(cells), ["strategy", "latency_us", "model"], "left_semi")
     fills = done.where("filled > 0").select("symbol_id", *cell_cols, "model", "order_id", F.col("first_fill_us").alias("ts_us"), "side", "price", F.col("filled").alias("qty"), "mid_x2")
     marked = markout.priced(markout.samples(fills, book.mid_changes(best), [horizon_us]))
     amount = money.notional(F.col("price"), F.col("qty"), CASH)

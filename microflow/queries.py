@@ -651,4 +651,4 @@ def strategy_sweep(spark, sf_dir):
     """Quoting rules under three queue models, two latencies and two fees, open loop."""
     from microflow.plans import evaluate
 
-    return evaluate.evaluate(market_events(spark, sf_dir), evaluate.default_cells(spark), 3_600_000_000)
+    return evaluate.evaluate(market_events(spark, sf_dir), evaluate.default_cells(spark), 6 * 3_600_000_000)

@@ -12,21 +12,21 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Fixed values of the format.
 MAGIC, VERSION, RECORD = b"LOB1", 1, 32
-HEADER = struct.Struct("<4sHHqqq")
+HEADER, HEADER_SIZE = "<4sHHqqq", 32
 EVENT = np.dtype([("exch_ts_us", "<i8"), ("seq", "<i8"), ("price_ticks", "<i4"), ("qty_lots", "<i4"), ("type", "u1"), ("side", "u1"), ("symbol_id", "u1"), ("flags", "u1"), ("reserved", "<i4")])
 SCHEMA = "exch_ts_us long, seq long, price_ticks int, qty_lots int, type short, side short, symbol_id short, flags short"
 
 
 def check(header: bytes, size: int) -> int:
     """The number of records of a log with this header and size in bytes; raises for anything odd."""
-    if len(header) < HEADER.size:
+    if len(header) < HEADER_SIZE:
         raise ValueError("the file is shorter than its header")
-    magic, version, record, count, _, _ = HEADER.unpack(header[: HEADER.size])
+    magic, version, record, count, _, _ = struct.unpack(HEADER, header[:HEADER_SIZE])
     if magic != MAGIC or version != VERSION or record != RECORD:
         raise ValueError("not a binary event log of this version")
-    if (size - HEADER.size) % RECORD:
+    if (size - HEADER_SIZE) % RECORD:
         raise ValueError("the file ends within a record")
-    if count != (size - HEADER.size) // RECORD:
+    if count != (size - HEADER_SIZE) // RECORD:
         raise ValueError("the header's count of records isn't the file's")
     return count
 
@@ -34,7 +34,7 @@ def check(header: bytes, size: int) -> int:
 def encode(events: np.ndarray) -> bytes:
     """A whole log of these records."""
     ts = events["exch_ts_us"]
-    head = HEADER.pack(MAGIC, VERSION, RECORD, len(events), int(ts[0]) if len(ts) else 0, int(ts[-1]) if len(ts) else 0)
+    head = struct.pack(HEADER, MAGIC, VERSION, RECORD, len(events), int(ts[0]) if len(ts) else 0, int(ts[-1]) if len(ts) else 0)
     return head + events.astype(EVENT).tobytes()
 
 
@@ -52,12 +52,12 @@ class Reader(DataSourceReader):
         import os
 
         with open(self.path, "rb") as f:
-            n = check(f.read(HEADER.size), os.path.getsize(self.path))
+            n = check(f.read(HEADER_SIZE), os.path.getsize(self.path))
         return [Range(self.path, at, min(self.block, n - at)) for at in range(0, n, self.block)] or [Range(self.path, 0, 0)]
 
     def read(self, partition):
         with open(partition.path, "rb") as f:
-            f.seek(HEADER.size + RECORD * partition.first)
+            f.seek(HEADER_SIZE + RECORD * partition.first)
             rows = np.frombuffer(f.read(RECORD * partition.n), EVENT)
         for at in range(0, len(rows), 65536):
             r = rows[at : at + 65536]
@@ -89,8 +89,8 @@ def scan(spark: SparkSession, paths: str) -> DataFrame:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
                 data = content.as_buffer()
-                check(bytes(data[: HEADER.size]), len(data))
-                rows = np.frombuffer(data, EVENT, offset=HEADER.size)
+                check(bytes(data[: HEADER_SIZE]), len(data))
+                rows = np.frombuffer(data, EVENT, offset=HEADER_SIZE)
                 for at in range(0, len(rows), 65536):
                     r = rows[at : at + 65536]
                     cols = [pa.array([path] * len(r)), pa.array(np.arange(at, at + len(r)))] + [pa.array(np.ascontiguousarray(r[c]).astype(t)) for c, t in (("exch_ts_us", "i8"), ("seq", "i8"), ("price_ticks", "i4"), ("qty_lots", "i4"), ("type", "i2"), ("side", "i2"), ("symbol_id", "i2"), ("flags", "i2"))]

@@ -14,7 +14,7 @@ def ordered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     A recording hour is one file and one row while its lines are numbered; blank lines keep their number.
     """
-    whole = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\n")).alias("ln", "value")).withColumn("value", F.regexp_replace("value", "\r$", ""))
 
 

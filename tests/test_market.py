@@ -314,7 +314,22 @@ def test_recordings(spark, tmp_path):
     (tmp_path / "lines.txt").write_text("a\r\n\nb")
     got = recordings.ordered_lines(spark, str(tmp_path / "lines.txt")).collect()
     assert [(g.ln, g.value) for g in got] == [(0, "a"), (1, ""), (2, "b")]
-    df = spark.createDataFrame([(1, -0.0, True, "x,y")], "a long, b double, c boolean, d string")
+    df = spark.createDataFrame([(1, -0.0, True, "x,y")], "a long, b double, c boolean, d string").coalesce(1)
     recordings.write_csv(df, str(tmp_path / "run" / "fills"))
     text = "".join(p.read_text() for p in (tmp_path / "run" / "fills").glob("*.csv"))
     assert text == 'a,b,c,d\n1,0.0000000000,1,"x,y"\n'
+
+
+def test_config(spark, tmp_path):
+    from microflow.functions import config
+
+    run = config.Run(strategy="S0_touch", queue="optimistic", maker_fee_bp=-0.5)
+    assert run.fill_model == "TOUCH" and run.queue == "OPT" and run.row()["maker_tenths"] == -5 and run.run_id == "S0_touch_OPT__0_5_50_0_1"
+    for bad in ({"strategy": "S9"}, {"queue": "best"}, {"gamma": 0}, {"horizons_s": (2.0, 1.0)}, {"horizons_s": ()}, {"toxicity_threshold": 1.5}, {"maker_fee_bp": 0.25}, {"volatility_window_s": 0.5}, {"probe_depths": (0,)}):
+        with pytest.raises(ValueError):
+            config.Run(**bad)
+    assert config.cells(spark, [run, config.Run()]).where("fill_model = 'QUEUE'").count() == 1
+    (tmp_path / "c.json").write_text('{"k": 1.0, "A": 2.0, "combined": {"k": 0.3, "A": 0.8}}')
+    (tmp_path / "d.json").write_text('{"k": -1.0, "A": 2.0}')
+    got = config.calibration(spark.read.json(str(tmp_path), schema=config.CALIBRATION)).collect()
+    assert [tuple(r) for r in got] == [(0.3, 0.8)] and "run_id" in run.manifest()
