@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -138,7 +136,8 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, share: int = 20, action: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without contaminated documents ("documents"), or with the hit words cut out of all texts ("spans").
 
-    All columns stay. Cutting removes each run of hit words with what stands between them.
+    All columns stay. Cutting removes each run of hit words with what stands between them. Rows that repeat an id go
+    together, in cutting only where their counts of words agree; rows with a null id stay as they are.
     """
     if action not in ("documents", "spans"):
         raise ValueError(f"action must be 'documents' or 'spans', not {action!r}")
@@ -160,6 +159,3 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
-
-def sha(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
