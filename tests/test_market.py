@@ -289,7 +289,7 @@ def test_decode(spark):
 def test_binary_log(spark, tmp_path):
     rows = np.zeros(1000, binlog.EVENT)
     rows["exch_ts_us"], rows["seq"], rows["price_ticks"], rows["side"] = np.arange(1000) * 10, np.arange(1000), 10000 - np.arange(1000) % 7, np.arange(1000) % 2
-    path = tmp_path / "x.lobbin"
+    path = tmp_path / "x.bin"
     path.write_bytes(binlog.encode(rows))
     spark.dataSource.register(binlog.BinaryLog)
     df = spark.read.format("binlog").option("block", 300).load(str(path))
