@@ -15,6 +15,8 @@ RANKED = 2_000_000
 BROADCAST_IDS = 1_000_000
 #: Lists of so many texts go through leaders before their texts are paired.
 LONG_LIST = 24
+#: Texts of one least shingle that are compared in blocks instead of pair by pair, and a block's texts.
+FAMILY, BLOCK = 16, 256
 _SCALE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,16 +149,16 @@ class Join:
         """Whether two sizes allow the similarity at all."""
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
+    def texts(self, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+        """(cls, text) of one document of each class; a repeated id may bring other texts along."""
+        reps = written(classes.join(nodes.distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.xxhash64("id")).alias("k")), "representatives")
+        return self.docs.withColumn("k", F.xxhash64("id")).join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, "k").select("cls", "text")
+
     def linked(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar enough, by the overlap of their whole sets."""
         nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        reps = written(classes.join(nodes, "cls", "left_semi").groupBy("cls").agg(F.min(F.xxhash64("id")).alias("k")), "representatives")
-        n = reps.count()
-        if not n:
-            return pairs.select("a", "b")
         # texts are a fraction of their sets' size, so they travel and the sets are made where a pair meets
-        keyed = self.docs.withColumn("k", F.xxhash64("id"))
-        texts = written(keyed.join(F.broadcast(reps) if n <= BROADCAST_IDS else reps, "k").select("cls", "text"), "pair-texts")
+        texts = written(self.texts(nodes, classes), "pair-texts")
         both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
         words, percent = self.words, self.percent
 
@@ -178,6 +180,71 @@ class Join:
 
         return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
+    def blocks(self, rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The families among open lists, (cls, family, part), and what is compared: (fa, pa, fb, pb), pairs of parts.
+
+        Sets with one least shingle are a family if there are many of them, in parts of BLOCK sets, in the order of
+        component and size; any other set is a family of its own. Families meet where they share a list; two parts
+        meet unless they belong to one component or their sizes differ too much.
+        """
+        sets = rows.groupBy("cls").agg(F.min(F.struct("pos", "s"))["s"].alias("least"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+        sizes = sets.groupBy("least").agg(F.count("*").alias("m")).where(F.col("m") >= FAMILY)
+        sets = sets.join(sizes, "least", "left").withColumn("family", F.when(F.col("m").isNotNull(), F.col("least")).otherwise(F.col("cls"))).withColumn("big", F.col("m").isNotNull())
+        order = Window.partitionBy("least").orderBy("comp", "n", "cls")
+        sets = written(sets.withColumn("part", F.when(F.col("big"), F.floor((F.row_number().over(order) - 1) / BLOCK)).otherwise(0).cast("int")).select("cls", "family", "big", "part", "n", "comp"), "families")
+        known = rows.select("s", "cls").join(sets.select("cls", "family", "big"), "cls").select("s", "family", "big").distinct()
+        # pairs of two small families are told apart by their own overlap
+        x, y = known.select("s", F.col("family").alias("fa"), F.col("big").alias("ba")), known.select("s", F.col("family").alias("fb"), F.col("big").alias("bb"))
+        met = x.where("ba").join(y, "s").where("not bb or fa <= fb").select("fa", "fb").distinct()
+        parts = sets.groupBy("family", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        left = parts.select(*[F.col(c).alias(c + "a") for c in ("family", "part", "lo", "hi", "c0", "c1")])
+        right = parts.select(*[F.col(c).alias(c + "b") for c in ("family", "part", "lo", "hi", "c0", "c1")])
+        both = met.join(left, met.fa == left.familya).join(right, met.fb == right.familyb).where("fa <> fb or parta <= partb")
+        one = (F.col("c0a") == F.col("c1a")) & (F.col("c0b") == F.col("c1b")) & (F.col("c0a") == F.col("c0b"))
+        far = (100 * F.col("hia") < self.percent * F.col("lob")) | (100 * F.col("hib") < self.percent * F.col("loa"))
+        return sets, both.where(~one & ~far).select("fa", F.col("parta").alias("pa"), "fb", F.col("partb").alias("pb"))
+
+    def product(self, sets: DataFrame, tasks: DataFrame, classes: DataFrame) -> DataFrame:
+        """Links (a, b) within pairs of parts, by the product of their incidence matrices; one link a set and component is enough."""
+        tasks = written(tasks.withColumn("task", F.xxhash64("fa", "pa", "fb", "pb")), "part-pairs")
+        used = tasks.select(F.col("fa").alias("family"), F.col("pa").alias("part"), "task", F.lit(0).alias("side")).unionByName(tasks.select(F.col("fb").alias("family"), F.col("pb").alias("part"), "task", F.lit(1).alias("side")))
+        members = sets.join(used.select("family", "part").distinct(), ["family", "part"], "left_semi")
+        texts = self.texts(members.select("cls"), classes).join(members.select("cls", "family", "part", "comp"), "cls")
+        texts = written(texts, "part-texts")
+        words, percent = self.words, self.percent
+
+        def multiply(t: pa.Table) -> pa.Table:
+            side = t["side"].to_numpy()
+            names, comps = t["cls"].to_numpy(), t["comp"].to_numpy()
+            made = dict(shingle_sets(as_bytes(t["text"]), words))
+            rows = [[i for i in np.flatnonzero(side == k) if i in made and set_class(made[i]) == names[i]] for k in (0, 1)]
+            if not rows[0] or not rows[1]:
+                return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            shared = np.intersect1d(*[np.unique(np.concatenate([made[i] for i in r])) for r in rows])
+            n = [np.array([len(made[i]) for i in r]) for r in rows]
+            common = np.zeros((len(rows[0]), len(rows[1])), np.float32)
+            for at in range(0, len(shared), 20_000):  # a slice of the columns at a time
+                cols = shared[at : at + 20_000]
+                m = []
+                for r in rows:
+                    x = np.zeros((len(r), len(cols)), np.float32)
+                    for j, i in enumerate(r):
+                        k = np.minimum(np.searchsorted(cols, made[i]), len(cols) - 1)
+                        x[j, k[cols[k] == made[i]]] = 1
+                    m.append(x)
+                common += m[0] @ m[1].T
+            similar = 100 * common.astype(np.int64) >= percent * (n[0][:, None] + n[1][None, :] - common.astype(np.int64))
+            x, y = np.array(rows[0]), np.array(rows[1])
+            similar &= comps[x][:, None] != comps[y][None, :]
+            # per set the first link into each component; the components' sets hang together anyway
+            out = set()
+            for i, j in zip(*np.nonzero(similar)):
+                out.add((comps[x[i]], comps[y[j]]))
+            return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+        placed = texts.join(used, ["family", "part"]).select("task", "side", "cls", "comp", "text")
+        return placed.groupBy("task").applyInArrow(multiply, "a long, b long")
+
 
 def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_shingles and component_id, the smallest id that links reach.
@@ -191,7 +258,9 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     2. The prefixes of the rows, rarest shingles first, are grouped by shingle; only sets of compatible sizes can meet.
     3. Long lists: each set is checked against leaders of its lists, which joins large groups of near copies
        without pairing them all.
-    4. The overlap of every remaining pair of different components is accumulated over the lists; pairs whose bound
+    4. What is left of large families, sets with one least shingle, is multiplied block by block: rows of one part of
+       a family by those of another that it shares a list with.
+    5. The overlap of every other pair of different components is accumulated over the lists; pairs whose bound
        (overlap so far plus what the sizes still allow) is too small are dropped, the others compared set by set.
     """
     join = Join(docs, percent, words, id_col, text_col)
@@ -223,17 +292,18 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     rows = with_comp(lists)
     whole = Window.partitionBy("s")
     rows = written(rows.withColumn("lo", F.min("comp").over(whole)).withColumn("hi", F.max("comp").over(whole)).where("lo <> hi").select("s", "cls", "n", "pos", "comp"), "open-lists")
-    groups = rows.select("s", "comp").distinct()
-    across = groups.withColumnRenamed("comp", "ca").join(groups.withColumnRenamed("comp", "cb"), "s").where("ca < cb")
-    left = rows.select("s", F.col("comp").alias("ca"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = rows.select("s", F.col("comp").alias("cb"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    met = across.join(left, ["s", "ca"]).join(right, ["s", "cb"]).where(join.sized("na", "nb"))
+    sets, tasks = join.blocks(rows, classes)
+    across = written(join.product(sets, tasks, classes), "part-links")
+    # sets outside of large families, pair by pair
+    small = rows.join(sets.where("not big").select("cls"), "cls", "left_semi")
+    left = small.select("s", F.col("comp").alias("ca"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    right = small.select("s", F.col("comp").alias("cb"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    met = left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & join.sized("na", "nb"))
     overlap = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     bound = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     pairs = written(overlap.where((100 + percent) * bound >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
-    found = join.linked(pairs, classes)
-    edges = found if edges is None else edges.unionByName(found)
-    comp = components(edges)
+    found = join.linked(pairs, classes).unionByName(across)
+    comp = components(found if edges is None else edges.unionByName(found))
 
     named = classes.where("n > 0").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("id", "n", F.coalesce("comp", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
