@@ -59,7 +59,21 @@ def within(a: str, b: str, errors: int):
     rows = ", ".join(f"{x} as r{e}" for e, x in enumerate(new))
     chars = lambda x: f"regexp_extract_all({x}, '(?s).', 0)"
     end = f"(s.r{errors} & shiftleft(1, length({b}) - length({a}) + {errors})) <> 0"
-    return F.expr(f"aggregate({chars(a)}, struct({chars(b)} as b, 0 as i, {first}), (s, c) -> struct(s.b as b, s.i + 1 as i, {rows}), s -> {end})")
+    # once the last row is empty it stays so
+    return F.expr(f"aggregate({chars(a)}, struct({chars(b)} as b, 0 as i, {first}), (s, c) -> if(s.r{errors} = 0, s, struct(s.b as b, s.i + 1 as i, {rows})), s -> {end})")
+
+
+def _common(a: str, b: str, piece: str) -> str:
+    """How many characters two texts share at one end: halving steps; piece: SQL of the n characters at that end of {x}."""
+    same = piece.format(x=a, n="k + step") + " = " + piece.format(x=b, n="k + step")
+    return f"aggregate(transform(sequence(0, 30), i -> shiftleft(1, 30 - i)), 0, (k, step) -> if(k + step <= least(length({a}), length({b})) and {same}, k + step, k))"
+
+
+def similar(pairs: DataFrame, errors: int) -> DataFrame:
+    """The pairs (a, b, x, y) whose texts x and y are within the edit distance; what they share at both ends is cut off first."""
+    rows = pairs.withColumn("p", F.expr(_common("x", "y", "left({x}, {n})"))).select("a", "b", F.expr("substring(x, p + 1)").alias("x"), F.expr("substring(y, p + 1)").alias("y"))
+    rows = rows.withColumn("q", F.expr(_common("x", "y", "right({x}, {n})"))).select("a", "b", F.expr("left(x, length(x) - q)").alias("x"), F.expr("left(y, length(y) - q)").alias("y"))
+    return rows.where(within("x", "y", errors)).select("a", "b")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,7 +105,7 @@ def near_pairs(lines: DataFrame, errors: int, min_chars: int) -> DataFrame:
     n = wanted.count()
     texts = written(lines.select("lid", "line").join(F.broadcast(wanted) if n <= BROADCAST_LINES else wanted, "lid", "left_semi"), "line-texts")
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    return both.where(within("x", "y", errors)).select("a", "b")
+    return similar(both.select("a", "b", "x", "y"), errors)
 
 
 def dropped_lines(docs: DataFrame, errors: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
