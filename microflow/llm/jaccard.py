@@ -180,37 +180,40 @@ class Join:
 
         return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
-    def blocks(self, rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The families among open lists, (cls, family, part), and what is compared: (fa, pa, fb, pb), pairs of parts.
+    def blocks(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Of the open lists: (cls, big) of all sets; (unit, part, cls, n, comp), sets in parts; (ua, pa, ub, pb), parts to compare.
 
-        Sets with one least shingle are a family if there are many of them, in parts of BLOCK sets, in the order of
-        component and size; any other set is a family of its own. Families meet where they share a list; two parts
-        meet unless they belong to one component or their sizes differ too much.
+        Sets with one least shingle are a family, a unit of its own, if there are many of them. The sets outside of
+        families that share a list with one are its guests, another unit. Units are cut into parts of BLOCK sets in the
+        order of component and size. A family meets itself, its guests and the families it shares a list with; of
+        their parts, those don't meet that belong to one component or whose sizes differ too much.
         """
         sets = rows.groupBy("cls").agg(F.min(F.struct("pos", "s"))["s"].alias("least"), F.first("n").alias("n"), F.first("comp").alias("comp"))
         sizes = sets.groupBy("least").agg(F.count("*").alias("m")).where(F.col("m") >= FAMILY)
-        sets = sets.join(sizes, "least", "left").withColumn("family", F.when(F.col("m").isNotNull(), F.col("least")).otherwise(F.col("cls"))).withColumn("big", F.col("m").isNotNull())
-        order = Window.partitionBy("least").orderBy("comp", "n", "cls")
-        sets = written(sets.withColumn("part", F.when(F.col("big"), F.floor((F.row_number().over(order) - 1) / BLOCK)).otherwise(0).cast("int")).select("cls", "family", "big", "part", "n", "comp"), "families")
-        known = rows.select("s", "cls").join(sets.select("cls", "family", "big"), "cls").select("s", "family", "big").distinct()
-        # pairs of two small families are told apart by their own overlap
-        x, y = known.select("s", F.col("family").alias("fa"), F.col("big").alias("ba")), known.select("s", F.col("family").alias("fb"), F.col("big").alias("bb"))
-        met = x.where("ba").join(y, "s").where("not bb or fa <= fb").select("fa", "fb").distinct()
-        parts = sets.groupBy("family", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        left = parts.select(*[F.col(c).alias(c + "a") for c in ("family", "part", "lo", "hi", "c0", "c1")])
-        right = parts.select(*[F.col(c).alias(c + "b") for c in ("family", "part", "lo", "hi", "c0", "c1")])
-        both = met.join(left, met.fa == left.familya).join(right, met.fb == right.familyb).where("fa <> fb or parta <= partb")
+        sets = written(sets.join(sizes, "least", "left").select("cls", "least", "n", "comp", F.col("m").isNotNull().alias("big")), "families")
+        known = rows.select("s", "cls").join(sets.select("cls", F.when(F.col("big"), F.col("least")).alias("family")), "cls")
+        hosts = known.where("family is not null").select("s", F.col("family").alias("ua")).distinct()
+        families = hosts.join(hosts.withColumnRenamed("ua", "ub"), "s").where("ua <= ub").select("ua", "ub").distinct()
+        guests = hosts.join(known.where("family is null").select("s", "cls"), "s").select("ua", "cls").distinct()
+        guest_unit = F.xxhash64(F.lit("guests"), F.col("ua"))
+        order = Window.partitionBy("unit").orderBy("comp", "n", "cls")
+        members = sets.where("big").select(F.col("least").alias("unit"), "cls", "n", "comp").unionByName(guests.join(sets, "cls").select(guest_unit.alias("unit"), "cls", "n", "comp"))
+        members = written(members.withColumn("part", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")), "parts")
+        meet = families.unionByName(guests.select("ua", guest_unit.alias("ub")).distinct())
+        parts = members.groupBy("unit", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        left = parts.select(*[F.col(c).alias(c + "a") for c in ("unit", "part", "lo", "hi", "c0", "c1")])
+        right = parts.select(*[F.col(c).alias(c + "b") for c in ("unit", "part", "lo", "hi", "c0", "c1")])
+        both = meet.join(left, meet.ua == left.unita).join(right, meet.ub == right.unitb).where("ua <> ub or parta <= partb")
         one = (F.col("c0a") == F.col("c1a")) & (F.col("c0b") == F.col("c1b")) & (F.col("c0a") == F.col("c0b"))
         far = (100 * F.col("hia") < self.percent * F.col("lob")) | (100 * F.col("hib") < self.percent * F.col("loa"))
-        return sets, both.where(~one & ~far).select("fa", F.col("parta").alias("pa"), "fb", F.col("partb").alias("pb"))
-
-    def product(self, sets: DataFrame, tasks: DataFrame, classes: DataFrame) -> DataFrame:
-        """Links (a, b) within pairs of parts, by the product of their incidence matrices; one link a set and component is enough."""
-        tasks = written(tasks.withColumn("task", F.xxhash64("fa", "pa", "fb", "pb")), "part-pairs")
-        used = tasks.select(F.col("fa").alias("family"), F.col("pa").alias("part"), "task", F.lit(0).alias("side")).unionByName(tasks.select(F.col("fb").alias("family"), F.col("pb").alias("part"), "task", F.lit(1).alias("side")))
-        members = sets.join(used.select("family", "part").distinct(), ["family", "part"], "left_semi")
-        texts = self.texts(members.select("cls"), classes).join(members.select("cls", "family", "part", "comp"), "cls")
-        texts = written(texts, "part-texts")
+        return sets.select("cls", "big"), members, both.where(~one & ~far).select("ua", F.col("parta").alias("pa"), "ub", F.col("partb").alias("pb"))
+
+    def product(self, members: DataFrame, tasks: DataFrame, classes: DataFrame) -> DataFrame:
+        """Links (a, b) between components within pairs of parts, by the product of their incidence matrices."""
+        tasks = written(tasks.withColumn("task", F.xxhash64("ua", "pa", "ub", "pb")), "part-pairs")
+        used = tasks.select(F.col("ua").alias("unit"), F.col("pa").alias("part"), "task", F.lit(0).alias("side")).unionByName(tasks.select(F.col("ub").alias("unit"), F.col("pb").alias("part"), "task", F.lit(1).alias("side")))
+        wanted = members.join(used.select("unit", "part").distinct(), ["unit", "part"], "left_semi").select("cls", "comp", "unit", "part")
+        texts = written(self.texts(wanted.select("cls"), classes), "part-texts")
         words, percent = self.words, self.percent
 
         def multiply(t: pa.Table) -> pa.Table:
@@ -236,13 +239,13 @@ class Join:
             similar = 100 * common.astype(np.int64) >= percent * (n[0][:, None] + n[1][None, :] - common.astype(np.int64))
             x, y = np.array(rows[0]), np.array(rows[1])
             similar &= comps[x][:, None] != comps[y][None, :]
-            # per set the first link into each component; the components' sets hang together anyway
+            # a link a pair of components is enough: their sets hang together anyway
             out = set()
             for i, j in zip(*np.nonzero(similar)):
                 out.add((comps[x[i]], comps[y[j]]))
             return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-        placed = texts.join(used, ["family", "part"]).select("task", "side", "cls", "comp", "text")
+        placed = wanted.join(used, ["unit", "part"]).join(texts, "cls").select("task", "side", "cls", "comp", "text")
         return placed.groupBy("task").applyInArrow(multiply, "a long, b long")
 
 
@@ -292,8 +295,8 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     rows = with_comp(lists)
     whole = Window.partitionBy("s")
     rows = written(rows.withColumn("lo", F.min("comp").over(whole)).withColumn("hi", F.max("comp").over(whole)).where("lo <> hi").select("s", "cls", "n", "pos", "comp"), "open-lists")
-    sets, tasks = join.blocks(rows, classes)
-    across = written(join.product(sets, tasks, classes), "part-links")
+    sets, members, tasks = join.blocks(rows)
+    across = written(join.product(members, tasks, classes), "part-links")
     # sets outside of large families, pair by pair
     small = rows.join(sets.where("not big").select("cls"), "cls", "left_semi")
     left = small.select("s", F.col("comp").alias("ca"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
