@@ -42,25 +42,30 @@ def probes(errors: int) -> str:
     return ", ".join(out)
 
 
-def within(a: str, b: str, errors: int):
-    """Whether two texts are within an edit distance, by the banded automaton of 2 * errors + 1 diagonals.
+def _once(expr: str, name: str):
+    """A column of its own, computed once: explode keeps it so, a projection would be computed anew wherever it is used."""
+    return F.explode(F.array(F.expr(expr))).alias(name)
 
-    Bit d + errors of row e: so much of `a` as was read is d characters shorter than some beginning of `b` that it becomes with e
-    errors at most. A character of `a` moves all diagonals of all rows at once.
+
+def within(pairs: DataFrame, errors: int) -> DataFrame:
+    """The pairs (a, b, x, y) whose texts are within an edit distance, by a banded automaton of 2 * errors + 1 diagonals.
+
+    Bit d + errors of row e: so much of x as was read becomes, with e errors at most, a beginning of y that is d
+    characters longer. A character of x moves all diagonals of all rows at once; its mask has a bit for each diagonal on
+    which it equals y's character.
     """
-    width = 2 * errors + 1
-    full = (1 << width) - 1
+    full = (1 << 2 * errors + 1) - 1
+    rows = pairs.select("a", "b", _once("struct(regexp_extract_all(x, '(?s).', 0) as x, regexp_extract_all(y, '(?s).', 0) as y)", "t")).select("a", "b", "t.x", "t.y")
+    mask = " + ".join(f"if(c <=> get(y, i + {d}), {1 << (d + errors)}, 0)" for d in range(-errors, errors + 1))
     first = ", ".join(f"{sum(1 << (errors + d) for d in range(e + 1))} as r{e}" for e in range(errors + 1))
-    same = " | ".join(f"if(c <=> get(s.b, s.i + {d}), {1 << (d + errors)}, 0)" for d in range(-errors, errors + 1))
-    # a row needs the next one's new bits: each is spelled out in terms of the old rows
-    new = [f"(s.r0 & ({same}))"]
+    # a row needs the new bits of the row before: these are spelled out in terms of the old rows
+    new = ["(s.r0 & m)"]
     for e in range(1, errors + 1):
-        new.append(f"(((s.r{e} & ({same})) | s.r{e - 1} | shiftright(s.r{e - 1}, 1) | shiftleft({new[e - 1]}, 1)) & {full})")
-    rows = ", ".join(f"{x} as r{e}" for e, x in enumerate(new))
-    chars = lambda x: f"regexp_extract_all({x}, '(?s).', 0)"
-    end = f"(s.r{errors} & shiftleft(1, length({b}) - length({a}) + {errors})) <> 0"
+        new.append(f"(((s.r{e} & m) | s.r{e - 1} | shiftright(s.r{e - 1}, 1) | shiftleft({new[e - 1]}, 1)) & {full})")
+    state = ", ".join(f"{x} as r{e}" for e, x in enumerate(new))
     # once the last row is empty it stays so
-    return F.expr(f"aggregate({chars(a)}, struct({chars(b)} as b, 0 as i, {first}), (s, c) -> if(s.r{errors} = 0, s, struct(s.b as b, s.i + 1 as i, {rows})), s -> {end})")
+    last = f"aggregate(transform(x, (c, i) -> {mask}), struct({first}), (s, m) -> if(s.r{errors} = 0, s, struct({state})), s -> s.r{errors})"
+    return rows.where(F.expr(f"({last} & shiftleft(1, size(y) - size(x) + {errors})) <> 0")).select("a", "b")
 
 
 def _common(a: str, b: str, piece: str) -> str:
@@ -71,9 +76,11 @@ def _common(a: str, b: str, piece: str) -> str:
 
 def similar(pairs: DataFrame, errors: int) -> DataFrame:
     """The pairs (a, b, x, y) whose texts x and y are within the edit distance; what they share at both ends is cut off first."""
-    rows = pairs.withColumn("p", F.expr(_common("x", "y", "left({x}, {n})"))).select("a", "b", F.expr("substring(x, p + 1)").alias("x"), F.expr("substring(y, p + 1)").alias("y"))
-    rows = rows.withColumn("q", F.expr(_common("x", "y", "right({x}, {n})"))).select("a", "b", F.expr("left(x, length(x) - q)").alias("x"), F.expr("left(y, length(y) - q)").alias("y"))
-    return rows.where(within("x", "y", errors)).select("a", "b")
+    rows = pairs.select("a", "b", "x", "y", _once(_common("x", "y", "left({x}, {n})"), "p"))
+    rows = rows.select("a", "b", _once("struct(substring(x, p + 1) as x, substring(y, p + 1) as y)", "t")).select("a", "b", F.col("t.x").alias("u"), F.col("t.y").alias("v"))
+    rows = rows.select("a", "b", "u", "v", _once(_common("u", "v", "right({x}, {n})"), "q"))
+    rows = rows.select("a", "b", _once("struct(left(u, length(u) - q) as x, left(v, length(v) - q) as y)", "t")).select("a", "b", "t.x", "t.y")
+    return within(rows, errors)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
