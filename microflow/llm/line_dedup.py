@@ -10,8 +10,8 @@ from microflow.llm.common import table, written
 #: Lines to fetch by broadcast at most; more are fetched by a shuffled join.
 BROADCAST_LINES = 2_000_000
 _PLACES = "10000000000"
-#: Letters that are counted to tell lines apart; which ones changes the speed only, not the result.
-LETTERS = "eaionrstldumcpgh"
+#: Eight letters that are counted to tell lines apart; which ones changes the speed only, not the result.
+LETTERS = "eaionrst"
 
 
 def _start(i: int, length: str, parts: int) -> str:
@@ -85,16 +85,16 @@ def similar(pairs: DataFrame, errors: int) -> DataFrame:
     return within(rows, errors)
 
 
-def letters(line: str) -> str:
-    """A long with 4 bits a letter of LETTERS: its count modulo 8, so coded that counts one apart differ in one bit.
+def sketch(line: str) -> str:
+    """A long whose bits tell most lines apart that aren't within a few edits: words above, letters below.
 
-    The bits that differ between two lines are thus at most the sum of their counts' differences; an edit adds two.
+    Words: 32 parities of hashed words; an edit changes three words at most, two gone and one new or the other way
+    round. Letters: 4 bits a letter of LETTERS, its count modulo 8, so coded that counts one apart differ in one bit; an
+    edit changes two counts by one.
     """
-    codes = []
-    for i, letter in enumerate(LETTERS):
-        n = f"(length({line}) - length(replace({line}, '{letter}', ''))) & 7"
-        codes.append(f"shiftleft(cast(shiftright({0b11110000}, {n}) & 15 as bigint), {4 * i})")
-    return " | ".join(codes)
+    words = f"aggregate(split({line}, ' '), 0L, (s, w) -> s ^ shiftleft(1L, cast(pmod(xxhash64(w), 32) as int) + 32))"
+    counts = (f"(length({line}) - length(replace({line}, '{letter}', ''))) & 7" for letter in LETTERS)
+    return " | ".join([words, *(f"cast(shiftright({0b11110000}, {n}) & 15 as bigint) << {4 * i}" for i, n in enumerate(counts))])
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,19 +108,15 @@ def _place(id_: str = "id", no: str = "no"):
 
 
 def near_pairs(lines: DataFrame, errors: int, min_chars: int) -> DataFrame:
-    """(a, b): all pairs of different lines within the edit distance; lines: lid, line, of distinct texts."""
-    long = lines.select("lid", "line", F.length("line").alias("n")).where(F.col("n") >= min_chars)
-    # an edit changes three words at most: two gone and one new, or the other way round
-    sketch = F.expr("aggregate(split(line, ' '), 0L, (s, w) -> s ^ shiftleft(1L, cast(pmod(xxhash64(w), 64) as int)))")
-    # and by two letters' counts
-    long = long.select("*", F.explode(F.array(F.struct(sketch.alias("s"), F.expr(letters("line")).alias("l")))).alias("t")).select("lid", "line", "n", F.col("t.s").alias("sketch"), F.col("t.l").alias("letters"))
+    """(a, b): all pairs of different lines within the edit distance; lines: lid, line, sketch, of distinct texts."""
+    long = lines.select("lid", "line", F.length("line").alias("n"), "sketch").where(F.col("n") >= min_chars)
     # both sides from one pass: side 0 is the index
-    index = long.select("lid", "n", "sketch", "letters", F.expr(f"explode(array({segments(errors)}))").alias("key"))
+    index = long.select("lid", "n", "sketch", F.expr(f"explode(array({segments(errors)}))").alias("key"))
     # shorter partners may be under min_chars, where nothing is indexed
-    probe = long.select("lid", "n", "sketch", "letters", F.expr(f"explode(array_distinct(array({probes(errors)})))").alias("key"))
-    a, b = index.select("key", F.col("lid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("letters").alias("la")), probe.select("key", F.col("lid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("letters").alias("lb"))
+    probe = long.select("lid", "n", "sketch", F.expr(f"explode(array_distinct(array({probes(errors)})))").alias("key"))
+    a, b = index.select("key", F.col("lid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), probe.select("key", F.col("lid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     # of two lines of one length only one order counts
-    met = a.join(b, (a.key == b.key) & (F.col("nb") - F.col("na")).between(0, errors) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b"))) & (F.bit_count(F.expr("sa ^ sb")) <= 3 * errors) & (F.bit_count(F.expr("la ^ lb")) <= 2 * errors))
+    met = a.join(b, (a.key == b.key) & (F.col("nb") - F.col("na")).between(0, errors) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b"))) & F.expr(f"bit_count(shiftrightunsigned(sa ^ sb, 32)) <= {3 * errors} and bit_count((sa ^ sb) & 4294967295) <= {2 * errors}"))
     pairs = written(met.select("a", "b").distinct(), "line-candidates")
     wanted = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
     wanted = written(wanted, "line-wanted")
@@ -145,7 +141,7 @@ def dropped_lines(docs: DataFrame, errors: int = 2, min_chars: int = 20, id_col:
     """
     lines = _lines(docs, id_col, text_col)
     filled = lines.where(F.length(F.regexp_replace("line", r"[\x20\x09-\x0D]+", "")) > 0)
-    distinct = filled.groupBy("line").agg(F.count("*").alias("times"), F.min(_place()).alias("first")).select(F.xxhash64("line").alias("lid"), "line", "times", "first")
+    distinct = filled.groupBy("line").agg(F.count("*").alias("times"), F.min(_place()).alias("first")).select(F.xxhash64("line").alias("lid"), "line", "times", "first", F.expr(sketch("line")).alias("sketch"))
     distinct = written(distinct, "lines")
     pairs = written(near_pairs(distinct, errors, min_chars), "line-pairs")
     firsts = distinct.select("lid", "first")
