@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _GIVE_BACK = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
+_own_dir: list[str] = []
 
 #: ASCII white space of the text contracts: 0x20 and 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -24,9 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or a temporary one where none is set (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="microflow-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    if not found:  # a running session doesn't take this setting any more
+        if not _own_dir:
+            _own_dir.append("file://" + tempfile.mkdtemp(prefix="microflow-shared-"))
+        found = _own_dir[0]
     return found
 
 
