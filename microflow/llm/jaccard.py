@@ -102,13 +102,13 @@ class Join:
         rows = written(self.docs.mapInArrow(scan, f"id {self.id_type}, n long, key long, shingle boolean"), "shingle-classes")
         return rows.where(~F.col("shingle")).select("id", "n", F.col("key").alias("cls")), rows.where("shingle").select("key", "n")
 
-    def postings(self, frequent: DataFrame, n_docs: int) -> DataFrame:
+    def postings(self, frequent: DataFrame) -> DataFrame:
         """Incidence of the rows' prefixes: (s, cls, n, pos, m). Frequent shingles come last in every row's order.
 
         A set of n shingles needs ceil(percent n / 100) of them in common with any partner, so one of its first
         n - ceil(...) + 1 is common to both. Columns with one set only can't join and are left out; m: entries of s.
         """
-        often = frequent.groupBy(F.col("key").alias("s")).agg(F.sum("n").alias("df")).where(F.col("df") >= max(64, n_docs // 2000)).orderBy(F.desc("df"), "s").limit(RANKED).toArrow()
+        often = frequent.groupBy(F.col("key").alias("s")).agg(F.sum("n").alias("df")).orderBy(F.desc("df"), "s").limit(RANKED).toArrow()
         s = often["s"].to_numpy().view(np.uint64)
         order = np.argsort(s)
         sent = self.spark.sparkContext.broadcast((s[order], (len(s) - order).astype(np.int64)))
@@ -268,7 +268,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     """
     join = Join(docs, percent, words, id_col, text_col)
     classes, frequent = join.classes()
-    lists = join.postings(frequent, classes.count())
+    lists = join.postings(frequent)
     edges = None
     comp = None
 
