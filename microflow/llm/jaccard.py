@@ -149,6 +149,10 @@ class Join:
         """Whether two sizes allow the similarity at all."""
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
+    def ranges(self, la: str, ha: str, lb: str, hb: str):
+        """Whether sizes of la to ha and of lb to hb allow the similarity at all."""
+        return (100 * F.col(ha) >= self.percent * F.col(lb)) & (100 * F.col(hb) >= self.percent * F.col(la))
+
     def texts(self, nodes: DataFrame, classes: DataFrame) -> DataFrame:
         """(cls, text) of one document of each class; a repeated id may bring other texts along."""
         reps = written(classes.join(nodes.distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.xxhash64("id")).alias("k")), "representatives")
@@ -191,10 +195,11 @@ class Join:
         sets = rows.groupBy("cls").agg(F.min(F.struct("pos", "s"))["s"].alias("least"), F.first("n").alias("n"), F.first("comp").alias("comp"))
         sizes = sets.groupBy("least").agg(F.count("*").alias("m")).where(F.col("m") >= FAMILY)
         sets = written(sets.join(sizes, "least", "left").select("cls", "least", "n", "comp", F.col("m").isNotNull().alias("big")), "families")
-        known = rows.select("s", "cls").join(sets.select("cls", F.when(F.col("big"), F.col("least")).alias("family")), "cls")
-        hosts = known.where("family is not null").select("s", F.col("family").alias("ua")).distinct()
-        families = hosts.join(hosts.withColumnRenamed("ua", "ub"), "s").where("ua <= ub").select("ua", "ub").distinct()
-        guests = hosts.join(known.where("family is null").select("s", "cls"), "s").select("ua", "cls").distinct()
+        known = rows.select("s", "cls", "n").join(sets.select("cls", F.when(F.col("big"), F.col("least")).alias("family")), "cls")
+        # similar sets meet in a list in which their sizes allow it
+        hosts = known.where("family is not null").groupBy("s", F.col("family").alias("ua")).agg(F.min("n").alias("la"), F.max("n").alias("ha"))
+        families = hosts.join(hosts.select("s", F.col("ua").alias("ub"), F.col("la").alias("lb"), F.col("ha").alias("hb")), "s").where((F.col("ua") <= F.col("ub")) & self.ranges("la", "ha", "lb", "hb")).select("ua", "ub").distinct()
+        guests = hosts.join(known.where("family is null").select("s", "cls", "n"), "s").where(self.ranges("la", "ha", "n", "n")).select("ua", "cls").distinct()
         guest_unit = F.xxhash64(F.lit("guests"), F.col("ua"))
         order = Window.partitionBy("unit").orderBy("comp", "n", "cls")
         members = sets.where("big").select(F.col("least").alias("unit"), "cls", "n", "comp").unionByName(guests.join(sets, "cls").select(guest_unit.alias("unit"), "cls", "n", "comp"))
@@ -205,8 +210,7 @@ class Join:
         right = parts.select(*[F.col(c).alias(c + "b") for c in ("unit", "part", "lo", "hi", "c0", "c1")])
         both = meet.join(left, meet.ua == left.unita).join(right, meet.ub == right.unitb).where("ua <> ub or parta <= partb")
         one = (F.col("c0a") == F.col("c1a")) & (F.col("c0b") == F.col("c1b")) & (F.col("c0a") == F.col("c0b"))
-        far = (100 * F.col("hia") < self.percent * F.col("lob")) | (100 * F.col("hib") < self.percent * F.col("loa"))
-        return sets.select("cls", "big"), members, both.where(~one & ~far).select("ua", F.col("parta").alias("pa"), "ub", F.col("partb").alias("pb"))
+        return sets.select("cls", "big"), members, both.where(~one & self.ranges("loa", "hia", "lob", "hib")).select("ua", F.col("parta").alias("pa"), "ub", F.col("partb").alias("pb"))
 
     def product(self, members: DataFrame, tasks: DataFrame, classes: DataFrame) -> DataFrame:
         """Links (a, b) between components within pairs of parts, by the product of their incidence matrices."""
