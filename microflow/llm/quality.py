@@ -23,7 +23,7 @@ def features(texts: list[bytes]):
     size = np.uint64(PER_KIND)
     for first, last, doc, h, start, end in word_hashes(texts):
         pair = doc[1:] == doc[:-1]
-        same = h[1:] == h[:-1]
+        same = (h[1:] == h[:-1]) & pair
         third = same & np.concatenate(([False], same[:-1])) if len(same) else same
         two = np.where(third, np.uint64(1), mix64(h[:-1] * np.uint64(31) + mix64(h[1:])))[pair]
         data = np.frombuffer(b" ".join(texts[first:last]).translate(_LOWER), np.uint8)
@@ -32,8 +32,8 @@ def features(texts: list[bytes]):
             grams = (grams << np.uint64(8)) | data[k : k + len(grams)]
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts[first:last]), np.int64, last - first))
         of = np.repeat(np.arange(last - first), np.diff(ends, prepend=0))[: len(grams)]
-        # grams across two texts belong to the first of them
-        yield first, last, np.concatenate((doc, doc[1:][pair], of)), np.concatenate((h % size, two % size + size, mix64(grams) % size + 2 * size)).astype(np.int64)
+        whole = np.arange(GRAM, len(grams) + GRAM) < ends[of]  # grams across two texts belong to none
+        yield first, last, np.concatenate((doc, doc[1:][pair], of[whole])), np.concatenate((h % size, two % size + size, mix64(grams[whole]) % size + 2 * size)).astype(np.int64)
 
 
 def labelled(labels: DataFrame, id_col: str = "doc_id") -> dict:
@@ -42,12 +42,20 @@ def labelled(labels: DataFrame, id_col: str = "doc_id") -> dict:
     return {r.id: r.q == 1 and r.t == 0 for r in one.orderBy(F.xxhash64("id"), "id").limit(LABELLED).collect()}
 
 
-def log_ratio(base: DataFrame, known: dict, shrink: float = 3.0, margin: float = 2.0) -> np.ndarray:
+def evidence(counted: np.ndarray, expected: np.ndarray, shrink: float = 0.5, errors: float = 3.0) -> np.ndarray:
+    """The log ratio of counted to expected, shrunk by how many standard errors (signed root of the deviance) it is off 0."""
+    logs = np.log(np.maximum(counted, 1) / np.where(expected > 0, expected, 1))
+    deviance = 2 * (np.where(expected > 0, counted * logs, 0) - (counted - expected))
+    return np.log((counted + shrink) / (expected + shrink)) * np.maximum(0, 1 - errors**2 / np.maximum(deviance, 1e-9))
+
+
+def log_ratio(base: DataFrame, known: dict) -> np.ndarray:
     """log p_target - log p_raw per bucket; raw counts are of all documents, target counts of labelled target text.
 
-    The target model is the raw one, corrected where labelled text has evidence: (counted + shrink) to
-    (expected by the raw model + shrink). What labelled text is too small to show stays neutral, and so do ratios
-    within `margin` (in logs) of 1; others count from there. Thus a document's length alone moves nothing.
+    Counts are of documents, so that one text's repeats prove nothing. The target model is the raw one, corrected where
+    labelled text has evidence: ratios within three standard errors (given the labelled size) stay neutral, beyond they
+    count the more the surer they are. Thus a document's length alone moves nothing. An n-gram that labelled target text
+    never holds counts if it would be expected in 4.5 of its documents.
     """
     target = base.sparkSession.sparkContext.broadcast({k for k, good in known.items() if good})
 
@@ -57,6 +65,7 @@ def log_ratio(base: DataFrame, known: dict, shrink: float = 3.0, margin: float =
             ids, texts = b.column(0).to_pylist(), as_bytes(b.column(1))
             own = np.array([k in target.value for k in ids], bool)
             for first, _, doc, bucket in features(texts):
+                doc, bucket = np.divmod(np.unique(doc * BUCKETS + bucket), BUCKETS)
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 good += np.bincount(bucket[own[first + doc]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
@@ -73,8 +82,7 @@ def log_ratio(base: DataFrame, known: dict, shrink: float = 3.0, margin: float =
         part = slice(kind * PER_KIND, (kind + 1) * PER_KIND)
         r, g = raw[part], good[part]
         expected = r * (g.sum() / r.sum()) if r.sum() else r
-        ratio = np.log((g + shrink) / (expected + shrink))
-        out[part] = np.sign(ratio) * np.maximum(np.abs(ratio) - margin, 0)
+        out[part] = evidence(g, expected)
     return out
 
 
@@ -134,12 +142,15 @@ def score(docs: DataFrame, labels: DataFrame, seed: int = 11, id_col: str = "doc
 
 
 def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
-    """The cut of least balanced error; of equally good ones the middle."""
+    """The cut of least balanced error; of equally good ones the middle, or the one that keeps all if no cut tells anything."""
     order = np.argsort(weight, kind="stable")
     w, g = weight[order], good[order]
     lost = np.concatenate(([0], np.cumsum(g))) / max(1, g.sum())
     left = 1 - np.concatenate(([0], np.cumsum(~g))) / max(1, (~g).sum())
-    best = np.flatnonzero(lost + left <= (lost + left).min() + 1e-12)
+    error = np.where(np.concatenate(([True], w[1:] != w[:-1], [True])) if len(w) else True, lost + left, np.inf)  # no cut parts equal weights
+    best = np.flatnonzero(error <= error.min() + 1e-12)
+    if error.min() >= 1 - 1e-12:  # nothing is told apart
+        best = best[:1]
     edge = np.concatenate(([w[0] - 1], (w[1:] + w[:-1]) / 2, [w[-1] + 1])) if len(w) else np.zeros(1)
     return float(edge[best[len(best) // 2]])
 

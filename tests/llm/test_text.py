@@ -305,6 +305,49 @@ def test_quality_held_out(spark, rng):
     assert quality.score(table(spark, []), lab).count() == 0
 
 
+ABUSE = "trash pathetic idiot disgusting worthless stupid clown scum loser moron".split()
+
+
+@pytest.mark.parametrize("size", [600, 1500, 4000])
+def test_quality_recall_of_rare_words(spark, rng, size):
+    # one document in fifteen is toxic by two or three of ten words, so each word is rare
+    docs, labels = [], []
+    for i in range(size):
+        w = prose(rng, rng.randint(20, 120)).split()
+        for _ in range(rng.randint(2, 3) if i % 15 == 0 else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(ABUSE))
+        docs.append((i, " ".join(w)))
+        if i % 5 < 2 or i % 2:
+            labels.append((i, 1, int(i % 15 == 0)))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.id: r.kept for r in quality.score(table(spark, docs), lab).collect()}
+    toxic, clean = [kept[i] for i in kept if i % 15 == 0], [kept[i] for i in kept if i % 15]
+    assert sum(clean) >= 0.9 * len(clean)
+    if size > 600:  # at 600 labelled target text would hold each word some three times: too little to tell
+        assert sum(toxic) <= 0.1 * len(toxic)
+
+
+def test_quality_recall_in_a_small_table(spark):
+    docs, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.id: r.kept for r in quality.score(docs, lab).collect()}
+    toxic = [r.doc_id for r in docs.collect() if sum(w in ABUSE for w in re.findall(r"\w+", (r.text or "").lower())) > 1]
+    good = [r.doc_id for r in lab.where("quality = 1 and toxic = 0").collect()]
+    assert sum(kept[k] for k in toxic) <= 0.1 * len(toxic) and sum(kept[k] for k in good) >= 0.85 * len(good)
+
+
+def test_quality_keeps_all_when_nothing_differs():
+    weight, good = np.zeros(6), np.array([True, False] * 3)
+    assert (weight > quality.best_cut(weight, good)).all()
+
+
+def test_quality_grams_stay_within_texts():
+    one = lambda t: [(d, b) for _, _, d, b in quality.features(t)][0]
+    texts = [b"abcdef gh", b"xyz", b"", b"a a", b"a b abcdef"]
+    doc, bucket = one(texts)
+    for i, t in enumerate(texts):
+        assert sorted(bucket[doc == i]) == sorted(one([t])[1])
+
+
 def test_kth_largest(spark, rng):
     values = [rng.choice([0.0, 1.0, -1e300, 1e-300, rng.gauss(0, 1), rng.gauss(1e9, 1e-3)]) for _ in range(400)]
     df = spark.createDataFrame([(v,) for v in values], "key double")
