@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microflow.llm.common import as_bytes, mix64, partitions, table
+from microflow.llm.common import as_bytes, mix64, partitions, table, written
 
 #: Benchmarks up to this many characters are one broadcast; larger ones are searched for in that many passes.
 BROADCAST_CHARS = 64_000_000
@@ -90,13 +90,17 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id",
     """id, n_words, hit_runs (word numbers: start, end ...), items (ids as strings, sorted), and the text if asked for.
 
     Null text has no words; an item of no words has no window; a null item id counts as the item "". An empty benchmark hits
-    nothing. A benchmark beyond BROADCAST_CHARS is cut by item into parts, each broadcast to a pass of its own.
+    nothing. A benchmark beyond BROADCAST_CHARS is cut by item into parts, each broadcast to a pass of its own over a
+    table in which each row has a key; every row stays its own, whatever its id.
     """
     spark = docs.sparkSession
     chars = items.agg(F.sum(F.length(item_text))).first()[0] or 0
     parts = max(1, -(-chars // BROADCAST_CHARS))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = "id " + base.schema["id"].dataType.simpleString() + ", n_words long, hit_runs array<int>, items array<string>" + (", text string" if keep_text else "")
+    if parts > 1:
+        base = written(base.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
+    in_scan = keep_text and parts == 1
+    schema = "id " + base.schema["id"].dataType.simpleString() + ", n_words long, hit_runs array<int>, items array<string>" + (", text string" if in_scan else "") + (", row long" if parts > 1 else "")
     item = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")).where("text is not null")
 
     def one(part: int) -> DataFrame:
@@ -111,18 +115,19 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id",
                     out = [(len(w), _runs(mask), found) for w, mask, found in windows.search(as_bytes(piece.column(1)))]
                     cols = [piece.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.list_(pa.string()))]
                     names = ["id", "n_words", "hit_runs", "items"]
-                    yield pa.RecordBatch.from_arrays(cols + [piece.column(1)] * keep_text, names + ["text"] * keep_text)
+                    yield pa.RecordBatch.from_arrays(cols + [piece.column(1)] * in_scan + piece.columns[2:], names + ["text"] * in_scan + piece.schema.names[2:])
 
         return base.mapInArrow(scan, schema)
 
     if parts == 1:
         return one(0)
-    keyed = [one(k).withColumn("key", F.xxhash64("id")) for k in range(parts)]
-    both = keyed[0]
-    for x in keyed[1:]:
-        both = both.unionByName(x)
-    # rows that repeat an id are told apart by nothing but their text's count of words
-    merged = both.groupBy("id", "n_words", *(["text"] if keep_text else [])).agg(F.flatten(F.collect_list("hit_runs")).alias("hit_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    both = one(0)
+    for k in range(1, parts):
+        both = both.unionByName(one(k))
+    merged = both.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit_runs")).alias("hit_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    if keep_text:
+        merged = merged.join(base.select("row", "text"), "row")
+    merged = merged.drop("row")
     return merged.repartition(partitions(spark))
 
 

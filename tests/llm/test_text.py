@@ -100,6 +100,16 @@ def test_decontamination(spark, corpus, rng, monkeypatch, limit):
     assert cut.count() == len(rows) and cut.columns == table(spark, rows).columns
 
 
+@pytest.mark.parametrize("limit", [64_000_000, 20])
+def test_decontamination_keeps_rows_that_share_an_id(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", limit)
+    bench = spark.createDataFrame([(i, f"alpha{i} beta{i}") for i in range(9)], "item_id long, text string")
+    rows = [(k, f"{i} alpha{i} beta{i} " + "word " * 57) for k in (7, None) for i in range(9)] + [(7, "clean " * 60), (None, None), (None, None)]
+    found = decontaminate.judged(decontaminate.hits(table(spark, rows), bench, keep_text=True)).collect()
+    assert len(found) == len(rows) and not any(r.contaminated for r in found)
+    assert sorted((r.id or 0, r.text or "", r.n_hit, r.n_items) for r in found) == sorted((k or 0, t or "", 2 * ("alpha" in (t or "")), int("alpha" in (t or ""))) for k, t in rows)
+
+
 def test_decontamination_cuts(spark):
     bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
     rows = [(1, "x, Alpha - beta; y alpha"), (2, "alpha beta"), (3, None), (4, "é alpha beta alpha beta z")]
