@@ -61,8 +61,12 @@ gapped AS (SELECT *, accepted AND NOT CASE WHEN earlier = 0 THEN first_id <= las
 synced AS (SELECT *, coalesce(bool_or(gap) OVER (PARTITION BY symbol_id, epoch ORDER BY ln), false) AS dirty FROM gapped)"""
 
 
-def query(name: str, columns: str, sql: str):
-    """Registers a plan with its columns ("name:type ...") and its SQL."""
+def query(name: str, columns: str, sql: str, some: str = ""):
+    """Registers a plan with its columns ("name:type ...") and its SQL.
+
+    some: the condition of a query over a part of the events; the plan then takes a condition, and NAME_all is
+    registered beside it, over all of them.
+    """
     spec = [c.split(":") for c in columns.split()]
 
     def wrap(plan):
@@ -76,6 +80,8 @@ def query(name: str, columns: str, sql: str):
             cols = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" if t == "d" else f"CAST({c} AS {_TYPES[t][1]}) AS {c}" for c, t in spec)
             head, _, tail = sql.rpartition(";")
             SQL[name] = (f"WITH {head} " if head else "") + f"SELECT {cols} FROM ({tail}) q"
+        if some:
+            query(f"{name}_all", columns, sql.replace(some, "true"))(lambda spark, sf_dir: plan(spark, sf_dir, "true"))
         return plan
 
     return wrap
@@ -188,11 +194,11 @@ def bbo(spark, sf_dir):
 
 @query("depth_within_5", "symbol_id:l idx:l bid_depth:l ask_depth:l", SQL_BOOK + """,
 tops AS (SELECT *, max(price) OVER (PARTITION BY symbol_id, idx, side) AS hi, min(price) OVER (PARTITION BY symbol_id, idx, side) AS lo FROM live WHERE idx % 10 = 0)
-;SELECT p.symbol_id, p.idx, coalesce(sum(qty) FILTER (side = 0 AND hi - price <= 5), 0) AS bid_depth, coalesce(sum(qty) FILTER (side = 1 AND price - lo <= 5), 0) AS ask_depth FROM (SELECT symbol_id, idx FROM md WHERE idx % 10 = 0) p LEFT JOIN tops t ON p.symbol_id = t.symbol_id AND p.idx = t.idx GROUP BY 1, 2""")
-def depth_within_5(spark, sf_dir):
+;SELECT p.symbol_id, p.idx, coalesce(sum(qty) FILTER (side = 0 AND hi - price <= 5), 0) AS bid_depth, coalesce(sum(qty) FILTER (side = 1 AND price - lo <= 5), 0) AS ask_depth FROM (SELECT symbol_id, idx FROM md WHERE idx % 10 = 0) p LEFT JOIN tops t ON p.symbol_id = t.symbol_id AND p.idx = t.idx GROUP BY 1, 2""", "idx % 10 = 0")
+def depth_within_5(spark, sf_dir, some="idx % 10 = 0"):
     """Quantity within five ticks of the touch at every tenth event."""
     md = market_events(spark, sf_dir)
-    return book.depth_within(md, md.where("idx % 10 = 0"), 5)
+    return book.depth_within(md, md.where(some), 5)
 
 
 @query("imbalance_wmid", "symbol_id:l idx:l imbalance:d weighted_mid:d spread:l", SQL_BOOK + """,
@@ -519,17 +525,17 @@ _QUOTE_INPUTS = """
 inputs AS (SELECT event_id, 10000 + user_id % 50 / 4.0 AS mid, event_id % 21 - 10 AS q, (event_id % 7 + 1) * 1e-3 AS gamma, (user_id % 5 + 1) * 0.05 AS k, CAST(floor(abs(value)) AS BIGINT) % 9 / 2.0 AS sigma FROM events WHERE event_id % 10 = 0)"""
 
 
-def quote_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").where("event_id % 10 = 0")
+def quote_inputs(spark: SparkSession, sf_dir: str, some: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").where(some)
     return e.select("event_id", (10000 + F.col("user_id") % 50 / 4.0).alias("mid"), (F.col("event_id") % 21 - 10).alias("q"), ((F.col("event_id") % 7 + 1) * 1e-3).alias("gamma"), ((F.col("user_id") % 5 + 1) * 0.05).alias("k"), (F.floor(F.abs("value")).cast("long") % 9 / 2.0).alias("sigma"))
 
 
 @query("as_quotes", "event_id:l bid:d ask:d bid_ticks:l ask_ticks:l", _QUOTE_INPUTS + """,
 solved AS (SELECT *, mid - q * gamma * sigma * sigma * 60 AS r, gamma * sigma * sigma * 60 + 2 / gamma * ln(1 + gamma / k) AS s FROM inputs)
-;SELECT event_id, r - s / 2 AS bid, r + s / 2 AS ask, floor(r - s / 2) AS bid_ticks, ceil(r + s / 2) AS ask_ticks FROM solved""")
-def as_quotes(spark, sf_dir):
+;SELECT event_id, r - s / 2 AS bid, r + s / 2 AS ask, floor(r - s / 2) AS bid_ticks, ceil(r + s / 2) AS ask_ticks FROM solved""", "event_id % 10 = 0")
+def as_quotes(spark, sf_dir, some="event_id % 10 = 0"):
     """Quotes around the reservation price, rounded outward."""
-    rows = quote_inputs(spark, sf_dir).withColumn("z", quotes.reservation_quotes(F.col("mid"), F.col("q"), F.col("gamma"), F.col("k"), F.col("sigma"), F.lit(60.0)))
+    rows = quote_inputs(spark, sf_dir, some).withColumn("z", quotes.reservation_quotes(F.col("mid"), F.col("q"), F.col("gamma"), F.col("k"), F.col("sigma"), F.lit(60.0)))
     low, high = quotes.outward(F.col("z.bid"), F.col("z.ask"))
     return rows.select("event_id", "z.bid", "z.ask", low.alias("bid_ticks"), high.alias("ask_ticks"))
 
@@ -537,10 +543,10 @@ def as_quotes(spark, sf_dir):
 @query("glft_quotes", "event_id:l bid:d ask:d bid_delta:d ask_delta:d", _QUOTE_INPUTS + """,
 solved AS (SELECT *, 1 / gamma * ln(1 + gamma / k) AS base, sqrt(sigma * sigma * gamma / (2 * k * 0.8) * exp((1 + k / gamma) * ln(1 + gamma / k))) AS skew FROM inputs),
 deltas AS (SELECT *, greatest(base + (2 * q + 1) / 2.0 * skew, 0) AS bid_delta, greatest(base - (2 * q - 1) / 2.0 * skew, 0) AS ask_delta FROM solved)
-;SELECT event_id, mid - bid_delta AS bid, mid + ask_delta AS ask, bid_delta, ask_delta FROM deltas""")
-def glft_quotes(spark, sf_dir):
+;SELECT event_id, mid - bid_delta AS bid, mid + ask_delta AS ask, bid_delta, ask_delta FROM deltas""", "event_id % 10 = 0")
+def glft_quotes(spark, sf_dir, some="event_id % 10 = 0"):
     """Stationary quote distances, none below zero."""
-    rows = quote_inputs(spark, sf_dir).withColumn("z", quotes.stationary_quotes(F.col("mid"), F.col("q"), F.col("gamma"), F.col("k"), F.lit(0.8), F.col("sigma")))
+    rows = quote_inputs(spark, sf_dir, some).withColumn("z", quotes.stationary_quotes(F.col("mid"), F.col("q"), F.col("gamma"), F.col("k"), F.lit(0.8), F.col("sigma")))
     return rows.select("event_id", "z.bid", "z.ask", "z.bid_delta", "z.ask_delta")
 
 
@@ -617,10 +623,10 @@ def spread_scout(spark, sf_dir):
 @query("missing_hours", "symbol_id:l hour:l", """,
 present AS (SELECT DISTINCT user_id % 4 AS symbol_id, epoch_us(ts) // 3600000000 AS hour FROM events WHERE event_id % 97 = user_id % 4),
 spans AS (SELECT symbol_id, min(hour) AS lo, max(hour) AS hi FROM present GROUP BY 1)
-;SELECT s.symbol_id, h.hour FROM (SELECT symbol_id, unnest(range(lo, hi + 1)) AS hour FROM spans) h JOIN spans s USING (symbol_id) ANTI JOIN present p ON p.symbol_id = h.symbol_id AND p.hour = h.hour""".lstrip(",\n"))
-def missing_hours(spark, sf_dir):
+;SELECT s.symbol_id, h.hour FROM (SELECT symbol_id, unnest(range(lo, hi + 1)) AS hour FROM spans) h JOIN spans s USING (symbol_id) ANTI JOIN present p ON p.symbol_id = h.symbol_id AND p.hour = h.hour""".lstrip(",\n"), "event_id % 97 = user_id % 4")
+def missing_hours(spark, sf_dir, some="event_id % 97 = user_id % 4"):
     """Hours without a recording between an instrument's first and last."""
-    e = read(spark, sf_dir, "events").where("event_id % 97 = user_id % 4")
+    e = read(spark, sf_dir, "events").where(some)
     return report.missing_hours(e.select((F.col("user_id") % 4).alias("symbol_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("hour")))
 
 
