@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _GIVE_BACK = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
@@ -23,38 +25,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where none is set (local tests)."""
+    """The folder all executors see: spark.checkpoint.dir of the session, else the context's checkpoint folder.
+
+    A temporary folder serves only where driver and executors are one process (tests); on a cluster without a shared
+    folder this is an error, as other machines would not see what an executor writes.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:  # a running session doesn't take this setting any more
+    if not found:
+        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = chosen.get() if chosen.isDefined() else None
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="microflow-shared-"))
         found = _own_dir[0]
     return found
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at exit
             return
 
 
-def drop(spark: SparkSession, frame: DataFrame) -> None:
-    """Remove a table that `written` made and nothing needs any more."""
-    path = getattr(frame, "_microflow_path", None)
-    if path:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*frames: DataFrame | None) -> None:
+    """Remove tables that `written` made and nothing reads any more."""
+    for frame in frames:
+        if path := getattr(frame, "_microflow_path", None):
+            _delete(frame.sparkSession, path)
+
+
+def free(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has, for a column of our own beside theirs."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def col(name: str):
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends there and a lost executor costs nothing.
 
-    The shuffle files of the write are given back at its end, as nothing reads them again.
+    The shuffle files of the write are given back at its end, as nothing reads them again. `drop` removes the table
+    before the driver's exit does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/microflow/{name}-{uuid.uuid4().hex}"
@@ -121,6 +148,32 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((prefix[end] - prefix[start]) * up[start] + (end - start).astype(np.uint64) * _MIX2)
 
 
+_LONG_WORD = 256
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand.
+
+    Eight bytes at a time go through a scrambling that depends on all bytes before; words over _LONG_WORD bytes by BLAKE2.
+    """
+    size = end - start
+    out = mix64(size.astype(np.uint64) * _MIX2 + _B)
+    if not len(size):
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,))
+    some, at, left = np.flatnonzero((size > 0) & (size <= _LONG_WORD)), start, size
+    while len(some):
+        piece = eights[at[some]] & _MASKS[np.minimum(left[some], 8)]
+        out[some] = mix64((out[some] ^ piece) * _B)
+        at, left = at + 8, left - 8
+        some = some[left[some] > 0]
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -146,7 +199,7 @@ def word_hashes(texts: list[bytes], chunk: int = 1 << 21):
         lengths = np.fromiter((len(t) + 1 for t in texts[at:to]), np.int64, to - at)
         ends = np.cumsum(lengths)
         doc = np.searchsorted(ends, start, side="right")
-        yield at, to, doc, span_hash(prefix_hash(data), start, end) if len(data) else np.zeros(0, np.uint64), start, end
+        yield at, to, doc, word_hash(data, start, end), start, end
         at = to
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from microflow.llm.common import as_bytes, mix64, table, word_hashes, written
+from microflow.llm.common import as_bytes, col, free, mix64, partitions, table, word_hashes, written
 
 #: Shingles whose rank is sent to all tasks, at most; which ones are sent changes the speed only, not the result.
 RANKED = 2_000_000
@@ -17,6 +17,12 @@ BROADCAST_IDS = 1_000_000
 LONG_LIST = 24
 #: Texts of one least shingle that are compared in blocks instead of pair by pair, and a block's texts.
 FAMILY, BLOCK = 16, 256
+#: A list's texts that one task of the sparse product takes of either side.
+LIST_PART = 512
+#: Longs of a set's parity sketch; sets of WIDE_FROM shingles have another one of WIDE longs.
+SKETCH, WIDE, WIDE_FROM = 8, 128, 1000
+#: Entries of lists that one task of the sparse product takes, about.
+UNIT = 20_000
 _SCALE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,6 +52,15 @@ def set_class(u: np.ndarray) -> int:
         return int(mix64(np.array([u.sum(dtype=np.uint64) * _SCALE + mix64(u ^ _SCALE).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
 
 
+def parities(u: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """A sketch of a power of two of longs: bit i is the parity of the shingles that fall to i.
+
+    Sets differ in as many shingles as their sketches in bits at least, also once several longs are folded into one.
+    """
+    bits = 64 * longs
+    return np.packbits(np.bincount((u >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the component's smallest node) of the graph of edges (a, b), by alternating large and small stars."""
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -67,40 +82,50 @@ class Join:
     """The join of one table of documents with itself."""
 
     def __init__(self, docs: DataFrame, percent: int, words: int, id_col: str, text_col: str):
-        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        self.docs = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
         self.percent, self.words = percent, words
         self.id_type = self.docs.schema["id"].dataType.simpleString()
         self.spark = docs.sparkSession
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
-        """Per document its set's size and name; and the shingles that some part of the input holds several times."""
+        """Per document its set's size and name; and the shingles that some part of the input holds several times.
+
+        self.sets is made beside: (cls, n, sketch, wide) of every set.
+        """
         words = self.words
 
         def scan(batches):
             held, size = [], 0
+            names, long_list = ["id", "n", "key", "shingle", "sketch", "wide"], pa.list_(pa.int64())
 
             def frequent():
                 s, n = np.unique(np.concatenate(held), return_counts=True)
                 s, n = s[n >= 4], n[n >= 4]
-                return pa.RecordBatch.from_arrays([pa.nulls(len(s), id_type), pa.array(n), pa.array(s.view(np.int64)), pa.array(np.ones(len(s), bool))], ["id", "n", "key", "shingle"])
+                return pa.RecordBatch.from_arrays([pa.nulls(len(s), id_type), pa.array(n), pa.array(s.view(np.int64)), pa.array(np.ones(len(s), bool)), pa.nulls(len(s), long_list), pa.nulls(len(s), long_list)], names)
 
             id_type = pa.int64()
             for b in batches:
                 id_type = b.schema.field(0).type
-                n, key = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+                n, key, sketch = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, SKETCH), np.int64)
+                wide = [None] * b.num_rows
                 for i, u in shingle_sets(as_bytes(b.column(1)), words):
-                    n[i], key[i] = len(u), set_class(u)
+                    n[i], key[i], sketch[i] = len(u), set_class(u), parities(u)
+                    if len(u) >= WIDE_FROM:
+                        wide[i] = parities(u, WIDE)
                     held.append(u)
                     size += len(u)
                     if size > 4_000_000:
                         yield frequent()
                         held, size = [], 0
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(key), pa.array(np.zeros(b.num_rows, bool))], ["id", "n", "key", "shingle"])
+                lists = pa.ListArray.from_arrays(np.arange(0, sketch.size + 1, SKETCH, dtype=np.int32), sketch.ravel())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(key), pa.array(np.zeros(b.num_rows, bool)), lists, pa.array(wide, long_list)], names)
             if held:
                 yield frequent()
 
-        rows = written(self.docs.mapInArrow(scan, f"id {self.id_type}, n long, key long, shingle boolean"), "shingle-classes")
-        return rows.where(~F.col("shingle")).select("id", "n", F.col("key").alias("cls")), rows.where("shingle").select("key", "n")
+        rows = written(self.docs.mapInArrow(scan, f"id {self.id_type}, n long, key long, shingle boolean, sketch array<long>, wide array<long>"), "shingle-classes")
+        found = rows.where(~F.col("shingle"))
+        self.sets = written(found.where("n > 0").groupBy(F.col("key").alias("cls")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "shingle-sets")
+        return found.select("id", "n", F.col("key").alias("cls")), rows.where("shingle").select("key", "n")
 
     def postings(self, frequent: DataFrame) -> DataFrame:
         """Incidence of the rows' prefixes: (s, cls, n, pos, m). Frequent shingles come last in every row's order.
@@ -159,7 +184,14 @@ class Join:
         return self.docs.withColumn("k", F.xxhash64("id")).join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, "k").select("cls", "text")
 
     def linked(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are similar enough, by the overlap of their whole sets."""
+        """Those of the pairs (a, b) that are similar enough, by the overlap of their whole sets.
+
+        Sets whose parity sketches differ in more bits than the sets may differ in shingles aren't looked at.
+        """
+        left, right = (self.sets.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("k" + c), F.col("wide").alias("w" + c)) for c in "ab")
+        differ = lambda x, y: (100 + self.percent) * F.expr(f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)") <= (100 - self.percent) * (F.col("na") + F.col("nb"))
+        pairs = pairs.join(left, "a").join(right, "b").where(differ("ka", "kb") & F.coalesce(differ("wa", "wb"), F.lit(True))).select("a", "b")
+        pairs = written(pairs, "close-pairs")
         nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         # texts are a fraction of their sets' size, so they travel and the sets are made where a pair meets
         texts = written(self.texts(nodes, classes), "pair-texts")
@@ -185,7 +217,7 @@ class Join:
         return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
     def blocks(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Of the open lists: (cls, big) of all sets; (unit, part, cls, n, comp), sets in parts; (ua, pa, ub, pb), parts to compare.
+        """Of the open lists: (cls, big, x0, x1) of all sets, with their folded sketches; (unit, part, cls, n, comp), sets in parts; (ua, pa, ub, pb), parts to compare.
 
         Sets with one least shingle are a family, a unit of its own, if there are many of them. The sets outside of
         families that share a list with one are its guests, another unit. Units are cut into parts of BLOCK sets in the
@@ -193,8 +225,10 @@ class Join:
         their parts, those don't meet that belong to one component or whose sizes differ too much.
         """
         sets = rows.groupBy("cls").agg(F.min(F.struct("pos", "s"))["s"].alias("least"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+        half = SKETCH // 2
+        folded = [F.expr(f"aggregate(slice(sketch, {i * half + 1}, {half}), 0L, (s, x) -> s ^ x)").alias(f"x{i}") for i in (0, 1)]
         sizes = sets.groupBy("least").agg(F.count("*").alias("m")).where(F.col("m") >= FAMILY)
-        sets = written(sets.join(sizes, "least", "left").select("cls", "least", "n", "comp", F.col("m").isNotNull().alias("big")), "families")
+        sets = written(sets.join(sizes, "least", "left").select("cls", "least", "n", "comp", F.col("m").isNotNull().alias("big")).join(self.sets.select("cls", *folded), "cls"), "families")
         known = rows.select("s", "cls", "n").join(sets.select("cls", F.when(F.col("big"), F.col("least")).alias("family")), "cls")
         # similar sets meet in a list in which their sizes allow it
         hosts = known.where("family is not null").groupBy("s", F.col("family").alias("ua")).agg(F.min("n").alias("la"), F.max("n").alias("ha"))
@@ -210,7 +244,7 @@ class Join:
         right = parts.select(*[F.col(c).alias(c + "b") for c in ("unit", "part", "lo", "hi", "c0", "c1")])
         both = meet.join(left, meet.ua == left.unita).join(right, meet.ub == right.unitb).where("ua <> ub or parta <= partb")
         one = (F.col("c0a") == F.col("c1a")) & (F.col("c0b") == F.col("c1b")) & (F.col("c0a") == F.col("c0b"))
-        return sets.select("cls", "big"), members, both.where(~one & self.ranges("loa", "hia", "lob", "hib")).select("ua", F.col("parta").alias("pa"), "ub", F.col("partb").alias("pb"))
+        return sets.select("cls", "big", "x0", "x1"), members, both.where(~one & self.ranges("loa", "hia", "lob", "hib")).select("ua", F.col("parta").alias("pa"), "ub", F.col("partb").alias("pb"))
 
     def product(self, members: DataFrame, tasks: DataFrame, classes: DataFrame) -> DataFrame:
         """Links (a, b) between components within pairs of parts, by the product of their incidence matrices."""
@@ -252,6 +286,73 @@ class Join:
         placed = wanted.join(used, ["unit", "part"]).join(texts, "cls").select("task", "side", "cls", "comp", "text")
         return placed.groupBy("task").applyInArrow(multiply, "a long, b long")
 
+    def overlaps(self, rows: DataFrame) -> DataFrame:
+        """(a, b, na, nb, c, pa, pb): the sparse product of open lists; c: prefix shingles in common, the last at pa and pb.
+
+        The incidence matrix is cut into blocks of columns, the lists with one first text, which near copies share; a
+        task multiplies some blocks and adds up a pair's overlap over their lists. Lists of more than LIST_PART texts are
+        cut into parts and their block into a task for each two parts. Pairs of one component, and pairs that their
+        sizes, their places in the order or their folded sketches don't allow, aren't made.
+        """
+        percent = self.percent
+        whole = Window.partitionBy("s")
+        units = max(4 * partitions(self.spark), rows.count() // UNIT)
+        rows = rows.withColumn("block", F.min("cls").over(whole)).withColumn("m", F.count("*").over(whole)).where("m > 1")
+        many = rows.where(F.col("m") > LIST_PART).groupBy("block").agg(F.ceil(F.max("m") / LIST_PART).cast("int").alias("parts"))
+        rows = rows.join(many, "block", "left").withColumn("unit", F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("block"), F.lit(units))).otherwise(F.col("block")))
+        rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("cls"), "parts").cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.select("s", "cls", "n", "pos", "comp", "x0", "x1", "part", "unit", F.least("part", "other").alias("pi"), F.greatest("part", "other").alias("pj"))
+
+        def multiply(t: pa.Table) -> pa.Table:
+            s, cls, n, pos, comp, part, x0, x1 = (t[c].to_numpy() for c in ("s", "cls", "n", "pos", "comp", "part", "x0", "x1"))
+            order = np.lexsort((cls, s))
+            s, n, pos, part, x0, x1, comp = s[order], n[order].astype(np.int64), pos[order].astype(np.int64), part[order], x0[order].view(np.uint64), x1[order].view(np.uint64), comp[order]
+            sets, at = np.unique(cls[order], return_inverse=True)
+            two = bool(t["pi"][0].as_py() != t["pj"][0].as_py())
+            edges = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True])))
+            starts, sizes = edges[:-1], np.diff(edges)
+            found, size = [], 0
+
+            def add():
+                key, c, p, q = (np.concatenate(x) for x in zip(*found))
+                by = np.argsort(key, kind="stable")
+                key = key[by]
+                new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                return [(key[new], np.add.reduceat(c[by], new), np.maximum.reduceat(p[by], new), np.maximum.reduceat(q[by], new))]
+
+            for m in np.unique(sizes[sizes > 1]).tolist():  # all lists of one length at once
+                own, (i0, j0) = starts[sizes == m], np.triu_indices(m, 1)
+                step = max(1, 500_000 // len(i0))
+                for k in range(0, len(own), step):
+                    i, j = (own[k : k + step, None] + i0).ravel(), (own[k : k + step, None] + j0).ravel()
+                    ok = comp[i] != comp[j]
+                    if two:
+                        ok &= part[i] != part[j]
+                    i, j = i[ok], j[ok]
+                    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                    most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+                    differ = np.bitwise_count(x0[i] ^ x0[j]).astype(np.int64) + np.bitwise_count(x1[i] ^ x1[j])
+                    ok = (100 * low >= percent * high) & ((100 + percent) * most >= percent * (low + high)) & ((100 + percent) * differ <= (100 - percent) * (low + high))
+                    i, j = i[ok], j[ok]
+                    if len(i):
+                        found.append((at[i] * len(sets) + at[j], np.ones(len(i), np.int64), pos[i], pos[j]))
+                        size += len(i)
+                    if size > 2_000_000:
+                        found = add()
+                        size = len(found[0][0])
+            names = ["a", "b", "na", "nb", "c", "pa", "pb"]
+            if not found:
+                return pa.table({x: pa.array([], pa.int64()) for x in names})
+            key, c, p, q = add()[0]
+            counts = np.zeros(len(sets), np.int64)
+            counts[at] = n
+            x, y = key // len(sets), key % len(sets)
+            return pa.table(dict(zip(names, (sets[x], sets[y], counts[x], counts[y], c, p, q))))
+
+        made = rows.groupBy("unit", "pi", "pj").applyInArrow(multiply, ", ".join(f"{x} long" for x in ("a", "b", "na", "nb", "c", "pa", "pb")))
+        return made.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+
 
 def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_shingles and component_id, the smallest id that links reach.
@@ -267,8 +368,9 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
        without pairing them all.
     4. What is left of large families, sets with one least shingle, is multiplied block by block: rows of one part of
        a family by those of another that it shares a list with.
-    5. The overlap of every other pair of different components is accumulated over the lists; pairs whose bound
-       (overlap so far plus what the sizes still allow) is too small are dropped, the others compared set by set.
+    5. The overlap of every other pair of different components is accumulated by a sparse product over blocks of
+       lists; pairs whose bound (overlap so far plus what the sizes still allow) is too small are dropped, the others
+       compared set by set.
     """
     join = Join(docs, percent, words, id_col, text_col)
     classes, frequent = join.classes()
@@ -301,12 +403,8 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     rows = written(rows.withColumn("lo", F.min("comp").over(whole)).withColumn("hi", F.max("comp").over(whole)).where("lo <> hi").select("s", "cls", "n", "pos", "comp"), "open-lists")
     sets, members, tasks = join.blocks(rows)
     across = written(join.product(members, tasks, classes), "part-links")
-    # sets outside of large families, pair by pair
-    small = rows.join(sets.where("not big").select("cls"), "cls", "left_semi")
-    left = small.select("s", F.col("comp").alias("ca"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = small.select("s", F.col("comp").alias("cb"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    met = left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & join.sized("na", "nb"))
-    overlap = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    # sets outside of large families
+    overlap = join.overlaps(rows.join(sets.where("not big").select("cls", "x0", "x1"), "cls"))
     bound = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     pairs = written(overlap.where((100 + percent) * bound >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
     found = join.linked(pairs, classes).unionByName(across)
@@ -319,9 +417,13 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of each component only; all columns stay."""
-    keep = jaccard_components(docs, percent, words, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    """docs with the smallest id of each component only; all columns stay, whatever their names.
+
+    Documents without words stay. Rows that repeat an id stay or go together, rows with a null id likewise.
+    """
+    name = free("keep", docs)
+    keep = jaccard_components(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), percent, words, "id", "text").where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(name)).distinct()
+    return docs.join(keep, docs[id_col].eqNullSafe(keep[name]), "left_semi")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
