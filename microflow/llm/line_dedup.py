@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microflow.llm.common import table, written
+from microflow.llm.common import col, drop, free, table, written
 
 #: Lines to fetch by broadcast at most; more are fetched by a shuffled join.
 BROADCAST_LINES = 2_000_000
 _PLACES = "10000000000"
-#: Eight letters that are counted to tell lines apart; which ones changes the speed only, not the result.
-LETTERS = "eaionrst"
+#: Letters that are counted to tell lines apart; which ones changes the speed only, not the result.
+LETTERS = "eaionrstlhdcumfp"
 
 
 def _start(i: int, length: str, parts: int) -> str:
@@ -89,17 +89,17 @@ def sketch(line: str) -> str:
     """A long whose bits tell most lines apart that aren't within a few edits: words above, letters below.
 
     Words: 32 parities of hashed words; an edit changes three words at most, two gone and one new or the other way
-    round. Letters: 4 bits a letter of LETTERS, its count modulo 8, so coded that counts one apart differ in one bit; an
-    edit changes two counts by one.
+    round. Letters: 2 bits a letter of LETTERS, its count modulo 4 in Gray code, so that counts one apart differ in one
+    bit; an edit changes two counts by one.
     """
     words = f"aggregate(split({line}, ' '), 0L, (s, w) -> s ^ shiftleft(1L, cast(pmod(xxhash64(w), 32) as int) + 32))"
-    counts = (f"(length({line}) - length(replace({line}, '{letter}', ''))) & 7" for letter in LETTERS)
-    return " | ".join([words, *(f"cast(shiftright({0b11110000}, {n}) & 15 as bigint) << {4 * i}" for i, n in enumerate(counts))])
+    counts = (f"(length({line}) - length(replace({line}, '{letter}', ''))) & 3" for letter in LETTERS)
+    return " | ".join([words, *(f"cast(shiftright({0b10110100}, 2 * ({n})) & 3 as bigint) << {2 * i}" for i, n in enumerate(counts))])
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, no, line) of every line; equal rows give equal lines."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     return base.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
 
@@ -108,12 +108,15 @@ def _place(id_: str = "id", no: str = "no"):
 
 
 def near_pairs(lines: DataFrame, errors: int, min_chars: int) -> DataFrame:
-    """(a, b): all pairs of different lines within the edit distance; lines: lid, line, sketch, of distinct texts."""
+    """(a, b): all pairs of different lines within the edit distance, as structs of their names.
+
+    lines: lid, lid2, line, sketch, of distinct texts. Lines meet by lid, whatever shares it; the texts decide.
+    """
     long = lines.select("lid", "line", F.length("line").alias("n"), "sketch").where(F.col("n") >= min_chars)
     # both sides from one pass: side 0 is the index
     index = long.select("lid", "n", "sketch", F.expr(f"explode(array({segments(errors)}))").alias("key"))
     # shorter partners may be under min_chars, where nothing is indexed
-    probe = long.select("lid", "n", "sketch", F.expr(f"explode(array_distinct(array({probes(errors)})))").alias("key"))
+    probe = long.select("lid", "n", "sketch", F.expr(f"explode(array({probes(errors)}))").alias("key"))
     a, b = index.select("key", F.col("lid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), probe.select("key", F.col("lid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     # of two lines of one length only one order counts
     met = a.join(b, (a.key == b.key) & (F.col("nb") - F.col("na")).between(0, errors) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b"))) & F.expr(f"bit_count(shiftrightunsigned(sa ^ sb, 32)) <= {3 * errors} and bit_count((sa ^ sb) & 4294967295) <= {2 * errors}"))
@@ -121,9 +124,11 @@ def near_pairs(lines: DataFrame, errors: int, min_chars: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
     wanted = written(wanted, "line-wanted")
     n = wanted.count()
-    texts = written(lines.select("lid", "line").join(F.broadcast(wanted) if n <= BROADCAST_LINES else wanted, "lid", "left_semi"), "line-texts")
-    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    return similar(both.select("a", "b", "x", "y"), errors)
+    texts = written(lines.select("lid", F.struct("lid", "lid2").alias("name"), "line").join(F.broadcast(wanted) if n <= BROADCAST_LINES else wanted, "lid", "left_semi"), "line-texts")
+    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("name").alias("one"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("name").alias("two"), F.col("line").alias("y")), "b")
+    out = written(similar(both.select(F.col("one").alias("a"), F.col("two").alias("b"), "x", "y"), errors), "line-pairs")
+    drop(pairs, wanted, texts)
+    return out
 
 
 def dropped_lines(docs: DataFrame, errors: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,26 +138,28 @@ def dropped_lines(docs: DataFrame, errors: int = 2, min_chars: int = 20, id_col:
     earlier in its own; lines are judged on the input. Lines under min_chars code points have only exact copies; blank
     lines (no character but ASCII white space) are never dropped. A null text is one empty line. Null ids come last.
     Rows that repeat an id and text are one document; rows that repeat an id alone interleave by line number. Other
-    columns are ignored; an empty table gives an empty result. Equal lines are found by 64-bit hashes.
+    columns are ignored; an empty table gives an empty result. Equal lines are found by two independent 64-bit hashes.
 
     Each line of n characters is cut into errors + 1 segments, one of which a partner within `errors` edits has
     unchanged and hardly moved. Segments are indexed by number, line length and text; every line probes the lengths up
     to its own. Meeting lines whose words' sketch and letters' counts allow it are verified by a bit-parallel band.
     """
     lines = _lines(docs, id_col, text_col)
-    filled = lines.where(F.length(F.regexp_replace("line", r"[\x20\x09-\x0D]+", "")) > 0)
-    distinct = filled.groupBy("line").agg(F.count("*").alias("times"), F.min(_place()).alias("first")).select(F.xxhash64("line").alias("lid"), "line", "times", "first", F.expr(sketch("line")).alias("sketch"))
+    filled = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    name, other = F.xxhash64("line").alias("lid"), F.xxhash64(F.lit(2), "line").alias("lid2")
+    distinct = filled.groupBy("line").agg(F.count("*").alias("times"), F.min(_place()).alias("first")).select(name, other, "line", "times", "first", F.expr(sketch("line")).alias("sketch"))
     distinct = written(distinct, "lines")
-    pairs = written(near_pairs(distinct, errors, min_chars), "line-pairs")
-    firsts = distinct.select("lid", "first")
+    pairs = near_pairs(distinct, errors, min_chars)
+    firsts = distinct.select("lid", "lid2", "first")
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(firsts.withColumnRenamed("lid", "b"), "b").groupBy(F.col("a").alias("lid")).agg(F.min("first").alias("near"))
+    both = both.select(F.col("a.lid").alias("a"), F.col("a.lid2").alias("a2"), F.col("b.lid").alias("lid"), F.col("b.lid2").alias("lid2"))
+    near = both.join(firsts, ["lid", "lid2"]).groupBy(F.col("a").alias("lid"), F.col("a2").alias("lid2")).agg(F.min("first").alias("near"))
     # lines that occur once and have no partner are never dropped
-    known = distinct.select("lid", "times", "first").join(near, "lid", "left").where("times > 1 or near is not null").select("lid", "first", "near")
-    places = filled.select("id", "th", "no", F.xxhash64("line").alias("lid")).distinct()
-    gone = places.join(known, "lid").withColumn("place", _place()).where("place > first or place > near")
+    known = distinct.select("lid", "lid2", "times", "first").join(near, ["lid", "lid2"], "left").where("times > 1 or near is not null").select("lid", "lid2", "first", "near")
+    places = filled.select("id", "th", "no", name, other).distinct()
+    gone = places.join(known, ["lid", "lid2"]).withColumn("place", _place()).where("place > first or place > near")
     gone = gone.groupBy("id", "th").agg(F.count(F.when(F.col("place") > F.col("first"), 1)).alias("n_exact"), F.count("*").alias("n"), F.array_sort(F.collect_list("no")).alias("dropped"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("th"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    rows = docs.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("th"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
     r, g = rows.alias("r"), gone.alias("g")
     out = r.join(g, F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.th") == F.col("g.th")), "left")
     exact = F.coalesce("n_exact", F.lit(0))
@@ -160,12 +167,17 @@ def dropped_lines(docs: DataFrame, errors: int = 2, min_chars: int = 20, id_col:
 
 
 def dedup_lines(docs: DataFrame, errors: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the dropped lines taken out of their texts; all columns and rows stay."""
-    found = dropped_lines(docs, errors, min_chars, id_col, text_col).where("size(dropped) > 0").select(F.col(id_col).alias("_id"), F.col("th").alias("_th"), F.col("dropped").alias("_dropped")).dropDuplicates(["_id", "_th"])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_dropped", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_dropped").isNotNull(), kept).otherwise(F.col(text_col))).select(*docs.columns)
+    """docs with the dropped lines taken out of their texts; all columns and rows stay, whatever the columns' names.
+
+    A text without dropped lines stays as it is, null included; one that loses all its lines becomes empty.
+    """
+    i, t, d = (free(x, docs) for x in ("found_id", "found_text", "found_lines"))
+    named = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+    found = dropped_lines(named, errors, min_chars, "id", "text").where("size(dropped) > 0").select(F.col("id").alias(i), F.col("th").alias(t), F.col("dropped").alias(d)).dropDuplicates([i, t])
+    text = F.coalesce(col(text_col), F.lit(""))
+    joined = docs.join(found, col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(t)), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains(d, k)), "\n")
+    return joined.withColumn(text_col, F.when(F.col(d).isNotNull(), kept).otherwise(col(text_col))).select(*[col(c) for c in docs.columns])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
