@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microflow.llm.common import _LOWER, as_bytes, prefix_hash, span_hash, table, written
+from microflow.llm.common import _LOWER, as_bytes, col, drop, partitions, table, word_hash, written
 
 #: Bytes of context of the deepest tree node.
 DEPTH = 5
 #: Bytes of text whose n-grams are looked up together.
 BUCKET_BYTES = 40_000_000
+#: Grams that a task solves together, about; and depth-2 nodes that are broadcast at most (deeper roots then go together).
+PART_GRAMS, TOP_NODES = 200_000, 2_000_000
 _WORD_END = 0x0A  # ends the last word of a document; stands before its first
 _HALF_LOG_PI = 0.5723649429247001
 
@@ -97,9 +99,11 @@ def levels(gram: np.ndarray, n: np.ndarray, deepest: int, lowest: int) -> dict[i
     return out
 
 
-def parents(key, zeros, ones, weighted, depth: int) -> Level:
+def parents(key, zeros, ones, weighted, depth: int, whole: bool = True):
+    """The nodes of `depth` above those of the next depth; not whole: the sums alone, as other parts add to them."""
     up = (((key >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8)) | (key & np.uint64(255))
-    return Level(*_sum_by(up, zeros, ones, weighted))
+    sums = _sum_by(up, zeros, ones, weighted)
+    return Level(*sums) if whole else sums
 
 
 def log10_symbols(gram: np.ndarray, tree: dict[int, Level]) -> np.ndarray:
@@ -138,7 +142,7 @@ def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     last = data == _WORD_END
     stop = np.flatnonzero((data == 0x20) | last)
     start = np.concatenate(([0], stop[:-1] + 1))
-    key = span_hash(prefix_hash(data), start, stop)
+    key = word_hash(data, start, stop)
     key[stop == start] = 0  # the end of a document without words
     ends = last[stop]
     # words, and after each document's last word its end
@@ -209,15 +213,16 @@ def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES,
     weighted half and half, which gives the mixture over all depths that scores the text. Nothing is learned while scoring.
 
     No task sees all statistics: texts are numbered into buckets of bucket_bytes; a bucket asks for its own distinct
-    grams and tokens, counts are added up by key, trees are solved by the last two context bytes, and each bucket gets
-    the answers to its own questions. Only depths 0 and 1, 65,535 nodes at most, are broadcast.
+    grams and tokens, counts are added up by key, trees are solved in parts that share the last three context bytes,
+    and each bucket gets the answers to its own questions. Only the depths above are broadcast, if they have TOP_NODES
+    nodes at most; else roots are two bytes and what is broadcast has 65,535 nodes at most.
 
     Null and empty texts are the end alone. A null id is never held out. Rows repeating an id are rows of their own.
     If no training document exists every probability is that of an empty tree, and base_score is null without tokens.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
 
     def number(batches):
         from pyspark import TaskContext
@@ -244,17 +249,20 @@ def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES,
     train, distinct = train or 0, distinct or 0
     shared = tokens.select("bucket", "key").join(totals.where("asks > 1"), "key").select("bucket", F.lit(TOKEN).cast("byte").alias("kind"), "key", F.col("total").cast("double").alias("value"))
 
-    grams = written(asked.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")).withColumn("root", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))), "lm-grams")
-    top = _top(grams, depth)
+    grams = written(asked.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")), "lm-grams")
+    parts = max(4 * partitions(spark), grams.count() // PART_GRAMS)
+    top, lowest = _top(grams, depth, parts)
     sent = spark.sparkContext.broadcast(top)
 
     def solve(t: pa.Table) -> pa.Table:
         gram, n = t["key"].to_numpy().view(np.uint64), t["n"].to_numpy()
-        tree = levels(gram, n, depth, 2) | {d: x for d, x in sent.value.items() if d < 2}
+        tree = levels(gram, n, depth, lowest) | {d: x for d, x in sent.value.items() if d < lowest}
         return pa.table({"key": t["key"], "value": log10_symbols(gram, tree)})
 
-    solved = grams.groupBy("root").applyInArrow(solve, "key long, value double")
+    solved = _by_root(grams, lowest, parts).applyInArrow(solve, "key long, value double")
     answers = asked.where(F.col("kind") == GRAM).select("bucket", "kind", "key").join(solved, "key").select("bucket", "kind", "key", "value").unionByName(shared)
+    answers = written(answers, "lm-answers")
+    drop(asked, grams)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         own = as_bytes(left["text"])
@@ -291,18 +299,37 @@ def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES,
     return texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(apply, schema)
 
 
-def _top(grams: DataFrame, depth: int) -> dict[int, Level]:
-    """Depths 0 and 1, from the nodes of depth 2 of each part of the tree."""
+def _by_root(grams: DataFrame, root: int, parts: int):
+    """grams in groups that hold whole subtrees: what has the last `root` bytes of its context in common."""
+    last = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * root) - 1))
+    return grams.groupBy(F.pmod(F.xxhash64(last), F.lit(parts)).alias("part"))
 
-    def fold(t: pa.Table) -> pa.Table:
-        two = levels(t["key"].to_numpy().view(np.uint64), t["n"].to_numpy(), depth, 2)[2]
-        return pa.table({"node": two.key.view(np.int64), "zeros": two.zeros, "ones": two.ones, "weighted": two.weighted})
 
-    two = grams.groupBy("root").applyInArrow(fold, "node long, zeros long, ones long, weighted double")
-    one = two.groupBy(F.col("node").bitwiseAND(F.lit(0xFFFF)).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted"))
-    got = one.orderBy("node").toArrow()  # 256 contexts of 255 nodes at most
-    level1 = Level(got["node"].to_numpy().astype(np.uint64), got["zeros"].to_numpy(), got["ones"].to_numpy(), got["weighted"].to_numpy())
-    return {1: level1, 0: parents(level1.key, level1.zeros, level1.ones, level1.weighted, 0)}
+def _top(grams: DataFrame, depth: int, parts: int) -> tuple[dict[int, Level], int]:
+    """The depths above the roots, and the roots' depth: 3, or 2 where depth 2 has too many nodes to be sent around."""
+
+    def fold(root: int):
+        def run(t: pa.Table) -> pa.Table:
+            own = levels(t["key"].to_numpy().view(np.uint64), t["n"].to_numpy(), depth, root)[root]
+            up = parents(own.key, own.zeros, own.ones, own.weighted, root - 1, whole=False)
+            return pa.table(dict(zip(("node", "zeros", "ones", "weighted"), (up[0].view(np.int64), *up[1:]))))
+
+        nodes = _by_root(grams, root, parts).applyInArrow(run, "node long, zeros long, ones long, weighted double")
+        return nodes.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted"))
+
+    def level(nodes: DataFrame) -> Level:
+        got = nodes.orderBy("node").toArrow()
+        return Level(got["node"].to_numpy().astype(np.uint64), got["zeros"].to_numpy(), got["ones"].to_numpy(), got["weighted"].to_numpy())
+
+    out, root = {}, min(2, depth)
+    if depth >= 3:
+        two = written(fold(3), "lm-nodes")
+        if two.count() <= TOP_NODES:
+            out[2], root = level(two), 3
+        drop(two)
+    out[1] = parents(out[2].key, out[2].zeros, out[2].ones, out[2].weighted, 1) if root == 3 else level(fold(2))  # 256 contexts of 255 nodes at most
+    out[0] = parents(out[1].key, out[1].zeros, out[1].ones, out[1].weighted, 0)
+    return out, root
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
