@@ -60,17 +60,21 @@ def _millis(*columns: Column) -> Column:
 def depth_updates(rows: DataFrame) -> DataFrame:
     """Depth payloads with ts_us, first_id, final_id, prev_id, bids and asks; malformed without ids or time."""
     d = rows.where("channel = 'depth' and not malformed").withColumn("_d", F.from_json("payload", DEPTH))
-    out = d.withColumn("ts_us", _millis(F.col("_d.T"), F.col("_d.E"))).withColumns({"first_id": _field("U").cast("long"), "final_id": _field("u").cast("long"), "prev_id": F.col("_d.pu"), "bids": F.col("_d.b"), "asks": F.col("_d.a")}).drop("_d")
+    out = d.withColumn("ts_us", _millis(F.col("_d.T"), F.col("_d.E"))).withColumns({"first_id": _field("U").cast("long"), "final_id": _field("u").cast("long"), "prev_id": F.col("_d.pu"), "bids": F.col("_d.b"), "asks": F.col("_d.a"), "asks_first": F.array_position(F.json_object_keys("payload"), "a").between(F.lit(1), F.array_position(F.json_object_keys("payload"), "b") - 1)}).drop("_d")
     return out.withColumn("malformed", F.col("ts_us").isNull() | F.col("first_id").isNull() | F.col("final_id").isNull())
 
 
 def level_events(updates: DataFrame, tick: float, lot: float) -> DataFrame:
-    """One row per level of depth updates: side, price, qty and pos, bids first; numbers that don't parse give null."""
+    """One row per level of depth updates: side, price, qty and pos, the sides in the order of the payload's keys.
+
+    Numbers that don't parse give null.
+    """
     price, qty = _price_qty(tick, lot)
     pair = lambda side: lambda x: F.struct(F.lit(side).alias("side"), F.get(x, 0).alias("p"), F.get(x, 1).alias("q"))
     empty = F.array().cast("array<array<string>>")
-    both = F.concat(F.transform(F.coalesce("bids", empty), pair(0)), F.transform(F.coalesce("asks", empty), pair(1)))
-    rows = updates.select("*", F.posexplode(both).alias("pos", "_x")).drop("bids", "asks")
+    bids, asks = F.transform(F.coalesce("bids", empty), pair(0)), F.transform(F.coalesce("asks", empty), pair(1))
+    both = F.when(F.col("asks_first"), F.concat(asks, bids)).otherwise(F.concat(bids, asks))
+    rows = updates.select("*", F.posexplode(both).alias("pos", "_x")).drop("bids", "asks", "asks_first")
     return rows.withColumns({"side": F.col("_x.side"), "price": price(F.col("_x.p")), "qty": qty(F.col("_x.q"))}).drop("_x")
 
 

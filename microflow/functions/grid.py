@@ -47,6 +47,24 @@ def fee(amount: Column, tenths_bp: Column) -> Column:
     return F.when(n >= 0, whole).otherwise(-whole)
 
 
+def to_price(ticks: Column, tick: float) -> Column:
+    return ticks.cast("double") * F.lit(tick)
+
+
+def to_qty(lots: Column, lot: float) -> Column:
+    return lots.cast("double") * F.lit(lot)
+
+
+def to_cash(units: Column) -> Column:
+    """Money units of 1e-8 as a number."""
+    return units.cast("double") / 1e8
+
+
+def x2_to_cash(units_x2: Column) -> Column:
+    """Doubled money units of 1e-8 as a number."""
+    return units_x2.cast("double") / 2e8
+
+
 def fee_to_tenths(bp: float) -> int:
     """Basis points in tenths; raises for a finer fee."""
     out = round(bp * 10)
@@ -55,10 +73,6 @@ def fee_to_tenths(bp: float) -> int:
     return out
 
 
-def basis_points(value: Column, amount: Column) -> Column:
-    return F.coalesce(F.try_divide(10000.0 * value, amount), F.lit(0.0))
-
-
 def opposite(side: Column) -> Column:
     return 1 - side
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def usable(gamma: Column, k: Column, sigma: Column) -> Column:
+def usable(gamma: Column, k: Column, sigma: Column, fair: Column | None = None) -> Column:
     """Whether the closed forms are defined for these inputs."""
     finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return F.coalesce((gamma > 0) & (k > 0) & (sigma >= 0) & finite(gamma) & finite(k) & finite(sigma), F.lit(False))
+    return F.coalesce((gamma > 0) & (k > 0) & (sigma >= 0) & finite(gamma) & finite(k) & finite(sigma) & (finite(fair) if fair is not None else F.lit(True)), F.lit(False))
 
 
 def markup(gamma: Column, k: Column) -> Column:
@@ -25,12 +25,13 @@ def reservation_quotes(mid: Column, inventory: Column, gamma: Column, k: Column,
     risk = inventory_premium(gamma, sigma, horizon)
     centre = mid - inventory * risk
     spread = risk + 2.0 * markup(gamma, k)
-    return F.when(usable(gamma, k, sigma), F.struct((centre - spread / 2).alias("bid"), (centre + spread / 2).alias("ask"), centre.alias("reservation"), spread.alias("spread")))
+    return F.when(usable(gamma, k, sigma, mid), F.struct((centre - spread / 2).alias("bid"), (centre + spread / 2).alias("ask"), centre.alias("reservation"), spread.alias("spread")))
 
 
 def skew_coefficient(gamma: Column, k: Column, a: Column, sigma: Column) -> Column:
-    power = F.exp((1.0 + k / gamma) * F.log1p(gamma / k))
-    return F.sqrt(sigma * sigma * gamma / (2.0 * k * a) * power)
+    """0 for unusable inputs and where it would overflow."""
+    inner = sigma * sigma * gamma / (2.0 * k * a) * F.exp((1.0 + k / gamma) * F.log1p(gamma / k))
+    return F.when(usable(gamma, k, sigma) & (a > 0) & (inner > 0) & (inner < float("inf")), F.sqrt(inner)).otherwise(F.lit(0.0))
 
 
 def stationary_quotes(mid: Column, inventory: Column, gamma: Column, k: Column, a: Column, sigma: Column) -> Column:
@@ -38,7 +39,7 @@ def stationary_quotes(mid: Column, inventory: Column, gamma: Column, k: Column,
     base, skew = markup(gamma, k), skew_coefficient(gamma, k, a, sigma)
     bid = F.greatest(base + (2.0 * inventory + 1.0) / 2.0 * skew, F.lit(0.0))
     ask = F.greatest(base - (2.0 * inventory - 1.0) / 2.0 * skew, F.lit(0.0))
-    return F.when(usable(gamma, k, sigma) & (a > 0), F.struct((mid - bid).alias("bid"), (mid + ask).alias("ask"), bid.alias("bid_delta"), ask.alias("ask_delta")))
+    return F.when(usable(gamma, k, sigma, mid) & (a > 0), F.struct((mid - bid).alias("bid"), (mid + ask).alias("ask"), bid.alias("bid_delta"), ask.alias("ask_delta")))
 
 
 def outward(bid: Column, ask: Column) -> tuple[Column, Column]:

@@ -2,60 +2,138 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from microflow.sources.adapters import ASK, BID, DEPTH
+from microflow.operators.windows import carried, day_of
+from microflow.sources.adapters import ASK, BID, DEPTH, END, LEVEL
 
-#: Events of an instrument that are joined with the levels alive among them in one task row range.
-CHUNK = 256
+#: Events of an instrument that one ordered pass covers.
+CHUNK = 4096
+#: Events of an instrument that are joined with the levels alive among them.
+JOINED = 256
 
 
 def levels(md: DataFrame) -> DataFrame:
     """(symbol_id, side, price, qty, from_idx, to_idx): each quantity a level has held, and while which events.
 
-    An update replaces the level's quantity; zero or less deletes it. Prints don't move the book. to_idx is exclusive;
-    what is alive at the end ends one past the instrument's last event. Null prices or sides make no level.
+    An update replaces the level's quantity; zero or less deletes it. Prints don't move the book. A snapshot (rows of
+    type BEGIN, LEVEL and END; md then has `epoch`, the snapshots ended up to a row) is staged: at its end it replaces
+    both sides at once, until then the old book stands; levels in it without a quantity are ignored, one that never ends has no
+    effect. to_idx is exclusive; what is alive at the end ends one past the instrument's last event. Null prices or sides make
+    no level.
     """
     last = md.groupBy("symbol_id").agg((F.max("idx") + 1).alias("end_idx"))
-    own = Window.partitionBy("symbol_id", "side", "price").orderBy("idx")
-    updates = md.where((F.col("type") == DEPTH) & F.col("price").isNotNull() & F.col("side").isNotNull())
-    spans = updates.select("symbol_id", "side", "price", "qty", F.col("idx").alias("from_idx"), F.lead("idx").over(own).alias("next_idx")).where("qty > 0")
-    return spans.join(last, "symbol_id").select("symbol_id", "side", "price", "qty", "from_idx", F.coalesce("next_idx", "end_idx").alias("to_idx"))
-
-
-def live(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each point (symbol_id, idx) with every level alive after that event.
-
-    Both sides are cut into chunks of CHUNK events, so the range join is an equi-join on (symbol_id, chunk) whose
-    partitions hold a few chunks whatever the length of an instrument's day.
+    named = md.where(F.col("price").isNotNull() & F.col("side").isNotNull())
+    if "epoch" in md.columns:
+        ends = md.where(F.col("type") == END).select("symbol_id", "epoch", F.col("idx").alias("ended"))
+        staged = F.col("type") == LEVEL
+        rows = named.where((F.col("type") == DEPTH) | staged & (F.col("qty") > 0)).withColumn("epoch", F.col("epoch") + staged.cast("int"))
+        rows = rows.join(ends, ["symbol_id", "epoch"], "left").where(~staged | F.col("ended").isNotNull()).withColumn("from_idx", F.when(staged, F.col("ended")).otherwise(F.col("idx")))
+        rows = rows.drop("ended").join(ends.select("symbol_id", (F.col("epoch") - 1).alias("epoch"), "ended"), ["symbol_id", "epoch"], "left")
+    else:
+        rows = named.where(F.col("type") == DEPTH).withColumns({"epoch": F.lit(0), "from_idx": F.col("idx"), "ended": F.lit(None).cast("long")})
+    own = Window.partitionBy("symbol_id", "side", "price", "epoch").orderBy("from_idx", "idx")
+    spans = rows.withColumn("next_idx", F.lead("from_idx").over(own)).where("qty > 0").join(last, "symbol_id")
+    spans = spans.select("symbol_id", "side", "price", "qty", "from_idx", F.least("next_idx", "ended", "end_idx").alias("to_idx"))
+    return spans.where("from_idx < to_idx")
+
+
+class _Side:
+    """Quantities by price, and the best price by a heap whose dead entries are skipped."""
+
+    def __init__(self, sign: int):
+        self.sign, self.qty, self.heap = sign, {}, []
+
+    def put(self, price: int, qty: int) -> None:
+        if qty > 0:
+            if price not in self.qty:
+                heappush(self.heap, self.sign * price)
+            self.qty[price] = qty
+        else:
+            self.qty.pop(price, None)
+
+    def best(self):
+        while self.heap:
+            price = self.sign * self.heap[0]
+            if price in self.qty:
+                return price
+            heappop(self.heap)
+        return None
+
+
+_FOUND = ("best_bid", "best_ask", "bid_qty", "ask_qty", "bid_depth", "ask_depth")
+
+
+def book_at(md: DataFrame, points: DataFrame | None = None, ticks: int = 0) -> DataFrame:
+    """(symbol_id, idx, ts_us, best_bid, best_ask, bid_qty, ask_qty, bid_depth, ask_depth) after each point (symbol_id, idx, ts_us).
+
+    Depths: lots within `ticks` of the best price of a side, inclusive; 0 for an empty side or ticks below 0.
+
+    An instrument's events are cut into chunks. A chunk gets the levels that are alive at its start and the changes within
+    it, and passes over them in order: the work is one step a change and point, and chunks are tasks of their own.
     """
-    cut = spans.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("from_idx") / CHUNK), F.floor((F.col("to_idx") - 1) / CHUNK))))
-    at = points.select("symbol_id", "idx", F.floor(F.col("idx") / CHUNK).alias("chunk"))
-    return at.join(cut, ["symbol_id", "chunk"]).where("from_idx <= idx and idx < to_idx").select("symbol_id", "idx", "side", "price", "qty")
+    points = md if points is None else points
+    spans = levels(md)
+    at = lambda idx, order, side="side", price="price", qty="qty": (F.col(idx).alias("idx"), F.lit(order).alias("order"), F.col(side).cast("int").alias("side"), F.col(price).cast("long").alias("price"), F.col(qty).cast("long").alias("qty"))
+    chunk = lambda idx: F.floor(F.col(idx) / CHUNK).alias("chunk")
+    opened = spans.select("symbol_id", chunk("from_idx"), *at("from_idx", 2))
+    closed = spans.withColumn("none", F.lit(0)).select("symbol_id", chunk("to_idx"), *at("to_idx", 1, qty="none"))
+    over = spans.where(F.floor(F.col("from_idx") / CHUNK) < F.floor((F.col("to_idx") - 1) / CHUNK)).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("from_idx") / CHUNK) + 1, F.floor((F.col("to_idx") - 1) / CHUNK))))
+    over = over.withColumn("start", F.col("chunk") * CHUNK).select("symbol_id", "chunk", *at("start", 0))
+    asked = points.withColumn("none", F.lit(0)).select("symbol_id", chunk("idx"), *at("idx", 3, "none", "none", "ts_us"))
+    rows = opened.unionByName(closed).unionByName(over).unionByName(asked)
+
+    def walk(t: pa.Table) -> pa.Table:
+        order, idx = t["order"].to_numpy(), t["idx"].to_numpy()
+        by = np.lexsort((order, idx))
+        sides, out = (_Side(-1), _Side(1)), []
+        for i, k, side, price, qty in zip(idx[by].tolist(), order[by].tolist(), t["side"].to_numpy()[by].tolist(), t["price"].to_numpy()[by].tolist(), t["qty"].to_numpy()[by].tolist()):
+            if k < 3:
+                sides[side].put(price, qty)
+                continue
+            b, a = sides[0].best(), sides[1].best()
+            bids, asks = sides[0].qty, sides[1].qty
+            deep = range(ticks + 1)
+            out.append((i, qty, b, a, bids.get(b), asks.get(a), 0 if b is None else sum(bids.get(b - j, 0) for j in deep), 0 if a is None else sum(asks.get(a + j, 0) for j in deep)))
+        cols = list(zip(*out)) or [()] * 8
+        return pa.table({"symbol_id": pa.array([t["symbol_id"][0].as_py()] * len(out), pa.int64())} | {n: pa.array(c, pa.int64()) for n, c in zip(("idx", "ts_us", *_FOUND), cols)})
+
+    schema = ", ".join(f"{c} long" for c in ("symbol_id", "idx", "ts_us", *_FOUND))
+    return rows.groupBy("symbol_id", "chunk").applyInArrow(walk, schema)
 
 
 def bbo(md: DataFrame, points: DataFrame | None = None) -> DataFrame:
     """(symbol_id, idx, ts_us, best_bid, best_ask, bid_qty, ask_qty, mid_x2) after each event; null where a side is empty."""
-    points = md if points is None else points
-    on = live(points, levels(md))
-    bid, ask = F.col("side") == BID, F.col("side") == ASK
-    best = on.groupBy("symbol_id", "idx").agg(
-        F.max(F.when(bid, F.struct("price", "qty"))).alias("b"),
-        F.min(F.when(ask, F.struct("price", "qty"))).alias("a"),
-    )
-    out = points.select("symbol_id", "idx", "ts_us").join(best, ["symbol_id", "idx"], "left")
-    return out.select("symbol_id", "idx", "ts_us", F.col("b.price").alias("best_bid"), F.col("a.price").alias("best_ask"), F.col("b.qty").alias("bid_qty"), F.col("a.qty").alias("ask_qty"), (F.col("b.price") + F.col("a.price")).alias("mid_x2"))
+    return book_at(md, points).drop("bid_depth", "ask_depth").withColumn("mid_x2", F.col("best_bid") + F.col("best_ask"))
 
 
 def depth_within(md: DataFrame, points: DataFrame, ticks: int) -> DataFrame:
     """(symbol_id, idx, bid_depth, ask_depth): lots within `ticks` of the best price of each side, inclusive; 0 for an empty side."""
-    on = live(points, levels(md))
-    best = Window.partitionBy("symbol_id", "idx", "side")
-    near = on.withColumn("off", F.when(F.col("side") == BID, F.max("price").over(best) - F.col("price")).otherwise(F.col("price") - F.min("price").over(best)))
-    sums = near.where(F.col("off") <= ticks).groupBy("symbol_id", "idx").agg(F.sum(F.when(F.col("side") == BID, F.col("qty"))).alias("b"), F.sum(F.when(F.col("side") == ASK, F.col("qty"))).alias("a"))
-    out = points.select("symbol_id", "idx").join(sums, ["symbol_id", "idx"], "left")
-    return out.select("symbol_id", "idx", F.coalesce("b", F.lit(0)).alias("bid_depth"), F.coalesce("a", F.lit(0)).alias("ask_depth"))
+    return book_at(md, points, ticks).select("symbol_id", "idx", "bid_depth", "ask_depth")
+
+
+def live(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Each point (symbol_id, idx) with every level alive after that event: rows are points times levels.
+
+    Both sides are cut into pieces of JOINED events, so the range join is an equi-join on (symbol_id, piece).
+    """
+    cut = spans.withColumn("piece", F.explode(F.sequence(F.floor(F.col("from_idx") / JOINED), F.floor((F.col("to_idx") - 1) / JOINED))))
+    at = points.select("symbol_id", "idx", F.floor(F.col("idx") / JOINED).alias("piece"))
+    return at.join(cut, ["symbol_id", "piece"]).where("from_idx <= idx and idx < to_idx").select("symbol_id", "idx", "side", "price", "qty")
+
+
+def bbo_by_intervals(md: DataFrame, points: DataFrame) -> DataFrame:
+    """bbo() at the points by a join with the levels alive: the second reconstruction of a dual run, for `compare`."""
+    bid, ask = F.col("side") == BID, F.col("side") == ASK
+    best = live(points, levels(md)).groupBy("symbol_id", "idx").agg(F.max(F.when(bid, F.struct("price", "qty"))).alias("b"), F.min(F.when(ask, F.struct("price", "qty"))).alias("a"))
+    out = points.select("symbol_id", "idx", "ts_us").join(best, ["symbol_id", "idx"], "left")
+    out = out.select("symbol_id", "idx", "ts_us", F.col("b.price").alias("best_bid"), F.col("a.price").alias("best_ask"), F.col("b.qty").alias("bid_qty"), F.col("a.qty").alias("ask_qty"))
+    return out.withColumn("mid_x2", F.col("best_bid") + F.col("best_ask"))
 
 
 def level_counts(md: DataFrame) -> DataFrame:
@@ -63,8 +141,8 @@ def level_counts(md: DataFrame) -> DataFrame:
     spans = levels(md)
     steps = spans.select("symbol_id", "side", F.col("from_idx").alias("idx"), F.lit(1).alias("d")).unionByName(spans.select("symbol_id", "side", F.col("to_idx").alias("idx"), F.lit(-1).alias("d")))
     steps = steps.groupBy("symbol_id", "side", "idx").agg(F.sum("d").alias("d"))
-    run = Window.partitionBy("symbol_id", "side").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("symbol_id", "side", "idx", F.sum("d").over(run).alias("n"))
+    steps = steps.withColumn("chunk", F.floor(F.col("idx") / (16 * CHUNK)))
+    return carried(steps, ["symbol_id", "side"], "chunk", ["idx"], sums={"n": F.col("d")}).select("symbol_id", "side", "idx", "n")
 
 
 def imbalance(bid_qty, ask_qty):
@@ -89,5 +167,6 @@ def compare(one: DataFrame, other: DataFrame) -> DataFrame:
 
 def mid_changes(best: DataFrame) -> DataFrame:
     """The first two-sided event of each instrument and those at which the mid moves."""
-    own = Window.partitionBy("symbol_id").orderBy("idx")
-    return best.where("mid_x2 is not null").withColumn("before", F.lag("mid_x2").over(own)).where("before is null or before <> mid_x2").drop("before")
+    rows = best.where("mid_x2 is not null").withColumn("day", day_of("ts_us"))
+    rows = carried(rows, ["symbol_id"], "day", ["ts_us", "idx"], lags={"before": F.col("mid_x2")})
+    return rows.where("before is null or before <> mid_x2").drop("before", "day")

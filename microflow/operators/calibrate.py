@@ -12,9 +12,11 @@ def hazard_points(md: DataFrame, best: DataFrame, bucket_us: int, deepest: int)
     """(symbol_id, delta, seconds, bid_hits, ask_hits, rate): buckets in which prints reached delta ticks from the mid.
 
     A bucket counts if it has a two-sided mid; the first of these is its reference. The deepest print that sold hits bids
-    up to its distance below the mid, the highest that bought hits asks. Times are exchange times.
+    up to its distance below the mid, the highest that bought hits asks. Times are exchange times. Rows of a `dirty` column,
+    where md or best has one, move the book but count neither as prints nor as mids.
     """
     slot = F.floor(F.col("ts_us") / bucket_us)
+    md, best = (x.where(~F.col("dirty")) if "dirty" in x.columns else x for x in (md, best))
     mids = best.where("mid_x2 is not null").groupBy("symbol_id", slot.alias("slot")).agg(F.min_by("mid_x2", "idx").alias("mid_x2"))
     prints = md.where(F.col("type") == TRADE).groupBy("symbol_id", slot.alias("slot")).agg(F.min(F.when(F.col("side") != BID, F.col("price"))).alias("sold"), F.max(F.when(F.col("side") == BID, F.col("price"))).alias("bought"))
     rows = mids.join(prints, ["symbol_id", "slot"], "left").select("symbol_id", (F.col("mid_x2") / 2.0 - F.col("sold")).alias("down"), (F.col("bought") - F.col("mid_x2") / 2.0).alias("up"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from microflow.functions.grid import fee, notional, sign, utc_date
+from microflow.operators.windows import carried, day_of
 
 
 def running(fills: DataFrame, marks: DataFrame, cash: int, maker_tenths: int = 20, taker_tenths: int = 50, keys: tuple[str, ...] = ("symbol_id",)) -> DataFrame:
@@ -18,18 +19,17 @@ def running(fills: DataFrame, marks: DataFrame, cash: int, maker_tenths: int = 2
     f = fills.select(*keys, "ts_us", "seq", F.lit(1).alias("is_fill"), "side", "price", "qty", "mid_x2", "maker")
     m = marks.select(*keys, "ts_us", "seq", F.lit(0).alias("is_fill"), "mid_x2")
     line = m.unionByName(f, allowMissingColumns=True)
-    own = Window.partitionBy(*keys).orderBy("ts_us", "seq", "is_fill")
-    to_here = own.rowsBetween(Window.unboundedPreceding, 0)
+    order = ["ts_us", "seq", "is_fill"]
     bought = F.coalesce(sign(F.col("side")) * F.col("qty"), F.lit(0)).cast("long")
     amount = F.coalesce(notional(F.col("price"), F.col("qty"), cash), F.lit(0))
     rate = F.when(F.coalesce("maker", F.lit(True)), maker_tenths).otherwise(taker_tenths).cast("long")
     rows = line.withColumn("bought", bought).withColumn("amount", amount).withColumn("fee", F.when(F.col("is_fill") == 1, fee(F.col("amount"), rate)).otherwise(F.lit(0).cast("long")))
     rows = rows.withColumn("spread", F.when(F.col("is_fill") == 1, sign(F.col("side")) * (F.col("mid_x2") - 2 * F.col("price")) * F.col("qty") * cash).otherwise(F.lit(0).cast("long")))
-    rows = rows.withColumn("inventory", F.sum("bought").over(to_here))
+    rows = carried(rows.withColumn("day", day_of("ts_us")), list(keys), "day", order, sums={"inventory": F.col("bought")}, lags={"mid_before": F.col("mid_x2")})
     held = F.col("inventory") - F.col("bought")
-    rows = rows.withColumn("moved", F.coalesce(held * (F.col("mid_x2") - F.lag("mid_x2").over(own)) * cash, F.lit(0)))
+    rows = rows.withColumn("moved", F.coalesce(held * (F.col("mid_x2") - F.col("mid_before")) * cash, F.lit(0)))
     paid = 2 * F.coalesce(sign(F.col("side")), F.lit(0)) * F.col("amount")
-    rows = rows.withColumn("cash_x2", F.sum(-paid - 2 * F.col("fee")).over(to_here)).withColumn("spread_x2", F.sum("spread").over(to_here)).withColumn("inventory_x2", F.sum("moved").over(to_here)).withColumn("fees_x2", F.sum(2 * F.col("fee")).over(to_here))
+    rows = carried(rows, list(keys), "day", order, sums={"cash_x2": -paid - 2 * F.col("fee"), "spread_x2": F.col("spread"), "inventory_x2": F.col("moved"), "fees_x2": 2 * F.col("fee")}).drop("day", "mid_before")
     rows = rows.withColumn("equity_x2", F.col("cash_x2") + F.col("inventory") * F.col("mid_x2") * cash)
     return rows.withColumn("residual_x2", F.col("equity_x2") - (F.col("spread_x2") + F.col("inventory_x2") - F.col("fees_x2")))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from microflow.operators.windows import carried, day_of
+
 
 def samples(fills: DataFrame, marks: DataFrame, horizons_us: list[int]) -> DataFrame:
     """Each fill at each horizon with the mid then in force: columns of fills, horizon_us, due_us, mid_x2_at, resolved.
@@ -21,8 +23,8 @@ def samples(fills: DataFrame, marks: DataFrame, horizons_us: list[int]) -> DataF
     m = marks.select("symbol_id", F.col("ts_us").alias("t"), F.when(F.row_number().over(first) == 1, 0).otherwise(2).alias("kind"), "idx", "mid_x2")
     d = due.select("symbol_id", F.col("due_us").alias("t"), F.lit(1).alias("kind"), F.struct(*[F.col(c) for c in [*cols, "horizon_us", "due_us"]]).alias("s"))
     line = m.unionByName(d, allowMissingColumns=True)
-    own = Window.partitionBy("symbol_id").orderBy("t", "kind", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    seen = line.withColumn("at", F.last("mid_x2", ignorenulls=True).over(own)).where("kind = 1").select("s.*", "at")
+    line = carried(line.withColumn("day", day_of("t")), ["symbol_id"], "day", ["t", "kind", "idx"], lasts={"at": F.col("mid_x2")})
+    seen = line.where("kind = 1").select("s.*", "at")
     out = seen.join(last, "symbol_id", "left").withColumn("resolved", F.coalesce((F.col("due_us") <= F.col("last_us")) & F.col("at").isNotNull(), F.lit(False)))
     return out.select(*cols, "horizon_us", "due_us", F.when(F.col("resolved"), F.col("at")).alias("mid_x2_at"), "resolved")
 

@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from microflow.sources.adapters import ASK, BID, DEPTH, TRADE
+from microflow.operators.book import imbalance
+from microflow.sources.adapters import ASK, BID, TRADE
 
 MODELS = ("PESS", "OPT", "PROP")
 #: How long a print may explain a later decrease of its level.
 CREDIT_US = 250_000
 
 
-def probes(best: DataFrame, every: int, depths: list[int], qty: int) -> DataFrame:
-    """Orders at every `every`-th event of an instrument: both sides, `depth` - 1 ticks behind the touch."""
-    at = best.where((F.col("idx") % every == 0) & F.col("best_bid").isNotNull() & F.col("best_ask").isNotNull())
+def probes(best: DataFrame, every_us: int, depths: list[int], qty: int) -> DataFrame:
+    """Orders at the first two-sided moment of each time bucket of every_us: both sides, `depth` - 1 ticks behind the touch.
+
+    They carry the imbalance of the touch at their moment.
+    """
+    two = best.where(F.col("best_bid").isNotNull() & F.col("best_ask").isNotNull()).withColumn("imbalance", imbalance(F.col("bid_qty"), F.col("ask_qty")))
+    cols = ["symbol_id", "idx", "ts_us", "best_bid", "best_ask", "mid_x2", "imbalance"]
+    at = two.groupBy("symbol_id", F.floor(F.col("ts_us") / every_us).alias("slot")).agg(F.min_by(F.struct(*cols), "idx").alias("x")).select("x.*")
     side = F.explode(F.array(F.lit(BID), F.lit(ASK))).alias("side")
-    rows = at.select("symbol_id", "idx", "ts_us", "best_bid", "best_ask", "mid_x2", side).select("*", F.explode(F.lit(depths)).alias("depth"))
+    rows = at.select(*cols, side).select("*", F.explode(F.lit(depths)).alias("depth"))
     price = F.when(F.col("side") == BID, F.col("best_bid") - (F.col("depth") - 1)).otherwise(F.col("best_ask") + (F.col("depth") - 1))
-    return rows.select("symbol_id", "idx", "ts_us", "side", "depth", price.alias("price"), F.lit(qty).cast("long").alias("qty"), "mid_x2", F.concat_ws("-", "symbol_id", "idx", "side", "depth").alias("order_id"))
+    return rows.select("symbol_id", "idx", "ts_us", "side", "depth", price.alias("price"), F.lit(qty).cast("long").alias("qty"), "mid_x2", "imbalance", F.concat_ws("-", "symbol_id", "idx", "side", "depth").alias("order_id"))
 
 
 def placed(orders: DataFrame, spans: DataFrame) -> DataFrame:
@@ -46,17 +52,18 @@ def _step(model: str) -> str:
     """One event of the level: a print (t = 1) of q lots, or an update to q lots.
 
     State: a ahead, b behind, r remaining, v the level's last visible quantity, c credit of prints not yet seen in the
-    level and g when it was given, f filled lots and w when first, k levels' lots explained by prints, x cancels, z credit expired.
+    level and g when it was given, f filled lots and w when first, k levels' lots explained by prints, x cancels, z credit
+    expired; l: each fill with its time, lots and what is then ahead and behind.
     """
     fresh = f"if(e.ts_us - s.g > {CREDIT_US}L, 0L, s.c)"
     fill = "least(greatest(e.q - s.a, 0L), s.r)"
     over = "greatest(e.q - s.a - s.r, 0L)"
-    trade = f"struct(greatest(s.a - e.q, 0L) as a, greatest(s.b - {over}, 0L) as b, s.r - {fill} as r, s.v as v, {fresh} + e.q as c, e.ts_us as g, s.f + {fill} as f, coalesce(s.w, if({fill} > 0, e.ts_us, null)) as w, s.k as k, s.x as x, s.z + s.c - {fresh} as z)"
+    trade = f"struct(greatest(s.a - e.q, 0L) as a, greatest(s.b - {over}, 0L) as b, s.r - {fill} as r, s.v as v, {fresh} + e.q as c, e.ts_us as g, s.f + {fill} as f, coalesce(s.w, if({fill} > 0, e.ts_us, null)) as w, s.k as k, s.x as x, s.z + s.c - {fresh} as z, if({fill} > 0, concat(s.l, array(struct(e.ts_us as ts_us, e.idx as idx, {fill} as lots, greatest(s.a - e.q, 0L) as ahead, greatest(s.b - {over}, 0L) as behind, {over} > 0 as through))), s.l) as l)"
     down = "greatest(s.v - e.q, 0L)"
     used = f"least({down}, {fresh})"
     cancel = f"({down} - {used})"
     ahead, behind = _cancel(model, cancel)
-    update = f"struct(if({cancel} > 0, {ahead}, s.a) as a, if({cancel} > 0, {behind}, s.b) + greatest(e.q - s.v, 0L) as b, s.r as r, e.q as v, {fresh} - {used} as c, s.g as g, s.f as f, s.w as w, s.k + {used} as k, s.x + {cancel} as x, s.z + s.c - {fresh} as z)"
+    update = f"struct(if({cancel} > 0, {ahead}, s.a) as a, if({cancel} > 0, {behind}, s.b) + greatest(e.q - s.v, 0L) as b, s.r as r, e.q as v, {fresh} - {used} as c, s.g as g, s.f as f, s.w as w, s.k + {used} as k, s.x + {cancel} as x, s.z + s.c - {fresh} as z, s.l as l)"
     return f"if(s.r = 0, s, if(e.t = {TRADE}, {trade}, {update}))"
 
 
@@ -80,11 +87,11 @@ def follow_models(orders: DataFrame, md: DataFrame, horizon_us: int, models: tup
     o = orders.select("order_id", "symbol_id", "side", "price", "idx", "ts_us", F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
     met = o.join(events, ["symbol_id", "side", "price", "bucket"]).where((F.col("e.idx") > F.col("idx")) & (F.col("e.ts_us") <= F.col("ts_us") + horizon_us))
     mine = met.groupBy("order_id").agg(F.array_sort(F.collect_list("e")).alias("events"))
-    start = "struct(ahead as a, 0L as b, qty as r, ahead as v, 0L as c, cast(-1e15 as bigint) as g, 0L as f, cast(null as bigint) as w, 0L as k, 0L as x, 0L as z)"
+    start = "struct(ahead as a, 0L as b, qty as r, ahead as v, 0L as c, cast(-1e15 as bigint) as g, 0L as f, cast(null as bigint) as w, 0L as k, 0L as x, 0L as z, cast(array() as array<struct<ts_us:bigint,idx:bigint,lots:bigint,ahead:bigint,behind:bigint,through:boolean>>) as l)"
     none = "cast(array() as array<struct<idx:bigint,ts_us:bigint,t:int,q:bigint>>)"
     ends = F.array(*[F.struct(F.lit(m).alias("model"), F.expr(f"aggregate(events, {start}, (s, e) -> {_step(m)})").alias("s")) for m in models])
     folded = orders.join(mine, "order_id", "left").withColumn("events", F.expr(f"coalesce(events, {none})")).withColumn("x", F.explode(ends))
-    out = {"ahead_end": "a", "behind_end": "b", "filled": "f", "first_fill_us": "w", "explained": "k", "cancels": "x", "expired": "z"}
+    out = {"ahead_end": "a", "behind_end": "b", "filled": "f", "first_fill_us": "w", "explained": "k", "cancels": "x", "expired": "z", "fills": "l"}
     return folded.select(*orders.columns, F.col("x.model").alias("model"), *[F.col(f"x.s.{c}").alias(name) for name, c in out.items()])
 
 
@@ -111,9 +118,32 @@ def cross_fills(orders: DataFrame, best: DataFrame, horizon_us: int) -> DataFram
     return met.groupBy("order_id").agg(F.min("b_idx").alias("cross_idx"), F.min("b_us").alias("cross_us"))
 
 
-def outcomes(followed: DataFrame, horizons_us: list[int]) -> DataFrame:
-    """Each probe at each horizon: filled in time, and the time to fill (-1 if not filled)."""
+def fills(followed: DataFrame) -> DataFrame:
+    """One row per fill of the orders: their columns, fill_us, fill_idx, fill_qty, ahead_at_fill, behind_at_fill, cause, and fractions.
+
+    queue_fraction: ahead over ahead and the order at its placement; fill_fraction: ahead over ahead and the fill.
+    """
+    rows = followed.select("*", F.explode("fills").alias("x")).drop("fills")
+    out = rows.withColumns({"fill_us": F.col("x.ts_us"), "fill_idx": F.col("x.idx"), "fill_qty": F.col("x.lots"), "ahead_at_fill": F.col("x.ahead"), "behind_at_fill": F.col("x.behind"), "cause": F.when(F.col("x.through"), "traded_through").otherwise("queue_consumed")}).drop("x")
+    part = lambda c: F.coalesce(F.try_divide(F.col("ahead").cast("double"), (F.col("ahead") + F.col(c)).cast("double")), F.lit(0.0))
+    return out.withColumn("queue_fraction", part("qty")).withColumn("fill_fraction", part("fill_qty"))
+
+
+def outcomes(followed: DataFrame, horizons_us: list[int], run_end: DataFrame | None = None) -> DataFrame:
+    """Each probe at each horizon: filled in time, the time to fill (-1 if not filled), its queue fraction, and whole.
+
+    run_end: symbol_id, end_us. whole: the run lasted to the probe's horizon, so that its outcome counts in fill rates.
+    """
     hs = sorted(set(horizons_us))
     rows = followed.withColumn("horizon_us", F.explode(F.lit(hs)))
     wait = F.col("first_fill_us") - F.col("ts_us")
-    return rows.withColumn("hit", F.coalesce(wait <= F.col("horizon_us"), F.lit(False))).withColumn("time_to_fill_us", F.coalesce(wait, F.lit(-1).cast("long")))
+    rows = rows.withColumn("hit", F.coalesce(wait <= F.col("horizon_us"), F.lit(False))).withColumn("time_to_fill_us", F.coalesce(wait, F.lit(-1).cast("long")))
+    rows = rows.withColumn("queue_fraction", F.coalesce(F.try_divide(F.col("ahead").cast("double"), (F.col("ahead") + F.col("qty")).cast("double")), F.lit(0.0)))
+    if run_end is None:
+        return rows.withColumn("whole", F.lit(True))
+    return rows.join(run_end, "symbol_id").withColumn("whole", F.col("ts_us") + F.col("horizon_us") <= F.col("end_us")).drop("end_us")
+
+
+def fill_rates(rows: DataFrame, *keys: str) -> DataFrame:
+    """Share of probes filled within each horizon, over those whose whole horizon was observed; 0 where none was."""
+    return rows.groupBy(*keys, "horizon_us").agg(F.count_if("whole").alias("n"), F.coalesce(F.avg(F.when(F.col("whole"), F.col("hit").cast("double"))), F.lit(0.0)).alias("fill_rate"))

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from microflow.operators.windows import carried, day_of, trailing
+
 
 def spaced(rows: DataFrame, sample_us: int, keys: tuple[str, ...] = ("symbol_id", "day"), value: str = "mid_x2") -> DataFrame:
     """Greedy down-sampling: a group's first observation, then each that comes sample_us or more after the last one kept.
 
-    A fold over the group's times in order; a group (an instrument's day) is what has to fit a task, in arrays of two numbers a row.
+    A group is an instrument's day. Each kept observation's successor is found by binary search, so a group costs its
+    sort and a step per kept row.
     """
-    seq = F.array_sort(F.collect_list(F.struct("ts_us", F.col("idx").alias("idx"), F.col(value).alias("v"))))
-    empty = "cast(array() as array<struct<ts_us:bigint,idx:bigint,v:bigint>>)"
-    kept = F.expr(f"aggregate(obs, struct(cast(null as bigint) as last, {empty} as kept), (a, x) -> if(a.last is null or x.ts_us - a.last >= {sample_us}, struct(x.ts_us as last, concat(a.kept, array(x)) as kept), a), a -> a.kept)")
-    return rows.groupBy(*keys).agg(seq.alias("obs")).select(*keys, F.explode(kept).alias("x")).select(*keys, "x.ts_us", "x.idx", F.col("x.v").alias(value))
+    used = rows.select(*keys, "ts_us", "idx", F.col(value))
+
+    def keep(t: pa.Table) -> pa.Table:
+        ts, idx = t["ts_us"].to_numpy(), t["idx"].to_numpy()
+        order = np.lexsort((idx, ts))
+        ts, kept, at = ts[order], [], 0
+        while at < len(ts):
+            kept.append(at)
+            at = max(at + 1, int(np.searchsorted(ts, ts[at] + sample_us, side="left")))
+        return t.take(pa.array(order[kept]))
+
+    return used.groupBy(*keys).applyInArrow(keep, used.schema)
 
 
 def sigma(kept: DataFrame, window_us: int, keys: tuple[str, ...] = ("symbol_id", "day"), value: str = "mid_x2") -> DataFrame:
@@ -31,15 +44,15 @@ def sigma(kept: DataFrame, window_us: int, keys: tuple[str, ...] = ("symbol_id",
 
 def flow(trades: DataFrame, window_us: int, keys: tuple[str, ...] = ("symbol_id",)) -> DataFrame:
     """trades with volume and imbalance: signed over total aggressive lots of the trailing window, both ends included."""
-    over = Window.partitionBy(*keys).orderBy("ts_us").rangeBetween(-window_us, 0)
     signed = F.when(F.col("side") == 0, F.col("qty")).otherwise(-F.col("qty"))
-    rows = trades.withColumn("volume", F.sum("qty").over(over)).withColumn("net", F.sum(signed).over(over))
+    rows = trailing(trades, list(keys), window_us, {"volume": F.sum("qty"), "net": F.sum(signed)})
     return rows.withColumn("imbalance", F.coalesce(F.try_divide(F.col("net").cast("double"), F.col("volume").cast("double")), F.lit(0.0)))
 
 
 def pulls(flowing: DataFrame, threshold: float, pull_us: int, keys: tuple[str, ...] = ("symbol_id",)) -> DataFrame:
     """flow() with the quote side that is pulled at each trade, if any: the latest trigger's, for pull_us from it."""
-    own = Window.partitionBy(*keys).orderBy("ts_us", "idx").rowsBetween(Window.unboundedPreceding, 0)
     hit = F.abs("imbalance") >= threshold
-    rows = flowing.withColumn("trigger_us", F.last(F.when(hit, F.col("ts_us")), ignorenulls=True).over(own)).withColumn("trigger_side", F.last(F.when(hit, F.when(F.col("imbalance") > 0, 1).otherwise(0)), ignorenulls=True).over(own))
+    last = F.when(hit, F.struct(F.col("ts_us").alias("t"), F.when(F.col("imbalance") > 0, 1).otherwise(0).alias("s")))
+    rows = carried(flowing.withColumn("day", day_of("ts_us")), list(keys), "day", ["ts_us", "idx"], lasts={"trigger": last})
+    rows = rows.withColumn("trigger_us", F.col("trigger.t")).withColumn("trigger_side", F.col("trigger.s")).drop("trigger", "day")
     return rows.withColumn("pulled", F.when(F.col("ts_us") < F.col("trigger_us") + pull_us, F.col("trigger_side")))

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from microflow.operators.windows import carried, day_of
+
+#: Messages of an instrument that one window takes together.
+STRETCH = 65_536
+
 
 def synchronised(messages: DataFrame) -> DataFrame:
-    """messages with epoch, last, accepted, gap, dirty, stale and presync, in closed form.
+    """messages with epoch, last, accepted, gap, dirty, resynced, stale and presync, in closed form.
 
     messages: symbol_id, ln (arrival order), kind ('snapshot', 'depth' or other), first_id, final_id, prev_id (null on
     the spot dialect). A snapshot begins an epoch; the first diff accepted in it must bracket the next id, later ones
@@ -15,27 +20,32 @@ def synchronised(messages: DataFrame) -> DataFrame:
     rows are dirty until the next snapshot. Every accepted final id exceeds all before it in its epoch, so the running
     maximum is the last accepted id.
     """
-    arrival = Window.partitionBy("symbol_id").orderBy("ln")
     snap, depth = F.col("kind") == "snapshot", F.col("kind") == "depth"
-    rows = messages.withColumn("epoch", F.count_if(snap).over(arrival.rowsBetween(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy("symbol_id", "epoch").orderBy("ln")
-    before, to_here = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("last", F.max(F.when(snap | depth, F.col("final_id"))).over(before))
+    rows = messages.withColumn("stretch", F.floor(F.col("ln") / STRETCH))
+    rows = carried(rows, ["symbol_id"], "stretch", ["ln"], sums={"epoch": snap.cast("int")})
+    rows = rows.withColumn("epoch", F.coalesce("epoch", F.lit(0)))
+    own = ["symbol_id", "epoch"]
+    rows = carried(rows, own, "stretch", ["ln"], maxes={"last": F.when(snap | depth, F.col("final_id"))}, exclusive=("last",))
     rows = rows.withColumn("accepted", F.coalesce(depth & (F.col("epoch") > 0) & (F.col("final_id") > F.col("last")), F.lit(False)))
-    rows = rows.withColumn("earlier", F.count_if("accepted").over(before))
-    rows = rows.withColumn("futures", F.first(F.when(F.col("accepted"), F.col("prev_id").isNotNull()), ignorenulls=True).over(arrival.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = carried(rows, own, "stretch", ["ln"], sums={"earlier": F.col("accepted").cast("int")}, exclusive=("earlier",)).withColumn("earlier", F.coalesce("earlier", F.lit(0)))
+    dialect = rows.where("accepted").groupBy("symbol_id").agg(F.min_by(F.col("prev_id").isNotNull(), "ln").alias("futures"))
+    rows = rows.join(dialect, "symbol_id", "left")
     follows = F.when(F.col("earlier") == 0, (F.col("first_id") <= F.col("last") + 1) & (F.col("final_id") >= F.col("last") + 1)).when(F.col("futures") & F.col("prev_id").isNotNull(), F.col("prev_id") == F.col("last")).otherwise(F.col("first_id") == F.col("last") + 1)
     rows = rows.withColumn("gap", F.col("accepted") & ~follows)
-    rows = rows.withColumn("dirty", F.coalesce(F.max("gap").over(to_here), F.lit(False)))
+    rows = carried(rows, own, "stretch", ["ln"], maxes={"dirty": F.col("gap")}).withColumn("dirty", F.coalesce("dirty", F.lit(False)))
+    # a snapshot resynchronises if what stood before it was dirty
+    rows = carried(rows, ["symbol_id"], "stretch", ["ln"], lags={"was_dirty": F.col("dirty")}).drop("stretch")
+    rows = rows.withColumn("resynced", snap & F.coalesce("was_dirty", F.lit(False)))
     return rows.withColumn("stale", depth & (F.col("epoch") > 0) & ~F.col("accepted")).withColumn("presync", depth & (F.col("epoch") == 0))
 
 
 def gaps(rows: DataFrame) -> DataFrame:
-    """One row per gap: what was expected and what came."""
+    """One row per gap: what was expected and what came, and the message's time if it has one (ts_us)."""
     reason = F.when(F.col("earlier") == 0, "first update doesn't bracket the snapshot").when(F.col("futures") & F.col("prev_id").isNotNull(), "futures: pu doesn't match").otherwise("spot: U doesn't follow")
     got = F.when((F.col("earlier") > 0) & F.col("futures") & F.col("prev_id").isNotNull(), F.col("prev_id")).otherwise(F.col("first_id"))
     expected = F.when((F.col("earlier") > 0) & F.col("futures") & F.col("prev_id").isNotNull(), F.col("last")).otherwise(F.col("last") + 1)
-    return rows.where("gap").select("symbol_id", "ln", expected.alias("expected"), got.alias("got"), reason.alias("reason"))
+    time = ["ts_us"] if "ts_us" in rows.columns else []
+    return rows.where("gap").select("symbol_id", "ln", *time, expected.alias("expected"), got.alias("got"), reason.alias("reason"))
 
 
 def statistics(rows: DataFrame) -> DataFrame:
@@ -43,7 +53,7 @@ def statistics(rows: DataFrame) -> DataFrame:
     kept = F.col("accepted") | ~F.col("kind").isin("depth")
     return rows.groupBy("symbol_id").agg(
         F.count("*").alias("n_messages"), F.count_if(F.col("kind") == "snapshot").alias("n_snapshots"), F.count_if("accepted").alias("n_accepted"), F.count_if("stale").alias("n_stale"), F.count_if("presync").alias("n_presync"), F.count_if("gap").alias("n_gaps"),
-        F.count_if((F.col("kind") == "snapshot") & (F.col("epoch") > 1)).alias("n_resyncs"), F.count_if(kept & F.col("dirty")).alias("n_dirty"), F.count_if(kept).alias("n_kept"),
+        F.count_if("resynced").alias("n_resyncs"), F.count_if(kept & F.col("dirty")).alias("n_dirty"), F.count_if(kept).alias("n_kept"),
     )
 
 
@@ -65,15 +75,17 @@ def recorder_gaps(messages: DataFrame) -> DataFrame:
 
 
 def replay_order(events: DataFrame, depth_first: bool = False) -> DataFrame:
-    """events (symbol_id, ts_us, type name, ln, pos) with idx: by time, then kind, then arrival."""
+    """events (symbol_id, ts_us, kind, ln, pos) with idx, by time, then kind, then arrival, and epoch, the snapshots ended up to it."""
     rank = F.when(F.col("kind") == "begin", 0).when(F.col("kind") == "level", 1).when(F.col("kind") == "end", 2).when(F.col("kind") == "trade", 4 if depth_first else 3).otherwise(3 if depth_first else 4)
-    return events.withColumn("idx", (F.row_number().over(Window.partitionBy("symbol_id").orderBy("ts_us", rank, "ln", "pos")) - 1).cast("long"))
+    rows = events.withColumn("day", day_of("ts_us")).withColumn("rank", rank)
+    rows = carried(rows, ["symbol_id"], "day", ["ts_us", "rank", "ln", "pos"], sums={"place": F.lit(1), "epoch": (F.col("kind") == "end").cast("int")})
+    return rows.withColumn("idx", (F.col("place") - 1).cast("long")).drop("day", "rank", "place")
 
 
 def visibility(events: DataFrame, delay_us) -> DataFrame:
     """events with visible_us: when they arrive, never before an earlier one has."""
-    own = Window.partitionBy("symbol_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("visible_us", F.max(F.col("ts_us") + delay_us).over(own))
+    rows = events.withColumn("day", day_of("ts_us"))
+    return carried(rows, ["symbol_id"], "day", ["idx"], maxes={"visible_us": F.col("ts_us") + delay_us}).drop("day")
 
 
 def timers(events: DataFrame, period_us: int) -> DataFrame:
@@ -86,4 +98,4 @@ def timeline(market: DataFrame, actions: DataFrame, ticks: DataFrame) -> DataFra
     """One order of market events, actions and timers: by time, then market before action before timer, then seq."""
     parts = [x.select("symbol_id", "ts_us", F.lit(k).alias("kind"), "seq") for k, x in enumerate((market, actions, ticks))]
     line = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return line.withColumn("step", F.row_number().over(Window.partitionBy("symbol_id").orderBy("ts_us", "kind", "seq")))
+    return carried(line.withColumn("day", day_of("ts_us")), ["symbol_id"], "day", ["ts_us", "kind", "seq"], sums={"step": F.lit(1)}).drop("day")

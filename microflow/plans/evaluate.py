@@ -6,38 +6,40 @@ changes later quotes, so every (cell, order) is independent and a sweep is a joi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from microflow.functions import grid as money
 from microflow.functions import quotes
 from microflow.operators import book, markout, queue, rolling, sync
+from microflow.operators.windows import carried, day_of
 from microflow.sources.adapters import ASK, BID, CASH, TRADE
+from microflow.sources.shared import written
 
 STRATEGIES = ("S0", "S1", "S2_AS", "S2_GLFT", "S3")
 
 
-def features(md: DataFrame, period_us: int, sample_us: int, window_us: int) -> DataFrame:
-    """The book, volatility and flow that are known at each timer: the last values at or before it."""
-    best = book.bbo(md)
+def features(md: DataFrame, best: DataFrame, period_us: int, sample_us: int, window_us: int, toxic: float = 0.6) -> DataFrame:
+    """The book, volatility and last toxic trigger that are known at each timer: the last values at or before it."""
     two = best.where("mid_x2 is not null").withColumn("share", book.imbalance(F.col("bid_qty"), F.col("ask_qty")))
     vol = rolling.sigma(rolling.spaced(two.withColumn("day", money.utc_day(F.col("ts_us"))), sample_us), window_us)
-    flow = rolling.flow(md.where(F.col("type") == TRADE), window_us)
+    pulls = rolling.pulls(rolling.flow(md.where(F.col("type") == TRADE), window_us), toxic, 0)
     ticks = sync.timers(md, period_us)
-    own = Window.partitionBy("symbol_id").orderBy("ts_us", "kind", "idx").rowsBetween(Window.unboundedPreceding, 0)
     line = two.select("symbol_id", "ts_us", "idx", F.lit(0).alias("kind"), F.struct("best_bid", "best_ask", "mid_x2", "share").alias("b"))
     line = line.unionByName(vol.select("symbol_id", "ts_us", "idx", F.lit(0).alias("kind"), "sigma"), allowMissingColumns=True)
-    line = line.unionByName(flow.select("symbol_id", "ts_us", "idx", F.lit(0).alias("kind"), "imbalance"), allowMissingColumns=True)
+    line = line.unionByName(pulls.select("symbol_id", "ts_us", "idx", F.lit(0).alias("kind"), "trigger_us", "trigger_side"), allowMissingColumns=True)
     line = line.unionByName(ticks.select("symbol_id", "ts_us", F.lit(None).cast("long").alias("idx"), F.lit(1).alias("kind")), allowMissingColumns=True)
-    known = line.select("symbol_id", "ts_us", "kind", *[F.last(c, ignorenulls=True).over(own).alias(c) for c in ("b", "sigma", "imbalance")]).where("kind = 1 and b is not null")
-    return known.select("symbol_id", "ts_us", "b.*", "sigma", F.coalesce("imbalance", F.lit(0.0)).alias("imbalance"))
+    line = line.withColumn("day", day_of("ts_us")).select("symbol_id", "ts_us", "day", "kind", "idx", F.col("b").alias("b0"), F.col("sigma").alias("sigma0"), F.when(F.col("trigger_us").isNotNull(), F.struct("trigger_us", "trigger_side")).alias("t0"))
+    known = carried(line, ["symbol_id"], "day", ["ts_us", "kind", "idx"], lasts={"b": F.col("b0"), "sigma": F.col("sigma0"), "t": F.col("t0")}).where("kind = 1 and b is not null")
+    return known.select("symbol_id", "ts_us", "b.*", "sigma", "t.trigger_us", "t.trigger_side")
 
 
-def quoted(known: DataFrame, cells: DataFrame, spread: float = 1.0, gamma: float = 1e-4, k: float = 0.3, a: float = 0.8, toxic: float = 0.6) -> DataFrame:
+def quoted(known: DataFrame, cells: DataFrame, spread: float = 1.0, gamma: float = 1e-4, k: float = 0.3, a: float = 0.8, pull_us: int = 600_000_000) -> DataFrame:
     """A bid and an ask per cell (strategy ...) and timer; null where the rule doesn't quote.
 
     S0 joins the touch; S1 stands a fixed distance from the mid; S2 solves for the distance from volatility, without
-    inventory, and stays outside the touch; S3 is S1 around the weighted mid and pulls the side that toxic flow runs over.
+    inventory, and stays outside the touch; S3 is S1 around the weighted mid and pulls, for pull_us from a trigger, the
+    side that toxic flow runs over.
     """
     rows = known.crossJoin(F.broadcast(cells))  # cells are a few literal rows
     s, bb, ba = F.col("strategy"), F.col("best_bid"), F.col("best_ask")
@@ -53,8 +55,8 @@ def quoted(known: DataFrame, cells: DataFrame, spread: float = 1.0, gamma: float
     outside = quotes.tick_floor(low, high, bb, ba)
     bid = F.when(s == "S0", bb).when(s.startswith("S2"), outside[0]).otherwise(inside[0])
     ask = F.when(s == "S0", ba).when(s.startswith("S2"), outside[1]).otherwise(inside[1])
-    pulled_bid = (s == "S3") & (F.col("imbalance") <= -toxic)
-    pulled_ask = (s == "S3") & (F.col("imbalance") >= toxic)
+    pulled = lambda side: (s == "S3") & F.coalesce((F.col("ts_us") < F.col("trigger_us") + pull_us) & (F.col("trigger_side") == side), F.lit(False))
+    pulled_bid, pulled_ask = pulled(BID), pulled(ASK)
     return rows.withColumn("bid", F.when(~pulled_bid, bid)).withColumn("ask", F.when(~pulled_ask, ask))
 
 
@@ -63,9 +65,8 @@ def orders(rows: DataFrame, md: DataFrame, spans: DataFrame, qty: int, cell_cols
     side = F.explode(F.array(F.struct(F.lit(BID).alias("side"), F.col("bid").alias("price")), F.struct(F.lit(ASK).alias("side"), F.col("ask").alias("price")))).alias("o")
     o = rows.select("symbol_id", *cell_cols, (F.col("ts_us") + F.col("latency_us")).alias("ts_us"), "mid_x2", side).where("o.price is not null").select("symbol_id", *cell_cols, "ts_us", "mid_x2", "o.side", "o.price")
     times = o.select("symbol_id", "ts_us").distinct()
-    own = Window.partitionBy("symbol_id").orderBy("ts_us", "kind").rowsBetween(Window.unboundedPreceding, 0)
     line = md.groupBy("symbol_id", "ts_us").agg(F.max("idx").alias("i")).withColumn("kind", F.lit(0)).unionByName(times.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    at = line.withColumn("idx", F.last("i", ignorenulls=True).over(own)).where("kind = 1 and idx is not null").select("symbol_id", "ts_us", "idx")
+    at = carried(line.withColumn("day", day_of("ts_us")), ["symbol_id"], "day", ["ts_us", "kind"], lasts={"idx": F.col("i")}).where("kind = 1 and idx is not null").select("symbol_id", "ts_us", "idx")
     o = o.join(at, ["symbol_id", "ts_us"]).withColumn("order_id", F.concat_ws("-", "symbol_id", *cell_cols, "ts_us", "side")).withColumn("qty", F.lit(qty).cast("long"))
     return queue.placed(o, spans)
 
@@ -76,11 +77,12 @@ def evaluate(md: DataFrame, cells: DataFrame, period_us: int, qty: int = 20, fee
     Trajectories don't depend on the fee, so all fees share them.
     """
     cell_cols = ["strategy", "latency_us"]
-    known = features(md, period_us, sample_us, window_us)
-    best, spans = book.bbo(md), book.levels(md)
+    md = written(md, "market")
+    best, spans = written(book.bbo(md), "best"), book.levels(md)
+    known = features(md, best, period_us, sample_us, window_us)
     placed = orders(quoted(known, cells.select(*cell_cols).distinct()), md, spans, qty, cell_cols)
     # cells are a few literal rows
-    done = queue.follow_models(placed, md, period_us).join(F.broadcast(cells), ["strategy", "latency_us", "model"], "left_semi")
+    done = queue.follow_models(placed, md, period_us).join(F.broadcast(cells), ["strategy", "latency_us", "model"], "left_semi").drop("fills")
     fills = done.where("filled > 0").select("symbol_id", *cell_cols, "model", "order_id", F.col("first_fill_us").alias("ts_us"), "side", "price", F.col("filled").alias("qty"), "mid_x2")
     marked = markout.priced(markout.samples(fills, book.mid_changes(best), [horizon_us]))
     amount = money.notional(F.col("price"), F.col("qty"), CASH)

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from microflow.functions import grid, quotes
 from microflow.operators import book, calibrate, ledger, markout, queue, report, rolling, sync
+from microflow.operators.windows import as_of, carried
 from microflow.sources.adapters import CASH, SQL_MD, TRADE, market_events
+from microflow.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,15 +60,12 @@ taken AS (SELECT *, coalesce(kind = 'depth' AND epoch > 0 AND final_id > last, f
 counted AS (SELECT *, coalesce(sum(CASE WHEN accepted THEN 1 ELSE 0 END) OVER (PARTITION BY symbol_id, epoch ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier,
   (SELECT arg_min(t.prev_id IS NOT NULL, t.ln) FROM taken t WHERE t.accepted AND t.symbol_id = taken.symbol_id) AS futures FROM taken),
 gapped AS (SELECT *, accepted AND NOT CASE WHEN earlier = 0 THEN first_id <= last + 1 AND final_id >= last + 1 WHEN futures AND prev_id IS NOT NULL THEN prev_id = last ELSE first_id = last + 1 END AS gap FROM counted),
-synced AS (SELECT *, coalesce(bool_or(gap) OVER (PARTITION BY symbol_id, epoch ORDER BY ln), false) AS dirty FROM gapped)"""
+flagged AS (SELECT *, coalesce(bool_or(gap) OVER (PARTITION BY symbol_id, epoch ORDER BY ln), false) AS dirty FROM gapped),
+synced AS (SELECT *, kind = 'snapshot' AND coalesce(lag(dirty) OVER (PARTITION BY symbol_id ORDER BY ln), false) AS resynced FROM flagged)"""
 
 
-def query(name: str, columns: str, sql: str, some: str = ""):
-    """Registers a plan with its columns ("name:type ...") and its SQL.
-
-    some: the condition of a query over a part of the events; the plan then takes a condition, and NAME_all is
-    registered beside it, over all of them.
-    """
+def query(name: str, columns: str, sql: str):
+    """Registers a plan with its columns ("name:type ...") and its SQL."""
     spec = [c.split(":") for c in columns.split()]
 
     def wrap(plan):
@@ -80,8 +79,6 @@ def query(name: str, columns: str, sql: str, some: str = ""):
             cols = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" if t == "d" else f"CAST({c} AS {_TYPES[t][1]}) AS {c}" for c, t in spec)
             head, _, tail = sql.rpartition(";")
             SQL[name] = (f"WITH {head} " if head else "") + f"SELECT {cols} FROM ({tail}) q"
-        if some:
-            query(f"{name}_all", columns, sql.replace(some, "true"))(lambda spark, sf_dir: plan(spark, sf_dir, "true"))
         return plan
 
     return wrap
@@ -129,8 +126,8 @@ def queue_fractions(spark, sf_dir):
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change stream with update ids, breaks, stale updates and snapshots at fixed places; symbols 0 and 1 have previous ids."""
     e = read(spark, sf_dir, "events")
-    own = Window.partitionBy(F.col("user_id") % 4).orderBy("event_id")
-    rows = e.select((F.col("user_id") % 4).alias("symbol_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.row_number().over(own).cast("long").alias("ln"))
+    rows = e.select((F.col("user_id") % 4).alias("symbol_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.floor(F.col("event_id") / sync.STRETCH).alias("part"))
+    rows = carried(rows, ["symbol_id"], "part", ["event_id"], sums={"ln": F.lit(1)})
     at = lambda n: F.col("event_id") % n == 0
     kind = F.when(at(251), "snapshot").when(F.col("event_id") % 5 == 4, "trade").otherwise("depth")
     skip = F.when(at(97), 5).otherwise(0)
@@ -138,7 +135,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol_id", "ln", "ts_us", kind.alias("kind"), (F.col("ln") * 10 - 9 + skip).alias("first_id"), final.alias("final_id"), F.when((F.col("symbol_id") < 2) & ~at(251), F.col("ln") * 10 - 10 + skip).alias("prev_id"))
 
 
-@query("sync_gaps", "symbol_id:l ln:l expected:l got:l reason:s", SQL_MESSAGES + """;SELECT symbol_id, ln, CASE WHEN earlier > 0 AND futures AND prev_id IS NOT NULL THEN last ELSE last + 1 END AS expected, CASE WHEN earlier > 0 AND futures AND prev_id IS NOT NULL THEN prev_id ELSE first_id END AS got,
+@query("sync_gaps", "symbol_id:l ln:l ts_us:l expected:l got:l reason:s", SQL_MESSAGES + """;SELECT symbol_id, ln, ts_us, CASE WHEN earlier > 0 AND futures AND prev_id IS NOT NULL THEN last ELSE last + 1 END AS expected, CASE WHEN earlier > 0 AND futures AND prev_id IS NOT NULL THEN prev_id ELSE first_id END AS got,
   CASE WHEN earlier = 0 THEN 'first update doesn''t bracket the snapshot' WHEN futures AND prev_id IS NOT NULL THEN 'futures: pu doesn''t match' ELSE 'spot: U doesn''t follow' END AS reason FROM synced WHERE gap""")
 def sync_gaps(spark, sf_dir):
     """Breaks in the update sequence."""
@@ -146,7 +143,7 @@ def sync_gaps(spark, sf_dir):
 
 
 @query("sync_stats", "symbol_id:l n_messages:l n_snapshots:l n_accepted:l n_stale:l n_presync:l n_gaps:l n_resyncs:l n_dirty:l n_kept:l", SQL_MESSAGES + """;SELECT symbol_id, count(*) AS n_messages, count(*) FILTER (kind = 'snapshot') AS n_snapshots, count(*) FILTER (accepted) AS n_accepted, count(*) FILTER (kind = 'depth' AND epoch > 0 AND NOT accepted) AS n_stale,
-  count(*) FILTER (kind = 'depth' AND epoch = 0) AS n_presync, count(*) FILTER (gap) AS n_gaps, count(*) FILTER (kind = 'snapshot' AND epoch > 1) AS n_resyncs, count(*) FILTER (dirty AND (accepted OR kind <> 'depth')) AS n_dirty, count(*) FILTER (accepted OR kind <> 'depth') AS n_kept FROM synced GROUP BY 1""")
+  count(*) FILTER (kind = 'depth' AND epoch = 0) AS n_presync, count(*) FILTER (gap) AS n_gaps, count(*) FILTER (resynced) AS n_resyncs, count(*) FILTER (dirty AND (accepted OR kind <> 'depth')) AS n_dirty, count(*) FILTER (accepted OR kind <> 'depth') AS n_kept FROM synced GROUP BY 1""")
 def sync_stats(spark, sf_dir):
     """Counters of a conversion."""
     return sync.statistics(sync.synchronised(messages(spark, sf_dir)))
@@ -193,12 +190,12 @@ def bbo(spark, sf_dir):
 
 
 @query("depth_within_5", "symbol_id:l idx:l bid_depth:l ask_depth:l", SQL_BOOK + """,
-tops AS (SELECT *, max(price) OVER (PARTITION BY symbol_id, idx, side) AS hi, min(price) OVER (PARTITION BY symbol_id, idx, side) AS lo FROM live WHERE idx % 10 = 0)
-;SELECT p.symbol_id, p.idx, coalesce(sum(qty) FILTER (side = 0 AND hi - price <= 5), 0) AS bid_depth, coalesce(sum(qty) FILTER (side = 1 AND price - lo <= 5), 0) AS ask_depth FROM (SELECT symbol_id, idx FROM md WHERE idx % 10 = 0) p LEFT JOIN tops t ON p.symbol_id = t.symbol_id AND p.idx = t.idx GROUP BY 1, 2""", "idx % 10 = 0")
-def depth_within_5(spark, sf_dir, some="idx % 10 = 0"):
-    """Quantity within five ticks of the touch at every tenth event."""
+tops AS (SELECT *, max(price) OVER (PARTITION BY symbol_id, idx, side) AS hi, min(price) OVER (PARTITION BY symbol_id, idx, side) AS lo FROM live )
+;SELECT p.symbol_id, p.idx, coalesce(sum(qty) FILTER (side = 0 AND hi - price <= 5), 0) AS bid_depth, coalesce(sum(qty) FILTER (side = 1 AND price - lo <= 5), 0) AS ask_depth FROM (SELECT symbol_id, idx FROM md) p LEFT JOIN tops t ON p.symbol_id = t.symbol_id AND p.idx = t.idx GROUP BY 1, 2""")
+def depth_within_5(spark, sf_dir):
+    """Quantity within five ticks of the touch after every event."""
     md = market_events(spark, sf_dir)
-    return book.depth_within(md, md.where(some), 5)
+    return book.depth_within(md, md, 5)
 
 
 @query("imbalance_wmid", "symbol_id:l idx:l imbalance:d weighted_mid:d spread:l", SQL_BOOK + """,
@@ -274,12 +271,13 @@ def toxicity_pulls(spark, sf_dir):
 
 
 def fills_and_marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every print as a fill of the resting side at its mid, and the moves of the mid."""
+    """Every print as a fill of the resting side at its mid, and the moves of the mid. Both read one written table."""
     md = market_events(spark, sf_dir)
-    best = book.bbo(md)
-    trades = md.where(F.col("type") == TRADE).select("symbol_id", "idx", "side", "price", "qty")
-    fills = best.where("mid_x2 is not null").join(trades, ["symbol_id", "idx"]).select("symbol_id", F.col("idx").alias("fill_id"), "ts_us", (1 - F.col("side")).alias("side"), "price", "qty", "mid_x2")
-    return fills, book.mid_changes(best)
+    trade = F.when(F.col("type") == TRADE, F.struct("side", "price", "qty"))
+    best = book.bbo(md).where("mid_x2 is not null").join(md.select("symbol_id", "idx", trade.alias("t")), ["symbol_id", "idx"])
+    best = written(best.select("symbol_id", "idx", "ts_us", "mid_x2", "t"), "mids")
+    fills = best.where("t is not null").select("symbol_id", F.col("idx").alias("fill_id"), "ts_us", (1 - F.col("t.side")).alias("side"), "t.price", "t.qty", "mid_x2")
+    return fills, written(book.mid_changes(best.drop("t")), "marks")
 
 
 def book_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,17 +362,22 @@ def markout_curve(spark, sf_dir):
 
 # --- queue position, fills of resting orders --------------------------------------------------------------------------
 
-EVERY, DEPTHS, ORDER_QTY, REST_US = 25, [1, 2, 3, 5], 20, 1_800_000_000
+EVERY_US, DEPTHS, ORDER_QTY, REST_US = 6 * 3_600_000_000, [1, 2, 3, 5], 20, 1_800_000_000
 
-SQL_PROBES = SQL_BOOK + f""",
-probes AS (SELECT symbol_id, idx, ts_us, side, depth, CASE side WHEN 0 THEN best_bid - (depth - 1) ELSE best_ask + (depth - 1) END AS price, {ORDER_QTY} AS qty, mid_x2, symbol_id || '-' || idx || '-' || side || '-' || depth AS order_id
-  FROM best CROSS JOIN (SELECT unnest([0, 1]) AS side) CROSS JOIN (SELECT unnest({DEPTHS}) AS depth) WHERE idx % {EVERY} = 0 AND mid_x2 IS NOT NULL)"""
+def sql_probes(depths: list[int]) -> str:
+    return SQL_BOOK + f""",
+placed_at AS (SELECT *, CASE WHEN coalesce(bid_qty, 0) + coalesce(ask_qty, 0) = 0 THEN 0.5 ELSE CAST(bid_qty AS DOUBLE) / (bid_qty + ask_qty) END AS imbalance FROM best WHERE mid_x2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol_id, ts_us // {EVERY_US} ORDER BY idx) = 1),
+probes AS (SELECT symbol_id, idx, ts_us, side, depth, CASE side WHEN 0 THEN best_bid - (depth - 1) ELSE best_ask + (depth - 1) END AS price, {ORDER_QTY} AS qty, mid_x2, imbalance, symbol_id || '-' || idx || '-' || side || '-' || depth AS order_id
+  FROM placed_at CROSS JOIN (SELECT unnest([0, 1]) AS side) CROSS JOIN (SELECT unnest({depths}) AS depth))"""
 
 
-def resting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    md = market_events(spark, sf_dir)
-    best = book.bbo(md)
-    return queue.placed(queue.probes(best, EVERY, DEPTHS, ORDER_QTY), book.levels(md)), md, best
+SQL_PROBES = sql_probes(DEPTHS)
+
+
+def resting(spark: SparkSession, sf_dir: str, depths: list[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    md = written(market_events(spark, sf_dir), "market")
+    best = written(book.bbo(md), "best")
+    return written(queue.placed(queue.probes(best, EVERY_US, depths or DEPTHS, ORDER_QTY), book.levels(md)), "orders"), md, best
 
 
 def sql_queue(model: str) -> str:
@@ -389,7 +392,7 @@ def sql_queue(model: str) -> str:
     on, trade = "rem > 0", "t = 1"
     return SQL_PROBES.replace("raw_events AS", "RECURSIVE raw_events AS", 1) + f""",
 placed AS (SELECT p.*, coalesce(s.qty, 0) AS ahead FROM probes p LEFT JOIN spans s ON p.symbol_id = s.symbol_id AND p.side = s.side AND p.price = s.price AND s.from_idx <= p.idx AND p.idx < s.to_idx),
-own AS MATERIALIZED (SELECT p.order_id, row_number() OVER (PARTITION BY p.order_id ORDER BY m.idx) AS r, m.ts_us, m.type AS t, m.qty AS q FROM placed p JOIN md m ON m.symbol_id = p.symbol_id AND m.price = p.price AND CASE m.type WHEN 1 THEN 1 - m.side ELSE m.side END = p.side AND m.idx > p.idx AND m.ts_us <= p.ts_us + {REST_US}),
+own AS MATERIALIZED (SELECT p.order_id, row_number() OVER (PARTITION BY p.order_id ORDER BY m.idx) AS r, m.idx, m.ts_us, m.type AS t, m.qty AS q FROM placed p JOIN md m ON m.symbol_id = p.symbol_id AND m.price = p.price AND CASE m.type WHEN 1 THEN 1 - m.side ELSE m.side END = p.side AND m.idx > p.idx AND m.ts_us <= p.ts_us + {REST_US}),
 states AS (SELECT order_id, CAST(0 AS BIGINT) AS r, CAST(ahead AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(qty AS BIGINT) AS rem, CAST(ahead AS BIGINT) AS v, CAST(0 AS BIGINT) AS c, CAST(-1000000000000000 AS BIGINT) AS g, CAST(0 AS BIGINT) AS f, CAST(NULL AS BIGINT) AS w, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS z FROM placed
   UNION ALL SELECT order_id, r, CASE WHEN {on} AND {trade} THEN greatest(a - q, 0) WHEN {on} AND cancel > 0 THEN {ahead} ELSE a END, CASE WHEN {on} AND {trade} THEN greatest(b - past, 0) WHEN {on} THEN CASE WHEN cancel > 0 THEN {behind} ELSE b END + greatest(q - v, 0) ELSE b END,
     CASE WHEN {on} AND {trade} THEN rem - fill ELSE rem END, CASE WHEN {on} AND NOT {trade} THEN q ELSE v END, CASE WHEN {on} AND {trade} THEN fresh + q WHEN {on} THEN fresh - used ELSE c END, CASE WHEN {on} AND {trade} THEN ts_us ELSE g END,
@@ -452,27 +455,70 @@ def touch_vs_queue(spark, sf_dir):
     return out.withColumn("ratio", F.coalesce(F.try_divide(F.col("touch_lots").cast("double"), F.col("queue_lots").cast("double")), F.lit(0.0)))
 
 
-@query("cross_fills", "order_id:s cross_idx:l cross_us:l", SQL_PROBES + f""";SELECT order_id, min(b.idx) AS cross_idx, min(b.ts_us) AS cross_us FROM probes p JOIN best b ON b.symbol_id = p.symbol_id AND b.idx > p.idx AND b.ts_us <= p.ts_us + {REST_US} AND CASE p.side WHEN 0 THEN b.best_ask <= p.price ELSE b.best_bid >= p.price END GROUP BY 1""")
+INSIDE = [1, 0, -1, -3, -6]
+
+
+@query("cross_fills", "order_id:s cross_idx:l cross_us:l", sql_probes(INSIDE) + f""";SELECT order_id, min(b.idx) AS cross_idx, min(b.ts_us) AS cross_us FROM probes p JOIN best b ON b.symbol_id = p.symbol_id AND b.idx > p.idx AND b.ts_us <= p.ts_us + {REST_US} AND CASE p.side WHEN 0 THEN b.best_ask <= p.price ELSE b.best_bid >= p.price END GROUP BY 1""")
 def cross_fills(spark, sf_dir):
-    """Orders that the opposite touch reaches."""
-    orders, _, best = resting(spark, sf_dir)
+    """Orders, some of them better than the touch, that the opposite touch reaches."""
+    orders, _, best = resting(spark, sf_dir, INSIDE)
     return queue.cross_fills(orders, best, REST_US)
 
 
 SQL_OUTCOMES = sql_queue("PESS") + f""",
-outcomes AS (SELECT f.*, h.h AS horizon_us, coalesce(first_fill_us - ts_us <= h.h, false) AS hit, coalesce(first_fill_us - ts_us, -1) AS time_to_fill_us FROM followed f CROSS JOIN (SELECT unnest([60000000, 600000000, {REST_US}]) AS h) h)"""
+outcomes AS (SELECT f.*, h.h AS horizon_us, coalesce(first_fill_us - ts_us <= h.h, false) AS hit, coalesce(first_fill_us - ts_us, -1) AS time_to_fill_us, CASE WHEN ahead + qty = 0 THEN 0 ELSE CAST(ahead AS DOUBLE) / (ahead + qty) END AS queue_fraction, ts_us + h.h <= end_us AS whole
+  FROM followed f JOIN (SELECT symbol_id, max(ts_us) AS end_us FROM md GROUP BY 1) e USING (symbol_id) CROSS JOIN (SELECT unnest([60000000, 600000000, {REST_US}]) AS h) h)"""
+
+SQL_SIGMA = f""",
+obs AS MATERIALIZED (SELECT symbol_id, ts_us // 86400000000 AS day, ts_us, idx, mid_x2, row_number() OVER (PARTITION BY symbol_id, ts_us // 86400000000 ORDER BY ts_us, idx) AS r FROM best WHERE mid_x2 IS NOT NULL),
+nexts AS MATERIALIZED (SELECT a.symbol_id, a.day, a.r, min(b.r) AS nxt FROM obs a LEFT JOIN obs b ON a.symbol_id = b.symbol_id AND a.day = b.day AND b.ts_us >= a.ts_us + {SAMPLE_US} GROUP BY 1, 2, 3),
+chain AS (SELECT symbol_id, day, CAST(1 AS BIGINT) AS r FROM obs WHERE r = 1 UNION ALL SELECT c.symbol_id, c.day, n.nxt FROM chain c JOIN nexts n ON c.symbol_id = n.symbol_id AND c.day = n.day AND c.r = n.r WHERE n.nxt IS NOT NULL),
+kept AS (SELECT o.*, pow((o.mid_x2 - lag(o.mid_x2) OVER w) / 2.0, 2) AS d2, (o.ts_us - lag(o.ts_us) OVER w) / 1e6 AS dt FROM obs o JOIN chain USING (symbol_id, day, r) WINDOW w AS (PARTITION BY o.symbol_id, o.day ORDER BY o.ts_us)),
+vol AS (SELECT symbol_id, idx, sqrt(coalesce(sum(d2) OVER t / sum(dt) OVER t, 0)) AS sigma FROM kept WINDOW t AS (PARTITION BY symbol_id, day ORDER BY ts_us RANGE BETWEEN {WINDOW_US} PRECEDING AND CURRENT ROW))"""
 
 
 def probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.outcomes(_followed("PESS")(spark, sf_dir), [60_000_000, 600_000_000, REST_US])
+    orders, md, _ = resting(spark, sf_dir)
+    ends = md.groupBy("symbol_id").agg(F.max("ts_us").alias("end_us"))
+    return queue.outcomes(queue.follow(orders, md, "PESS", REST_US), [60_000_000, 600_000_000, REST_US], ends)
+
+
+def volatility(best: DataFrame) -> DataFrame:
+    """symbol_id, ts_us, idx, sigma at each spaced observation."""
+    two = best.where("mid_x2 is not null").withColumn("day", grid.utc_day(F.col("ts_us")))
+    return rolling.sigma(rolling.spaced(two, SAMPLE_US), WINDOW_US).select("symbol_id", "ts_us", "idx", "sigma")
 
 
-@query("probe_outcomes", "order_id:s horizon_us:l hit:b time_to_fill_us:l", SQL_OUTCOMES + ";SELECT * FROM outcomes")
+@query("probe_outcomes", "order_id:s horizon_us:l hit:b time_to_fill_us:l whole:b", SQL_OUTCOMES + ";SELECT * FROM outcomes")
 def probe_outcomes(spark, sf_dir):
-    """Each probe at each horizon."""
+    """Each probe at each horizon (Q16)."""
     return probe_rows(spark, sf_dir)
 
 
+@query("probe_table", "order_id:s date:s side:s depth:l horizon_us:l queue_fraction:d imbalance:d sigma:d filled:b time_to_fill_us:l", SQL_OUTCOMES + SQL_SIGMA + """;SELECT o.order_id, strftime(make_timestamp(CAST(o.ts_us AS BIGINT)), '%Y-%m-%d') AS date, CASE side WHEN 0 THEN 'BID' ELSE 'ASK' END AS side, depth, horizon_us, queue_fraction, imbalance, sigma, hit AS filled, CASE WHEN hit THEN time_to_fill_us ELSE -1 END AS time_to_fill_us FROM outcomes o ASOF LEFT JOIN vol ON vol.symbol_id = o.symbol_id AND vol.idx <= o.idx""")
+def probe_table(spark, sf_dir):
+    """The probes table with the features of each probe's moment."""
+    orders, md, best = resting(spark, sf_dir)
+    rows = as_of(queue.follow(orders, md, "PESS", REST_US).drop("fills"), volatility(best), ["symbol_id"], ["sigma"])
+    rows = queue.outcomes(rows, [60_000_000, 600_000_000, REST_US])
+    return rows.select("order_id", grid.utc_date(F.col("ts_us")).alias("date"), grid.side_name(F.col("side")).alias("side"), "depth", "horizon_us", "queue_fraction", "imbalance", "sigma", F.col("hit").alias("filled"), F.when(F.col("hit"), F.col("time_to_fill_us")).otherwise(-1).alias("time_to_fill_us"))
+
+
+@query("fills_table", "order_id:s fill_us:l fill_idx:l date:s side:s price:d qty:d mid:d ahead:l queue_fraction:d ahead_at_fill:l behind_at_fill:l fill_fraction:d cause:s imbalance_at_fill:d sigma_at_fill:d", sql_queue("PESS") + SQL_SIGMA + """,
+moves AS (SELECT order_id, r, a, b, f, lag(a) OVER w AS a0, lag(b) OVER w AS b0, lag(rem) OVER w AS rem0, lag(f) OVER w AS f0 FROM states WINDOW w AS (PARTITION BY order_id ORDER BY r)),
+filled AS (SELECT p.symbol_id, p.order_id, p.side, p.price, p.qty, p.ahead, m.f - m.f0 AS lots, m.a AS a, m.b AS b, o.q - m.a0 - m.rem0 > 0 AS through, o.ts_us AS fill_us, o.idx AS fill_idx FROM moves m JOIN own o USING (order_id, r) JOIN placed p USING (order_id) WHERE m.f > m.f0)
+;SELECT f.order_id, fill_us, fill_idx, strftime(make_timestamp(CAST(fill_us AS BIGINT)), '%Y-%m-%d') AS date, CASE f.side WHEN 0 THEN 'BID' ELSE 'ASK' END AS side, f.price * 0.01 AS price, lots * 0.1 AS qty, b.mid_x2 * 0.005 AS mid, ahead, CAST(ahead AS DOUBLE) / (ahead + f.qty) AS queue_fraction, f.a AS ahead_at_fill, f.b AS behind_at_fill, CAST(ahead AS DOUBLE) / (ahead + lots) AS fill_fraction,
+  CASE WHEN through THEN 'traded_through' ELSE 'queue_consumed' END AS cause, CASE WHEN coalesce(b.bid_qty, 0) + coalesce(b.ask_qty, 0) = 0 THEN 0.5 ELSE CAST(coalesce(b.bid_qty, 0) AS DOUBLE) / (coalesce(b.bid_qty, 0) + coalesce(b.ask_qty, 0)) END AS imbalance_at_fill, sigma AS sigma_at_fill
+  FROM filled f JOIN best b ON b.symbol_id = f.symbol_id AND b.idx = f.fill_idx ASOF LEFT JOIN vol ON vol.symbol_id = f.symbol_id AND vol.idx <= f.fill_idx""")
+def fills_table(spark, sf_dir):
+    """The fills table of the pessimistic model: where each fill stood in its queue, why it filled, and the market then."""
+    orders, md, best = resting(spark, sf_dir)
+    rows = queue.fills(queue.follow(orders, md, "PESS", REST_US)).select("symbol_id", "order_id", "side", "price", "qty", "ahead", "queue_fraction", "fill_us", F.col("fill_us").alias("ts_us"), F.col("fill_idx").alias("idx"), "fill_idx", "fill_qty", "ahead_at_fill", "behind_at_fill", "fill_fraction", "cause")
+    now = best.select("symbol_id", "idx", F.col("mid_x2").alias("mid_then"), book.imbalance(F.col("bid_qty"), F.col("ask_qty")).alias("imbalance_at_fill"))
+    rows = as_of(rows.join(now, ["symbol_id", "idx"]), volatility(best), ["symbol_id"], ["sigma"])
+    return rows.select("order_id", "fill_us", "fill_idx", grid.utc_date(F.col("fill_us")).alias("date"), grid.side_name(F.col("side")).alias("side"), grid.to_price(F.col("price"), 0.01).alias("price"), grid.to_qty(F.col("fill_qty"), 0.1).alias("qty"), grid.to_price(F.col("mid_then"), 0.005).alias("mid"), "ahead", "queue_fraction", "ahead_at_fill", "behind_at_fill", "fill_fraction", "cause", "imbalance_at_fill", F.col("sigma").alias("sigma_at_fill"))
+
+
 @query("fill_surface", "depth:l b0:d b1:d b2:d b3:d b4:d b5:d b6:d b7:d b8:d b9:d", SQL_OUTCOMES + """,
 binned AS (SELECT depth, CAST(hit AS INT) AS hit, CAST(ahead AS DOUBLE) / (ahead + qty) AS f FROM outcomes WHERE horizon_us = """ + str(REST_US) + """)
 ;SELECT depth, """ + ", ".join(f"avg(hit) FILTER (f {'>=' if i == 0 else '>'} {report.EDGES[i]!r}::DOUBLE AND f <= {report.EDGES[i + 1]!r}::DOUBLE) AS b{i}" for i in range(10)) + " FROM binned GROUP BY 1")
@@ -483,11 +529,11 @@ def fill_surface(spark, sf_dir):
 
 
 @query("probe_monotone", "horizon_us:l n:l fill_rate:d falls:b", SQL_OUTCOMES + """,
-rates AS (SELECT horizon_us, count(*) AS n, avg(CAST(hit AS INT)) AS fill_rate FROM outcomes GROUP BY 1)
+rates AS (SELECT horizon_us, count(*) FILTER (whole) AS n, coalesce(avg(CAST(hit AS INT)) FILTER (whole), 0) AS fill_rate FROM outcomes GROUP BY 1)
 ;SELECT *, coalesce(fill_rate < lag(fill_rate) OVER (ORDER BY horizon_us) - 1e-9, false) AS falls FROM rates""")
 def probe_monotone(spark, sf_dir):
-    """Fill rates per horizon, which never fall as the horizon grows."""
-    rates = probe_rows(spark, sf_dir).groupBy("horizon_us").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("fill_rate"))
+    """Fill rates per horizon over probes with the whole horizon, and whether one is below the one before."""
+    rates = queue.fill_rates(probe_rows(spark, sf_dir))
     own = Window.partitionBy(F.lit(0)).orderBy("horizon_us")  # a row per horizon
     return rates.withColumn("falls", F.coalesce(F.col("fill_rate") < F.lag("fill_rate").over(own) - 1e-9, F.lit(False)))
 
@@ -522,31 +568,34 @@ def hazard_fit(spark, sf_dir):
 
 
 _QUOTE_INPUTS = """
-inputs AS (SELECT event_id, 10000 + user_id % 50 / 4.0 AS mid, event_id % 21 - 10 AS q, (event_id % 7 + 1) * 1e-3 AS gamma, (user_id % 5 + 1) * 0.05 AS k, CAST(floor(abs(value)) AS BIGINT) % 9 / 2.0 AS sigma FROM events WHERE event_id % 10 = 0)"""
+inputs AS (SELECT event_id, CASE WHEN event_id % 41 = 0 THEN 'nan'::DOUBLE ELSE 10000 + user_id % 50 / 4.0 END AS mid, event_id % 21 - 10 AS q, CASE WHEN event_id % 31 = 0 THEN 0.0 ELSE (event_id % 7 + 1) * 1e-3 END AS gamma, CASE WHEN event_id % 43 = 0 THEN 1e-300 ELSE (user_id % 5 + 1) * 0.05 END AS k, CAST(floor(abs(value)) AS BIGINT) % 9 / 2.0 AS sigma FROM events)"""
 
 
-def quote_inputs(spark: SparkSession, sf_dir: str, some: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").where(some)
-    return e.select("event_id", (10000 + F.col("user_id") % 50 / 4.0).alias("mid"), (F.col("event_id") % 21 - 10).alias("q"), ((F.col("event_id") % 7 + 1) * 1e-3).alias("gamma"), ((F.col("user_id") % 5 + 1) * 0.05).alias("k"), (F.floor(F.abs("value")).cast("long") % 9 / 2.0).alias("sigma"))
+def quote_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    n = F.col("event_id")
+    gamma = F.when(n % 31 == 0, 0.0).otherwise((n % 7 + 1) * 1e-3)
+    return e.select("event_id", F.when(n % 41 == 0, float("nan")).otherwise(10000 + F.col("user_id") % 50 / 4.0).alias("mid"), (n % 21 - 10).alias("q"), gamma.alias("gamma"), F.when(n % 43 == 0, 1e-300).otherwise((F.col("user_id") % 5 + 1) * 0.05).alias("k"), (F.floor(F.abs("value")).cast("long") % 9 / 2.0).alias("sigma"))
 
 
 @query("as_quotes", "event_id:l bid:d ask:d bid_ticks:l ask_ticks:l", _QUOTE_INPUTS + """,
-solved AS (SELECT *, mid - q * gamma * sigma * sigma * 60 AS r, gamma * sigma * sigma * 60 + 2 / gamma * ln(1 + gamma / k) AS s FROM inputs)
-;SELECT event_id, r - s / 2 AS bid, r + s / 2 AS ask, floor(r - s / 2) AS bid_ticks, ceil(r + s / 2) AS ask_ticks FROM solved""", "event_id % 10 = 0")
-def as_quotes(spark, sf_dir, some="event_id % 10 = 0"):
+solved AS (SELECT *, mid - q * gamma * sigma * sigma * 60 AS r, gamma * sigma * sigma * 60 + 2 / gamma * ln(1 + gamma / k) AS s FROM inputs WHERE gamma > 0 AND NOT isnan(mid))
+;SELECT event_id, r - s / 2 AS bid, r + s / 2 AS ask, floor(r - s / 2) AS bid_ticks, ceil(r + s / 2) AS ask_ticks FROM inputs LEFT JOIN solved USING (event_id)""")
+def as_quotes(spark, sf_dir):
     """Quotes around the reservation price, rounded outward."""
-    rows = quote_inputs(spark, sf_dir, some).withColumn("z", quotes.reservation_quotes(F.col("mid"), F.col("q"), F.col("gamma"), F.col("k"), F.col("sigma"), F.lit(60.0)))
+    rows = quote_inputs(spark, sf_dir).withColumn("z", quotes.reservation_quotes(F.col("mid"), F.col("q"), F.col("gamma"), F.col("k"), F.col("sigma"), F.lit(60.0)))
     low, high = quotes.outward(F.col("z.bid"), F.col("z.ask"))
     return rows.select("event_id", "z.bid", "z.ask", low.alias("bid_ticks"), high.alias("ask_ticks"))
 
 
 @query("glft_quotes", "event_id:l bid:d ask:d bid_delta:d ask_delta:d", _QUOTE_INPUTS + """,
-solved AS (SELECT *, 1 / gamma * ln(1 + gamma / k) AS base, sqrt(sigma * sigma * gamma / (2 * k * 0.8) * exp((1 + k / gamma) * ln(1 + gamma / k))) AS skew FROM inputs),
+powers AS (SELECT *, (1 + k / gamma) * ln(1 + gamma / k) AS p FROM inputs WHERE gamma > 0 AND NOT isnan(mid)),
+solved AS (SELECT *, 1 / gamma * ln(1 + gamma / k) AS base, CASE WHEN k > 1e-100 THEN sqrt(sigma * sigma * gamma / (2 * greatest(k, 1e-100) * 0.8) * exp(least(p, 100))) ELSE 0 END AS skew FROM powers),
 deltas AS (SELECT *, greatest(base + (2 * q + 1) / 2.0 * skew, 0) AS bid_delta, greatest(base - (2 * q - 1) / 2.0 * skew, 0) AS ask_delta FROM solved)
-;SELECT event_id, mid - bid_delta AS bid, mid + ask_delta AS ask, bid_delta, ask_delta FROM deltas""", "event_id % 10 = 0")
-def glft_quotes(spark, sf_dir, some="event_id % 10 = 0"):
+;SELECT event_id, d.mid - bid_delta AS bid, d.mid + ask_delta AS ask, bid_delta, ask_delta FROM inputs LEFT JOIN deltas d USING (event_id)""")
+def glft_quotes(spark, sf_dir):
     """Stationary quote distances, none below zero."""
-    rows = quote_inputs(spark, sf_dir, some).withColumn("z", quotes.stationary_quotes(F.col("mid"), F.col("q"), F.col("gamma"), F.col("k"), F.lit(0.8), F.col("sigma")))
+    rows = quote_inputs(spark, sf_dir).withColumn("z", quotes.stationary_quotes(F.col("mid"), F.col("q"), F.col("gamma"), F.col("k"), F.lit(0.8), F.col("sigma")))
     return rows.select("event_id", "z.bid", "z.ask", "z.bid_delta", "z.ask_delta")
 
 
@@ -597,7 +646,7 @@ def pnl_by_fee(spark, sf_dir):
 
 @query("break_even_fee", "symbol_id:l break_even:d", SQL_CURVE + """,
 steps AS (SELECT *, lag(fee) OVER w AS fee0, lag(pnl) OVER w AS pnl0 FROM curve WINDOW w AS (PARTITION BY symbol_id ORDER BY fee)),
-crossings AS (SELECT symbol_id, fee, fee0 + (fee - fee0) * CAST(pnl0 AS DOUBLE) / CAST(pnl0 - pnl AS DOUBLE) AS x FROM steps WHERE pnl0 >= 0 AND pnl < 0 OR pnl0 < 0 AND pnl >= 0)
+crossings AS (SELECT symbol_id, fee, fee0 + (fee - fee0) * CAST(pnl0 AS DOUBLE) / CAST(pnl0 - pnl AS DOUBLE) AS x FROM steps WHERE pnl0 > 0 AND pnl <= 0 OR pnl0 < 0 AND pnl >= 0)
 ;SELECT c.symbol_id, coalesce(arg_min(x.x, x.fee), 'nan'::DOUBLE) AS break_even FROM (SELECT DISTINCT symbol_id FROM curve) c LEFT JOIN crossings x USING (symbol_id) GROUP BY 1""")
 def break_even_fee(spark, sf_dir):
     """The fee at which profit turns."""
@@ -612,29 +661,28 @@ def matrix_grid(spark, sf_dir):
     return cells.withColumn("run_id", grid.sanitise(grid.run_id(F.col("strategy"), F.col("queue"), F.col("fee_bp").cast("string"), F.col("latency_ms").cast("string"), F.lit("1"))))
 
 
-@query("spread_scout", "symbol_id:l n:l median_mid_x2:d median_bp:d p90_bp:d median_ticks:d min_ticks:l median_top:d wide:b", SQL_BOOK + """,
-ok AS (SELECT *, best_ask - best_bid AS ticks, 20000.0 * (best_ask - best_bid) / mid_x2 AS bp, least(best_bid * bid_qty, best_ask * ask_qty) AS top FROM best WHERE best_bid > 0 AND best_ask > best_bid)
-;SELECT symbol_id, count(*) AS n, median(mid_x2) AS median_mid_x2, median(bp) AS median_bp, quantile_cont(bp, 0.9) AS p90_bp, median(ticks) AS median_ticks, min(ticks) AS min_ticks, median(top) AS median_top, median(bp) >= 2 AND median(ticks) >= 3 AS wide FROM ok GROUP BY 1""")
+@query("spread_scout", "symbol_id:l n:l median_mid_x2:d median_bp:d p90_bp:d median_ticks:d tick:l median_top:d wide:b", SQL_BOOK + """,
+ok AS (SELECT *, best_ask - best_bid AS spread, 20000.0 * (best_ask - best_bid) / mid_x2 AS bp, least(bid_qty, ask_qty) * mid_x2 / 2.0 AS top FROM best WHERE best_bid > 0 AND best_ask > best_bid)
+;SELECT symbol_id, count(*) AS n, median(mid_x2) AS median_mid_x2, median(bp) AS median_bp, list_sort(list(bp))[CAST(floor(0.9 * (count(*) - 1)) AS BIGINT) + 1] AS p90_bp, median(spread) / min(spread) AS median_ticks, min(spread) AS tick, median(top) AS median_top, median(bp) >= 2 AND median(spread) / min(spread) >= 3 AS wide FROM ok GROUP BY 1""")
 def spread_scout(spark, sf_dir):
     """Which instruments are wide enough to quote."""
     return report.spread_scout(book.bbo(market_events(spark, sf_dir)))
 
 
-@query("missing_hours", "symbol_id:l hour:l", """,
-present AS (SELECT DISTINCT user_id % 4 AS symbol_id, epoch_us(ts) // 3600000000 AS hour FROM events WHERE event_id % 97 = user_id % 4),
+@query("missing_hours", "symbol_id:l hour:l", """present AS (SELECT DISTINCT user_id % 4 AS symbol_id, epoch_us(ts) // 3600000000 AS hour FROM events),
 spans AS (SELECT symbol_id, min(hour) AS lo, max(hour) AS hi FROM present GROUP BY 1)
-;SELECT s.symbol_id, h.hour FROM (SELECT symbol_id, unnest(range(lo, hi + 1)) AS hour FROM spans) h JOIN spans s USING (symbol_id) ANTI JOIN present p ON p.symbol_id = h.symbol_id AND p.hour = h.hour""".lstrip(",\n"), "event_id % 97 = user_id % 4")
-def missing_hours(spark, sf_dir, some="event_id % 97 = user_id % 4"):
+;SELECT s.symbol_id, h.hour FROM (SELECT symbol_id, unnest(range(lo, hi + 1)) AS hour FROM spans) h JOIN spans s USING (symbol_id) ANTI JOIN present p ON p.symbol_id = h.symbol_id AND p.hour = h.hour""")
+def missing_hours(spark, sf_dir):
     """Hours without a recording between an instrument's first and last."""
-    e = read(spark, sf_dir, "events").where(some)
+    e = read(spark, sf_dir, "events")
     return report.missing_hours(e.select((F.col("user_id") % 4).alias("symbol_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("hour")))
 
 
-@query("last_gaps", "symbol_id:l ln:l", SQL_MESSAGES + ";SELECT symbol_id, ln FROM synced WHERE gap ORDER BY ts_us DESC, symbol_id DESC, ln DESC LIMIT 10")
+@query("last_gaps", "symbol_id:l ln:l", SQL_MESSAGES + ";SELECT symbol_id, ln FROM synced WHERE gap QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY ln DESC) <= 10")
 def last_gaps(spark, sf_dir):
-    """The ten latest breaks."""
+    """The last ten breaks of each instrument's log, in its order."""
     rows = sync.synchronised(messages(spark, sf_dir)).where("gap")
-    return rows.orderBy(F.desc("ts_us"), F.desc("symbol_id"), F.desc("ln")).limit(10)
+    return rows.groupBy("symbol_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list("ln"))), 1, 10).alias("x")).select("symbol_id", F.explode("x").alias("ln"))
 
 
 @query("event_counters", "symbol_id:l minute5:l n:l n_trades:l volume:l", SQL_MD + ";SELECT symbol_id, ts_us // 300000000 AS minute5, count(*) AS n, count(*) FILTER (type = 1) AS n_trades, coalesce(sum(qty) FILTER (type = 1), 0) AS volume FROM md GROUP BY 1, 2")

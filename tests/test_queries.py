@@ -48,10 +48,10 @@ def test_entry(spark):
 def test_all_events_have_results(spark, db):
     rows = lambda name: __spark_entry__.queries()[name](spark, SF)
     n = db.execute("SELECT count(*) FROM events").fetchone()[0]
-    assert rows("as_quotes_all").count() == rows("glft_quotes_all").count() == n
-    assert rows("depth_within_5_all").count() == rows("bbo").count()
+    assert rows("as_quotes").count() == rows("glft_quotes").count() == n
+    assert rows("depth_within_5").count() == rows("bbo").count()
     seen = {tuple(x) for x in db.execute("SELECT DISTINCT user_id % 4, epoch_us(ts) // 3600000000 FROM events").fetchall()}
-    assert not seen & {tuple(r) for r in rows("missing_hours_all").select("symbol_id", "hour").collect()}
+    assert not seen & {tuple(r) for r in rows("missing_hours").select("symbol_id", "hour").collect()}
 
 
 def test_sweep_pays_what_it_earns(spark):
