@@ -93,7 +93,7 @@ def sketch(line: str) -> str:
     bit; an edit changes two counts by one.
     """
     words = f"aggregate(split({line}, ' '), 0L, (s, w) -> s ^ shiftleft(1L, cast(pmod(xxhash64(w), 32) as int) + 32))"
-    counts = (f"(length({line}) - length(replace({line}, '{letter}', ''))) & 3" for letter in LETTERS)
+    counts = (f"(octet_length({line}) - octet_length(replace({line}, '{letter}', ''))) & 3" for letter in LETTERS)
     return " | ".join([words, *(f"cast(shiftright({0b10110100}, 2 * ({n})) & 3 as bigint) << {2 * i}" for i, n in enumerate(counts))])
 
 
