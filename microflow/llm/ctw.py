@@ -68,12 +68,53 @@ class Level:
 
 def _sum_by(keys: np.ndarray, *values):
     """Distinct keys, and sums of each value by key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
     return k[new], *(np.add.reduceat(v[order], new) if len(k) else v[:0] for v in values)
 
 
+def _count_by(keys: np.ndarray, counted: np.ndarray):
+    """Distinct keys of 63 bits at most, and how many of each are counted: the flags ride along in one sort."""
+    both = np.sort((keys << np.uint64(1)) | counted.astype(np.uint64))
+    k = both >> np.uint64(1)
+    new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    return k[new], np.add.reduceat((both & np.uint64(1)).astype(np.int64), new) if len(k) else np.zeros(0, np.int64)
+
+
+class Lookup:
+    """Values by distinct 64-bit keys: an open-addressing table that is filled and asked many keys at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, values.dtype)
+        used, owner = np.zeros(1 << bits, bool), np.zeros(1 << bits, np.int64)
+        left, slot = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            owner[slot] = left
+            won = ~used[slot] & (owner[slot] == left)
+            at, own = slot[won], left[won]
+            used[at], self.keys[at], self.values[at] = True, keys[own], values[own]
+            left, slot = left[~won], (slot[~won] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys that are all in the table."""
+        slot = self._home(keys)
+        out = self.values[slot]
+        miss = np.flatnonzero(self.keys[slot] != keys)
+        slot = slot[miss]
+        while len(miss):
+            slot = (slot + 1) & self.mask
+            found = self.keys[slot] == keys[miss]
+            out[miss[found]] = self.values[slot[found]]
+            miss, slot = miss[~found], slot[~found]
+        return out
+
+
 def decisions(gram: np.ndarray):
     """The eight binary decisions of each gram's last byte: (bits read before, with a leading one; the bit)."""
     symbol = (gram & np.uint64(255)).astype(np.int64)
@@ -197,7 +238,7 @@ def _lookups(batches, depth: int):
                 own = [texts[i] for i in cut]
                 for kind, (keys, edges) in ((GRAM, byte_grams(own, depth)), (TOKEN, word_keys(own))):
                     train = np.repeat(~out[cut], np.diff(edges))
-                    have[kind].append(_sum_by(keys, train.astype(np.int64)))
+                    have[kind].append(_count_by(keys, train) if kind == GRAM and depth < 7 else _sum_by(keys, train.astype(np.int64)))
                     if len(have[kind]) > 8:
                         have[kind] = [merged(have[kind])]
     if now is not None:
@@ -268,19 +309,18 @@ def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES,
         own = as_bytes(left["text"])
         out = np.array(left["held_out"].to_pylist(), bool)
         kind, key, value = right["kind"].to_numpy(), right["key"].to_numpy().view(np.uint64), right["value"].to_numpy()
-        found = {}
-        for k in (GRAM, TOKEN):
-            order = np.argsort(key[kind == k])
-            found[k] = key[kind == k][order], value[kind == k][order]
+        grams = Lookup(key[kind == GRAM], value[kind == GRAM])
+        order = np.argsort(key[kind == TOKEN])
+        shared_keys, shared_counts = key[kind == TOKEN][order], value[kind == TOKEN][order]
         runs = list(_runs_of_bytes(own))
         mine = []
         for lo, hi in runs:
             keys, edges = word_keys(own[lo:hi])
             mine.append(_sum_by(keys, np.repeat(~out[lo:hi], np.diff(edges)).astype(np.int64)))
         tokens, count = _sum_by(*(np.concatenate(x) for x in zip(*mine)))
-        if len(found[TOKEN][0]):
-            at = np.minimum(np.searchsorted(found[TOKEN][0], tokens), len(found[TOKEN][0]) - 1)
-            count = np.where(found[TOKEN][0][at] == tokens, found[TOKEN][1][at].astype(np.int64), count)
+        if len(shared_keys):
+            at = np.minimum(np.searchsorted(shared_keys, tokens), len(shared_keys) - 1)
+            count = np.where(shared_keys[at] == tokens, shared_counts[at].astype(np.int64), count)
         logs = np.log10((count + 0.1) / (train + 0.1 * (distinct + 1)))
         base_score, scores = np.zeros(len(own)), np.zeros(len(own))
         known, sizes = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
@@ -290,8 +330,7 @@ def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES,
             base_score[lo:hi] = np.bincount(which, logs[at], hi - lo)
             known[lo:hi] = np.bincount(which, count[at] > 0, hi - lo)
             gram, edges = byte_grams(own[lo:hi], depth)
-            p = found[GRAM][1][np.searchsorted(found[GRAM][0], gram)]
-            scores[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), np.diff(edges)), p, hi - lo)
+            scores[lo:hi] = np.add.reduceat(grams[gram], edges[:-1])  # each text has its end at least
             sizes[lo:hi] = np.diff(edges)
         return pa.table({"id": left["id"], "held_out": left["held_out"], "n_tokens": left["n_tokens"], "n_known": known, "train_tokens": np.full(len(own), train), "base_score": base_score, "score": scores, "bytes_coded": sizes, "bits_per_byte": scores / -np.log10(2) / sizes})
 
