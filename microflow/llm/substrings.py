@@ -14,15 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from microflow.llm.common import as_bytes, mix64, powers, prefix_hash, span_hash, table, written
+from microflow.llm.common import as_bytes, col, mix64, powers, prefix_hash, span_hash, table, written
 
 #: Length of the strings, and of the sampled grams.
 L, K = 100, 32
 REACH = L - K  # a string begins so many bytes before its sample at most
 #: The distances between a string's start and its sample are looked at as a whole, then in parts, then one by one.
 LEVELS = (((0, REACH),), ((0, 16), (17, 33), (34, 50), (51, REACH)), tuple((d, d) for d in range(REACH + 1)))
-#: Bits of the filters that tell tasks which names repeat.
-FILTER_BITS = 27
 _CHUNK, _LONGEST = 1 << 21, 1 << 23
 _PLACE = np.uint64(0xFFFFFF)
 
@@ -114,63 +112,55 @@ class Folded:
         order = np.lexsort((lo, doc, name))
         group, name, doc, lo, hi = group[order], name[order], doc[order], lo[order], hi[order]
         again = np.concatenate(([False], name[1:] == name[:-1])) if len(name) else np.zeros(0, bool)
-        return pa.RecordBatch.from_arrays([pa.array((group >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(name.view(np.int64)), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array((hi - lo).astype(np.int16)), pa.array(again)], _FIELDS)
+        # what is known to be a repeat needs no company, so a hot passage leaves a row a task in its group
+        group = np.where(again, mix64(doc.view(np.uint64) * _MIX + lo.astype(np.uint64)), group)
+        return pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(name.view(np.int64)), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array((hi - lo).astype(np.int16)), pa.array(again)], _FIELDS)
 
 
 _FIELDS = ["grp", "name", "doc", "lo", "more", "again"]
-_SCHEMA = "grp int, name long, doc long, lo int, more short, again boolean"
-
-
-def _slot(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return (mix64(doc.view(np.uint64) * _MIX + lo.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+_SCHEMA = "grp long, name long, doc long, lo int, more short, again boolean"
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def place_filter(places: DataFrame) -> np.ndarray:
-    """A bit map of places (doc, lo), of FILTER_BITS bits whatever their number; a set bit may be another place's."""
-    block = 20
-
-    def slots(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(b.column(0).to_numpy(), b.column(1).to_numpy())))], ["slot"])
-
-    def bits(t: pa.Table) -> pa.Table:
-        out = np.zeros(1 << (block - 3), np.uint8)
-        at = t["slot"].to_numpy() & ((1 << block) - 1)
-        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return pa.table({"block": t["block"].slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
-
-    found = places.mapInArrow(slots, "slot long").distinct().withColumn("block", F.shiftright("slot", block))
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in found.groupBy("block").applyInArrow(bits, "block long, bits binary").toLocalIterator():
-        out[r.block << (block - 3) : (r.block + 1) << (block - 3)] = np.frombuffer(r.bits, np.uint8)
-    return out
+def _opened(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Of a batch (doc, text, places): its documents in order, and the open places as (number of the document, place) codes."""
+    docs = batch.column(0).to_numpy()
+    order = np.argsort(docs)
+    lists = batch.column(2)
+    number = np.empty(len(docs), np.int64)
+    number[order] = np.arange(len(docs))
+    places = lists.flatten().to_numpy().astype(np.int64)
+    return docs[order], np.sort(np.repeat(number, np.diff(lists.offsets.to_numpy())) << 36 | places)
 
 
-def _in_filter(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+def _is_open(opened: tuple[np.ndarray, np.ndarray], doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    docs, codes = opened
+    code = np.searchsorted(docs, doc) << 36 | lo
+    return codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code if len(codes) else np.zeros(len(doc), bool)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, lo, more): string starts lo to lo + more of doc whose string also starts earlier; docs: unique long id, text.
 
     A part of a sample's strings that covers the same bytes as an earlier part is a repeat as a whole. The first of
-    its kind is looked at on the next level, if other text shares what all strings of such a part have in common.
+    its kind is looked at on the next level, if other text shares what all strings of such a part have in common: its
+    place goes to its document, and only documents with such places are read again.
     """
-    sc, out, opened = docs.sparkSession.sparkContext, None, None
+    out, source = None, docs
     own = Window.partitionBy("grp").orderBy("name", "doc", "lo")
     whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for level in range(len(LEVELS)):
 
-        def scan(batches, level=level, opened=opened):
+        def scan(batches, level=level):
             folded = Folded()
             for b in batches:
+                opened = _opened(b) if level else None
                 for s in _samples(b):
                     outer = None
                     if level:  # the part of the level before that each part lies in
-                        outer = [(x[3], x[4], np.isin(np.arange(len(s.at)), x[0][_in_filter(opened.value, _slot(s.doc[x[0]], x[1] + s.shift[x[0]]))])) for x in s.parts(level - 1)]
+                        outer = [(x[3], x[4], np.isin(np.arange(len(s.at)), x[0][_is_open(opened, s.doc[x[0]], x[1] + s.shift[x[0]])])) for x in s.parts(level - 1)]
                     for sample, lo, hi, near, far in s.parts(level):
                         if level:
                             keep = next(x[2] for x in outer if x[0] <= near and far <= x[1])[sample]
@@ -179,14 +169,14 @@ def repeats(docs: DataFrame) -> DataFrame:
                         yield from folded.add(shared, name, s.doc[sample], lo + s.shift[sample], hi + s.shift[sample])
             yield folded.flush()
 
-        rows = docs.mapInArrow(scan, _SCHEMA)
+        rows = source.mapInArrow(scan, _SCHEMA)
         # rows that a task has found again have an earlier row of that task and name before them
         met = rows.select("*", F.lag("name").over(own).alias("before"), F.min("name").over(whole).alias("least"), F.max("name").over(whole).alias("most"))
         same = F.coalesce(F.col("before") == F.col("name"), F.lit(False)) | F.col("again")
         met = met.where(same | (F.col("least") < F.col("most"))).select("doc", "lo", "more", same.alias("repeat"))
         if level + 1 < len(LEVELS):
             met = written(met, "samples")
-            opened = sc.broadcast(place_filter(met.where(~F.col("repeat")).select("doc", "lo")))
+            source = docs.join(met.where(~F.col("repeat")).groupBy("doc").agg(F.collect_list("lo").alias("places")), "doc")
         done = met.where("repeat").select("doc", "lo", "more")
         out = done if out is None else out.unionByName(done)
     return out
@@ -212,7 +202,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hash, and equal rows are documents of their own. Other columns are ignored. An empty table gives an empty result.
     Strings are compared by 64-bit hashes.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     ids = base.agg(F.count("*").alias("n"), F.count("id").alias("known")).first()
     unique = ids.n == ids.known and base.schema["id"].dataType.simpleString() in ("bigint", "int") and not base.groupBy("id").count().where("count > 1").limit(1).count()
     if unique:
