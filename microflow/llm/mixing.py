@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from microflow.llm.common import WORD, table, written
+from microflow.llm.common import WORD, col, free, table, written
 
-#: Primes above any block count, the multipliers of the index permutations.
-PRIMES = (2305843009213693951, 2305843009213693921, 2305843009213693907, 2305843009213693723)
+#: Rounds of the index permutations.
+ROUNDS = 40
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -32,6 +32,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return s.select("source", "sid", F.col("source_size").cast("long").alias("source_size"), "target")
 
 
+def permuted(index: str, size: str, key: str) -> str:
+    """SQL of a keyed permutation of 0 to size - 1, for any size: a swap-or-not network of ROUNDS rounds.
+
+    A round pairs x with (k - x) modulo size and swaps a pair if a bit drawn for it says so; k and the bit depend on
+    the key and the round. No step leaves the range, so nothing overflows or has to be drawn again.
+    """
+    k = f"pmod(xxhash64({key}, r), {size})"
+    partner = f"pmod({k} - x, {size})"
+    return f"aggregate(sequence(1, {ROUNDS}), {index}, (x, r) -> if(pmod(xxhash64({key}, r, greatest(x, {partner})), 2) = 0, x, {partner}))"
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 1024, shard_blocks: int = 4096, seed: int = 7, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pieces, slots) of a mix.
 
@@ -39,18 +50,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     block are the document's, from its word number `at` on. slots: (shard, sid, slot, round, block, words): the block that each slot of the output
     holds, and how many of its first words it takes (all but for a source's last slot, which ends at the target).
 
-    A source's words, its documents in a seeded order, are cut into blocks of `block` words. Each of its slots falls into a
-    uniformly drawn shard, so a shard's source counts are multinomial, given that the totals meet the targets. Slots are
-    mapped through the source's permutation of its full blocks, another one each round; a short last block ends a round. Null text and
-    text without words have size 0 and no piece; null sources are one source, the last; rows repeating an id are
+    A source's words, its documents in a seeded order, are cut into blocks of `block` words. The output's shards draw
+    their source counts: each place of a source falls to a uniform shard, so the counts are multinomial, given that the
+    totals meet the targets (`drawn`). A source's slots are numbered shard by shard from these counts and mapped through the
+    source's permutation of its full blocks, another one each round; a short last block ends a round. Null text and text without words have size 0 and no piece; null sources are one source, the last; rows repeating an id are
     documents of their own (`row` tells them apart). Empty tables give empty results.
     """
-    q = "`" + text_col.replace("`", "``") + "`"
-    sized = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.expr(f"coalesce({q}, '')"), F.lit(WORD)).cast("long").alias("size"))
+    number = col(row_col) if row_col else F.monotonically_increasing_id()
+    sized = docs.select(number.alias("row"), col(id_col).alias("id"), col(source_col).alias("source"), col(text_col).alias("text"))
+    sized = sized.select("row", "id", "source", F.expr(f"cast(regexp_count(coalesce(text, ''), r'{WORD}') as bigint)").alias("size"))
     sized = written(sized, "mix-sizes")
     t = written(targets(sized, weights, share, most), "mix-targets")
     rows = sized.join(t.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("row", "id", "size", "sid", "source_size", "target")
-    salts = max(16, sized.count() // 100_000)
+    salts = max(64, sized.count() // 20_000)
     salted = rows.where("size > 0").withColumn("salt", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(salts)))
     # prefix sums in two steps, so that no task holds a whole source
     sums = salted.groupBy("sid", "salt").agg(F.sum("size").alias("s"))
@@ -66,30 +78,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     s = s.withColumn("n", F.expr(f"(want div source_size) * blocks + (want % source_size + {block} - 1) div {block}"))
     total = s.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_blocks))
-    chunk = 4096  # a hot source's slots start in many tasks
-    chunks = s.where("n > 0").select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {chunk})")).alias("c")).repartition("sid", "c")
-    slots = chunks.select("*", F.explode(F.expr(f"sequence(c * {chunk}, least((c + 1) * {chunk}, n) - 1)")).alias("slot"))
+    counts = shard_counts(s, shards, seed)
+    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("first", F.coalesce(F.sum("n_slots").over(before), F.lit(0).cast("long")))
+    # a slot a row: a hot source's shards are dealt to many tasks
+    slots = counts.join(s, "sid").repartition("sid", "shard").select("*", F.explode(F.expr("sequence(first, first + n_slots - 1)")).alias("slot"))
     slots = slots.withColumn("round", F.expr("slot div blocks")).withColumn("i", F.expr("slot % blocks"))
-    # multiplying by a prime above the count of blocks and adding a shift permutes the indices
-    full = F.greatest("full", F.lit(1))
-    step = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64(F.lit(seed), "sid", "round"), F.lit(len(PRIMES))) + 1).cast("int")) % full
-    shift = F.pmod(F.xxhash64(F.lit(seed + 1), "sid", "round"), full)
-    slots = slots.withColumn("block", F.when(F.col("i") < F.col("full"), (F.col("i") * step + shift) % full).otherwise(F.col("i")))
+    slots = slots.withColumn("block", F.when(F.col("i") < F.col("full"), F.expr(permuted("i", "full", f"{seed + 1}, sid, round"))).otherwise(F.col("i")))
     left = F.when(F.expr("round < want div source_size"), F.lit(block)).otherwise(F.expr("want % source_size") - F.col("i") * block)
     slots = slots.withColumn("words", F.least(F.lit(block), F.expr(f"source_size - block * {block}"), left))
-    slots = slots.select(F.pmod(F.xxhash64(F.lit(seed + 2), "sid", "slot"), F.lit(shards)).alias("shard"), "sid", "slot", "round", "block", "words")
-    return rows, pieces, slots
+    return rows, pieces, slots.select("shard", "sid", "slot", "round", "block", "words")
+
 
+def shard_counts(sources: DataFrame, shards: int, seed: int = 7) -> DataFrame:
+    """(sid, shard, n_slots): each source's n slots thrown into uniform shards, a multinomial draw a source.
 
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """The multinomial draws: slots of each source in each shard of the output."""
-    return slots.groupBy("shard", "sid").agg(F.count("*").alias("n_slots"), F.sum("words").alias("n_words"))
+    sources: sid, n. The draws of a hot source are made in many tasks and added up before they are shuffled.
+    """
+    chunk = 4096
+    draws = sources.where("n > 0").select("sid", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {chunk})")).alias("c")).repartition("sid", "c")
+    draws = draws.select("sid", F.explode(F.expr(f"sequence(c * {chunk}, least((c + 1) * {chunk}, n) - 1)")).alias("place"))
+    return draws.groupBy("sid", F.pmod(F.xxhash64(F.lit(seed + 2), "sid", "place"), F.lit(shards)).alias("shard")).agg(F.count("*").alias("n_slots"))
 
 
 def taken(rows: DataFrame, pieces: DataFrame, slots: DataFrame) -> DataFrame:
     """rows with `taken`, the words that the mix takes of each document, repeats counted."""
     overlap = F.greatest(F.least("hi", "words") - F.col("lo"), F.lit(0))
-    got = slots.join(pieces, ["sid", "block"]).groupBy("row").agg(F.sum(overlap).alias("taken"))
+    got = slots.hint("merge").join(pieces, ["sid", "block"]).groupBy("row").agg(F.sum(overlap).alias("taken"))
     return rows.join(got, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
@@ -99,21 +114,22 @@ def mixed(docs: DataFrame, text_col: str = "text", length_col: str | None = None
     A round that takes all words gives the text as it is, any other the words taken, joined by single spaces; then
     length_col, if given, becomes the new text's count of code points. Documents that are not drawn have no row.
     """
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
-    rows, pieces, slots = mix(numbered, text_col=text_col, row_col="_row", **options)
+    own, parts, words, cut_ = (free(x, docs) for x in ("mix_row", "mix_parts", "mix_words", "mix_cut"))
+    numbered = written(docs.withColumn(own, F.monotonically_increasing_id()), "mix-documents")
+    rows, pieces, slots = mix(numbered, text_col=text_col, row_col=own, **options)
     n = F.least("hi", "words") - F.col("lo")
-    got = slots.join(pieces, ["sid", "block"]).where(n > 0).groupBy("row", "round").agg(F.sum(n).alias("_n"), F.array_sort(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), n.cast("int").alias("n")))).alias("_parts"))
+    got = slots.hint("merge").join(pieces, ["sid", "block"]).where(n > 0).groupBy("row", "round").agg(F.sum(n).alias("n"), F.array_sort(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), n.cast("int").alias("n")))).alias("parts"))
     got = got.join(rows.select("row", "size"), "row")
-    got = got.select(F.col("row").alias("_row"), F.when(F.col("_n") < F.col("size"), F.col("_parts")).alias("_parts"))
-    out = numbered.join(got, "_row")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    got = got.select(F.col("row").alias(own), F.when(F.col("n") < F.col("size"), F.col("parts")).alias(parts))
+    out = numbered.join(got, own)
+    found = F.regexp_extract_all(col(text_col), F.lit(WORD), F.lit(0))
     # an array argument is computed once, whatever the number of parts
-    cut = F.expr("aggregate(_parts, struct(_words as w, '' as t), (a, x) -> struct(a.w as w, concat(a.t, if(a.t = '', '', ' '), array_join(slice(a.w, x.at + 1, x.n), ' ')) as t), a -> a.t)")
-    out = out.withColumn("_words", F.when(F.col("_parts").isNotNull(), words)).withColumn("_cut", cut)
-    changed = {text_col: F.coalesce("_cut", text_col)}
+    cut = F.expr(f"aggregate({parts}, struct({words} as w, '' as t), (a, x) -> struct(a.w as w, concat(a.t, if(a.t = '', '', ' '), array_join(slice(a.w, x.at + 1, x.n), ' ')) as t), a -> a.t)")
+    out = out.withColumn(words, F.when(F.col(parts).isNotNull(), found)).withColumn(cut_, cut)
+    changed = {text_col: F.coalesce(F.col(cut_), col(text_col))}
     if length_col:
-        changed[length_col] = F.when(F.col("_cut").isNotNull(), F.length("_cut")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)
-    return out.withColumns(changed).select(*docs.columns)
+        changed[length_col] = F.when(F.col(cut_).isNotNull(), F.length(cut_)).otherwise(col(length_col)).cast(docs.schema[length_col].dataType)
+    return out.withColumns(changed).select(*[col(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
