@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from microflow.llm.common import SPACE, table, written
+from microflow.llm.common import SPACE, col, drop, table, written
 
 #: Directories up to this many cells are broadcast; larger ones are joined by shuffle.
 BROADCAST_CELLS = 1 << 16
@@ -28,12 +28,17 @@ def _prefix(key, depth: int):
 def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     """(cell, bucket) for every cell of the directory, and the directory's depth.
 
-    Doubling: the depth grows until the buckets would fit `capacity` with room to spare. A bucket has the smallest
-    local depth at which it isn't overfull, so cells of a thin region share one bucket. keys: one row per key.
+    The directory is doubled as long as a cell is overfull with several keys, whose next bits part them; a key of its
+    own can't be split and its chain stays in one bucket. A bucket has the smallest local depth at which it isn't
+    overfull, so cells of a thin region share one bucket. keys: one row per entry.
     """
     n = keys.count()
-    depth = min(40, max(1, math.ceil(math.log2(max(2, n / capacity))) + 2))
-    cells = keys.groupBy(_prefix(F.col("key"), depth).alias("cell")).agg(F.count("*").alias("n"))
+    depth = min(64, max(1, math.ceil(math.log2(max(2, n / capacity)))))
+    while True:
+        cells = keys.groupBy(_prefix(F.col("key"), depth).alias("cell")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        if depth == 64 or not cells.where((F.col("n") > capacity) & (F.col("lo") < F.col("hi"))).limit(1).count():
+            break
+        depth += 1
     nodes = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")).withColumn("node", F.expr(f"shiftrightunsigned(cell, {depth} - d)"))
     full = nodes.groupBy("d", "node").agg(F.sum("n").alias("full"))
     local = nodes.join(full, ["d", "node"]).where((F.col("full") <= capacity) | (F.col("d") == depth)).groupBy("cell").agg(F.min("d").alias("d"))
@@ -48,36 +53,38 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     then the smallest id stays. Null text counts as empty; a null id sorts last; rows that repeat an id are kept or
     dropped together. Other columns are ignored, whatever their names. An empty table gives an empty result.
 
-    Tasks first fold copies by (64-bit key, SHA-256, bytes), so a hot group leaves a row per task; the bytes are part
-    of the grouping, so colliding texts form a chain of separate entries. The entries are written as index table, the
-    directory is built over their keys, and each bucket's owner numbers its chains.
+    Tasks first fold copies by (64-bit key, SHA-256, bytes), so a hot group leaves a row per task and its bytes are
+    compared in the grouping; this is the only time that texts are shuffled. The folded entries are inserted into the
+    index: the directory gives each its bucket, an owner task takes a range of buckets and numbers the chain of entries
+    that share a key. Documents look their entry up by bucket, key and SHA-256. Should two texts ever share both, the
+    lookup compares the bytes.
     """
-    text = F.col(text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("t")).select("id", F.length("t").alias("n"), normalised(F.col("t")).alias("norm"))
+    base = docs.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("t")).select("id", F.length("t").alias("n"), normalised(F.col("t")).alias("norm"))
     keyed = base.select("id", "n", "norm", F.xxhash64("norm").alias("key"), F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"))
     # larger is better: code points first, then the smaller id; null ids are worst
     rank = F.expr(f"cast(n as decimal(38,0)) * {_STEP} + coalesce({_TOP} - cast(id as decimal(38,0)) + 1, 0)").cast("decimal(38,0)")
     folded = keyed.groupBy("key", "sha", "norm").agg(F.count("*").alias("size"), F.max(rank).alias("best"))
-    entries = written(folded.select("key", "sha", "size", "best", F.when(F.count("*").over(_chain()) > 1, F.col("norm")).alias("bytes")), "dedup-entries")
+    entries = written(folded.select("key", "sha", "size", "best"), "dedup-entries")
     cells, depth = directory(entries.select("key"), capacity)
-    cells = F.broadcast(cells) if 2**depth <= BROADCAST_CELLS else cells
-    owned = entries.withColumn("cell", _prefix(F.col("key"), depth)).join(cells, "cell").repartition("bucket")
-    index = owned.select("bucket", "key", "sha", "size", "bytes", F.expr(f"cast({_TOP} - (best % {_STEP}) + 1 as decimal(38,0))").alias("k"), F.expr(f"best % {_STEP}").alias("low"))
-    index = index.select("bucket", "key", "sha", "size", "bytes", F.when(F.col("low") > 0, F.col("k").cast("long")).alias("keep_id"))
-    collided = entries.where("bytes is not null").limit(1).count() > 0  # two texts of one SHA-256
-    if not collided:
-        found = keyed.select("id", "key", "sha").join(index.drop("bytes", "bucket"), ["key", "sha"])
+    cells = written(cells, "dedup-directory")
+
+    def owned(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("cell", _prefix(F.col("key"), depth)).join(F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells, "cell").drop("cell")
+
+    own = Window.partitionBy("bucket", "key")
+    index = owned(entries).repartitionByRange(F.col("bucket")).withColumn("chain", F.row_number().over(own.orderBy("sha", "best")))
+    best = F.expr(f"cast({_TOP} - (best % {_STEP}) + 1 as decimal(38,0))")
+    index = index.select("bucket", "key", "sha", "chain", "size", "best", F.when(F.expr(f"best % {_STEP} > 0"), best.cast("long")).alias("keep_id"))
+    index = written(index, "dedup-index")
+    drop(entries)
+    if not index.where("chain > 1").groupBy("bucket", "key", "sha").count().where("count > 1").limit(1).count():
+        found = owned(keyed.select("id", "key", "sha")).join(index, ["bucket", "key", "sha"])
     else:
-        found = keyed.join(index.drop("bucket"), ["key", "sha"]).where("bytes is null or bytes = norm")
+        same = index.join(folded.select("key", "sha", "size", "best", "norm"), ["key", "sha", "size", "best"])
+        found = owned(keyed.select("id", "key", "sha", "norm")).join(same, ["bucket", "key", "sha", "norm"])
     return found.select(F.col("id").alias(id_col), "keep_id", F.col("size").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def _chain():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key", "sha")
-
-
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
