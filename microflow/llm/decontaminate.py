@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microflow.llm.common import as_bytes, mix64, partitions, table, written
+from microflow.llm.common import as_bytes, col, free, mix64, partitions, table, written
 
 #: Benchmarks up to this many characters are one broadcast; larger ones are searched for in that many passes.
 BROADCAST_CHARS = 64_000_000
@@ -77,7 +77,7 @@ class Windows:
                     found.setdefault(int(np.searchsorted(ends, i, side="right")), set()).update(owners)
         at = 0
         for d, t in enumerate(tokens):
-            yield t, hit[at : at + len(t)], sorted(self.items[i] for i in found.get(d, ()))
+            yield t, hit[at : at + len(t)], sorted({self.items[i] for i in found.get(d, ())})
             at += len(t) + 1
 
 
@@ -86,9 +86,10 @@ def _runs(mask: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist()
 
 
-def hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep_text: bool = False) -> DataFrame:
-    """id, n_words, hit_runs (word numbers: start, end ...), items (ids as strings, sorted), and the text if asked for.
+def hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep_text: bool = False, row_col: str | None = None) -> DataFrame:
+    """id, n_words, hit_runs (word numbers: start, end ...), items (distinct ids as strings, sorted), and the text if asked for.
 
+    row_col: a column that tells the rows of docs apart; it comes back as `row`.
     Null text has no words; an item of no words has no window; a null item id counts as the item "". An empty benchmark hits
     nothing. A benchmark beyond BROADCAST_CHARS is cut by item into parts, each broadcast to a pass of its own over a
     table in which each row has a key; every row stays its own, whatever its id.
@@ -96,12 +97,13 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id",
     spark = docs.sparkSession
     chars = items.agg(F.sum(F.length(item_text))).first()[0] or 0
     parts = max(1, -(-chars // BROADCAST_CHARS))
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if parts > 1:
+    keyed = parts > 1 or row_col is not None
+    base = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), *([col(row_col).cast("long").alias("row")] if row_col else []))
+    if parts > 1 and not row_col:
         base = written(base.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
     in_scan = keep_text and parts == 1
-    schema = "id " + base.schema["id"].dataType.simpleString() + ", n_words long, hit_runs array<int>, items array<string>" + (", text string" if in_scan else "") + (", row long" if parts > 1 else "")
-    item = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    schema = "id " + base.schema["id"].dataType.simpleString() + ", n_words long, hit_runs array<int>, items array<string>" + (", text string" if in_scan else "") + (", row long" if keyed else "")
+    item = items.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("item"), col(item_text).alias("text")).where("text is not null")
 
     def one(part: int) -> DataFrame:
         chosen = item if parts == 1 else item.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
@@ -127,7 +129,7 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id",
     merged = both.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit_runs")).alias("hit_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     if keep_text:
         merged = merged.join(base.select("row", "text"), "row")
-    merged = merged.drop("row")
+    merged = merged if row_col else merged.drop("row")
     return merged.repartition(partitions(spark))
 
 
@@ -141,23 +143,45 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, share: int = 20, action: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without contaminated documents ("documents"), or with the hit words cut out of all texts ("spans").
 
-    All columns stay. Cutting removes each run of hit words with what stands between them. Rows that repeat an id go
-    together, in cutting only where their counts of words agree; rows with a null id stay as they are.
+    All columns stay, whatever their names. Cutting removes each run of hit words with what stands between them; each
+    row is cut by its own text, whatever ids repeat. In dropping, rows that repeat an id go together if one of them is
+    contaminated; rows with a null id stay. Null texts stay null.
     """
     if action not in ("documents", "spans"):
         raise ValueError(f"action must be 'documents' or 'spans', not {action!r}")
-    found = judged(hits(docs, items, n, id_col, text_col), share)
+    names = docs.columns
     if action == "documents":
-        bad = found.where("contaminated").select(F.col("id").alias("_bad")).distinct()
-        return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
-    # Spark's regular expressions find the same words, so the runs' word numbers give the cuts
-    runs = found.where("n_hit > 0").groupBy(F.col("id").alias("_id"), F.col("n_words").alias("_n")).agg(F.first("hit_runs").alias("_runs"))
-    word = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
-    with_words = docs.join(runs, docs[id_col] == F.col("_id"), "left")
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    joined = with_words.withColumn("_w", F.regexp_extract_all(t, F.lit(f"({word})"), F.lit(1))).withColumn("_g", F.split(t, word, -1))
-    kept = F.expr("array_join(transform(sequence(0, size(_w)), i -> concat(if(i > 0 and exists(sequence(0, size(_runs) div 2 - 1), r -> i - 1 >= _runs[2 * r] and i - 1 < _runs[2 * r + 1]), '', if(i > 0, _w[i - 1], '')), if(exists(sequence(0, size(_runs) div 2 - 1), r -> i - 1 >= _runs[2 * r] and i < _runs[2 * r + 1]), '', _g[i]))), '')")
-    return joined.withColumn(text_col, F.when(F.size("_runs") > 0, kept).otherwise(F.col(text_col))).select(*docs.columns)
+        bad = free("contaminated_id", docs)
+        found = judged(hits(docs, items, n, id_col, text_col), share)
+        return docs.join(found.where("contaminated").select(F.col("id").alias(bad)).distinct(), col(id_col) == F.col(bad), "left_anti")
+    row, new = free("cut_row", docs), free("cut_text", docs)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "decontamination-rows")
+    found = hits(numbered, items, n, id_col, text_col, row_col=row).where("size(hit_runs) > 0").select(F.col("row").alias(row), F.col("hit_runs").alias(new))
+    hit = numbered.select(row, col(text_col).alias("text")).join(found, row).select(row, "text", new)
+
+    def cut(batches):
+        for b in batches:
+            texts = [cut_words(t, runs) for t, runs in zip(as_bytes(b.column(1)), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.decode() for t in texts], pa.string())], [row, new])
+
+    out = numbered.join(hit.mapInArrow(cut, f"`{row}` long, `{new}` string"), row, "left")
+    return out.withColumn(text_col, F.coalesce(F.col(new), col(text_col))).select(*[col(c) for c in names])
+
+
+def cut_words(text: bytes, runs: list[int]) -> bytes:
+    """text without the runs (start, end ... in words) and what stands within them."""
+    inside = np.frombuffer(text.translate(_KEEP), np.uint8) != 32
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    gone = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(gone, runs[::2], 1)
+    np.add.at(gone, runs[1::2], -1)
+    out, at = [], 0
+    whole = _runs(np.cumsum(gone[:-1]) > 0)
+    for a, z in zip(whole[::2], whole[1::2]):
+        out.append(text[at : starts[a]])
+        at = ends[z - 1]
+    return b"".join([*out, text[at:]])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
