@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microflow.llm.common import table
+from microflow.llm.common import col, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public 50k byte-level vocabulary cuts text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose ids a worker keeps at most.
-CACHED = 400_000
+#: Words whose ids a worker keeps at most, some 10 MB.
+CACHED = 50_000
 _tokenizers: dict = {}
 
 
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, seq_len: int = 2048, pool_tokens: int = 4_000_000, tok
     seq_len are cut into whole rows and a rest, without loss. Nothing is shuffled: a task packs pool after pool of its
     own rows, so memory is bounded whatever the input's skew. Other columns are ignored. No rows give no rows.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         from pyspark import TaskContext

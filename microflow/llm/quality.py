@@ -21,7 +21,7 @@ LABELLED = 20_000
 def features(texts: list[bytes]):
     """Runs of (first, last, document of each feature, its bucket). A word's third time in a row is one feature for all words."""
     size = np.uint64(PER_KIND)
-    for first, last, doc, h, start, end in word_hashes(texts):
+    for first, last, doc, h, start, end in word_hashes(texts, 1 << 20):
         pair = doc[1:] == doc[:-1]
         same = (h[1:] == h[:-1]) & pair
         third = same & np.concatenate(([False], same[:-1])) if len(same) else same

@@ -198,3 +198,23 @@ def test_lines_edges(spark):
     line = "the same line of words, long enough"
     got = line_dedup.dropped_lines(table(spark, [(None, line), (2, line), (1, line + "!"), (1, line + "!")])).collect()
     assert sorted((r.doc_id or 0, r.dropped) for r in got) == [(0, [0]), (1, []), (1, []), (2, [0])]
+
+
+def test_words_of_one_polynomial_hash_stay_apart(spark):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(table(spark, [(1, one), (2, two), (3, one)])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_clashing_names(spark):
+    rows = [(1, "the same line of twenty characters\nother"), (2, "the same line of twenty characters\nelse"), (None, None)]
+    docs = table(spark, rows)
+    for name in ("found_id", "found_text", "found_lines", "keep", "_id", "_th", "_keep", "_dropped"):
+        docs = docs.withColumn(name, F.lit(1))
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "else", None: None}
+    left = jaccard.drop_near_copies(docs)
+    assert left.columns == docs.columns and left.count() == 3

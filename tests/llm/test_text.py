@@ -63,6 +63,19 @@ def test_discovers_in_context(spark, rng):
     assert pii.find(table(spark, [])).count() == 0
 
 
+def test_discovers_unknown_forms(spark, rng):
+    rows = [(i, f"{prose(rng, 5)} reach me on +{rng.randint(10, 99)} {rng.randint(20, 99)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} after noon {prose(rng, 3)}") for i in range(60)]
+    rows += [(100, "please reach me on 0171 / 555-01423 after noon"), (101, "reach me on (0171) 555 0142 after noon"), (102, "paid 1234567 after noon"), (103, "seen near 1234567 before lunch"), (104, "reach me on 7 after noon")]
+    got = {r.doc_id: [(rows_text(rows, r.doc_id)[s.s : s.e], s.k) for s in r.spans] for r in pii.find(table(spark, rows)).collect()}
+    assert got[101] == [("(0171) 555 0142", 3)]
+    assert got[102] == got[103] == got[104] == []
+    assert all(len(got[i]) == len(base(rows[i][1])) for i in range(60))
+
+
+def rows_text(rows, key):
+    return next(t for k, t, *_ in rows if k == key)
+
+
 def low(text):
     return (text or "").translate({i: i + 32 for i in range(65, 91)})
 
@@ -121,6 +134,36 @@ def test_decontamination_cuts(spark):
         decontaminate.decontaminate(table(spark, rows), bench, action="words")
 
 
+@pytest.mark.parametrize("limit", [64_000_000, 20])
+def test_decontamination_of_repeated_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", limit)
+    bench = spark.createDataFrame([("a", "alpha beta"), ("a", "gamma delta"), ("b", "gamma delta")], "item_id string, text string")
+    rows = [(1, "w0 alpha beta w19 y"), (1, "w0 w1 w2 w19 y"), (None, "gamma delta"), (None, "x gamma delta"), (2, None)]
+    docs = table(spark, rows).withColumn("cut_row", F.lit(1)).withColumn("cut_text", F.lit("t")).withColumn("contaminated_id", F.lit(5))
+    found = decontaminate.judged(decontaminate.hits(docs, bench)).collect()
+    assert sorted((r.n_items, r.n_hit) for r in found) == [(0, 0), (0, 0), (1, 2), (2, 2), (2, 2)]
+    cut = decontaminate.decontaminate(docs, bench, action="spans")
+    assert sorted((r.doc_id or 0, r.text or "-") for r in cut.collect()) == [(0, "-"), (0, "x "), (1, "w0  w19 y"), (1, "w0 w1 w2 w19 y"), (2, "-")] and cut.columns == docs.columns
+    left = decontaminate.decontaminate(docs, bench)
+    assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 2]
+
+
+def thue_morse(n):
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x
+
+
+def test_words_of_one_polynomial_hash_are_told_apart(spark):
+    one = thue_morse(10)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(k, two if zlib.crc32(str(k).encode()) % 10 == 0 else one) for k in range(30)]
+    got = ctw.score(table(spark, rows), depth=2).collect()
+    held = [r for r in got if r.held_out]
+    assert held and all(r.n_known == 1 and r.n_tokens == 2 for r in held)
+
+
 def unigram(rows):
     tok = [(k, re.findall(r"[^\x20\x09-\x0D]+", low(t)) + ["\n"], k is not None and zlib.crc32(str(k).encode()) % 10 == 0) for k, t, *_ in rows]
     count = collections.Counter(w for _, ws, held in tok if not held for w in ws)
@@ -229,8 +272,31 @@ def test_mixing(spark, corpus, block):
     assert len(rows) == len(corpus) and all(abs(got[s] - target[s]) <= 0.5 for s in by)
     again = {r.row: r.taken for r in mixing.taken(*mixing.mix(table(spark, corpus), block=block, shard_blocks=16)).collect()}
     assert again == {r.row: r.taken for r in rows}
-    counts = mixing.shard_counts(parts[2]).collect()
-    assert sum(r.n_words for r in counts) == sum(got.values())
+    slots = sorted(parts[2].collect(), key=lambda r: (r.sid, r.slot))
+    assert sum(r.words for r in slots) == sum(got.values())
+    for sid in {r.sid for r in slots}:
+        own = [r for r in slots if r.sid == sid]
+        assert [r.slot for r in own] == list(range(len(own))) and [r.shard for r in own] == sorted(r.shard for r in own)
+        for turn in {r.round for r in own}:
+            assert len({r.block for r in own if r.round == turn}) == sum(r.round == turn for r in own)
+
+
+def test_shard_draws_are_multinomial(spark):
+    sources = spark.createDataFrame([(0, 40_000), (1, 20_000), (2, 0)], "sid long, n long")
+    counts = {(r.sid, r.shard): r.n_slots for r in mixing.shard_counts(sources, 50).collect()}
+    assert sum(v for (s, _), v in counts.items() if s == 0) == 40_000 and sum(v for (s, _), v in counts.items() if s == 1) == 20_000
+    for sid, mean in ((0, 800), (1, 400)):
+        spread = np.var([counts.get((sid, k), 0) for k in range(50)]) / mean
+        assert 0.5 < spread < 1.7  # a multinomial count's variance is about its mean
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_permutation(spark, n):
+    rows = spark.range(n).select(F.expr(mixing.permuted("id", f"{n}L", "7")).alias("x")).collect()
+    assert sorted(r.x for r in rows) == list(range(n))
+    if n >= 97:
+        steps = {(rows[i + 1].x - rows[i].x) % n for i in range(n - 1)}
+        assert len(steps) > n / 4  # no stride
 
 
 def test_mixed_documents(spark, corpus):
