@@ -39,7 +39,7 @@ def levels(md: DataFrame) -> DataFrame:
         rows = named.where(F.col("type") == DEPTH).withColumns({"epoch": F.lit(0), "from_idx": F.col("idx"), "ended": F.lit(None).cast("long")})
     own = Window.partitionBy("symbol_id", "side", "price", "epoch").orderBy("from_idx", "idx")
     spans = rows.withColumn("next_idx", F.lead("from_idx").over(own)).where("qty > 0").join(last, "symbol_id")
-    spans = spans.select("symbol_id", "side", "price", "qty", "from_idx", F.least("next_idx", "ended", "end_idx").alias("to_idx"))
+    spans = spans.select("symbol_id", "side", "price", F.col("qty").cast("long").alias("qty"), F.col("from_idx").cast("long").alias("from_idx"), F.least("next_idx", "ended", "end_idx").cast("long").alias("to_idx"))
     return spans.where("from_idx < to_idx")
 
 
@@ -79,14 +79,13 @@ def book_at(md: DataFrame, points: DataFrame | None = None, ticks: int = 0) -> D
     """
     points = md if points is None else points
     spans = levels(md)
-    at = lambda idx, order, side="side", price="price", qty="qty": (F.col(idx).alias("idx"), F.lit(order).alias("order"), F.col(side).cast("int").alias("side"), F.col(price).cast("long").alias("price"), F.col(qty).cast("long").alias("qty"))
-    chunk = lambda idx: F.floor(F.col(idx) / CHUNK).alias("chunk")
-    opened = spans.select("symbol_id", chunk("from_idx"), *at("from_idx", 2))
-    closed = spans.withColumn("none", F.lit(0)).select("symbol_id", chunk("to_idx"), *at("to_idx", 1, qty="none"))
-    over = spans.where(F.floor(F.col("from_idx") / CHUNK) < F.floor((F.col("to_idx") - 1) / CHUNK)).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("from_idx") / CHUNK) + 1, F.floor((F.col("to_idx") - 1) / CHUNK))))
-    over = over.withColumn("start", F.col("chunk") * CHUNK).select("symbol_id", "chunk", *at("start", 0))
-    asked = points.withColumn("none", F.lit(0)).select("symbol_id", chunk("idx"), *at("idx", 3, "none", "none", "ts_us"))
-    rows = opened.unionByName(closed).unionByName(over).unionByName(asked)
+    first, last = f"from_idx div {CHUNK}", f"(to_idx - 1) div {CHUNK}"
+    # a level's beginning, its end, and the starts of the later chunks that it lives to see
+    starts = f"if({first} < {last}, transform(sequence({first} + 1, {last}), c -> struct(c * {CHUNK} as idx, 0 as order, qty as qty)), cast(array() as array<struct<idx:bigint,order:int,qty:bigint>>))"
+    steps = f"concat(array(struct(from_idx as idx, 2 as order, qty as qty), struct(to_idx as idx, 1 as order, 0L as qty)), {starts})"
+    rows = spans.select("symbol_id", F.col("side").cast("int").alias("side"), F.col("price").cast("long").alias("price"), F.explode(F.expr(steps)).alias("x")).select("symbol_id", F.expr(f"x.idx div {CHUNK}").alias("chunk"), "x.idx", "x.order", "side", "price", "x.qty")
+    asked = points.select("symbol_id", F.expr(f"idx div {CHUNK}").alias("chunk"), "idx", F.lit(3).alias("order"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("price"), F.col("ts_us").cast("long").alias("qty"))
+    rows = rows.unionByName(asked)
 
     def walk(t: pa.Table) -> pa.Table:
         order, idx = t["order"].to_numpy(), t["idx"].to_numpy()

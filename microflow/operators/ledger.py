@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from microflow.functions.grid import fee, notional, sign, utc_date
+from microflow.functions.grid import fee, notional, sign, to_cash, utc_date, x2_to_cash
 from microflow.operators.windows import carried, day_of
 
 
@@ -44,3 +44,17 @@ def daily(rows: DataFrame, keys: tuple[str, ...] = ("symbol_id",)) -> DataFrame:
     before = F.lag("end_equity_x2").over(Window.partitionBy(*keys).orderBy("date"))
     out = out.withColumn("change_x2", F.col("end_equity_x2") - F.coalesce(before, F.lit(0)))
     return out.withColumn("residual_x2", F.col("change_x2") - (F.col("spread_x2") + F.col("inventory_x2") - F.col("fees_x2")))
+
+
+def daily_table(days: DataFrame, adverse: DataFrame, quotes: DataFrame, tags: dict, dirty: DataFrame | None = None) -> DataFrame:
+    """daily() as the report's table: money as numbers, the run's tags, quotes and dirty events per day.
+
+    adverse: symbol_id, adverse_bp. quotes, dirty: symbol_id, date and quotes_placed or dirty_events; days without are 0.
+    """
+    rows = days.join(adverse, "symbol_id", "left").join(quotes, ["symbol_id", "date"], "left")
+    rows = rows.join(dirty, ["symbol_id", "date"], "left") if dirty is not None else rows.withColumn("dirty_events", F.lit(0))
+    total = F.col("spread_x2") + F.col("inventory_x2") - F.col("fees_x2")
+    return rows.select(
+        "symbol_id", "date", *[F.lit(v).alias(k) for k, v in tags.items()], x2_to_cash(F.col("spread_x2")).alias("spread_capture"), x2_to_cash(F.col("inventory_x2")).alias("inventory_pnl"), x2_to_cash(-F.col("fees_x2")).alias("fees"), x2_to_cash(total).alias("total"), x2_to_cash(F.col("change_x2")).alias("equity_change"),
+        (F.col("change_x2") - total).alias("identity_residual_x2"), F.coalesce("adverse_bp", F.lit(0.0)).alias("adverse_selection_10s_bp"), F.col("n_fills").alias("fills"), F.coalesce("quotes_placed", F.lit(0)).alias("quotes_placed"), to_cash(F.col("notional")).alias("notional_traded"), F.coalesce("dirty_events", F.lit(0)).alias("dirty_events"),
+    )

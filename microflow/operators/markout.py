@@ -51,3 +51,10 @@ def summary(rows: DataFrame, *keys: str) -> DataFrame:
     notional = 2 * F.col("price") * F.col("qty")
     mean = lambda c: F.coalesce(F.avg(F.when(F.col("resolved"), basis_points(F.col(c), notional))), F.lit(0.0))
     return rows.groupBy(*keys).agg(F.count_if("resolved").alias("n_resolved"), F.count_if(~F.col("resolved")).alias("n_unresolved"), mean("edge_x2").alias("edge_bp"), mean("adverse_x2").alias("adverse_bp"), mean("markout_x2").alias("markout_bp"))
+
+
+def nearest(summary_rows: DataFrame, horizon_us: int, *keys: str) -> DataFrame:
+    """Per group the summary of the horizon nearest to one, of those with resolved samples; of two as near, the shorter."""
+    off = F.struct(F.abs(F.col("horizon_us") - horizon_us), "horizon_us")
+    some = summary_rows.where("n_resolved > 0").withColumn("_row", F.struct(*summary_rows.columns))
+    return some.groupBy(*keys).agg(F.min_by("_row", off).alias("_row")).select("_row.*")

@@ -144,3 +144,13 @@ def bootstrap(days: DataFrame, keys: list[str], order: str, value: str, other: s
         return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | out])
 
     return days.groupBy(*keys).applyInPandas(run, schema)
+
+
+def axis_limits(rows: DataFrame, one: str, other: str, *keys: str) -> DataFrame:
+    """Smallest and largest value over two series of a paired table, nulls left out."""
+    return rows.groupBy(*keys).agg(F.least(F.min(one), F.min(other)).alias("low"), F.greatest(F.max(one), F.max(other)).alias("high"))
+
+
+def wanted(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """The rows whose name is in a list; names of the list that aren't there give nothing."""
+    return rows.where(F.col(column).isin(names))

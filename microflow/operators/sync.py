@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from microflow.operators.windows import carried, day_of
+from microflow.sources.shared import written
 
 #: Messages of an instrument that one window takes together.
 STRETCH = 65_536
@@ -23,15 +24,16 @@ def synchronised(messages: DataFrame) -> DataFrame:
     snap, depth = F.col("kind") == "snapshot", F.col("kind") == "depth"
     rows = messages.withColumn("stretch", F.floor(F.col("ln") / STRETCH))
     rows = carried(rows, ["symbol_id"], "stretch", ["ln"], sums={"epoch": snap.cast("int")})
-    rows = rows.withColumn("epoch", F.coalesce("epoch", F.lit(0)))
+    # the steps build on each other: what each has found is written once, so that the plan doesn't double with every step
+    rows = written(rows.withColumn("epoch", F.coalesce("epoch", F.lit(0))), "epochs")
     own = ["symbol_id", "epoch"]
     rows = carried(rows, own, "stretch", ["ln"], maxes={"last": F.when(snap | depth, F.col("final_id"))}, exclusive=("last",))
-    rows = rows.withColumn("accepted", F.coalesce(depth & (F.col("epoch") > 0) & (F.col("final_id") > F.col("last")), F.lit(False)))
+    rows = written(rows.withColumn("accepted", F.coalesce(depth & (F.col("epoch") > 0) & (F.col("final_id") > F.col("last")), F.lit(False))), "accepted")
     rows = carried(rows, own, "stretch", ["ln"], sums={"earlier": F.col("accepted").cast("int")}, exclusive=("earlier",)).withColumn("earlier", F.coalesce("earlier", F.lit(0)))
     dialect = rows.where("accepted").groupBy("symbol_id").agg(F.min_by(F.col("prev_id").isNotNull(), "ln").alias("futures"))
     rows = rows.join(dialect, "symbol_id", "left")
     follows = F.when(F.col("earlier") == 0, (F.col("first_id") <= F.col("last") + 1) & (F.col("final_id") >= F.col("last") + 1)).when(F.col("futures") & F.col("prev_id").isNotNull(), F.col("prev_id") == F.col("last")).otherwise(F.col("first_id") == F.col("last") + 1)
-    rows = rows.withColumn("gap", F.col("accepted") & ~follows)
+    rows = written(rows.withColumn("gap", F.col("accepted") & ~follows), "gaps")
     rows = carried(rows, own, "stretch", ["ln"], maxes={"dirty": F.col("gap")}).withColumn("dirty", F.coalesce("dirty", F.lit(False)))
     # a snapshot resynchronises if what stood before it was dirty
     rows = carried(rows, ["symbol_id"], "stretch", ["ln"], lags={"was_dirty": F.col("dirty")}).drop("stretch")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from microflow.functions import decode
 from microflow.operators import sync
 from microflow.sources.adapters import BEGIN, DEPTH, END, LEVEL, TRADE
+from microflow.sources.shared import written
 
 _TYPES = {"begin": BEGIN, "level": LEVEL, "end": END, "trade": TRADE, "depth": DEPTH}
 
@@ -56,9 +57,13 @@ def convert(lines: DataFrame, dimension: DataFrame, tick: float, lot: float, fro
     break until the next snapshot), resync (part of a snapshot). Dropped: depth before an instrument's first snapshot or not
     newer than what was applied; times out of the inclusive range (0: no bound), after the protocol has seen them.
     """
-    known = known_lines(lines, dimension)
+    return converted(written(known_lines(lines, dimension), "lines"), tick, lot, from_us, to_us, depth_first)
+
+
+def converted(known: DataFrame, tick: float, lot: float, from_us: int = 0, to_us: int = 0, depth_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """convert() of lines that are decoded already, as a table (they are read several times)."""
     mine = known.where("not malformed and not wrong_symbol")
-    synced = sync.synchronised(messages(known, tick, lot))
+    synced = written(sync.synchronised(messages(known, tick, lot)), "synced")
     kept = synced.where("accepted or kind <> 'depth'").select("symbol_id", "ln", "dirty")
     part = lambda rows, kind, seq, pos: rows.select("symbol_id", "ln", pos.alias("pos"), "ts_us", kind.alias("kind"), seq.cast("long").alias("seq"), F.col("side").cast("int").alias("side"), F.col("price").cast("long").alias("price"), F.col("qty").cast("long").alias("qty"))
     levels = decode.level_events(decode.depth_updates(mine).where("not malformed"), tick, lot)
@@ -66,7 +71,7 @@ def convert(lines: DataFrame, dimension: DataFrame, tick: float, lot: float, fro
     rows = rows.unionByName(part(decode.trades(mine, tick, lot).where("not malformed"), F.lit("trade"), F.col("trade_id"), F.lit(0)))
     rows = rows.unionByName(part(decode.snapshots(mine, tick, lot), F.col("kind"), F.col("final_id"), F.col("pos")))
     flagged = sync.in_range(rows.join(kept, ["symbol_id", "ln"]), from_us, to_us)
-    ordered = sync.replay_order(flagged, depth_first)
+    ordered = sync.replay_order(written(flagged, "flagged"), depth_first)
     code = F.lit(None).cast("int")
     for name, n in _TYPES.items():
         code = F.when(F.col("kind") == name, n).otherwise(code)
@@ -80,13 +85,13 @@ def statistics(lines: DataFrame, dimension: DataFrame, tick: float, lot: float,
     lines, malformed, wrong_symbol; messages by channel; dropped before the first snapshot and as stale; gaps, resyncs
     (snapshots that end a dirty stretch); events emitted and dirty, first and last time.
     """
-    known = known_lines(lines, dimension)
+    known = written(known_lines(lines, dimension), "lines")
     mine = known.where("not malformed and not wrong_symbol")
     parsed = messages(known, tick, lot)
     broken = mine.where("channel <> 'ticker'").join(parsed.select("symbol_id", "ln"), ["symbol_id", "ln"], "left_anti").groupBy("symbol_id").agg(F.count("*").alias("broken"))
     of = lambda c: F.count_if(~F.col("malformed") & ~F.col("wrong_symbol") & (F.col("channel") == c))
     read = known.groupBy("symbol_id").agg(F.count("*").alias("n_lines"), F.count_if("malformed").alias("bad"), F.count_if("wrong_symbol").alias("n_wrong_symbol"), of("depth").alias("n_depth"), of("trade").alias("n_trades"), of("ticker").alias("n_tickers"), of("snapshot").alias("n_snapshots"))
-    events, synced = convert(lines, dimension, tick, lot, from_us, to_us)
+    events, synced = converted(known, tick, lot, from_us, to_us)
     dropped = synced.groupBy("symbol_id").agg(F.count_if("presync").alias("n_presync"), F.count_if("stale").alias("n_stale"), F.count_if("gap").alias("n_gaps"), F.count_if("resynced").alias("n_resyncs"))
     made = events.groupBy("symbol_id").agg(F.count("*").alias("n_events"), F.count_if("dirty").alias("n_dirty"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
     same = lambda a, b: F.col(f"{a}.symbol_id").eqNullSafe(F.col(f"{b}.symbol_id"))

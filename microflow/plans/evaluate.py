@@ -72,12 +72,11 @@ def orders(rows: DataFrame, md: DataFrame, spans: DataFrame, qty: int, cell_cols
 
 
 def evaluate(md: DataFrame, cells: DataFrame, period_us: int, qty: int = 20, fees_tenths: tuple[int, ...] = (0, 20), horizon_us: int = 60_000_000, sample_us: int = 60_000_000, window_us: int = 1_800_000_000) -> DataFrame:
-    """Per instrument, cell (strategy, model, latency_us) and fee: orders, fills, spread captured, fees, markout (x2 units).
+    """Per instrument, cell (strategy, model, latency_us) and fee, of a table of market events: orders, fills, spread captured, fees, markout (x2 units).
 
     Trajectories don't depend on the fee, so all fees share them.
     """
     cell_cols = ["strategy", "latency_us"]
-    md = written(md, "market")
     best, spans = written(book.bbo(md), "best"), book.levels(md)
     known = features(md, best, period_us, sample_us, window_us)
     placed = orders(quoted(known, cells.select(*cell_cols).distinct()), md, spans, qty, cell_cols)

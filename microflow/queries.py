@@ -171,13 +171,18 @@ def replay_order(spark, sf_dir):
 @query("monotone_visibility", "symbol_id:l idx:l visible_us:l", SQL_MD + ";SELECT symbol_id, idx, max(ts_us + 50000 + seq % 7 * 10000) OVER (PARTITION BY symbol_id ORDER BY idx) AS visible_us FROM md")
 def monotone_visibility(spark, sf_dir):
     """When events become visible under a varying delay, never out of order."""
-    return sync.visibility(market_events(spark, sf_dir), F.lit(50000) + F.col("seq") % 7 * 10000)
+    return sync.visibility(market(spark, sf_dir), F.lit(50000) + F.col("seq") % 7 * 10000)
 
 
 @query("timer_ticks", "symbol_id:l n:l first_us:l last_us:l", SQL_MD + """;SELECT symbol_id, (max(ts_us) - min(ts_us)) // 60000000 AS n, min(ts_us) + 60000000 AS first_us, min(ts_us) + (max(ts_us) - min(ts_us)) // 60000000 * 60000000 AS last_us FROM md GROUP BY 1""")
 def timer_ticks(spark, sf_dir):
     """Timers from a period after the first event."""
-    return sync.timers(market_events(spark, sf_dir), 60_000_000).groupBy("symbol_id").agg(F.count("*").alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    return sync.timers(market(spark, sf_dir), 60_000_000).groupBy("symbol_id").agg(F.count("*").alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+
+
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market events as a table, for plans that read them more than once."""
+    return written(market_events(spark, sf_dir), "market")
 
 
 # --- book -------------------------------------------------------------------------------------------------------------
@@ -186,7 +191,7 @@ def timer_ticks(spark, sf_dir):
 @query("bbo", "symbol_id:l idx:l best_bid:l best_ask:l bid_qty:l ask_qty:l mid_x2:l", SQL_BOOK + ";SELECT * FROM best")
 def bbo(spark, sf_dir):
     """Best prices and quantities after every event."""
-    return book.bbo(market_events(spark, sf_dir))
+    return book.bbo(market(spark, sf_dir))
 
 
 @query("depth_within_5", "symbol_id:l idx:l bid_depth:l ask_depth:l", SQL_BOOK + """,
@@ -194,7 +199,7 @@ tops AS (SELECT *, max(price) OVER (PARTITION BY symbol_id, idx, side) AS hi, mi
 ;SELECT p.symbol_id, p.idx, coalesce(sum(qty) FILTER (side = 0 AND hi - price <= 5), 0) AS bid_depth, coalesce(sum(qty) FILTER (side = 1 AND price - lo <= 5), 0) AS ask_depth FROM (SELECT symbol_id, idx FROM md) p LEFT JOIN tops t ON p.symbol_id = t.symbol_id AND p.idx = t.idx GROUP BY 1, 2""")
 def depth_within_5(spark, sf_dir):
     """Quantity within five ticks of the touch after every event."""
-    md = market_events(spark, sf_dir)
+    md = market(spark, sf_dir)
     return book.depth_within(md, md, 5)
 
 
@@ -203,21 +208,21 @@ shares AS (SELECT *, CASE WHEN coalesce(bid_qty, 0) + coalesce(ask_qty, 0) = 0 T
 ;SELECT symbol_id, idx, imbalance, imbalance * best_ask + (1 - imbalance) * best_bid AS weighted_mid, best_ask - best_bid AS spread FROM shares WHERE mid_x2 IS NOT NULL""")
 def imbalance_wmid(spark, sf_dir):
     """Top imbalance, weighted mid and spread."""
-    rows = book.bbo(market_events(spark, sf_dir)).where("mid_x2 is not null").withColumn("imbalance", book.imbalance(F.col("bid_qty"), F.col("ask_qty")))
+    rows = book.bbo(market(spark, sf_dir)).where("mid_x2 is not null").withColumn("imbalance", book.imbalance(F.col("bid_qty"), F.col("ask_qty")))
     return rows.withColumn("weighted_mid", book.weighted_mid(F.col("best_bid"), F.col("best_ask"), F.col("imbalance"))).withColumn("spread", F.col("best_ask") - F.col("best_bid"))
 
 
 @query("book_invariants", "n_events:l n_violations:l n_one_sided:l", SQL_BOOK + ";SELECT count(*) AS n_events, count(*) FILTER (best_bid >= best_ask OR bid_qty <= 0 OR ask_qty <= 0) AS n_violations, count(*) FILTER (mid_x2 IS NULL) AS n_one_sided FROM best")
 def book_invariants(spark, sf_dir):
     """How often the book is crossed or empty on a side."""
-    best = book.bbo(market_events(spark, sf_dir))
+    best = book.bbo(market(spark, sf_dir))
     return best.agg(F.count("*").alias("n_events"), F.count_if(F.expr("best_bid >= best_ask or bid_qty <= 0 or ask_qty <= 0")).alias("n_violations"), F.count_if(F.col("mid_x2").isNull()).alias("n_one_sided"))
 
 
 @query("level_lifetimes", "symbol_id:l side:l price:l n:l events_alive:l max_qty:l", SQL_BOOK + ";SELECT symbol_id, side, price, count(*) AS n, sum(to_idx - from_idx) AS events_alive, max(qty) AS max_qty FROM spans GROUP BY 1, 2, 3")
 def level_lifetimes(spark, sf_dir):
     """How long levels hold their quantities."""
-    return book.levels(market_events(spark, sf_dir)).groupBy("symbol_id", "side", "price").agg(F.count("*").alias("n"), F.sum(F.col("to_idx") - F.col("from_idx")).alias("events_alive"), F.max("qty").alias("max_qty"))
+    return book.levels(market(spark, sf_dir)).groupBy("symbol_id", "side", "price").agg(F.count("*").alias("n"), F.sum(F.col("to_idx") - F.col("from_idx")).alias("events_alive"), F.max("qty").alias("max_qty"))
 
 
 @query("level_counts", "symbol_id:l side:l idx:l n:l", SQL_BOOK + """,
@@ -225,13 +230,13 @@ steps AS (SELECT symbol_id, side, idx, sum(d) AS d FROM (SELECT symbol_id, side,
 ;SELECT symbol_id, side, idx, sum(d) OVER (PARTITION BY symbol_id, side ORDER BY idx) AS n FROM steps""")
 def level_counts(spark, sf_dir):
     """Live levels per side over time."""
-    return book.level_counts(market_events(spark, sf_dir))
+    return book.level_counts(market(spark, sf_dir))
 
 
 @query("mid_changes", "symbol_id:l idx:l ts_us:l mid_x2:l", SQL_BOOK + ";SELECT symbol_id, idx, ts_us, mid_x2 FROM marks")
 def mid_changes(spark, sf_dir):
     """Moments at which the mid moves."""
-    return book.mid_changes(book.bbo(market_events(spark, sf_dir)))
+    return book.mid_changes(book.bbo(market(spark, sf_dir)))
 
 
 # --- estimators -------------------------------------------------------------------------------------------------------
@@ -247,7 +252,7 @@ kept AS (SELECT o.*, pow((o.mid_x2 - lag(o.mid_x2) OVER w) / 2.0, 2) AS d2, (o.t
 ;SELECT symbol_id, idx, count(d2) OVER t AS n, sqrt(coalesce(sum(d2) OVER t / sum(dt) OVER t, 0)) AS sigma FROM kept WINDOW t AS (PARTITION BY symbol_id, day ORDER BY ts_us RANGE BETWEEN {WINDOW_US} PRECEDING AND CURRENT ROW)""")
 def rolling_sigma(spark, sf_dir):
     """Volatility from greedily spaced mids over a trailing window, per instrument and day."""
-    best = book.bbo(market_events(spark, sf_dir)).where("mid_x2 is not null").withColumn("day", grid.utc_day(F.col("ts_us")))
+    best = book.bbo(market(spark, sf_dir)).where("mid_x2 is not null").withColumn("day", grid.utc_day(F.col("ts_us")))
     return rolling.sigma(rolling.spaced(best, SAMPLE_US), WINDOW_US)
 
 
@@ -255,7 +260,7 @@ def rolling_sigma(spark, sf_dir):
   FROM md WHERE type = 1 WINDOW w AS (PARTITION BY symbol_id ORDER BY ts_us RANGE BETWEEN {WINDOW_US} PRECEDING AND CURRENT ROW)""")
 def flow_imbalance(spark, sf_dir):
     """Signed share of aggressive volume over a trailing window."""
-    return rolling.flow(market_events(spark, sf_dir).where(F.col("type") == TRADE), WINDOW_US)
+    return rolling.flow(market(spark, sf_dir).where(F.col("type") == TRADE), WINDOW_US)
 
 
 @query("toxicity_pulls", "symbol_id:l idx:l trigger_us:l pulled:l", SQL_MD + f""",
@@ -264,7 +269,7 @@ hits AS (SELECT *, last_value(CASE WHEN abs(imbalance) >= 0.6 THEN ts_us END IGN
 ;SELECT symbol_id, idx, trigger_us, CASE WHEN ts_us < trigger_us + 600000000 THEN trigger_side END AS pulled FROM hits""")
 def toxicity_pulls(spark, sf_dir):
     """The quote side that one-sided flow pulls, and since when."""
-    return rolling.pulls(rolling.flow(market_events(spark, sf_dir).where(F.col("type") == TRADE), WINDOW_US), 0.6, 600_000_000)
+    return rolling.pulls(rolling.flow(market(spark, sf_dir).where(F.col("type") == TRADE), WINDOW_US), 0.6, 600_000_000)
 
 
 # --- fills, ledger, markouts ------------------------------------------------------------------------------------------
@@ -272,7 +277,7 @@ def toxicity_pulls(spark, sf_dir):
 
 def fills_and_marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every print as a fill of the resting side at its mid, and the moves of the mid. Both read one written table."""
-    md = market_events(spark, sf_dir)
+    md = market(spark, sf_dir)
     trade = F.when(F.col("type") == TRADE, F.struct("side", "price", "qty"))
     best = book.bbo(md).where("mid_x2 is not null").join(md.select("symbol_id", "idx", trade.alias("t")), ["symbol_id", "idx"])
     best = written(best.select("symbol_id", "idx", "ts_us", "mid_x2", "t"), "mids")
@@ -375,7 +380,7 @@ SQL_PROBES = sql_probes(DEPTHS)
 
 
 def resting(spark: SparkSession, sf_dir: str, depths: list[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    md = written(market_events(spark, sf_dir), "market")
+    md = market(spark, sf_dir)
     best = written(book.bbo(md), "best")
     return written(queue.placed(queue.probes(best, EVERY_US, depths or DEPTHS, ORDER_QTY), book.levels(md)), "orders"), md, best
 
@@ -550,7 +555,7 @@ hazard AS (SELECT *, (bid_hits + ask_hits) / 2.0 / seconds AS rate FROM (SELECT
 
 
 def hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    md = market_events(spark, sf_dir)
+    md = market(spark, sf_dir)
     return calibrate.hazard_points(md, book.bbo(md), BUCKET_US, DEEPEST)
 
 
@@ -604,7 +609,7 @@ wanted AS (SELECT *, CAST(floor(mid_x2 / 2.0 - 1 + idx % 5) AS BIGINT) AS b, CAS
 ;SELECT symbol_id, idx, least(b, best_ask - 1) AS bid, greatest(a, best_bid + 1) AS ask, least(least(b, best_bid), best_ask - 1) AS floor_bid, greatest(greatest(a, best_ask), best_bid + 1) AS floor_ask FROM wanted""")
 def passive_quotes(spark, sf_dir):
     """Quotes that never cross, and never go inside the touch."""
-    rows = book.bbo(market_events(spark, sf_dir)).where("mid_x2 is not null")
+    rows = book.bbo(market(spark, sf_dir)).where("mid_x2 is not null")
     mid = F.col("mid_x2") / 2.0
     b, a = quotes.outward(mid - 1 + F.col("idx") % 5, mid + 1 - F.col("idx") % 3)
     bid, ask = quotes.passive(b, a, F.col("best_bid"), F.col("best_ask"))
@@ -666,7 +671,7 @@ ok AS (SELECT *, best_ask - best_bid AS spread, 20000.0 * (best_ask - best_bid)
 ;SELECT symbol_id, count(*) AS n, median(mid_x2) AS median_mid_x2, median(bp) AS median_bp, list_sort(list(bp))[CAST(floor(0.9 * (count(*) - 1)) AS BIGINT) + 1] AS p90_bp, median(spread) / min(spread) AS median_ticks, min(spread) AS tick, median(top) AS median_top, median(bp) >= 2 AND median(spread) / min(spread) >= 3 AS wide FROM ok GROUP BY 1""")
 def spread_scout(spark, sf_dir):
     """Which instruments are wide enough to quote."""
-    return report.spread_scout(book.bbo(market_events(spark, sf_dir)))
+    return report.spread_scout(book.bbo(market(spark, sf_dir)))
 
 
 @query("missing_hours", "symbol_id:l hour:l", """present AS (SELECT DISTINCT user_id % 4 AS symbol_id, epoch_us(ts) // 3600000000 AS hour FROM events),
@@ -705,4 +710,4 @@ def strategy_sweep(spark, sf_dir):
     """Quoting rules under three queue models, two latencies and two fees, open loop."""
     from microflow.plans import evaluate
 
-    return evaluate.evaluate(market_events(spark, sf_dir), evaluate.default_cells(spark), 6 * 3_600_000_000)
+    return evaluate.evaluate(market(spark, sf_dir), evaluate.default_cells(spark), 6 * 3_600_000_000)

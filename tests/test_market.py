@@ -333,3 +333,80 @@ def test_config(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"k": -1.0, "A": 2.0}')
     got = config.calibration(spark.read.json(str(tmp_path), schema=config.CALIBRATION)).collect()
     assert [tuple(r) for r in got] == [(0.3, 0.8)] and "run_id" in run.manifest()
+
+
+def snapshot_events(spark, rows):
+    """rows: (type, side, price, qty) of one instrument; types 2, 3 and 4 begin, fill and end a snapshot."""
+    out, ended = [], 0
+    for i, (kind, side, price, qty) in enumerate(rows):
+        ended += kind == 4
+        out.append((0, i, ended, i * 10, i, kind, side, price, qty))
+    return spark.createDataFrame(out, "symbol_id long, idx long, epoch long, ts_us long, seq long, type int, side int, price long, qty long")
+
+
+def test_snapshots_replace_the_book(spark):
+    begin, end = (2, None, None, None), (4, None, None, None)
+    rows = [begin, (3, 0, 10000, 50), (3, 1, 10001, 40), end, (0, 0, 9950, 5), (1, 1, 10000, 9), begin, (3, 0, 10100, 7), (3, 0, 10099, 0), (3, 1, 10102, 8), (0, 0, 10000, 60), end, (0, 0, 10100, 0), begin, (3, 0, 1, 1)]
+    md = snapshot_events(spark, rows)
+    got = {r.idx: (r.best_bid, r.best_ask, r.bid_qty) for r in book.bbo(md).collect()}
+    assert got[2] == (None, None, None) and got[3] == (10000, 10001, 50) == got[9]  # staged levels aren't seen
+    assert got[10] == (10000, 10001, 60) and got[11] == (10100, 10102, 7)
+    assert got[12] == got[14] == (None, 10102, None)  # 9950 and 10000 went, 10099 never came, the last one never ended
+    assert book.compare(book.bbo(md), book.bbo_by_intervals(md, md)).count() == 0
+    assert {r.price for r in book.levels(md).where("to_idx > 14").collect()} == {10102}
+
+
+def test_histories_in_stretches(spark):
+    from microflow.operators import windows
+
+    rng = random.Random(4)
+    rows = [(k, i // 7, i, rng.choice([None, rng.randint(-5, 5)])) for k in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, part long, i long, v long")
+    v = F.col("v")
+    got = {(r.k, r.i): r for r in windows.carried(df, ["k"], "part", ["i"], sums={"s": v, "s0": v}, maxes={"m": v}, lasts={"l": v}, lags={"g": F.col("i")}, exclusive=("s0",)).collect()}
+    for k in range(3):
+        seen = []
+        for _, _, i, x in [r for r in rows if r[0] == k]:
+            r, before = got[k, i], list(seen)
+            seen += [x] if x is not None else []
+            assert (r.s or 0, r.s0 or 0, r.m, r.l) == (sum(seen), sum(before), max(seen, default=None), seen[-1] if seen else None)
+            assert r.g == (i - 1 if i else None)
+    times = spark.createDataFrame([(0, int(t)) for t in (0, 86_399e6, 86_400e6, 86_500e6, 200_000e6)], "k long, ts_us long")
+    near = windows.trailing(times, ["k"], 3_600_000_000, {"n": F.count("*")})
+    assert [r.n for r in near.orderBy("ts_us").collect()] == [1, 1, 2, 3, 1]
+
+
+def test_conversion(spark):
+    from microflow.plans import convert
+
+    line = lambda t, c, d, s="BTC": '{"t":%d,"c":"%s","s":"%s","d":%s}' % (t, c, s, d)
+    depth = lambda first, last, b: '{"E":1,"T":%d,"U":%d,"u":%d,"a":[["100.01","0.%d"]],"b":[["100.00","0.%d"]]}' % (last, first, last, b, b)
+    lines = [line(1, "depth", depth(1, 5, 1)), line(2, "snapshot", '{"lastUpdateId":100,"bids":[["99.99","0.5"]],"asks":[]}'), line(3, "depth", depth(99, 105, 2)), line(4, "depth", depth(200, 205, 3)), "", "{broken", line(5, "trade", '{"T":205,"a":1,"p":"100.00","q":"0.1","m":true}'), line(6, "depth", depth(1, 2, 1), "ETH"), line(7, "snapshot", '{"lastUpdateId":300,"bids":[],"asks":[]}'), line(8, "depth", '{"E":1,"b":[],"a":[]}'), line(9, "bookTicker", '{"u":1,"b":"1","B":"1","a":"2","A":"1"}')]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "ln long, value string")
+    names = spark.createDataFrame([("BTC", 7)], "symbol string, symbol_id long")
+    events, synced = convert.convert(df, names, 0.01, 0.1)
+    rows = events.orderBy("idx").collect()
+    assert [(r.type, r.side, r.price, r.qty, r.dirty) for r in rows if r.type in (0, 1)] == [(0, 1, 10001, 2, False), (0, 0, 10000, 2, False), (1, 1, 10000, 1, True), (0, 1, 10001, 3, True), (0, 0, 10000, 3, True)]
+    s = {r.symbol_id: r for r in convert.statistics(df, names, 0.01, 0.1).collect()}
+    assert (s[7].n_presync, s[7].n_gaps, s[7].n_resyncs, s[7].n_malformed, s[7].n_depth, s[7].n_tickers, s[7].n_dirty) == (1, 1, 1, 1, 4, 1, 3)
+    assert (s[None].n_malformed, s[None].n_wrong_symbol) == (1, 1)
+    assert convert.gap_log(synced, names).first().value.startswith('{"t":205000,')
+    with pytest.raises(Exception, match="repeated"):
+        convert.instruments(names.unionByName(names)).collect()
+
+
+def test_report_rules(spark):
+    curve = spark.createDataFrame([(0, 0.0, 5.0), (0, 1.0, 0.0), (1, 0.0, 0.0), (1, 1.0, -1.0)], "symbol_id long, fee double, pnl double")
+    got = {r.symbol_id: r.break_even for r in report.break_even(curve, "symbol_id").collect()}
+    assert got[0] == 1.0 and math.isnan(got[1])
+    ranks = spark.createDataFrame([(0, float(i)) for i in range(10)], "k long, x double")
+    assert report.lower_rank(ranks, "x", 0.9, "k").first().x == 8.0
+    pairs = spark.createDataFrame([(0, "a", 1.0, 2.0), (0, "b", 2.0, None)], "k long, date string, x double, y double")
+    with pytest.raises(Exception, match="same length"):
+        report.bootstrap(pairs, ["k"], "date", "x", "y", resamples=10).collect()
+    days = spark.createDataFrame([(0, "a", 1.0), (0, "b", math.nan), (0, "c", 3.0), (0, "d", math.inf)], "k long, date string, pnl double")
+    assert report.sharpe(days, "pnl", "k").first().n_days == 2
+    r = report.bootstrap(days, ["k"], "date", "pnl", resamples=50).first()
+    assert r.n == 2 and r.estimate == 2.0 and r.stderr >= 0
+    probes = spark.createDataFrame([(0, 10, True, True), (0, 10, False, True), (0, 10, True, False)], "k long, horizon_us long, hit boolean, whole boolean")
+    assert tuple(queue.fill_rates(probes, "k").first()) == (0, 10, 2, 0.5)
