@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microflow.llm.common import _LOWER, as_bytes, mix64, table, word_hashes, written
+from microflow.llm.common import _LOWER, as_bytes, col, free, mix64, table, word_hashes, written
 
 #: Hash buckets of each kind of n-gram: words, pairs of neighbouring words, GRAM bytes in a row.
 PER_KIND, KINDS, GRAM = 1 << 19, 3, 5
@@ -36,10 +36,14 @@ def features(texts: list[bytes]):
         yield first, last, np.concatenate((doc, doc[1:][pair], of[whole])), np.concatenate((h % size, two % size + size, mix64(grams[whole]) % size + 2 * size)).astype(np.int64)
 
 
+#: Kinds of labelled text.
+GOOD, POOR, TOXIC = 0, 1, 2
+
+
 def labelled(labels: DataFrame, id_col: str = "doc_id") -> dict:
-    """id to whether it's target text (quality 1 and not toxic by all its labels), of LABELLED rows in hash order."""
+    """id to its kind (good: quality 1 and not toxic by all its labels), of LABELLED rows in hash order."""
     one = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    return {r.id: r.q == 1 and r.t == 0 for r in one.orderBy(F.xxhash64("id"), "id").limit(LABELLED).collect()}
+    return {r.id: TOXIC if r.t else GOOD if r.q == 1 else POOR for r in one.orderBy(F.xxhash64("id"), "id").limit(LABELLED).collect()}
 
 
 def evidence(counted: np.ndarray, expected: np.ndarray, shrink: float = 0.5, errors: float = 3.0) -> np.ndarray:
@@ -57,7 +61,7 @@ def log_ratio(base: DataFrame, known: dict) -> np.ndarray:
     count the more the surer they are. Thus a document's length alone moves nothing. An n-gram that labelled target text
     never holds counts if it would be expected in 4.5 of its documents.
     """
-    target = base.sparkSession.sparkContext.broadcast({k for k, good in known.items() if good})
+    target = base.sparkSession.sparkContext.broadcast({k for k, kind in known.items() if kind == GOOD})
 
     def count(batches):
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -102,22 +106,23 @@ def kth_largest(scored: DataFrame, k: int, column: str = "key", bins: int = 4096
     return lo
 
 
-def score(docs: DataFrame, labels: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", temperature: float = 0.05) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", temperature: float = 1.0) -> DataFrame:
     """id, log_weight (of importance), key (with Gumbel noise) and kept.
 
-    log_weight is the sum of the log ratios of target to raw model over a document's n-grams. The cut that parts labelled target rows from the others best
-    gives k, the number of documents above it; the k documents of largest log_weight / temperature plus seeded Gumbel
-    noise stay: a sample without replacement in proportion to the (tempered) weights.
+    log_weight is the sum of the log ratios of target to raw model over a document's n-grams. The cut that parts
+    labelled target rows best from the poor and the toxic ones gives k, the number of documents above it; the k
+    documents of largest log_weight / temperature plus seeded Gumbel noise stay: a sample without replacement in
+    proportion to the importance weights (tempered, if temperature isn't 1).
 
     Null and empty texts have no features and weight 0. Without labelled target rows nothing can be told apart and
     every document stays. Rows repeating an id share the noise; equal rows stay or go together. Ties at the cut stay.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
     known = labelled(labels)
     # the models learn from one half of the labelled rows, the cut from the other
-    even = {k: good for k, good in known.items() if zlib.crc32(str(k).encode()) % 2 == 0}
-    odd = {k: good for k, good in known.items() if k not in even}
+    even = {k: kind for k, kind in known.items() if zlib.crc32(str(k).encode()) % 2 == 0}
+    odd = {k: kind for k, kind in known.items() if k not in even}
     ratio = log_ratio(base, even)
     sent = spark.sparkContext.broadcast(ratio.astype(np.float32))
 
@@ -132,24 +137,28 @@ def score(docs: DataFrame, labels: DataFrame, seed: int = 11, id_col: str = "doc
     scored = base.mapInArrow(weigh, f"id {base.schema['id'].dataType.simpleString()}, log_weight double")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = written(scored.withColumn("key", F.col("log_weight") / temperature - F.log(-F.log(uniform))), "quality-scores")
-    if not any(even.values()) or not any(odd.values()) or all(odd.values()):
+    if GOOD not in even.values() or GOOD not in odd.values() or all(kind == GOOD for kind in odd.values()):
         return scored.withColumn("kept", F.lit(True))
-    marks = spark.createDataFrame([(k, good) for k, good in odd.items()], f"id {base.schema['id'].dataType.simpleString()}, good boolean")
-    rows = scored.join(F.broadcast(marks), "id").select("log_weight", "good").toPandas()  # LABELLED rows at most, but for repeated ids
-    cut = best_cut(rows.log_weight.to_numpy(), rows.good.to_numpy())
+    marks = spark.createDataFrame(list(odd.items()), f"id {base.schema['id'].dataType.simpleString()}, kind int")
+    # one row a label, however often its id repeats
+    rows = scored.join(F.broadcast(marks), "id").groupBy("id", "kind").agg(F.min("log_weight").alias("log_weight")).toPandas()
+    cut = best_cut(rows.log_weight.to_numpy(), rows.kind.to_numpy())
     k = scored.where(F.col("log_weight") > cut).count()
     if k == 0:
         return scored.withColumn("kept", F.lit(False))
     return scored.withColumn("kept", F.col("key") >= F.lit(kth_largest(scored, k)))
 
 
-def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
-    """The cut of least balanced error; of equally good ones the middle, or the one that keeps all if no cut tells anything."""
+def best_cut(weight: np.ndarray, kind: np.ndarray) -> float:
+    """The cut of least error: twice the share of good text below it and, of poor and toxic text, the larger share above it.
+
+    Of equally good cuts the middle one; the one that keeps all if no cut tells anything.
+    """
     order = np.argsort(weight, kind="stable")
-    w, g = weight[order], good[order]
-    lost = np.concatenate(([0], np.cumsum(g))) / max(1, g.sum())
-    left = 1 - np.concatenate(([0], np.cumsum(~g))) / max(1, (~g).sum())
-    error = np.where(np.concatenate(([True], w[1:] != w[:-1], [True])) if len(w) else True, lost + left, np.inf)  # no cut parts equal weights
+    w, kind = weight[order], kind[order]
+    below = {k: np.concatenate(([0], np.cumsum(kind == k))) / max(1, (kind == k).sum()) for k in (GOOD, POOR, TOXIC)}
+    left = np.max([1 - below[k] for k in (POOR, TOXIC) if (kind == k).any()] or [np.ones(len(w) + 1)], axis=0)
+    error = np.where(np.concatenate(([True], w[1:] != w[:-1], [True])) if len(w) else True, 2 * below[GOOD] + left, np.inf)  # no cut parts equal weights
     best = np.flatnonzero(error <= error.min() + 1e-12)
     if error.min() >= 1 - 1e-12:  # nothing is told apart
         best = best[:1]
@@ -157,6 +166,17 @@ def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
     return float(edge[best[len(best) // 2]])
 
 
+def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
+    """docs without the documents that the classifier rejects; all columns stay, whatever their names.
+
+    Rows with a null id stay; rows that repeat an id go together if one of them is rejected. Without labelled target
+    rows all stay.
+    """
+    name = free("rejected", docs)
+    gone = score(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), labels, seed, "id", "text").where(~F.col("kept")).select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, col(id_col) == F.col(name), "left_anti")
+
+
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
     """docs without the documents that the classifier rejects; all columns stay. Rows with a null id stay."""
     gone = score(docs, labels, seed, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()

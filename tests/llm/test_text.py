@@ -412,8 +412,8 @@ def test_quality_recall_in_a_small_table(spark):
 
 
 def test_quality_keeps_all_when_nothing_differs():
-    weight, good = np.zeros(6), np.array([True, False] * 3)
-    assert (weight > quality.best_cut(weight, good)).all()
+    weight, kind = np.zeros(6), np.array([quality.GOOD, quality.POOR] * 3)
+    assert (weight > quality.best_cut(weight, kind)).all()
 
 
 def test_quality_grams_stay_within_texts():
@@ -437,3 +437,34 @@ def test_sizes_grow_with_copies(spark):
     out = mixing.taken(*mixing.mix(table(spark, rows), block=4))
     # each of ten sources rounds its own target
     assert abs(out.agg(F.sum("taken")).first()[0] - 1.5 * sum(len(t.split()) for _, t, _ in rows)) <= 5
+
+
+def test_quality_against_plain_python(spark, rng):
+    docs = [(i, prose(rng, rng.randint(5, 40), 60) + (" vile vile" if i % 4 == 0 else "")) for i in range(400)]
+    labels = [(i, int(i % 4 != 0), 0) for i in range(400) if i % 8]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    texts = [t.encode() for _, t in docs]
+    sets = {}
+    for first, _, doc, bucket in quality.features(texts):
+        for d, b in zip(doc.tolist(), bucket.tolist()):
+            sets.setdefault(docs[first + d][0], []).append(b)
+    even = {i for i, q, _ in labels if q and zlib.crc32(str(i).encode()) % 2 == 0}
+    raw, good = collections.Counter(), collections.Counter()
+    for i, own in sets.items():
+        raw.update(set(own))
+        good.update(set(own) if i in even else ())
+    ratio = {}
+    for kind in range(quality.KINDS):
+        part = [b for b in raw if b // quality.PER_KIND == kind]
+        share = sum(good[b] for b in part) / sum(raw[b] for b in part)
+        for b in part:
+            g, e = good[b], raw[b] * share
+            deviance = 2 * ((g * math.log(g / e) if g else 0) - (g - e))
+            ratio[b] = math.log((g + 0.5) / (e + 0.5)) * max(0.0, 1 - 9 / max(deviance, 1e-9))
+    rows = {r.id: r for r in quality.score(table(spark, docs), lab).collect()}
+    for i, own in sets.items():
+        assert math.isclose(rows[i].log_weight, sum(ratio[b] for b in own), rel_tol=1e-3, abs_tol=1e-3)
+    k = sum(r.kept for r in rows.values())
+    best = sorted(rows.values(), key=lambda r: -r.key)[:k]
+    assert 0 < k < len(docs) and all(r.kept for r in best)
+    assert any(abs((r.key - r.log_weight) - (rows[0].key - rows[0].log_weight)) > 0.5 for r in rows.values())  # noise that matters
