@@ -12,10 +12,7 @@ from microflow.functions.grid import fee_to_tenths
 
 #: Labels and their aliases.
 QUEUE_MODELS = {"PESS": "PESS", "PESSIMISTIC": "PESS", "OPT": "OPT", "OPTIMISTIC": "OPT", "PROP": "PROP", "PROPORTIONAL": "PROP"}
-FILL_MODELS = ("TOUCH", "QUEUE")
 STRATEGIES = ("S0_touch", "S0_queue", "S1", "S2_AS", "S2_GLFT", "S3")
-ORDER_STATES = ("PENDING_NEW", "RESTING", "PARTIAL", "FILLED", "PENDING_CANCEL", "CANCELED", "REJECTED")
-FILL_CAUSES = ("queue_consumed", "traded_through", "crossed")
 
 
 def queue_model(text: str) -> str:

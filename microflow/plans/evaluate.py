@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from microflow.functions import grid as money
 from microflow.functions import quotes
 from microflow.operators import book, markout, queue, rolling, sync
+from microflow.operators.report import bootstrap
 from microflow.operators.windows import carried, day_of
 from microflow.sources.adapters import ASK, BID, CASH, TRADE
 from microflow.sources.shared import written
@@ -71,11 +72,8 @@ def orders(rows: DataFrame, md: DataFrame, spans: DataFrame, qty: int, cell_cols
     return queue.placed(o, spans)
 
 
-def evaluate(md: DataFrame, cells: DataFrame, period_us: int, qty: int = 20, fees_tenths: tuple[int, ...] = (0, 20), horizon_us: int = 60_000_000, sample_us: int = 60_000_000, window_us: int = 1_800_000_000) -> DataFrame:
-    """Per instrument, cell (strategy, model, latency_us) and fee, of a table of market events: orders, fills, spread captured, fees, markout (x2 units).
-
-    Trajectories don't depend on the fee, so all fees share them.
-    """
+def fills_of(md: DataFrame, cells: DataFrame, period_us: int, qty: int = 20, horizon_us: int = 60_000_000, sample_us: int = 60_000_000, window_us: int = 1_800_000_000) -> tuple[DataFrame, DataFrame]:
+    """(orders followed to their end, fills with markouts) of all cells (strategy, model, latency_us) over a table of market events."""
     cell_cols = ["strategy", "latency_us"]
     best, spans = written(book.bbo(md), "best"), book.levels(md)
     known = features(md, best, period_us, sample_us, window_us)
@@ -84,8 +82,12 @@ def evaluate(md: DataFrame, cells: DataFrame, period_us: int, qty: int = 20, fee
     done = queue.follow_models(placed, md, period_us).join(F.broadcast(cells), ["strategy", "latency_us", "model"], "left_semi").drop("fills")
     fills = done.where("filled > 0").select("symbol_id", *cell_cols, "model", "order_id", F.col("first_fill_us").alias("ts_us"), "side", "price", F.col("filled").alias("qty"), "mid_x2")
     marked = markout.priced(markout.samples(fills, book.mid_changes(best), [horizon_us]))
+    return done, marked
+
+
+def profits(done: DataFrame, marked: DataFrame, by: list[str], fees_tenths: tuple[int, ...]) -> DataFrame:
+    """Per group and fee: orders, fills, spread captured, markout, fees and profit (x2 units); groups without a fill have zeros."""
     amount = money.notional(F.col("price"), F.col("qty"), CASH)
-    by = ["symbol_id", *cell_cols, "model"]
     got = marked.withColumn("fee_tenths", F.explode(F.lit(list(fees_tenths)))).groupBy(*by, "fee_tenths").agg(
         F.count("*").alias("n_fills"), F.sum("qty").alias("lots"), F.sum(amount).alias("notional"), F.sum("edge_x2").alias("edge_x2"), F.sum("markout_x2").alias("markout_x2"), F.sum(2 * money.fee(amount, F.col("fee_tenths").cast("long"))).alias("fees_x2"),
     )
@@ -96,5 +98,25 @@ def evaluate(md: DataFrame, cells: DataFrame, period_us: int, qty: int = 20, fee
     return out.withColumn("pnl_x2", F.col("markout_x2") * CASH - F.col("fees_x2"))
 
 
+def evaluate(md: DataFrame, cells: DataFrame, period_us: int, fees_tenths: tuple[int, ...] = (0, 20), **options) -> DataFrame:
+    """profits() per instrument, cell and fee. Trajectories don't depend on the fee, so all fees share them."""
+    done, marked = fills_of(md, cells, period_us, **options)
+    return profits(done, marked, ["symbol_id", "strategy", "latency_us", "model"], fees_tenths)
+
+
+def matrix_summary(md: DataFrame, cells: DataFrame, period_us: int, fees_tenths: tuple[int, ...] = (0, 20), **options) -> DataFrame:
+    """Per strategy, queue model, latency and fee: sums over all days and instruments, and the mean daily profit with its interval.
+
+    A day is the day an order was placed; its profit is that of all instruments.
+    """
+    day = money.utc_date(F.col("ts_us")).alias("date")
+    done, marked = fills_of(md, cells, period_us, **options)
+    keys = ["strategy", "model", "latency_us", "fee_tenths"]
+    days = profits(done.select("*", day), marked.select("*", day), ["strategy", "model", "latency_us", "date"], fees_tenths)
+    days = written(days.withColumn("pnl", F.col("pnl_x2").cast("double")), "matrix-days")
+    total = days.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n_orders", "n_fills", "lots", "notional", "edge_x2", "markout_x2", "fees_x2", "pnl_x2")], F.avg(F.when(F.col("n_fills") > 0, F.col("edge_x2") / F.col("n_fills"))).alias("mean_edge_x2"))
+    return total.join(bootstrap(days, keys, "date", "pnl"), keys)
+
+
 def default_cells(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, m, lat) for s in STRATEGIES for m in queue.MODELS for lat in (50_000, 1_000_000)], "strategy string, model string, latency_us long")

@@ -631,7 +631,7 @@ def min_edge_rate(spark, sf_dir):
 FEES = [-50, -20, -5, 0, 2, 5, 20, 50, 100]
 
 SQL_CURVE = SQL_FILLS + f""",
-curve AS (SELECT symbol_id, CAST(fee AS DOUBLE) AS fee, sum((1 - 2 * side) * (mid_x2 - 2 * price) * qty * 100000) - sum(2 * CAST(sign(price * qty * 100000 * fee) AS BIGINT) * ((abs(price * qty * 100000 * fee) + 50000) // 100000)) AS pnl FROM fills CROSS JOIN (SELECT unnest({FEES}) AS fee) GROUP BY 1, 2)"""
+curve AS (SELECT symbol_id, CAST(fee AS DOUBLE) AS fee, sum((1 - 2 * side) * (mid_x2 - 2 * price) * qty * 100000) AS spread_x2, sum(2 * CAST(sign(price * qty * 100000 * fee) AS BIGINT) * ((abs(price * qty * 100000 * fee) + 50000) // 100000)) AS fees_x2, spread_x2 - fees_x2 AS pnl FROM fills CROSS JOIN (SELECT unnest({FEES}) AS fee) GROUP BY 1, 2)"""
 
 
 def fee_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -640,12 +640,12 @@ def fee_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fills.withColumn("fee", F.explode(F.lit(FEES)))
     gain = grid.sign(F.col("side")) * (F.col("mid_x2") - 2 * F.col("price")) * F.col("qty") * CASH
     cost = 2 * grid.fee(grid.notional(F.col("price"), F.col("qty"), CASH), F.col("fee").cast("long"))
-    return rows.groupBy("symbol_id", F.col("fee").cast("double").alias("fee")).agg(F.sum(gain - cost).alias("pnl"))
+    return rows.groupBy("symbol_id", F.col("fee").cast("double").alias("fee")).agg(F.sum(gain).alias("spread_x2"), F.sum(cost).alias("fees_x2")).withColumn("pnl", F.col("spread_x2") - F.col("fees_x2"))
 
 
-@query("pnl_by_fee", "symbol_id:l fee:d pnl:l", SQL_CURVE + ";SELECT * FROM curve")
+@query("pnl_by_fee", "symbol_id:l fee:d spread_x2:l fees_x2:l pnl:l", SQL_CURVE + ";SELECT * FROM curve")
 def pnl_by_fee(spark, sf_dir):
-    """Profit by fee."""
+    """Profit by fee and its parts."""
     return fee_curve(spark, sf_dir)
 
 
@@ -711,3 +711,11 @@ def strategy_sweep(spark, sf_dir):
     from microflow.plans import evaluate
 
     return evaluate.evaluate(market(spark, sf_dir), evaluate.default_cells(spark), 6 * 3_600_000_000)
+
+
+@query("matrix_summary", "strategy:s model:s latency_us:l fee_tenths:l n:l n_orders:l n_fills:l lots:l notional:l edge_x2:l markout_x2:l fees_x2:l pnl_x2:l mean_edge_x2:d estimate:d low:d high:d stderr:d", "")
+def matrix_summary(spark, sf_dir):
+    """The sweep summed by its four keys, with bootstrap intervals of the daily profit."""
+    from microflow.plans import evaluate
+
+    return evaluate.matrix_summary(market(spark, sf_dir), evaluate.default_cells(spark), 6 * 3_600_000_000)
