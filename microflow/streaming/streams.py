@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,29 +42,37 @@ STATE = "synced boolean, last long, accepted long, dirty boolean, futures boolea
 GAPS = "symbol_id long, ln long, expected long, got long"
 
 
+_NONE = np.iinfo(np.int64).min + 1
+
+
 def _gaps(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The closed form of operators.sync on a trigger's rows; what went before is the state that epoch 0 begins with."""
     synced, last, accepted, dirty, futures = state.get if state.exists else (False, 0, 0, False, None)
-    rows = pd.concat(list(parts)).sort_values("ln")
-    found = []
-    for r in rows.itertuples():
-        if r.kind == "snapshot":
-            synced, last, accepted, dirty = True, int(r.final_id), 0, False
-        elif r.kind == "depth" and synced and r.final_id > last:
-            has_prev = not pd.isna(r.prev_id)
-            futures = has_prev if futures is None else futures
-            follow = futures and has_prev
-            if accepted == 0:
-                good, expected, got = r.first_id <= last + 1 <= r.final_id, last + 1, r.first_id
-            elif follow:
-                good, expected, got = r.prev_id == last, last, r.prev_id
-            else:
-                good, expected, got = r.first_id == last + 1, last + 1, r.first_id
-            if not good:
-                dirty = True
-                found.append((int(key[0]), int(r.ln), int(expected), int(got)))
-            last, accepted = int(r.final_id), accepted + 1
-    state.update((synced, last, accepted, dirty, futures))
-    yield pd.DataFrame(found, columns=["symbol_id", "ln", "expected", "got"]).astype("int64")
+    rows = pd.concat(list(parts)).sort_values("ln", ignore_index=True)
+    number = lambda c: rows[c].astype("Int64").fillna(_NONE).to_numpy(np.int64)
+    snap, depth = (rows.kind == "snapshot").to_numpy(), (rows.kind == "depth").to_numpy()
+    first, final, prev, has_prev = number("first_id"), number("final_id"), number("prev_id"), rows.prev_id.notna().to_numpy()
+    epoch = np.cumsum(snap)
+    known = (epoch > 0) | bool(synced)
+    start = np.where((epoch == 0) & bool(synced), last, _NONE)
+    top = pd.Series(np.where(snap | depth & known, final, _NONE)).groupby(epoch).cummax()
+    before = np.maximum(top.groupby(epoch).shift(fill_value=_NONE).to_numpy(np.int64), start)
+    new = depth & known & (final > before)
+    earlier = pd.Series(new.astype(np.int64)).groupby(epoch).cumsum().to_numpy() - new + np.where(epoch == 0, accepted, 0)
+    if futures is None and new.any():
+        futures = bool(has_prev[new.argmax()])
+    follow = bool(futures) & has_prev & (earlier > 0)
+    good = np.where(earlier == 0, (first <= before + 1) & (final >= before + 1), np.where(follow, prev == before, first == before + 1))
+    gap = new & ~good
+    now = epoch == epoch[-1]
+    if known[-1]:
+        begun = epoch[-1] > 0
+        last = int(max(top[now].max(), _NONE if begun or not synced else last))
+        accepted = int(new[now].sum()) + (0 if begun else accepted)
+        dirty = bool(gap[now].any()) or (dirty and not begun)
+    state.update((bool(known[-1]), last, accepted, dirty, futures))
+    expected, got = np.where(follow, before, before + 1), np.where(follow, prev, first)
+    yield pd.DataFrame({"symbol_id": np.full(int(gap.sum()), int(key[0])), "ln": rows.ln.to_numpy(np.int64)[gap], "expected": expected[gap], "got": got[gap]})
 
 
 def gaps(messages: DataFrame) -> DataFrame:

@@ -42,3 +42,16 @@ def test_recordings_stream(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"t":1,"c":"depth","s":"X","d":{"E":1}}\nbroken\n')
     got = run(spark, streams.recordings(spark, str(tmp_path)), "lines")
     assert sorted(r.malformed for r in got.collect()) == [False, True]
+
+
+def test_gaps_go_on_after_a_restart(spark, tmp_path):
+    rows = queries.messages(spark, SF).cache()
+    n = rows.agg(F.max("ln")).first()[0]
+    for i, (a, z) in enumerate([(0, n // 2), (n // 2, n)]):
+        rows.where(f"ln > {a} and ln <= {z}").coalesce(1).write.parquet(str(tmp_path / "in" / f"part{i}"))
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        q = streams.gaps(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    expect = sync.gaps(sync.synchronised(rows)).select("symbol_id", "ln", "expected", "got")
+    assert got.count() == expect.count() > 0 and got.exceptAll(expect).count() == 0
