@@ -19,25 +19,27 @@ def synchronised(messages: DataFrame) -> DataFrame:
     the spot dialect). A snapshot begins an epoch; the first diff accepted in it must bracket the next id, later ones
     follow on: by prev_id where the symbol's first accepted diff has one, by first_id otherwise. From a gap on,
     rows are dirty until the next snapshot. Every accepted final id exceeds all before it in its epoch, so the running
-    maximum is the last accepted id.
+    maximum is the last accepted id. Only epochs are counted over a whole history, in stretches; all else is a window over
+    one epoch, what lies between two snapshots of an instrument.
     """
     snap, depth = F.col("kind") == "snapshot", F.col("kind") == "depth"
     rows = messages.withColumn("stretch", F.floor(F.col("ln") / STRETCH))
     rows = carried(rows, ["symbol_id"], "stretch", ["ln"], sums={"epoch": snap.cast("int")})
-    # the steps build on each other: what each has found is written once, so that the plan doesn't double with every step
-    rows = written(rows.withColumn("epoch", F.coalesce("epoch", F.lit(0))), "epochs")
-    own = ["symbol_id", "epoch"]
-    rows = carried(rows, own, "stretch", ["ln"], maxes={"last": F.when(snap | depth, F.col("final_id"))}, exclusive=("last",))
-    rows = written(rows.withColumn("accepted", F.coalesce(depth & (F.col("epoch") > 0) & (F.col("final_id") > F.col("last")), F.lit(False))), "accepted")
-    rows = carried(rows, own, "stretch", ["ln"], sums={"earlier": F.col("accepted").cast("int")}, exclusive=("earlier",)).withColumn("earlier", F.coalesce("earlier", F.lit(0)))
+    rows = rows.withColumn("epoch", F.coalesce("epoch", F.lit(0))).drop("stretch")
+    within = Window.partitionBy("symbol_id", "epoch").orderBy("ln")
+    before, to_here = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("last", F.max(F.when(snap | depth, F.col("final_id"))).over(before))
+    rows = rows.withColumn("accepted", F.coalesce(depth & (F.col("epoch") > 0) & (F.col("final_id") > F.col("last")), F.lit(False)))
+    # written once, as three branches read it from here on
+    rows = written(rows.withColumn("earlier", F.count_if("accepted").over(before)), "accepted")
     dialect = rows.where("accepted").groupBy("symbol_id").agg(F.min_by(F.col("prev_id").isNotNull(), "ln").alias("futures"))
     rows = rows.join(dialect, "symbol_id", "left")
     follows = F.when(F.col("earlier") == 0, (F.col("first_id") <= F.col("last") + 1) & (F.col("final_id") >= F.col("last") + 1)).when(F.col("futures") & F.col("prev_id").isNotNull(), F.col("prev_id") == F.col("last")).otherwise(F.col("first_id") == F.col("last") + 1)
-    rows = written(rows.withColumn("gap", F.col("accepted") & ~follows), "gaps")
-    rows = carried(rows, own, "stretch", ["ln"], maxes={"dirty": F.col("gap")}).withColumn("dirty", F.coalesce("dirty", F.lit(False)))
-    # a snapshot resynchronises if what stood before it was dirty
-    rows = carried(rows, ["symbol_id"], "stretch", ["ln"], lags={"was_dirty": F.col("dirty")}).drop("stretch")
-    rows = rows.withColumn("resynced", snap & F.coalesce("was_dirty", F.lit(False)))
+    rows = rows.withColumn("gap", F.col("accepted") & ~follows)
+    rows = rows.withColumn("dirty", F.coalesce(F.max("gap").over(to_here), F.lit(False)))
+    # a snapshot resynchronises if the epoch before it ended dirty
+    ended = rows.where("gap").select("symbol_id", (F.col("epoch") + 1).alias("epoch"), F.lit(True).alias("was_dirty")).distinct()
+    rows = rows.join(ended, ["symbol_id", "epoch"], "left").withColumn("resynced", snap & F.coalesce("was_dirty", F.lit(False))).drop("was_dirty")
     return rows.withColumn("stale", depth & (F.col("epoch") > 0) & ~F.col("accepted")).withColumn("presync", depth & (F.col("epoch") == 0))
 
 
