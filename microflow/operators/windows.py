@@ -20,7 +20,9 @@ def carried(rows: DataFrame, keys: list[str], bucket: str, order: list[str], sum
     lags: the value of the row before. bucket: a column that never falls along the order, such as the day.
 
     Each bucket is accumulated in a window of its own; what a bucket ends with is carried on by a window over one row
-    per bucket. So the largest task holds a bucket, however long the history, and the rows are shuffled once.
+    per bucket. So the largest task holds a bucket, however long the history, and the rows are shuffled once. rows is read
+    twice, so steps that build on each other should go through a written table. Rows whose keys or bucket are null have no
+    place in a history and are left out.
     """
     sums, maxes, lasts, lags = sums or {}, maxes or {}, lasts or {}, lags or {}
     own = Window.partitionBy(*keys, bucket).orderBy(*order)
