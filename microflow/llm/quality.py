@@ -177,11 +177,5 @@ def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return docs.join(gone, col(id_col) == F.col(name), "left_anti")
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
-    """docs without the documents that the classifier rejects; all columns stay. Rows with a null id stay."""
-    gone = score(docs, labels, seed, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
-
-
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")

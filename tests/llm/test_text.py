@@ -468,3 +468,16 @@ def test_quality_against_plain_python(spark, rng):
     best = sorted(rows.values(), key=lambda r: -r.key)[:k]
     assert 0 < k < len(docs) and all(r.kept for r in best)
     assert any(abs((r.key - r.log_weight) - (rows[0].key - rows[0].log_weight)) > 0.5 for r in rows.values())  # noise that matters
+
+
+def test_clashing_names_and_nulls(spark):
+    docs = table(spark, [(1, "mail a@b.cd now"), (None, None), (2, "")])
+    for name in ("_id", "_th", "_spans", "_t", "span_id", "span_text", "mix_row", "_row", "_parts", "rejected", "_gone", "id", "text_"):
+        docs = docs.withColumn(name, F.lit(1))
+    red = pii.redact(docs)
+    assert red.columns == docs.columns and {r.doc_id: r.text for r in red.collect()} == {1: "mail [email] now", None: None, 2: ""}
+    lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    left = quality.filter_quality(docs, lab)
+    assert left.columns == docs.columns and left.count() == 3
+    out = mixing.mixed(docs, length_col="n_chars")
+    assert out.columns == docs.columns and {r.mix_row for r in out.collect()} <= {1}
