@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _GIVE_BACK = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -103,6 +103,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """rows with `out`, their place from 0 on within the group, in ascending order with nulls first.
+
+    Rows are sorted over all tasks; what a task holds of a group is counted, and the counts of the tasks before are
+    added. So no task holds a group, and a hot one is spread like all others.
+    """
+    part, pos, first, before, n = (free(x, rows) for x in ("part", "pos", "first", "before", "n"))
+    by = [F.col(c).asc_nulls_first() for c in (*group, *order)]
+    laid = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(part, F.spark_partition_id()).withColumn(pos, F.monotonically_increasing_id())
+    laid = written(laid, "numbered")
+    runs = laid.groupBy(*group, part).agg(F.min(pos).alias(first), F.count("*").alias(n))
+    past = Window.partitionBy(*(group or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*[F.col(g).alias(f"{g}__") for g in group], F.col(part).alias("part__"), first, F.coalesce(F.sum(n).over(past), F.lit(0)).alias(before))
+    on = F.col(part) == F.col("part__")
+    for g in group:
+        on &= F.col(g).eqNullSafe(F.col(f"{g}__"))
+    return laid.join(runs, on).select(*rows.columns, (F.col(pos) - F.col(first) + F.col(before)).alias(out))
+
+
 # --- hashing of byte strings in numpy -------------------------------------------------------------------------------
 
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so invertible modulo 2**64

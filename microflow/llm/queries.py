@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from microflow.llm import ctw, decontaminate, exact_dedup, jaccard, line_dedup, mixing, packing, pii, quality, substrings
+from microflow.llm import chat, ctw, decontaminate, exact_dedup, jaccard, line_dedup, merkle, mixing, packing, pii, quality, substrings, trie
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_token_packing": packing.op9_token_packing,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_chat": chat.op11_chat,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_trie": trie.op13_trie,
 }
 
-SQL = {"op1_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_exact_dedup": exact_dedup.SQL, "op11_chat": chat.SQL}
