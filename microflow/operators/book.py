@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from microflow.operators.windows import carried, day_of
-from microflow.sources.adapters import ASK, BID, DEPTH, END, LEVEL
+from microflow.sources.adapters import ASK, BEGIN, BID, DEPTH, END, LEVEL
+from microflow.sources.shared import written
 
 #: Events of an instrument that one ordered pass covers.
 CHUNK = 4096
@@ -18,25 +19,43 @@ CHUNK = 4096
 JOINED = 256
 
 
+def snapshots(md: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, ends): md's updates and levels with epoch, the snapshots ended up to them, and ctl, the last begin or end before them.
+
+    ends: symbol_id, begin, ended, epoch of each whole snapshot, from its last begin to its end; an end without an open
+    snapshot is none.
+    """
+    marks = md.where(F.col("type").isin(BEGIN, END)).withColumn("stretch", F.floor(F.col("idx") / (16 * CHUNK)))
+    marks = carried(marks.select("symbol_id", "stretch", "idx", "type"), ["symbol_id"], "stretch", ["idx"], lags={"was": F.col("type")})
+    whole = marks.where((F.col("type") == END) & (F.col("was") == BEGIN))
+    rows = md.where(F.col("type").isin(DEPTH, LEVEL, BEGIN)).drop("epoch").unionByName(whole.select("symbol_id", "idx", "type"), allowMissingColumns=True)
+    rows = carried(rows.withColumn("stretch", F.floor(F.col("idx") / (16 * CHUNK))), ["symbol_id"], "stretch", ["idx"], sums={"epoch": (F.col("type") == END).cast("int")}, lasts={"ctl": F.when(F.col("type").isin(BEGIN, END), F.struct("type", "idx"))}, exclusive=("ctl",))
+    rows = written(rows.withColumn("epoch", F.coalesce("epoch", F.lit(0))).drop("stretch"), "staged")
+    return rows, rows.where(F.col("type") == END).select("symbol_id", F.col("ctl.idx").alias("begin"), F.col("idx").alias("ended"), "epoch")
+
+
 def levels(md: DataFrame) -> DataFrame:
     """(symbol_id, side, price, qty, from_idx, to_idx): each quantity a level has held, and while which events.
 
     An update replaces the level's quantity; zero or less deletes it. Prints don't move the book. A snapshot (rows of
-    type BEGIN, LEVEL and END; md then has `epoch`, the snapshots ended up to a row) is staged: at its end it replaces
-    both sides at once, until then the old book stands; levels in it without a quantity are ignored, one that never ends has no
-    effect. to_idx is exclusive; what is alive at the end ends one past the instrument's last event. Null prices or sides make
+    type BEGIN, LEVEL and END; md then has a column `epoch`) is staged: at its end it replaces both sides at once, until
+    then the old book stands. Each begin empties what is staged, so one that never ends has no effect; an end without a
+    begin has none either, and a level outside a snapshot is an update. Levels of a snapshot without a quantity are
+    ignored. to_idx is exclusive; what is alive at the end ends one past the instrument's last event. Null prices or sides make
     no level.
     """
     last = md.groupBy("symbol_id").agg((F.max("idx") + 1).alias("end_idx"))
-    named = md.where(F.col("price").isNotNull() & F.col("side").isNotNull())
     if "epoch" in md.columns:
-        ends = md.where(F.col("type") == END).select("symbol_id", "epoch", F.col("idx").alias("ended"))
-        staged = F.col("type") == LEVEL
-        rows = named.where((F.col("type") == DEPTH) | staged & (F.col("qty") > 0)).withColumn("epoch", F.col("epoch") + staged.cast("int"))
-        rows = rows.join(ends, ["symbol_id", "epoch"], "left").where(~staged | F.col("ended").isNotNull()).withColumn("from_idx", F.when(staged, F.col("ended")).otherwise(F.col("idx")))
-        rows = rows.drop("ended").join(ends.select("symbol_id", (F.col("epoch") - 1).alias("epoch"), "ended"), ["symbol_id", "epoch"], "left")
+        rows, ends = snapshots(md)
+        level = F.col("type") == LEVEL
+        rows = rows.where(F.col("price").isNotNull() & F.col("side").isNotNull() & ((F.col("type") == DEPTH) | level & (F.col("qty") > 0)))
+        staged = level & F.coalesce(F.col("ctl.type") == BEGIN, F.lit(False))
+        rows = rows.withColumn("begin", F.when(staged, F.col("ctl.idx"))).drop("ctl")
+        now = rows.where("begin is null").withColumn("from_idx", F.col("idx"))
+        then = rows.where("begin is not null").drop("epoch").join(ends, ["symbol_id", "begin"]).withColumnRenamed("ended", "from_idx")
+        rows = now.unionByName(then).join(ends.select("symbol_id", (F.col("epoch") - 1).alias("epoch"), "ended"), ["symbol_id", "epoch"], "left")
     else:
-        rows = named.where(F.col("type") == DEPTH).withColumns({"epoch": F.lit(0), "from_idx": F.col("idx"), "ended": F.lit(None).cast("long")})
+        rows = md.where((F.col("type") == DEPTH) & F.col("price").isNotNull() & F.col("side").isNotNull()).withColumns({"epoch": F.lit(0), "from_idx": F.col("idx"), "ended": F.lit(None).cast("long")})
     own = Window.partitionBy("symbol_id", "side", "price", "epoch").orderBy("from_idx", "idx")
     spans = rows.withColumn("next_idx", F.lead("from_idx").over(own)).where("qty > 0").join(last, "symbol_id")
     spans = spans.select("symbol_id", "side", "price", F.col("qty").cast("long").alias("qty"), F.col("from_idx").cast("long").alias("from_idx"), F.least("next_idx", "ended", "end_idx").cast("long").alias("to_idx"))
@@ -66,6 +85,26 @@ class _Side:
         return None
 
 
+class Sides:
+    """Both sides of a book."""
+
+    def __init__(self, levels: dict | None = None):
+        self.sides = (_Side(-1), _Side(1))
+        for (side, price), qty in (levels or {}).items():
+            self.put(side, price, qty)
+
+    def put(self, side: int, price: int, qty: int) -> None:
+        self.sides[side].put(price, qty)
+
+    def touch(self) -> tuple:
+        """Best bid and ask, and their quantities; None where a side is empty."""
+        b, a = self.sides[0].best(), self.sides[1].best()
+        return b, a, self.sides[0].qty.get(b), self.sides[1].qty.get(a)
+
+    def levels(self) -> dict:
+        return {(k, price): qty for k, side in enumerate(self.sides) for price, qty in side.qty.items()}
+
+
 _FOUND = ("best_bid", "best_ask", "bid_qty", "ask_qty", "bid_depth", "ask_depth")
 
 
@@ -80,25 +119,27 @@ def book_at(md: DataFrame, points: DataFrame | None = None, ticks: int = 0) -> D
     points = md if points is None else points
     spans = levels(md)
     first, last = f"from_idx div {CHUNK}", f"(to_idx - 1) div {CHUNK}"
-    # a level's beginning, its end, and the starts of the later chunks that it lives to see
-    starts = f"if({first} < {last}, transform(sequence({first} + 1, {last}), c -> struct(c * {CHUNK} as idx, 0 as order, qty as qty)), cast(array() as array<struct<idx:bigint,order:int,qty:bigint>>))"
-    steps = f"concat(array(struct(from_idx as idx, 2 as order, qty as qty), struct(to_idx as idx, 1 as order, 0L as qty)), {starts})"
-    rows = spans.select("symbol_id", F.col("side").cast("int").alias("side"), F.col("price").cast("long").alias("price"), F.explode(F.expr(steps)).alias("x")).select("symbol_id", F.expr(f"x.idx div {CHUNK}").alias("chunk"), "x.idx", "x.order", "side", "price", "x.qty")
+    # a level's beginning and its end, and in each run of 1024 chunks the starts of the later ones that it lives to see
+    runs = spans.select("symbol_id", F.col("side").cast("int").alias("side"), F.col("price").cast("long").alias("price"), "qty", "from_idx", "to_idx", F.posexplode(F.expr(f"sequence({first} div 1024, {last} div 1024)")).alias("run", "k"))
+    starts = f"filter(sequence(greatest({first} + 1, k * 1024), greatest({first} + 1, k * 1024, least({last}, k * 1024 + 1023))), c -> c <= {last})"
+    edges = "if(run = 0, array(struct(from_idx as idx, 2 as order, qty as qty), struct(to_idx as idx, 1 as order, 0L as qty)), cast(array() as array<struct<idx:bigint,order:int,qty:bigint>>))"
+    steps = f"concat({edges}, transform({starts}, c -> struct(c * {CHUNK} as idx, 0 as order, qty as qty)))"
+    rows = runs.select("symbol_id", "side", "price", F.explode(F.expr(steps)).alias("x")).select("symbol_id", F.expr(f"x.idx div {CHUNK}").alias("chunk"), "x.idx", "x.order", "side", "price", "x.qty")
     asked = points.select("symbol_id", F.expr(f"idx div {CHUNK}").alias("chunk"), "idx", F.lit(3).alias("order"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("price"), F.col("ts_us").cast("long").alias("qty"))
     rows = rows.unionByName(asked)
 
     def walk(t: pa.Table) -> pa.Table:
         order, idx = t["order"].to_numpy(), t["idx"].to_numpy()
         by = np.lexsort((order, idx))
-        sides, out = (_Side(-1), _Side(1)), []
+        book, out = Sides(), []
+        bids, asks = (side.qty for side in book.sides)
         for i, k, side, price, qty in zip(idx[by].tolist(), order[by].tolist(), t["side"].to_numpy()[by].tolist(), t["price"].to_numpy()[by].tolist(), t["qty"].to_numpy()[by].tolist()):
             if k < 3:
-                sides[side].put(price, qty)
+                book.put(side, price, qty)
                 continue
-            b, a = sides[0].best(), sides[1].best()
-            bids, asks = sides[0].qty, sides[1].qty
+            b, a, *quantities = book.touch()
             deep = range(ticks + 1)
-            out.append((i, qty, b, a, bids.get(b), asks.get(a), 0 if b is None else sum(bids.get(b - j, 0) for j in deep), 0 if a is None else sum(asks.get(a + j, 0) for j in deep)))
+            out.append((i, qty, b, a, *quantities, 0 if b is None else sum(bids.get(b - j, 0) for j in deep), 0 if a is None else sum(asks.get(a + j, 0) for j in deep)))
         cols = list(zip(*out)) or [()] * 8
         return pa.table({"symbol_id": pa.array([t["symbol_id"][0].as_py()] * len(out), pa.int64())} | {n: pa.array(c, pa.int64()) for n, c in zip(("idx", "ts_us", *_FOUND), cols)})
 

@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from microflow.operators.book import imbalance
+from microflow.operators.windows import as_of, carried
 from microflow.sources.adapters import ASK, BID, TRADE
+from microflow.sources.shared import written
 
+#: Events of an instrument that one window takes together.
+STRETCH = 65_536
+_LAST = 9_223_372_036_854_775_807
 MODELS = ("PESS", "OPT", "PROP")
 #: How long a print may explain a later decrease of its level.
 CREDIT_US = 250_000
@@ -28,13 +33,14 @@ def probes(best: DataFrame, every_us: int, depths: list[int], qty: int) -> DataF
 
 
 def placed(orders: DataFrame, spans: DataFrame) -> DataFrame:
-    """orders with `ahead`, the quantity that their level holds when they join it."""
-    chunk = 256
-    cut = spans.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("from_idx") / chunk), F.floor((F.col("to_idx") - 1) / chunk)))).select("symbol_id", "side", "price", "chunk", "from_idx", "to_idx", F.col("qty").alias("ahead"))
-    o = orders.withColumn("chunk", F.floor(F.col("idx") / chunk))
-    on = ["symbol_id", "side", "price", "chunk"]
-    hit = o.join(cut, on).where("from_idx <= idx and idx < to_idx").select("order_id", "ahead")
-    return orders.join(hit, "order_id", "left").withColumn("ahead", F.coalesce("ahead", F.lit(0).cast("long")))
+    """orders with `ahead`, the quantity that their level holds when they join it: the level's last one, if it still stands."""
+    keys = ["symbol_id", "side", "price"]
+    held = spans.select(*keys, F.col("from_idx").alias("idx"), F.lit(0).alias("_late"), F.struct("qty", "to_idx").alias("_held"))
+    asked = orders.select(*keys, "idx", F.lit(1).alias("_late"), F.struct(*orders.columns).alias("_order"))
+    line = held.unionByName(asked, allowMissingColumns=True).withColumn("_part", F.floor(F.col("idx") / STRETCH))
+    seen = carried(line, keys, "_part", ["idx", "_late"], lasts={"_last": F.col("_held")}).where("_late = 1")
+    ahead = F.when(F.col("idx") < F.col("_last.to_idx"), F.col("_last.qty"))
+    return seen.select("_order.*", F.coalesce(ahead, F.lit(0)).cast("long").alias("ahead"))
 
 
 def _cancel(model: str, c: str) -> tuple[str, str]:
@@ -95,14 +101,50 @@ def follow_models(orders: DataFrame, md: DataFrame, horizon_us: int, models: tup
     return folded.select(*orders.columns, F.col("x.model").alias("model"), *[F.col(f"x.s.{c}").alias(name) for name, c in out.items()])
 
 
+#: Events of an instrument in a leaf of the price index, and children of a node above.
+LEAF, FAN = 256, 16
+
+
+def reached(orders: DataFrame, points: DataFrame, ends: DataFrame, horizon_us: int) -> DataFrame:
+    """orders with the points that reach their price within the horizon, as p_idx and p, until what they need is met for sure.
+
+    orders: order_id, symbol_id, side, price, idx, ts_us and need. points: symbol_id, side (of the orders that they meet), idx, price, lots and p
+    (a struct of what is wanted). A bid is reached at or below its price, an ask at or above. ends: symbol_id, ts_us, idx of all events.
+
+    The points are indexed by the best price, with its lots, of each run of LEAF events and of FAN nodes below. Orders descend from a level at which
+    few nodes cover their horizon, only into nodes that reach their price, and not beyond those whose best points
+    meet their need. So an order is joined with the points of a leaf or two a fill, not of its whole horizon.
+    """
+    sign = F.when(F.col("side") == BID, 1).otherwise(-1)
+    p = points.withColumn("key", sign * F.col("price"))
+    due = orders.select("symbol_id", "order_id", (F.col("ts_us") + horizon_us).alias("ts_us"), F.lit(_LAST).alias("idx"))
+    until = as_of(due, ends.select("symbol_id", "ts_us", "idx", F.col("idx").alias("until")), ["symbol_id"], ["until"]).select("order_id", "until")
+    o = orders.join(until, "order_id").where(F.col("until") > F.col("idx")).select("order_id", "symbol_id", "side", (sign * F.col("price")).alias("limit"), (F.col("idx") + 1).alias("from"), "until", "need")
+    o = written(o, "horizons")
+    widest = o.agg(F.max(F.col("until") - F.col("from"))).first()[0] or 0
+    size = LEAF
+    while widest // size > FAN:
+        size *= FAN
+    nodes = f"sequence(from div {size}, until div {size})"
+    while True:
+        index = p.groupBy("symbol_id", "side", F.expr(f"idx div {size}").alias("node")).agg(F.min("key").alias("best"), F.min_by("lots", "key").alias("sure"))
+        seen = o.select("*", F.explode(F.expr(nodes)).alias("node")).join(index, ["symbol_id", "side", "node"]).where("best <= limit")
+        whole = (F.col("node") * size >= F.col("from")) & ((F.col("node") + 1) * size - 1 <= F.col("until"))
+        before = Window.partitionBy("order_id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+        seen = seen.withColumn("met", F.coalesce(F.sum(F.when(whole, F.col("sure")).otherwise(0)).over(before), F.lit(0))).where("met < need").drop("met", "best", "sure")
+        if size == LEAF:
+            break
+        o, size = written(seen.select("order_id", "symbol_id", "side", "limit", "from", "until", "need", F.col("node").alias("above")), "descent"), size // FAN
+        nodes = f"sequence(greatest(above * {FAN}, from div {size}), least(above * {FAN} + {FAN - 1}, until div {size}))"
+    leaves = p.select("symbol_id", "side", F.expr(f"idx div {LEAF}").alias("node"), F.col("idx").alias("p_idx"), "key", "p")
+    hit = seen.join(leaves, ["symbol_id", "side", "node"]).where("p_idx >= from and p_idx <= until and key <= limit").select("order_id", "p_idx", "p")
+    return orders.join(hit, "order_id")
+
+
 def touch_fills(orders: DataFrame, md: DataFrame, horizon_us: int) -> DataFrame:
     """Fills under the touch rule: any print at or through the price fills what remains, up to its quantity."""
-    trades = md.where(F.col("type") == TRADE)
-    bucket = F.floor(F.col("ts_us") / horizon_us)
-    t = trades.select("symbol_id", bucket.alias("bucket"), F.col("idx").alias("t_idx"), F.col("ts_us").alias("t_us"), F.col("side").alias("t_side"), F.col("price").alias("t_price"), F.col("qty").alias("t_qty"))
-    o = orders.withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
-    through = F.when(F.col("side") == BID, F.col("t_price") <= F.col("price")).otherwise(F.col("t_price") >= F.col("price"))
-    met = o.join(t, ["symbol_id", "bucket"]).where((F.col("t_idx") > F.col("idx")) & (F.col("t_us") <= F.col("ts_us") + horizon_us) & (F.col("t_side") == 1 - F.col("side")) & through)
+    prints = md.where((F.col("type") == TRADE) & (F.col("qty") > 0)).select("symbol_id", (1 - F.col("side")).alias("side"), "idx", "price", F.col("qty").alias("lots"), F.struct("ts_us", "qty").alias("p"))
+    met = reached(orders.withColumn("need", F.col("qty")), prints, md, horizon_us).select("order_id", "symbol_id", "side", "price", "qty", F.col("p_idx").alias("t_idx"), F.col("p.ts_us").alias("t_us"), F.col("p.qty").alias("t_qty"))
     before = F.coalesce(F.sum("t_qty").over(Window.partitionBy("order_id").orderBy("t_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fill = F.greatest(F.least(F.col("t_qty"), F.col("qty") - before), F.lit(0))
     return met.withColumn("fill", fill).where("fill > 0").select("order_id", "symbol_id", "side", "price", "t_idx", "t_us", "fill")
@@ -110,12 +152,9 @@ def touch_fills(orders: DataFrame, md: DataFrame, horizon_us: int) -> DataFrame:
 
 def cross_fills(orders: DataFrame, best: DataFrame, horizon_us: int) -> DataFrame:
     """The first event within the horizon at which the opposite touch reaches an order: it fills whole, at its limit."""
-    bucket = F.floor(F.col("ts_us") / horizon_us)
-    b = best.select("symbol_id", bucket.alias("bucket"), F.col("idx").alias("b_idx"), F.col("ts_us").alias("b_us"), F.col("best_bid").alias("bb"), F.col("best_ask").alias("ba"))
-    o = orders.withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
-    reached = F.when(F.col("side") == BID, F.col("ba") <= F.col("price")).otherwise(F.col("bb") >= F.col("price"))
-    met = o.join(b, ["symbol_id", "bucket"]).where((F.col("b_idx") > F.col("idx")) & (F.col("b_us") <= F.col("ts_us") + horizon_us) & reached)
-    return met.groupBy("order_id").agg(F.min("b_idx").alias("cross_idx"), F.min("b_us").alias("cross_us"))
+    touch = lambda side, price: best.where(F.col(price).isNotNull()).select("symbol_id", F.lit(side).alias("side"), "idx", F.col(price).alias("price"), F.lit(1).alias("lots"), F.struct("ts_us").alias("p"))
+    met = reached(orders.withColumn("need", F.lit(1)), touch(BID, "best_ask").unionByName(touch(ASK, "best_bid")), best, horizon_us)
+    return met.groupBy("order_id").agg(F.min("p_idx").alias("cross_idx"), F.min("p.ts_us").alias("cross_us"))
 
 
 def fills(followed: DataFrame) -> DataFrame:

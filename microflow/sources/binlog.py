@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Fixed values of the format.
 MAGIC, VERSION, RECORD = b"LOB1", 1, 32
@@ -38,6 +41,20 @@ def encode(events: np.ndarray) -> bytes:
     return head + events.astype(EVENT).tobytes()
 
 
+def _open(path: str):
+    """The store of a path or URI and the path within it: local folders, HDFS, S3 and what else pyarrow can open."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path))
+
+
+def _batch(r: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r[c]).astype(t)) for c, t in _COLUMNS], [c for c, _ in _COLUMNS])
+
+
+_COLUMNS = (("exch_ts_us", "i8"), ("seq", "i8"), ("price_ticks", "i4"), ("qty_lots", "i4"), ("type", "i2"), ("side", "i2"), ("symbol_id", "i2"), ("flags", "i2"))
+
+
 class Range(InputPartition):
     def __init__(self, path: str, first: int, n: int):
         super().__init__((path, first, n))
@@ -49,23 +66,100 @@ class Reader(DataSourceReader):
         self.path, self.block = path, block
 
     def partitions(self):
-        import os
-
-        with open(self.path, "rb") as f:
-            n = check(f.read(HEADER_SIZE), os.path.getsize(self.path))
-        return [Range(self.path, at, min(self.block, n - at)) for at in range(0, n, self.block)] or [Range(self.path, 0, 0)]
+        from pyarrow import fs
+
+        store, path = _open(self.path)
+        info = store.get_file_info(path)
+        found = [info] if info.type == fs.FileType.File else sorted((i for i in store.get_file_info(fs.FileSelector(path, recursive=True)) if i.type == fs.FileType.File and i.base_name[0] not in "._"), key=lambda i: i.path)
+        out = []
+        for i in found:
+            with store.open_input_file(i.path) as f:
+                n = check(f.read(HEADER_SIZE), i.size)
+            out += [Range(i.path, at, min(self.block, n - at)) for at in range(0, n, self.block)]
+        return out or [Range("", 0, 0)]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
+        if not partition.n:
+            return
+        store, _ = _open(self.path)
+        with store.open_input_file(partition.path) as f:
             f.seek(HEADER_SIZE + RECORD * partition.first)
-            rows = np.frombuffer(f.read(RECORD * partition.n), EVENT)
-        for at in range(0, len(rows), 65536):
-            r = rows[at : at + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r[c]).astype(t)) for c, t in (("exch_ts_us", "i8"), ("seq", "i8"), ("price_ticks", "i4"), ("qty_lots", "i4"), ("type", "i2"), ("side", "i2"), ("symbol_id", "i2"), ("flags", "i2"))], ["exch_ts_us", "seq", "price_ticks", "qty_lots", "type", "side", "symbol_id", "flags"])
+            left = partition.n
+            while left:
+                rows = np.frombuffer(f.read(RECORD * min(left, 65536)), EVENT)
+                left -= len(rows)
+                yield _batch(rows)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[str]
+
+
+class Writer(DataSourceArrowWriter):
+    """Tasks write logs of at most `block` records below _temporary; the commit moves those of the tasks that count into the folder.
+
+    A log is closed with its header once its records are known, so memory is bounded by a block. Files of lost or repeated
+    tasks stay below _temporary and go with it.
+    """
+
+    def __init__(self, path: str, block: int, overwrite: bool):
+        self.path, self.block, self.overwrite = path, block, overwrite
+
+    def write(self, iterator):
+        from pyspark import TaskContext
+
+        store, path = _open(self.path)
+        name, files, held, n = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", [], [], 0
+        store.create_dir(f"{path}/_temporary", recursive=True)
+
+        def close(rows: np.ndarray) -> None:
+            files.append(f"{name[:7]}{len(files):06d}-{name[7:]}.bin")
+            with store.open_output_stream(f"{path}/_temporary/{files[-1]}") as f:
+                f.write(encode(rows))
+
+        for batch in iterator:
+            rows = np.zeros(batch.num_rows, EVENT)
+            for c, _ in _COLUMNS:
+                rows[c] = batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+            held.append(rows)
+            n += len(rows)
+            while n >= self.block:
+                joined = np.concatenate(held)
+                close(joined[: self.block])
+                held, n = [joined[self.block :]], n - self.block
+        if n:
+            close(np.concatenate(held))
+        return Written(files)
+
+    def commit(self, messages):
+        from pyarrow import fs
+
+        store, path = _open(self.path)
+        store.create_dir(path, recursive=True)
+        if self.overwrite:
+            for old in store.get_file_info(fs.FileSelector(path)):
+                if old.type == fs.FileType.File:
+                    store.delete_file(old.path)
+        for f in [f for m in messages if m for f in m.files]:
+            store.move(f"{path}/_temporary/{f}", f"{path}/{f}")
+        self._clean(store, path)
+
+    def abort(self, messages):
+        self._clean(*_open(self.path))
+
+    def _clean(self, store, path):
+        from pyarrow import fs
+
+        if store.get_file_info(f"{path}/_temporary").type == fs.FileType.Directory:
+            store.delete_dir(f"{path}/_temporary")
 
 
 class BinaryLog(DataSource):
-    """spark.read.format("binlog").load(path): one log that all executors see; option block: records per partition."""
+    """format("binlog"): a log or a folder of them, read by ranges of records and written by a commit; option block: records a range or file.
+
+    Any store that pyarrow opens and all executors reach. Written in the order of the rows of each partition, files named in order of partitions.
+    """
 
     @classmethod
     def name(cls):
@@ -77,6 +171,9 @@ class BinaryLog(DataSource):
     def reader(self, schema):
         return Reader(self.options["path"], int(self.options.get("block", 1 << 20)))
 
+    def writer(self, schema, overwrite):
+        return Writer(self.options["path"], int(self.options.get("block", 1 << 20)), overwrite)
+
 
 def scan(spark: SparkSession, paths: str) -> DataFrame:
     """Logs through Spark's own file reader, for any store: path, event_idx within the file and the records' columns.
@@ -93,23 +190,21 @@ def scan(spark: SparkSession, paths: str) -> DataFrame:
                 rows = np.frombuffer(data, EVENT, offset=HEADER_SIZE)
                 for at in range(0, len(rows), 65536):
                     r = rows[at : at + 65536]
-                    cols = [pa.array([path] * len(r)), pa.array(np.arange(at, at + len(r)))] + [pa.array(np.ascontiguousarray(r[c]).astype(t)) for c, t in (("exch_ts_us", "i8"), ("seq", "i8"), ("price_ticks", "i4"), ("qty_lots", "i4"), ("type", "i2"), ("side", "i2"), ("symbol_id", "i2"), ("flags", "i2"))]
-                    yield pa.RecordBatch.from_arrays(cols, ["path", "event_idx", "exch_ts_us", "seq", "price_ticks", "qty_lots", "type", "side", "symbol_id", "flags"])
+                    own = _batch(r)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(r)), pa.array(np.arange(at, at + len(r))), *own.columns], ["path", "event_idx", *own.schema.names])
 
     return files.mapInArrow(decode, "path string, event_idx long, " + SCHEMA)
 
 
-def pack_records(events: DataFrame) -> DataFrame:
-    """(symbol_id, date, content): a whole log per instrument and UTC day, in order of event_idx, as binary to be written anywhere."""
-    rows = events.withColumn("date", F.date_format(F.timestamp_micros("exch_ts_us"), "yyyy-MM-dd"))
-
-    def run(pdf):
-        import pandas as pd
+def write(events: DataFrame, path: str, block: int = 1 << 20) -> None:
+    """events as a folder of logs in order of symbol_id, time and seq: sorted over all tasks, so that none holds an instrument or a day."""
+    spark = events.sparkSession
+    spark.dataSource.register(BinaryLog)
+    order = ["symbol_id", "exch_ts_us", "seq"]
+    rows = events.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in SCHEMA.split(", "))])
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.format("binlog").mode("overwrite").option("block", block).option("path", path).save()
 
-        pdf = pdf.sort_values("event_idx")
-        out = np.zeros(len(pdf), EVENT)
-        for c in EVENT.names[:-1]:
-            out[c] = pdf[c].to_numpy()
-        return pd.DataFrame({"symbol_id": [pdf.symbol_id.iloc[0]], "date": [pdf.date.iloc[0]], "content": [encode(out)]})
 
-    return rows.groupBy("symbol_id", "date").applyInPandas(run, "symbol_id short, date string, content binary")
+def read(spark: SparkSession, path: str, block: int = 1 << 20) -> DataFrame:
+    spark.dataSource.register(BinaryLog)
+    return spark.read.format("binlog").option("block", block).load(path)

@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from microflow.functions.grid import format_double
 from microflow.operators.report import missing_hours
 
 
-def ordered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, ln, value): lines of (gzipped) text files with their number, files in name order.
+def ordered_lines(spark: SparkSession, paths: str | list[str], stream: str = "") -> DataFrame:
+    """(file, ln, stream, arrival, value): lines of text files with their number in the file, and in the stream that it is part of.
 
-    A recording hour is one file and one row while its lines are numbered; blank lines keep their number.
+    Files of any size are read by ranges of bytes (gzipped ones as a whole, but line by line); a first pass counts the lines
+    of each range, and the counts of the ranges before give a line its number. Blank lines keep their number, CR before LF goes. stream: pattern on
+    the path whose group 1 names a file's stream, one for all files if empty; a stream's files follow each other by name.
     """
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("ln", "value")).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
+    name = F.regexp_extract("file", stream, 1) if stream else F.lit("")
+    # a row per range of bytes
+    blocks = lines.groupBy("file", "block").agg(F.min("pos").alias("first"), F.count("*").alias("n")).withColumn("stream", name)
+    past = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumns({"in_file": past("file"), "in_stream": past("stream")}).drop("n")
+    here = F.col("pos") - F.col("first")
+    return lines.join(blocks, ["file", "block"]).select("file", (here + F.col("in_file")).alias("ln"), "stream", (here + F.col("in_stream")).alias("arrival"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def write_lines(lines: DataFrame, folder: str, by: list[str], gzip: bool = False) -> None:
+    """lines (ln, value and the columns of `by`) as text files in folders by=..., each in order of ln and by one task."""
+    out = lines.repartition(*by).sortWithinPartitions(*by, "ln").select(*by, "value").write.partitionBy(*by).option("lineSep", "\n")
+    (out.option("compression", "gzip") if gzip else out).text(folder)
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,5 +71,13 @@ def write_csv(df: DataFrame, path: str, digits: int = 10) -> None:
 
 
 def read_runs(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """All CSV files of one name below a folder as one table."""
-    return spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).csv(folder)
+    """All CSV files of one name pattern below a folder as one table, with the columns of the schema.
+
+    Empty files, files without the schema's header and compressed ones that break off are skipped, or give what can be read of them.
+    """
+    kinds = [(f.name, f.dataType.simpleString()) for f in spark.createDataFrame([], schema).schema.fields]
+    text = ", ".join(f"`{n}` string" for n, _ in kinds)
+    rows = spark.read.schema(text).option("header", False).option("recursiveFileLookup", True).option("pathGlobFilter", name).option("ignoreCorruptFiles", True).csv(folder).withColumn("_file", F.col("_metadata.file_path"))
+    head = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(n) for n, _ in kinds])
+    whole = rows.where(head).select("_file").distinct()
+    return rows.where(~head).join(whole, "_file", "left_semi").select(*[F.col(n).try_cast(t).alias(n) for n, t in kinds])

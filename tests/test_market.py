@@ -296,8 +296,11 @@ def test_binary_log(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 4 and df.count() == 1000 and df.agg(F.sum("seq")).first()[0] == 499500
     again = binlog.scan(spark, str(path))
     assert again.drop("path", "event_idx").exceptAll(df).count() == 0
-    packed = binlog.pack_records(again).collect()
-    assert len(packed) == 1 and bytes(packed[0].content) == path.read_bytes()
+    for block in (100, 1 << 20):  # a log of several files, and back
+        binlog.write(df, str(tmp_path / "logs"), block)
+        assert not (tmp_path / "logs" / "_temporary").exists() and len(list((tmp_path / "logs").iterdir())) >= 1000 // block
+        back = binlog.read(spark, str(tmp_path / "logs"), 70)
+        assert back.count() == 1000 and back.exceptAll(df).count() == 0
     for bad in (b"", path.read_bytes()[:-1], b"XXXX" + path.read_bytes()[4:]):
         with pytest.raises(ValueError):
             binlog.check(bad[:32], len(bad))
@@ -312,8 +315,23 @@ def test_recordings(spark, tmp_path):
     assert (r.symbol, r.hours, r.hours_missing, r.tiny_files, r.bytes) == ("BTC", 2, 2, 1, 2010)
     assert recordings.runway_days(listing, 20100).first().days == 10.0
     (tmp_path / "lines.txt").write_text("a\r\n\nb")
-    got = recordings.ordered_lines(spark, str(tmp_path / "lines.txt")).collect()
+    got = recordings.ordered_lines(spark, str(tmp_path / "lines.txt")).orderBy("ln").collect()
     assert [(g.ln, g.value) for g in got] == [(0, "a"), (1, ""), (2, "b")]
+    for d, n in (("s=1", 5000), ("s=2", 300)):  # files in many ranges of bytes
+        (tmp_path / "big" / d).mkdir(parents=True)
+        for part in range(2):
+            (tmp_path / "big" / d / f"{part}.txt").write_text("".join(f"{d} {part} {i}\r\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    rows = recordings.ordered_lines(spark, str(tmp_path / "big"), r"/(s=\d)/").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    at = {"s=1": 5000, "s=2": 300}
+    assert len(rows) == 10600 and all(r.value == f"{r.stream} {r.arrival // at[r.stream]} {r.ln}" and r.arrival % at[r.stream] == r.ln for r in rows)
+    runs = tmp_path / "runs"
+    runs.mkdir()
+    for name, text in (("a", "x,y\n1,2.5\n"), ("b", ""), ("c", "other,head\n7,7\n"), ("d", "x,y\n"), ("e", "x,y\n3,\n")):
+        (runs / f"{name}.csv").write_text(text)
+    (runs / "f.csv.gz").write_bytes(b"not gzip")
+    assert sorted(map(tuple, recordings.read_runs(spark, str(runs), "*.csv*", "x long, y double").collect()), key=str) == [(1, 2.5), (3, None)]
     df = spark.createDataFrame([(1, -0.0, True, "x,y")], "a long, b double, c boolean, d string").coalesce(1)
     recordings.write_csv(df, str(tmp_path / "run" / "fills"))
     text = "".join(p.read_text() for p in (tmp_path / "run" / "fills").glob("*.csv"))
