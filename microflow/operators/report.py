@@ -154,3 +154,19 @@ def axis_limits(rows: DataFrame, one: str, other: str, *keys: str) -> DataFrame:
 def wanted(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
     """The rows whose name is in a list; names of the list that aren't there give nothing."""
     return rows.where(F.col(column).isin(names))
+
+
+def ordered(report: DataFrame, *by) -> DataFrame:
+    """A report in order, with the place of each row from 1 on; for reports of a row a cell, day or horizon, not for events."""
+    return report.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by))).orderBy("place")
+
+
+def delay_sketches(rows: DataFrame, keys: list[str], delay: str = "delay_us") -> DataFrame:
+    """keys with n and a quantile sketch of the delay: a row a group, that can be stored and merged with others later."""
+    return rows.groupBy(*keys).agg(F.count(delay).alias("n"), F.kll_sketch_agg_bigint(F.col(delay).cast("long")).alias("sketch"))
+
+
+def merged_delays(sketches: DataFrame, keys: list[str], shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """keys with n and the quantiles of all delays that the sketches have seen, as (share, delay_us)."""
+    out = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    return out.select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(s)).alias("delay_us")) for s in shares])).alias("q")).select(*keys, "n", "q.*")

@@ -56,7 +56,12 @@ messages AS (SELECT *, CASE WHEN kind = 'depth' THEN u_first END AS first_id, CA
 
 
 def recorder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as lines of a recorder (ln, value): depth with breaks, stale updates and either order of sides, trades, snapshots, broken lines."""
+    """The events as lines of recorders (ln, value): depth with breaks, stale updates and either order of sides, trades, snapshots, broken lines."""
+    return symbol_lines(spark, sf_dir).select("ln", "value")
+
+
+def symbol_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recorder_lines with the instrument whose recorder wrote them (symbol_id)."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("symbol_id", F.col("user_id") % 4).withColumn("part", F.floor(F.col("event_id") / 65_536))
     e = carried(e, ["symbol_id"], "part", ["event_id"], sums={"ln": F.lit(1)})
     n, k, ln = F.col("event_id"), F.get_json_object("props", "$.k").cast("long"), F.col("ln")
@@ -76,7 +81,7 @@ def recorder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(n % 251 == 0, "snapshot").when(n % 5 == 4, "trade").otherwise("depth")
     name = F.when((n % 199 == 3) & (n % 211 != 7), F.lit("OTHER")).otherwise(F.concat(F.lit("SYM"), F.col("symbol_id")))
     line = F.concat(F.lit('{"t":'), ts, F.lit(',"c":"'), kind, F.lit('","s":"'), name, F.lit('","d":'), F.when(kind == "snapshot", snap).when(kind == "trade", trade).otherwise(depth), F.lit("}"))
-    return e.select("ln", F.when(n % 211 == 7, F.left(line, F.lit(60))).otherwise(line).alias("value"))
+    return e.select("symbol_id", "ln", F.when(n % 211 == 7, F.left(line, F.lit(60))).otherwise(line).alias("value"))
 
 
 def instrument_table(spark: SparkSession) -> DataFrame:

@@ -18,7 +18,7 @@ def ordered_lines(spark: SparkSession, paths: str | list[str], stream: str = "")
     of each range, and the counts of the ranges before give a line its number. Blank lines keep their number, CR before LF goes. stream: pattern on
     the path whose group 1 names a file's stream, one for all files if empty; a stream's files follow each other by name.
     """
-    lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
     name = F.regexp_extract("file", stream, 1) if stream else F.lit("")
     # a row per range of bytes
     blocks = lines.groupBy("file", "block").agg(F.min("pos").alias("first"), F.count("*").alias("n")).withColumn("stream", name)

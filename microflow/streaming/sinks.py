@@ -62,14 +62,17 @@ def committed(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(*found).drop("sink_batch") if found else spark.createDataFrame([], schema)
 
 
-def replayed(events: DataFrame, order: str, build: Callable[[DataFrame], DataFrame], pieces: int = 3) -> DataFrame:
-    """What a streaming plan makes of stored events that arrive in pieces, by `order`; each piece is a run of its own from the checkpoint."""
+def replayed(events: DataFrame, order: str, build: Callable[[DataFrame], DataFrame], pieces: int = 3, after: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """What a streaming plan makes of stored events that arrive in pieces, by `order`, and of the rows `after` them.
+
+    Each piece is a run of its own that goes on from the checkpoint, as after a restart.
+    """
     spark = events.sparkSession
     base = f"{folder(spark).rstrip('/')}/microflow/replay-{uuid.uuid4().hex}"
     cuts = events.agg(F.percentile_approx(order, [i / pieces for i in range(1, pieces)])).first()[0] or []
     edges, schema = [None, *sorted(set(cuts)), None], None
-    for i, (a, z) in enumerate(zip(edges, edges[1:])):
-        piece = events.where((F.lit(a is None) | (F.col(order) > a)) & (F.lit(z is None) | (F.col(order) <= z)))
+    parts = [events.where((F.lit(a is None) | (F.col(order) > a)) & (F.lit(z is None) | (F.col(order) <= z))) for a, z in zip(edges, edges[1:])]
+    for i, piece in enumerate([*parts, *after]):
         piece.write.parquet(f"{base}/in/piece={i}")
         stream = build(spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{base}/in"))
         schema = stream.schema
