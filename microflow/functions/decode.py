@@ -102,3 +102,36 @@ def snapshots(rows: DataFrame, tick: float, lot: float) -> DataFrame:
     price, qty = _price_qty(tick, lot)
     out = d.select("*", F.posexplode(parts).alias("pos", "_x")).drop("_d")
     return out.withColumns({"kind": F.col("_x.kind"), "side": F.col("_x.side"), "price": price(F.col("_x.p")), "qty": qty(F.col("_x.q"))}).drop("_x")
+
+
+def decoded(rows: DataFrame, tick: float, lot: float) -> DataFrame:
+    """rows of `envelopes`, each parsed once: kind, ts_us, first_id, final_id, prev_id, seq, parts and broken.
+
+    kind: depth, trade, snapshot or ticker, null for a line that isn't any. parts: the events that the line makes, in order, as (kind, side,
+    price, qty). broken: a payload of a known kind that lacks what its kind needs; it has no parts. The payload is read once as a map of
+    names to text, so names that differ in case only stay apart, and the order of its sides is that of the keys.
+    """
+    price, qty = _price_qty(tick, lot)
+    known = ~F.col("malformed") & F.col("channel").isin("depth", "trade", "snapshot")
+    rows = rows.withColumn("_m", F.when(known, F.from_json("payload", "map<string,string>")))
+    text = lambda k: F.try_element_at("_m", F.lit(k))
+    number = lambda k: text(k).try_cast("long")
+    levels = lambda k, kind, side: F.transform(F.coalesce(F.from_json(text(k), "array<array<string>>"), F.array().cast("array<array<string>>")), lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(side).alias("side"), price(F.get(x, 0)).alias("price"), qty(F.get(x, 1)).alias("qty")))
+    edge = lambda kind: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("side"), F.lit(None).cast("long").alias("price"), F.lit(None).cast("long").alias("qty")))
+    place = lambda k: F.array_position(F.map_keys("_m"), k)
+    asks_first = place("a").between(F.lit(1), place("b") - 1)
+    side = F.when(text("m") == "true", 1).when(text("m") == "false", 0)
+    p, q = to_grid(text("p"), tick).cast("long"), to_grid(text("q"), lot).cast("long")
+    own = _millis(number("T"), number("E"))
+    channel, depth, trade, snapshot = F.col("channel"), F.col("channel") == "depth", F.col("channel") == "trade", F.col("channel") == "snapshot"
+    whole = F.when(depth, own.isNotNull() & number("U").isNotNull() & number("u").isNotNull()).when(trade, side.isNotNull() & p.isNotNull() & q.isNotNull()).when(snapshot, F.coalesce(number("lastUpdateId") > 0, F.lit(False)))
+    rows = rows.withColumn("broken", F.coalesce(known & ~whole, F.lit(False))).withColumns({
+        "kind": F.when(~F.col("malformed"), channel), "ts_us": F.when(snapshot, F.coalesce(own, F.col("t"))).otherwise(own),
+        "first_id": F.when(depth, number("U")), "final_id": F.when(depth, number("u")).when(snapshot, number("lastUpdateId")), "prev_id": F.when(depth, number("pu")),
+        "seq": F.when(depth, number("u")).when(trade, number("a")).when(snapshot, number("lastUpdateId")),
+    })
+    bids, asks = levels("b", "depth", 0), levels("a", "depth", 1)
+    parts = F.when(depth & asks_first, F.concat(asks, bids)).when(depth, F.concat(bids, asks))
+    parts = parts.when(trade, F.array(F.struct(F.lit("trade").alias("kind"), side.alias("side"), p.alias("price"), q.alias("qty"))))
+    parts = parts.when(snapshot, F.concat(edge("begin"), levels("bids", "level", 0), levels("asks", "level", 1), edge("end")))
+    return rows.withColumn("parts", F.when(~F.col("broken"), parts)).drop("_m")

@@ -38,16 +38,16 @@ def known_lines(lines: DataFrame, dimension: DataFrame) -> DataFrame:
     return out.withColumn("wrong_symbol", ~F.col("malformed") & F.col("symbol_id").isNull())
 
 
-def messages(known: DataFrame, tick: float, lot: float) -> DataFrame:
+def parsed(lines: DataFrame, dimension: DataFrame, tick: float, lot: float) -> DataFrame:
+    """known_lines, decoded, as a table: everything below reads it, and no line is parsed twice."""
+    known = decode.decoded(known_lines(lines, dimension), tick, lot)
+    return written(known.select("ln", "symbol_id", "malformed", "wrong_symbol", "broken", "channel", "kind", "ts_us", "first_id", "final_id", "prev_id", "seq", "parts"), "lines")
+
+
+def messages(lines: DataFrame) -> DataFrame:
     """One row per line for operators.sync: symbol_id, ln, ts_us, kind, first_id, final_id, prev_id; lines that don't parse are left out."""
-    mine = known.where("not malformed and not wrong_symbol")
-    base = ["symbol_id", "ln", "ts_us"]
-    ids = lambda first, final, prev: [x.cast("long").alias(n) for x, n in zip((first, final, prev), ("first_id", "final_id", "prev_id"))]
-    none = F.lit(None)
-    depth = decode.depth_updates(mine).where("not malformed").select(*base, F.lit("depth").alias("kind"), *ids(F.col("first_id"), F.col("final_id"), F.col("prev_id")))
-    trade = decode.trades(mine, tick, lot).where("not malformed").select(*base, F.lit("trade").alias("kind"), *ids(none, none, none))
-    snap = decode.snapshots(mine, tick, lot).where("kind = 'begin'").select(*base, F.lit("snapshot").alias("kind"), *ids(none, F.col("final_id"), none))
-    return depth.unionByName(trade).unionByName(snap)
+    mine = lines.where("not malformed and not wrong_symbol and not broken and kind in ('depth', 'trade', 'snapshot')")
+    return mine.select("symbol_id", "ln", "ts_us", "kind", "first_id", "final_id", "prev_id")
 
 
 def convert(lines: DataFrame, dimension: DataFrame, tick: float, lot: float, from_us: int = 0, to_us: int = 0, depth_first: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -57,21 +57,17 @@ def convert(lines: DataFrame, dimension: DataFrame, tick: float, lot: float, fro
     break until the next snapshot), resync (part of a snapshot). Dropped: depth before an instrument's first snapshot or not
     newer than what was applied; times out of the inclusive range (0: no bound), after the protocol has seen them.
     """
-    return converted(written(known_lines(lines, dimension), "lines"), tick, lot, from_us, to_us, depth_first)
+    return converted(parsed(lines, dimension, tick, lot), from_us, to_us, depth_first)
 
 
-def converted(known: DataFrame, tick: float, lot: float, from_us: int = 0, to_us: int = 0, depth_first: bool = False) -> tuple[DataFrame, DataFrame]:
-    """convert() of lines that are decoded already, as a table (they are read several times)."""
-    mine = known.where("not malformed and not wrong_symbol")
-    synced = written(sync.synchronised(messages(known, tick, lot)), "synced")
+def converted(lines: DataFrame, from_us: int = 0, to_us: int = 0, depth_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """convert() of `parsed` lines."""
+    synced = written(sync.synchronised(messages(lines)), "synced")
     kept = synced.where("accepted or kind <> 'depth'").select("symbol_id", "ln", "dirty")
-    part = lambda rows, kind, seq, pos: rows.select("symbol_id", "ln", pos.alias("pos"), "ts_us", kind.alias("kind"), seq.cast("long").alias("seq"), F.col("side").cast("int").alias("side"), F.col("price").cast("long").alias("price"), F.col("qty").cast("long").alias("qty"))
-    levels = decode.level_events(decode.depth_updates(mine).where("not malformed"), tick, lot)
-    rows = part(levels, F.lit("depth"), F.col("final_id"), F.col("pos"))
-    rows = rows.unionByName(part(decode.trades(mine, tick, lot).where("not malformed"), F.lit("trade"), F.col("trade_id"), F.lit(0)))
-    rows = rows.unionByName(part(decode.snapshots(mine, tick, lot), F.col("kind"), F.col("final_id"), F.col("pos")))
-    flagged = sync.in_range(rows.join(kept, ["symbol_id", "ln"]), from_us, to_us)
-    ordered = sync.replay_order(written(flagged, "flagged"), depth_first)
+    mine = lines.where("not malformed and not wrong_symbol and not broken").select("symbol_id", "ln", "ts_us", "seq", "parts")
+    flagged = sync.in_range(mine.join(kept, ["symbol_id", "ln"]), from_us, to_us)
+    rows = flagged.select("symbol_id", "ln", "ts_us", "seq", "dirty", F.posexplode("parts").alias("pos", "x")).select("symbol_id", "ln", "pos", "ts_us", "seq", "dirty", "x.*")
+    ordered = sync.replay_order(written(rows, "flagged"), depth_first)
     code = F.lit(None).cast("int")
     for name, n in _TYPES.items():
         code = F.when(F.col("kind") == name, n).otherwise(code)
@@ -85,19 +81,16 @@ def statistics(lines: DataFrame, dimension: DataFrame, tick: float, lot: float,
     lines, malformed, wrong_symbol; messages by channel; dropped before the first snapshot and as stale; gaps, resyncs
     (snapshots that end a dirty stretch); events emitted and dirty, first and last time.
     """
-    known = written(known_lines(lines, dimension), "lines")
-    mine = known.where("not malformed and not wrong_symbol")
-    parsed = messages(known, tick, lot)
-    broken = mine.where("channel <> 'ticker'").join(parsed.select("symbol_id", "ln"), ["symbol_id", "ln"], "left_anti").groupBy("symbol_id").agg(F.count("*").alias("broken"))
+    table = parsed(lines, dimension, tick, lot)
     of = lambda c: F.count_if(~F.col("malformed") & ~F.col("wrong_symbol") & (F.col("channel") == c))
-    read = known.groupBy("symbol_id").agg(F.count("*").alias("n_lines"), F.count_if("malformed").alias("bad"), F.count_if("wrong_symbol").alias("n_wrong_symbol"), of("depth").alias("n_depth"), of("trade").alias("n_trades"), of("ticker").alias("n_tickers"), of("snapshot").alias("n_snapshots"))
-    events, synced = converted(known, tick, lot, from_us, to_us)
+    read = table.groupBy("symbol_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("malformed") | ~F.col("wrong_symbol") & F.col("broken")).alias("n_malformed"), F.count_if("wrong_symbol").alias("n_wrong_symbol"), of("depth").alias("n_depth"), of("trade").alias("n_trades"), of("ticker").alias("n_tickers"), of("snapshot").alias("n_snapshots"))
+    events, synced = converted(table, from_us, to_us)
     dropped = synced.groupBy("symbol_id").agg(F.count_if("presync").alias("n_presync"), F.count_if("stale").alias("n_stale"), F.count_if("gap").alias("n_gaps"), F.count_if("resynced").alias("n_resyncs"))
     made = events.groupBy("symbol_id").agg(F.count("*").alias("n_events"), F.count_if("dirty").alias("n_dirty"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
     same = lambda a, b: F.col(f"{a}.symbol_id").eqNullSafe(F.col(f"{b}.symbol_id"))
-    out = read.alias("r").join(broken.alias("b"), same("r", "b"), "left").join(dropped.alias("d"), same("r", "d"), "left").join(made.alias("m"), same("r", "m"), "left")
+    out = read.alias("r").join(dropped.alias("d"), same("r", "d"), "left").join(made.alias("m"), same("r", "m"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("r.symbol_id", "n_lines", (F.col("bad") + F.coalesce("broken", F.lit(0))).alias("n_malformed"), "n_wrong_symbol", "n_depth", "n_trades", "n_tickers", "n_snapshots", *[zero(c) for c in ("n_presync", "n_stale", "n_gaps", "n_resyncs", "n_events", "n_dirty")], "first_us", "last_us")
+    return out.select("r.symbol_id", "n_lines", "n_malformed", "n_wrong_symbol", "n_depth", "n_trades", "n_tickers", "n_snapshots", *[zero(c) for c in ("n_presync", "n_stale", "n_gaps", "n_resyncs", "n_events", "n_dirty")], "first_us", "last_us")
 
 
 def gap_log(synced: DataFrame, names: DataFrame) -> DataFrame:

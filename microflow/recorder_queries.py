@@ -41,12 +41,17 @@ best AS (SELECT p.symbol_id, p.idx, p.ts_us, p.dirty, max(CASE WHEN side = 0 THE
   FROM (SELECT symbol_id, idx, ts_us, dirty FROM md) p LEFT JOIN live l ON p.symbol_id = l.symbol_id AND p.idx = l.idx GROUP BY 1, 2, 3, 4)"""
 
 
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as they would lie in files."""
+    return written(recorder_lines(spark, sf_dir), "recorded")
+
+
 def known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convert.known_lines(recorder_lines(spark, sf_dir), instrument_table(spark)).where("not malformed and not wrong_symbol")
+    return convert.known_lines(recorded(spark, sf_dir), instrument_table(spark)).where("not malformed and not wrong_symbol")
 
 
 def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convert.convert(recorder_lines(spark, sf_dir), instrument_table(spark), TICK, LOT)[0]
+    return convert.convert(recorded(spark, sf_dir), instrument_table(spark), TICK, LOT)[0]
 
 
 @query("decode_depth", "symbol_id:l ln:l pos:l ts_us:l first_id:l final_id:l prev_id:l side:l price:l qty:l", SQL_LINES + f""";SELECT symbol_id, ln, p AS pos, ms_us AS ts_us, first_id, final_id, prev_id, CASE WHEN {_BID_FIRST} THEN 0 ELSE 1 END AS side, CASE WHEN {_BID_FIRST} THEN 10000 - off ELSE 10001 + off END AS price, CASE WHEN {_BID_FIRST} THEN k ELSE (k + event_id) % 7 END AS qty FROM messages CROSS JOIN (SELECT unnest([0, 1]) AS p) WHERE kind = 'depth'""")
@@ -77,7 +82,7 @@ def convert_events(spark, sf_dir):
 @query("convert_range", "symbol_id:l n:l n_dirty:l first_us:l last_us:l", SQL_CONVERTED + ";SELECT symbol_id, count(*) AS n, count(*) FILTER (dirty) AS n_dirty, min(ts_us) AS first_us, max(ts_us) AS last_us FROM raw_events WHERE ts_us BETWEEN 1704672000000000 AND 1705881600000000 GROUP BY 1")
 def convert_range(spark, sf_dir):
     """A conversion with an inclusive time range, applied after the sequence protocol."""
-    rows, _ = convert.convert(recorder_lines(spark, sf_dir), instrument_table(spark), TICK, LOT, 1704672000000000, 1705881600000000)
+    rows, _ = convert.convert(recorded(spark, sf_dir), instrument_table(spark), TICK, LOT, 1704672000000000, 1705881600000000)
     return rows.groupBy("symbol_id").agg(F.count("*").alias("n"), F.count_if("dirty").alias("n_dirty"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
 
 
@@ -91,14 +96,14 @@ made AS (SELECT symbol_id, count(*) AS n_events, count(*) FILTER (dirty) AS n_di
 ;SELECT r.*, coalesce(n_presync, 0) AS n_presync, coalesce(n_stale, 0) AS n_stale, coalesce(n_gaps, 0) AS n_gaps, coalesce(n_resyncs, 0) AS n_resyncs, coalesce(n_events, 0) AS n_events, coalesce(n_dirty, 0) AS n_dirty, first_us, last_us FROM read r LEFT JOIN dropped d USING (symbol_id) LEFT JOIN made m USING (symbol_id)""")
 def convert_stats(spark, sf_dir):
     """All fifteen counters of a conversion, broken and foreign lines in a row of their own."""
-    return convert.statistics(recorder_lines(spark, sf_dir), instrument_table(spark), TICK, LOT)
+    return convert.statistics(recorded(spark, sf_dir), instrument_table(spark), TICK, LOT)
 
 
 @query("gap_log", "symbol_id:l ln:l value:s", SQL_SYNCED + """;SELECT symbol_id, ln, '{"t":' || CASE kind WHEN 'depth' THEN ms_us ELSE ts_us END || ',"iso":"' || strftime(make_timestamp(ms_us), '%Y-%m-%dT%H:%M:%SZ') || '","symbol":"SYM' || symbol_id || '","reason":"' || CASE WHEN earlier = 0 THEN 'first update doesn''t bracket the snapshot' WHEN futures AND prev_id IS NOT NULL THEN 'futures: pu doesn''t match' ELSE 'spot: U doesn''t follow' END
   || '","expected":' || CASE WHEN earlier > 0 AND futures AND prev_id IS NOT NULL THEN last ELSE last + 1 END || ',"got":' || CASE WHEN earlier > 0 AND futures AND prev_id IS NOT NULL THEN prev_id ELSE first_id END || '}' AS value FROM synced WHERE gap""")
 def gap_log(spark, sf_dir):
     """The sidecar log of breaks."""
-    _, synced = convert.convert(recorder_lines(spark, sf_dir), instrument_table(spark), TICK, LOT)
+    _, synced = convert.convert(recorded(spark, sf_dir), instrument_table(spark), TICK, LOT)
     return convert.gap_log(synced, instrument_table(spark))
 
 
