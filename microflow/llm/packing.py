@@ -14,8 +14,8 @@ from microflow.llm.common import col, table
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public 50k byte-level vocabulary cuts text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose ids a worker keeps at most, some 10 MB.
-CACHED = 50_000
+#: Words whose ids a worker keeps in each of two generations, some 20 MB.
+CACHED = 100_000
 _tokenizers: dict = {}
 
 
@@ -23,18 +23,24 @@ class _Words(dict):
     """Ids (as bytes) of what stands between two single spaces, with `before` in front of it.
 
     The pattern never joins text across a lone space between two other characters, so such pieces can be encoded
-    apart. A piece that begins or ends with white space has no entry of its own: None.
+    apart. A piece that begins or ends with white space has no entry of its own: None. When the table is full it
+    becomes the older generation, from which words that come again are taken over, so frequent ones stay.
     """
 
     def __init__(self, encode, before: str):
         super().__init__()
-        self.encode, self.before = encode, before
+        self.encode, self.before, self.older = encode, before, {}
 
     def __missing__(self, piece: str):
         if len(self) >= CACHED:
+            self.older = dict(self)
             self.clear()
-        odd = not piece or piece[0].isspace() or piece[-1].isspace()
-        out = self[piece] = None if odd else np.array(self.encode(self.before + piece), np.uint32).tobytes()
+        if piece in self.older:
+            out = self.older[piece]
+        else:
+            odd = not piece or piece[0].isspace() or piece[-1].isspace()
+            out = None if odd else np.array(self.encode(self.before + piece), np.uint32).tobytes()
+        self[piece] = out
         return out
 
 
