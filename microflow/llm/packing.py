@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from microflow.llm.common import col, table
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public 50k byte-level vocabulary cuts text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose ids a worker keeps in each of two generations, some 20 MB.
-CACHED = 100_000
+#: Words whose ids a worker keeps in each of two generations, some 30 MB.
+CACHED = 150_000
 _tokenizers: dict = {}
 
 
@@ -39,7 +40,7 @@ class _Words(dict):
             out = self.older[piece]
         else:
             odd = not piece or piece[0].isspace() or piece[-1].isspace()
-            out = None if odd else np.array(self.encode(self.before + piece), np.uint32).tobytes()
+            out = None if odd else array("I", self.encode(self.before + piece)).tobytes()
         self[piece] = out
         return out
 
