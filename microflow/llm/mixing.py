@@ -43,7 +43,7 @@ def permuted(index: str, size: str, key: str) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), {index}, (x, r) -> if(pmod(xxhash64({key}, r, greatest(x, {partner})), 2) = 0, x, {partner}))"
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 1024, shard_blocks: int = 4096, seed: int = 7, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 1024, shard_blocks: int = 4096, seed: int = 7, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, row_col: str | None = None, draw: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pieces, slots) of a mix.
 
     documents: row, id, size (words), sid, source_size, target. pieces: (sid, block, row, at, lo, hi): words lo to hi of the
@@ -53,7 +53,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A source's words, its documents in a seeded order, are cut into blocks of `block` words. The output's shards draw
     their source counts: each place of a source falls to a uniform shard, so the counts are multinomial, given that the
     totals meet the targets (`drawn`). A source's slots are numbered shard by shard from these counts and mapped through the
-    source's permutation of its full blocks, another one each round; a short last block ends a round. Null text and text without words have size 0 and no piece; null sources are one source, the last; rows repeating an id are
+    source's permutation of its full blocks, another one each round; a short last block ends a round. A round that the target
+    asks for in part deals the permutation out to its slots in even stretches, and a slot's shard and place in it choose within
+    the stretch, so another draw (`draw`, else `seed`) takes other blocks of that round, never one twice. Null text and text without words have size 0 and no piece; null sources are one source, the last; rows repeating an id are
     documents of their own (`row` tells them apart). Empty tables give empty results.
     """
     number = col(row_col) if row_col else F.monotonically_increasing_id()
@@ -78,13 +80,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     s = s.withColumn("n", F.expr(f"(want div source_size) * blocks + (want % source_size + {block} - 1) div {block}"))
     total = s.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_blocks))
-    counts = shard_counts(s, shards, seed)
+    draw = seed if draw is None else draw
+    counts = shard_counts(s, shards, draw)
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("first", F.coalesce(F.sum("n_slots").over(before), F.lit(0).cast("long")))
     # a slot a row: a hot source's shards are dealt to many tasks
     slots = counts.join(s, "sid").repartition("sid", "shard").select("*", F.explode(F.expr("sequence(first, first + n_slots - 1)")).alias("slot"))
     slots = slots.withColumn("round", F.expr("slot div blocks")).withColumn("i", F.expr("slot % blocks"))
-    slots = slots.withColumn("block", F.when(F.col("i") < F.col("full"), F.expr(permuted("i", "full", f"{seed + 1}, sid, round"))).otherwise(F.col("i")))
+    # the last round's m slots: slot i has the i-th of m even stretches of the full blocks, all of them if the short block is among the m
+    m = f"((want % source_size + {block} - 1) div {block})"
+    least, past = (f"cast({x} as decimal(19, 0)) * cast(full as decimal(19, 0)) div {m}" for x in ("i", "(i + 1)"))  # the product may exceed a long
+    chosen = f"{least} + pmod(xxhash64({draw + 3}, sid, shard, slot - first), {past} - ({least}))"
+    slots = slots.withColumn("at", F.expr(f"if(round < want div source_size or {m} > full, i, {chosen})"))
+    slots = slots.withColumn("block", F.when(F.col("i") < F.col("full"), F.expr(permuted("at", "full", f"{seed + 1}, sid, round"))).otherwise(F.col("i")))
     left = F.when(F.expr("round < want div source_size"), F.lit(block)).otherwise(F.expr("want % source_size") - F.col("i") * block)
     slots = slots.withColumn("words", F.least(F.lit(block), F.expr(f"source_size - block * {block}"), left))
     return rows, pieces, slots.select("shard", "sid", "slot", "round", "block", "words")

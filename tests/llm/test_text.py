@@ -281,6 +281,18 @@ def test_mixing(spark, corpus, block):
             assert len({r.block for r in own if r.round == turn}) == sum(r.round == turn for r in own)
 
 
+@pytest.mark.parametrize("block", [4, 64])
+def test_another_draw_takes_other_words(spark, corpus, block):
+    first, *others = ({r.row: r for r in mixing.taken(*mixing.mix(table(spark, corpus), block=block, shard_blocks=16, draw=d)).collect()} for d in (7, 8, 9))
+    for other in others:
+        assert {k: r.taken for k, r in other.items()} != {k: r.taken for k, r in first.items()}
+        sums = collections.Counter()
+        for k, r in other.items():
+            assert (r.size, r.target) == (first[k].size, first[k].target) and 0 <= r.taken <= 2 * r.size
+            sums[r.sid] += r.taken
+        assert all(abs(sums[r.sid] - r.target) <= 0.5 for r in other.values())
+
+
 def test_shard_draws_are_multinomial(spark):
     sources = spark.createDataFrame([(0, 40_000), (1, 20_000), (2, 0)], "sid long, n long")
     counts = {(r.sid, r.shard): r.n_slots for r in mixing.shard_counts(sources, 50).collect()}
