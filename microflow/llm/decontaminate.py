@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +11,10 @@ from pyspark.sql import functions as F
 
 from microflow.llm.common import as_bytes, col, free, mix64, partitions, table, written
 
-#: Benchmarks up to this many characters are one broadcast; larger ones are searched for in that many passes.
-BROADCAST_CHARS = 64_000_000
+#: Benchmarks up to this many characters and words are one broadcast of 500 MB at most; larger ones are searched for in several passes.
+BROADCAST_CHARS, BROADCAST_WINDOWS = 64_000_000, 12_000_000
 #: Lower-cases A-Z and turns every byte that is no word character into a space.
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_SCALE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: bytes) -> list[bytes]:
@@ -22,59 +23,79 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some items: by length, hashes for a first look and the words for the proof."""
+    """The windows of some items: by length, sorted hashes with a place in the items' words for the proof, and the items.
+
+    Some twenty bytes a word of the items, besides their vocabulary. Word numbers are exact, and multipliers are drawn
+    anew until no two different windows share a hash.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
-        self.ids: dict[bytes, int] = {}
         self.items = [k for k, _ in items]
-        found: dict[int, dict[bytes, list[int]]] = {}
-        for at, (_, text) in enumerate(items):
-            w = words(text)
-            for x in w:
-                self.ids.setdefault(x, len(self.ids))
-            size = min(n, len(w))
-            for i in range(len(w) - size + 1) if w else ():
-                owners = found.setdefault(size, {}).setdefault(b" ".join(w[i : i + size]), [])
-                if not owners or owners[-1] != at:
-                    owners.append(at)
-        self.codes = mix64(np.arange(len(self.ids) + 1, dtype=np.uint64) + np.uint64(1))
-        self.by = {size: (np.sort(self.hash(np.array([self.ids[x] for k in keys for x in k.split(b" ")], np.int64), size)[::size]), keys) for size, keys in found.items()}
-
-    def hash(self, ids: np.ndarray, size: int) -> np.ndarray:
-        """Of each run of `size` ids."""
-        out = np.zeros(max(0, len(ids) - size + 1), np.uint64)
-        code = self.codes[ids]
+        ids: dict[bytes, int] = {}
+        runs = [np.fromiter((ids.setdefault(x, len(ids)) for x in words(text)), np.int32) for _, text in items]
+        self.ids, self.words = ids, np.concatenate([np.zeros(0, np.int32), *runs])
+        counts = np.array([len(r) for r in runs], np.int64)
+        del runs
+        first = np.cumsum(counts) - counts
+        sizes, self.salt, self.by = np.minimum(counts, n), 0, {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            mine = np.flatnonzero(sizes == size)
+            many = counts[mine] - size + 1
+            owner = np.repeat(mine, many).astype(np.int32)
+            place = np.arange(len(owner)) + np.repeat(first[mine] - (np.cumsum(many) - many), many)
+            while True:
+                hashes = self.hash(self.words, place, size)
+                order = np.argsort(hashes, kind="stable")
+                sorted_ = hashes[order]
+                twin = np.flatnonzero(sorted_[1:] == sorted_[:-1])
+                if self.equal(self.words, place[order[twin]], place[order[twin + 1]], size).all():
+                    break
+                self.salt += 1
+            owner, place = owner[order], place[order]
+            new = np.concatenate(([True], (sorted_[1:] != sorted_[:-1]) | (owner[1:] != owner[:-1])))
+            self.by[size] = (self.salt, sorted_[new], place[new], owner[new])
+
+    def hash(self, ids: np.ndarray, at: np.ndarray, size: int, salt: int | None = None) -> np.ndarray:
+        """Of the `size` ids from each place on: a sum of mixed ids with a multiplier for each position."""
+        salt = self.salt if salt is None else salt
+        odd = mix64(np.arange(size, dtype=np.uint64) + np.uint64(1 + (salt << 32))) | np.uint64(1)
+        out = np.zeros(len(at), np.uint64)
         for k in range(size):
-            out = out * _SCALE + code[k : k + len(out)]
+            out += mix64(ids[at + k].astype(np.uint64) + np.uint64(1)) * odd[k]
         return mix64(out)
 
+    def equal(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+        """Whether the `size` ids from a on are the items' words from b on."""
+        out = np.ones(len(a), bool)
+        for k in range(size):
+            out &= ids[a + k] == self.words[b + k]
+        return out
+
     def search(self, texts: list[bytes]):
         """For each text: its words, a mask of hit words and the items found."""
         tokens = [words(t) for t in texts]
-        flat = [w for t in tokens for w in (*t, b"")]  # an empty word ends a text
         get = self.ids.get
-        ids = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
-        hit, found = np.zeros(len(flat), bool), {}
+        # an unknown number ends a text
+        ids = np.fromiter((x for t in tokens for x in (*map(get, t, itertools.repeat(-1)), -1)), np.int32)
+        hit, found = np.zeros(len(ids), bool), {}
         ends = np.cumsum([len(t) + 1 for t in tokens])
         stop = np.flatnonzero(ids < 0)
-        for size, (hashes, keys) in self.by.items():
-            if len(ids) < size or not len(hashes):
+        for size, (salt, hashes, places, owners) in self.by.items():
+            if len(ids) < size:
                 continue
             # a window can only start where `size` known words follow each other
             start = np.arange(len(ids) - size + 1)
             after = np.append(stop, len(ids))[np.searchsorted(stop, start)]
             start = start[after - start >= size]
-            if not len(start):
-                continue
-            h = np.zeros(len(start), np.uint64)
-            for k in range(size):
-                h = h * _SCALE + self.codes[ids[start + k]]
-            h = mix64(h)
+            h = self.hash(ids, start, size, salt)
             near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for i in start[hashes[near] == h]:
-                if owners := keys.get(b" ".join(flat[i : i + size])):
-                    hit[i : i + size] = True
-                    found.setdefault(int(np.searchsorted(ends, i, side="right")), set()).update(owners)
+            some = np.flatnonzero(hashes[near] == h)
+            some = some[self.equal(ids, start[some], places[near[some]], size)]
+            for k in range(size):
+                hit[start[some] + k] = True
+            pairs = np.unique(np.stack((np.searchsorted(ends, start[some], side="right"), near[some])), axis=1)
+            for d, lo, hi in zip(*pairs.tolist(), np.searchsorted(hashes, hashes[pairs[1]], side="right").tolist()):
+                found.setdefault(d, set()).update(owners[lo:hi].tolist())
         at = 0
         for d, t in enumerate(tokens):
             yield t, hit[at : at + len(t)], sorted({self.items[i] for i in found.get(d, ())})
@@ -91,12 +112,14 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id",
 
     row_col: a column that tells the rows of docs apart; it comes back as `row`.
     Null text has no words; an item of no words has no window; a null item id counts as the item "". An empty benchmark hits
-    nothing. A benchmark beyond BROADCAST_CHARS is cut by item into parts, each broadcast to a pass of its own over a
-    table in which each row has a key; every row stays its own, whatever its id.
+    nothing. A benchmark beyond BROADCAST_CHARS or BROADCAST_WINDOWS is cut by item into parts. One after another, each is broadcast to a pass
+    of its own over a table in which each row has a key, and its hits are written before the next part is read; every row
+    stays its own, whatever its id. An item is in one part, so it must fit into the driver.
     """
     spark = docs.sparkSession
-    chars = items.agg(F.sum(F.length(item_text))).first()[0] or 0
-    parts = max(1, -(-chars // BROADCAST_CHARS))
+    of_item = F.regexp_count(F.lower(col(item_text)), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    chars, n_words = (x or 0 for x in items.agg(F.sum(F.length(col(item_text))), F.sum(of_item)).first())
+    parts = max(1, -(-chars // BROADCAST_CHARS), -(-n_words // BROADCAST_WINDOWS))
     keyed = parts > 1 or row_col is not None
     base = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), *([col(row_col).cast("long").alias("row")] if row_col else []))
     if parts > 1 and not row_col:
@@ -107,10 +130,10 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id",
 
     def one(part: int) -> DataFrame:
         chosen = item if parts == 1 else item.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        sent = spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in chosen.collect()])
+        sent = spark.sparkContext.broadcast(Windows([(r.item, r.text.encode()) for r in chosen.collect()], n))
 
         def scan(batches):
-            windows = Windows(sent.value, n)
+            windows = sent.value
             for b in batches:
                 for at in range(0, b.num_rows, 256):
                     piece = b.slice(at, 256)
@@ -119,11 +142,17 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id",
                     names = ["id", "n_words", "hit_runs", "items"]
                     yield pa.RecordBatch.from_arrays(cols + [piece.column(1)] * in_scan + piece.columns[2:], names + ["text"] * in_scan + piece.schema.names[2:])
 
-        return base.mapInArrow(scan, schema)
+        rows = base.mapInArrow(scan, schema)
+        if parts == 1:
+            return rows
+        # the first part's rows stand for all documents
+        rows = written(rows if part == 0 else rows.where("size(items) > 0"), "decontamination-hits")
+        sent.destroy()
+        return rows
 
-    if parts == 1:
-        return one(0)
     both = one(0)
+    if parts == 1:
+        return both
     for k in range(1, parts):
         both = both.unionByName(one(k))
     merged = both.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit_runs")).alias("hit_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

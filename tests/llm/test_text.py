@@ -123,6 +123,29 @@ def test_decontamination_keeps_rows_that_share_an_id(spark, monkeypatch, limit):
     assert sorted((r.id or 0, r.text or "", r.n_hit, r.n_items) for r in found) == sorted((k or 0, t or "", 2 * ("alpha" in (t or "")), int("alpha" in (t or ""))) for k, t in rows)
 
 
+def test_windows_that_share_a_hash(monkeypatch):
+    plain = decontaminate.Windows.hash
+
+    def weak(self, ids, at, size, salt=None):
+        known = self.salt if salt is None else salt
+        return np.zeros(len(at), np.uint64) if known < 2 else plain(self, ids, at, size, salt)
+
+    monkeypatch.setattr(decontaminate.Windows, "hash", weak)
+    w = decontaminate.Windows([("p", b"a b c d"), ("q", b"b c d e"), ("r", b"x"), ("s", b"a b c d"), ("t", b" ")], 3)
+    assert w.salt == 2
+    got = [(mask.tolist(), items) for _, mask, items in w.search([b"z A b, c d y", b"", b"x d e", b"b c d e"])]
+    assert got == [([False, True, True, True, True, False], ["p", "q", "s"]), ([], []), ([True, False, False], ["r"]), ([True] * 4, ["p", "q", "s"])]
+
+
+def test_decontamination_passes_by_words(spark, monkeypatch):
+    items = [(f"i{k}", " ".join(f"w{k}x{j}" for j in range(15))) for k in range(12)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(k, f"lead {t} tail", "a") for k, (_, t) in enumerate(items)] + [(50, items[0][1] + " " + items[7][1], "a"), (51, "clean", "a"), (52, None, "a")]
+    whole = {tuple(r) for r in decontaminate.judged(decontaminate.hits(table(spark, rows), bench)).drop("hit_runs", "items").collect()}
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 40)
+    assert {tuple(r) for r in decontaminate.judged(decontaminate.hits(table(spark, rows), bench)).drop("hit_runs", "items").collect()} == whole and len(whole) == 15
+
+
 def test_decontamination_cuts(spark):
     bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
     rows = [(1, "x, Alpha - beta; y alpha"), (2, "alpha beta"), (3, None), (4, "é alpha beta alpha beta z")]
