@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from microflow.llm.common import WORD, col, free, table, written
+from microflow.llm.common import WORD, col, free, partitions, table, written
 
 #: Rounds of the index permutations.
 ROUNDS = 40
@@ -84,8 +84,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     counts = shard_counts(s, shards, draw)
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("first", F.coalesce(F.sum("n_slots").over(before), F.lit(0).cast("long")))
-    # a slot a row: a hot source's shards are dealt to many tasks
-    slots = counts.join(s, "sid").repartition("sid", "shard").select("*", F.explode(F.expr("sequence(first, first + n_slots - 1)")).alias("slot"))
+    # a slot a row: a hot source's shards are dealt to many tasks, whose number is set as few bytes become many rows
+    slots = counts.join(s, "sid").repartition(partitions(docs.sparkSession), "sid", "shard").select("*", F.explode(F.expr("sequence(first, first + n_slots - 1)")).alias("slot"))
     slots = slots.withColumn("round", F.expr("slot div blocks")).withColumn("i", F.expr("slot % blocks"))
     # the last round's m slots: slot i has the i-th of m even stretches of the full blocks, all of them if the short block is among the m
     m = f"((want % source_size + {block} - 1) div {block})"
@@ -104,7 +104,7 @@ def shard_counts(sources: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     sources: sid, n. The draws of a hot source are made in many tasks and added up before they are shuffled.
     """
     chunk = 4096
-    draws = sources.where("n > 0").select("sid", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {chunk})")).alias("c")).repartition("sid", "c")
+    draws = sources.where("n > 0").select("sid", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {chunk})")).alias("c")).repartition(partitions(sources.sparkSession), "sid", "c")
     draws = draws.select("sid", F.explode(F.expr(f"sequence(c * {chunk}, least((c + 1) * {chunk}, n) - 1)")).alias("place"))
     return draws.groupBy("sid", F.pmod(F.xxhash64(F.lit(seed + 2), "sid", "place"), F.lit(shards)).alias("shard")).agg(F.count("*").alias("n_slots"))
 
