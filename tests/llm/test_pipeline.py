@@ -50,6 +50,6 @@ def test_stages_against_brute_force(spark, tables):
 def test_queries_run_on_the_smallest_tables(spark):
     from microflow.llm.queries import QUERIES, SQL
 
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14)) and set(SQL) <= set(QUERIES)
     for name in ("op1_exact_dedup", "op2_pii", "op5_quality", "op8_mixing"):
         assert QUERIES[name](spark, SF).count() == 200
