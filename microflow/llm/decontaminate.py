@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from microflow.llm.common import as_bytes, col, free, mix64, partitions, table, written
 
-#: Benchmarks up to this many characters and words are one broadcast of 500 MB at most; larger ones are searched for in several passes.
+#: Benchmarks up to this many characters and words are one broadcast; larger ones are searched for in several passes.
 BROADCAST_CHARS, BROADCAST_WINDOWS = 64_000_000, 12_000_000
 #: Lower-cases A-Z and turns every byte that is no word character into a space.
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
