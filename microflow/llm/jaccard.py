@@ -428,3 +428,15 @@ def drop_near_copies(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS shingle FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+common AS (SELECT x.r AS a, y.r AS b, count(*) AS k FROM sets x JOIN sets y USING (shingle) WHERE x.r <> y.r GROUP BY x.r, y.r),
+links AS (SELECT a, b FROM common JOIN sizes s ON s.r = a JOIN sizes t ON t.r = b WHERE 100 * k >= 85 * (s.n + t.n - k)),
+reached AS (SELECT r, r AS other FROM d UNION SELECT reached.r, links.b FROM reached JOIN links ON links.a = reached.other)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d JOIN reached USING (r) JOIN d o ON o.r = reached.other LEFT JOIN sizes ON sizes.r = d.r GROUP BY d.r, d.doc_id"""

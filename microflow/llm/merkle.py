@@ -162,3 +162,31 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     _, proofs = manifest(table(spark, sf_dir, "documents"), audited={"n_chars": F.col("n_chars") + 1}, audit_where=tampered)
     return proofs.withColumnRenamed("id", "doc_id")
+
+
+#: A list of nine numbers a digit drives the checksum: the digit, then eight shifts. A step of a path is the sibling and its side.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) AS crc FROM documents),
+coded AS (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS front,
+    coalesce(strlen(text) || ':' || text, '-') AS back FROM d),
+leaves AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+    sha256(front || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || back) AS leaf,
+    sha256(front || coalesce(strlen(CAST(n_chars + (crc % 7 = 0)::INT AS VARCHAR)) || ':' || (n_chars + (crc % 7 = 0)::INT), '-') || back) AS shown FROM coded),
+nodes AS (SELECT lang, 0 AS lvl, pos, n, leaf AS h FROM leaves
+  UNION ALL SELECT lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+subroots AS (SELECT lang, lvl, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, pos, n, subroot AS h FROM subroots
+  UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY lvl, pos // 2, n),
+root AS (SELECT h AS root FROM tops WHERE n = 1),
+inner_steps AS (SELECT l.doc_id, s.lvl, CASE WHEN o.h IS NULL THEN '-' WHEN s.pos % 2 = 1 THEN 'L' || o.h ELSE 'R' || o.h END AS step
+  FROM leaves l JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.pos = l.pos // (1::BIGINT << s.lvl) AND s.n > 1
+  LEFT JOIN nodes o ON o.lang IS NOT DISTINCT FROM s.lang AND o.lvl = s.lvl AND o.pos = xor(s.pos, 1)),
+outer_steps AS (SELECT l.doc_id, 1000 + s.lvl AS lvl, CASE WHEN o.h IS NULL THEN '-' WHEN s.pos % 2 = 1 THEN 'L' || o.h ELSE 'R' || o.h END AS step
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN tops s ON s.pos = r.pos // (1::BIGINT << s.lvl) AND s.n > 1
+  LEFT JOIN tops o ON o.lvl = s.lvl AND o.pos = xor(s.pos, 1)),
+paths AS (SELECT doc_id, list(step ORDER BY lvl) AS steps FROM (FROM inner_steps UNION ALL FROM outer_steps) GROUP BY doc_id),
+folded AS (SELECT l.doc_id, leaf, lang, sha256(coalesce(array_to_string(list_transform(steps, lambda s: s[2:]), ''), '')) AS proof_sha256,
+    list_reduce(list_prepend(shown, coalesce(steps, [])), lambda a, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || a WHEN 'R' THEN a || s[2:] ELSE a END)) AS folded_root
+  FROM leaves l LEFT JOIN paths USING (doc_id))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM folded f JOIN subroots r ON r.lang IS NOT DISTINCT FROM f.lang, root"""

@@ -20,4 +20,4 @@ QUERIES = {
     "op13_trie": trie.op13_trie,
 }
 
-SQL = {"op1_exact_dedup": exact_dedup.SQL, "op11_chat": chat.SQL}
+SQL = {"op1_exact_dedup": exact_dedup.SQL, "op6_decontamination": decontaminate.SQL, "op10_jaccard_join": jaccard.SQL, "op11_chat": chat.SQL, "op12_merkle": merkle.SQL, "op13_trie": trie.SQL}

@@ -166,3 +166,20 @@ def rebuilt(turns: DataFrame, block: int = 100, heads: int = 6) -> tuple[DataFra
 
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*rebuilt(keyed(table(spark, sf_dir, "conversations"))))
+
+
+SQL = r"""
+WITH turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations),
+convs AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM turns)),
+parts AS (SELECT v.c, 0 AS part, n, r, x FROM convs v JOIN turns t ON t.c = v.base AND n <= h
+  UNION ALL SELECT v.c, 1, n, r, x FROM convs v JOIN turns t ON t.c = v.c AND n > h),
+rows AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, n) AS d, strlen(r) || ':' || r || strlen(x) || ':' || x AS said, length(x) AS chars FROM parts),
+paths AS (SELECT c, d, chars, sha256(string_agg(said, '') OVER (PARTITION BY c ORDER BY d)) AS p FROM rows UNION ALL SELECT c, 0, 0, 'root' FROM convs),
+steps AS (SELECT *, lag(p) OVER (PARTITION BY c ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY c) AS ends FROM paths),
+nodes AS (SELECT p, d, parent, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(chars) AS saved,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM steps GROUP BY p, d, parent),
+children AS (SELECT parent AS p, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+known AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (p)),
+below AS (SELECT s.p, count(*) FILTER (k.n_children = 0) AS n_leaves, sum(k.saved) AS saved_tokens FROM known k JOIN steps s ON s.c = k.conv_id AND s.d <= k.d GROUP BY s.p)
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM known k JOIN below USING (p) LEFT JOIN nodes up ON up.p = k.parent"""
