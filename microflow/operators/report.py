@@ -79,11 +79,10 @@ def missing_hours(present: DataFrame) -> DataFrame:
 
 
 def grid(spark: SparkSession, **axes: list) -> DataFrame:
-    """Every combination of the axes' values: a few literal rows, so the cross join is as small as the grid itself."""
-    out = None
-    for name, values in axes.items():
-        one = spark.createDataFrame([(v,) for v in values], [name])
-        out = one if out is None else out.crossJoin(one)
+    """Every combination of the axes' values, out of one row of lists: a chain of cross joins would multiply the tables' partitions."""
+    out = spark.createDataFrame([tuple(axes.values())], list(axes))
+    for name in axes:
+        out = out.withColumn(name, F.explode(name))
     return out
 
 
