@@ -14,6 +14,8 @@ from microflow.operators.book import Sides
 from microflow.sources.adapters import BEGIN, DEPTH, END, LEVEL
 
 TOUCH = "symbol_id long, idx long, ts_us long, best_bid long, best_ask long, bid_qty long, ask_qty long, mid_x2 long"
+#: Events that are held as Python objects at once.
+BATCH = 65_536
 TICKS = "symbol_id long, ts_us long"
 
 
@@ -26,29 +28,38 @@ class _Book(StatefulProcessor):
         self.open = handle.getValueState("open", "open boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("idx")
+        columns = [_numbers(part) for part in rows]
+        idx, *events = (np.concatenate(c) for c in zip(*columns))
+        del columns
+        order = np.argsort(idx, kind="stable")
         before = {(int(k[0]), int(k[1])): int(v[0]) for k, v in self.live.iterator()}
         staged = {(int(k[0]), int(k[1])): int(v[0]) for k, v in self.staged.iterator()}
         held, is_open = dict(staged), bool(self.open.exists() and self.open.get()[0])
-        book, out = Sides(before), []
-        numbers = lambda c: events[c].astype("Int64").fillna(-1).to_numpy(np.int64).tolist()
-        named = (events["price"].notna() & events["side"].notna()).tolist()
-        for idx, ts, kind, side, price, qty, ok in zip(numbers("idx"), numbers("ts_us"), numbers("type"), numbers("side"), numbers("price"), numbers("qty"), named):
-            if kind == BEGIN:
-                staged, is_open = {}, True
-            elif kind == END and is_open:
-                book, staged, is_open = Sides(staged), {}, False
-            elif ok and kind == LEVEL and is_open:
-                if qty > 0:
-                    staged[side, price] = qty
-            elif ok and (kind == DEPTH or kind == LEVEL and qty > 0):
-                book.put(side, price, qty)
-            out.append((int(key[0]), idx, ts, *book.touch()))
+        book = Sides(before)
+        for at in range(0, len(order), BATCH):
+            some, out = order[at : at + BATCH], []
+            for i, ts, kind, side, price, qty, ok in zip(idx[some].tolist(), *(c[some].tolist() for c in events)):
+                if kind == BEGIN:
+                    staged, is_open = {}, True
+                elif kind == END and is_open:
+                    book, staged, is_open = Sides(staged), {}, False
+                elif ok and kind == LEVEL and is_open:
+                    if qty > 0:
+                        staged[side, price] = qty
+                elif ok and (kind == DEPTH or kind == LEVEL and qty > 0):
+                    book.put(side, price, qty)
+                out.append((int(key[0]), i, ts, *book.touch()))
+            made = pd.DataFrame(out, columns=["symbol_id", "idx", "ts_us", "best_bid", "best_ask", "bid_qty", "ask_qty"]).astype("Int64")
+            yield made.assign(mid_x2=made.best_bid + made.best_ask)
         _save(self.live, before, book.levels())
         _save(self.staged, held, staged)
         self.open.update((is_open,))
-        made = pd.DataFrame(out, columns=["symbol_id", "idx", "ts_us", "best_bid", "best_ask", "bid_qty", "ask_qty"]).astype("Int64")
-        yield made.assign(mid_x2=made.best_bid + made.best_ask)
+
+
+def _numbers(events: pd.DataFrame) -> list[np.ndarray]:
+    """idx, ts_us, type, side, price and qty as plain numbers, -1 for null, and whether side and price are there."""
+    columns = [events[c].astype("Int64").fillna(-1).to_numpy(np.int64) for c in ("idx", "ts_us", "type", "side", "price", "qty")]
+    return [*columns, (events["price"].notna() & events["side"].notna()).to_numpy()]
 
 
 def _save(state, before: dict, now: dict) -> None:
@@ -64,7 +75,7 @@ def touch(events: DataFrame) -> DataFrame:
     """book.bbo() of a stream: best prices and quantities after each event, whatever the triggers.
 
     events: symbol_id, idx, ts_us, type, side, price, qty. Within a trigger rows are put in order of idx, and triggers are
-    expected to follow it. State is an entry a level, so an instrument's book is read once a trigger and only
+    expected to follow it; an instrument's events of a trigger are held as plain arrays, some 60 bytes each. State is an entry a level, so an instrument's book is read once a trigger and only
     changed levels are written; it survives a restart from the query's checkpoint.
     """
     rows = events.select("symbol_id", "idx", "ts_us", F.col("type").cast("int").alias("type"), F.col("side").cast("int").alias("side"), F.col("price").cast("long").alias("price"), F.col("qty").cast("long").alias("qty"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from microflow.sources.shared import folder
 
+#: Rows that one run of a replay takes.
+PIECE_ROWS = 4_000_000
+_PIECE = "_replay_piece"
 _STATE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -65,15 +68,23 @@ def committed(spark: SparkSession, path: str, schema) -> DataFrame:
 def replayed(events: DataFrame, order: str, build: Callable[[DataFrame], DataFrame], pieces: int = 3, after: tuple[DataFrame, ...] = ()) -> DataFrame:
     """What a streaming plan makes of stored events that arrive in pieces, by `order`, and of the rows `after` them.
 
-    Each piece is a run of its own that goes on from the checkpoint, as after a restart.
+    Each piece is a run of its own that goes on from the checkpoint, as after a restart. There are more pieces if they would
+    have more than PIECE_ROWS rows, so what a run holds doesn't grow with the table. All are cut in one pass.
     """
     spark = events.sparkSession
     base = f"{folder(spark).rstrip('/')}/microflow/replay-{uuid.uuid4().hex}"
-    cuts = events.agg(F.percentile_approx(order, [i / pieces for i in range(1, pieces)])).first()[0] or []
-    edges, schema = [None, *sorted(set(cuts)), None], None
-    parts = [events.where((F.lit(a is None) | (F.col(order) > a)) & (F.lit(z is None) | (F.col(order) <= z))) for a, z in zip(edges, edges[1:])]
-    for i, piece in enumerate([*parts, *after]):
-        piece.write.parquet(f"{base}/in/piece={i}")
+    pieces = max(pieces, -(-events.count() // PIECE_ROWS))
+    cuts = sorted(set(events.agg(F.percentile_approx(order, [i / pieces for i in range(1, pieces)])).first()[0] or []))
+    number = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    # rows without an order come in no piece, unless there is one only
+    events.withColumn(_PIECE, F.when(F.col(order).isNotNull() | F.lit(not cuts), number)).write.partitionBy(_PIECE).parquet(f"{base}/cut")
+    for i, piece in enumerate([*[None] * (len(cuts) + 1), *after]):
+        target, (fs, source) = f"{base}/in/piece={i}", _store(spark, f"{base}/cut/{_PIECE}={i}")
+        if piece is None and fs.exists(source):
+            fs.mkdirs(_store(spark, f"{base}/in")[1])
+            fs.rename(source, _store(spark, target)[1])
+        else:
+            (events.limit(0) if piece is None else piece).write.parquet(target)
         stream = build(spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{base}/in"))
         schema = stream.schema
         exactly_once(stream, f"{base}/out", f"{base}/state").awaitTermination()

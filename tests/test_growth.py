@@ -1,6 +1,18 @@
 """Steps whose work grew faster than their input, or by the number of cores."""
 
-from microflow.operators import report
+import random
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from microflow.functions import decode
+from microflow.operators import book, queue, report
+from microflow.plans import convert
+from microflow.queries import QUERIES
+from microflow.streaming import books, sinks
+
+from .test_pieces import as_events, broken_snapshots, plain_book
 
 
 def test_grid_has_no_more_partitions_than_one_table(spark):
@@ -9,3 +21,52 @@ def test_grid_has_no_more_partitions_than_one_table(spark):
     assert out.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     assert [t for _, t in out.dtypes] == ["bigint", "string", "double", "bigint"]
     assert sorted(map(tuple, out.collect())) == sorted((a, b, c, d) for a in axes["a"] for b in axes["b"] for c in axes["c"] for d in axes["d"])
+
+
+class _Kept:
+    """Keyed state as a dictionary."""
+
+    def __init__(self):
+        self.items = {}
+
+    def iterator(self):
+        return iter(self.items.items())
+
+    def updateValue(self, key, value):
+        self.items[key] = value
+
+    def removeKey(self, key):
+        del self.items[key]
+
+    def exists(self):
+        return bool(self.items)
+
+    def get(self):
+        return self.items[0]
+
+    def update(self, value):
+        self.items[0] = value
+
+
+def test_live_book_gives_out_batches(monkeypatch):
+    monkeypatch.setattr(books, "BATCH", 32)
+    one, rows = books._Book(), broken_snapshots(31, 400)
+    one.live, one.staged, one.open = _Kept(), _Kept(), _Kept()
+    table = pd.DataFrame([(i, i * 1000, *r) for i, r in enumerate(rows)], columns=["idx", "ts_us", "type", "side", "price", "qty"]).astype("Int64")
+    got, plain = [], plain_book(rows)
+    for trigger in (table[:250], table[250:]):
+        mixed = trigger.sample(frac=1, random_state=1)
+        got += list(one.handleInputRows(("1",), iter([mixed[:77], mixed[77:]]), None))
+    assert max(map(len, got)) == 32
+    rows = pd.concat(got).astype(object).where(lambda x: x.notna(), None)
+    assert [(r.best_bid, r.best_ask, r.bid_qty, r.ask_qty) for r in rows.itertuples()] == plain
+
+
+def test_replay_cuts_large_tables_into_more_pieces(spark, monkeypatch):
+    sinks.with_state(spark)
+    monkeypatch.setattr(sinks, "PIECE_ROWS", 100)
+    runs, real = [], sinks.exactly_once
+    monkeypatch.setattr(sinks, "exactly_once", lambda *a: runs.append(a[1]) or real(*a))
+    rows = spark.range(500).select((F.col("id") % 2).alias("symbol_id"), "id")
+    got = sinks.replayed(rows, "id", lambda s: s.select("symbol_id", "id"))
+    assert sorted(r.id for r in got.collect()) == list(range(500)) and len(runs) == 5
