@@ -168,11 +168,32 @@ def live(points: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def bbo_by_intervals(md: DataFrame, points: DataFrame) -> DataFrame:
-    """bbo() at the points by a join with the levels alive: the second reconstruction of a dual run, for `compare`."""
-    bid, ask = F.col("side") == BID, F.col("side") == ASK
-    best = live(points, levels(md)).groupBy("symbol_id", "idx").agg(F.max(F.when(bid, F.struct("price", "qty"))).alias("b"), F.min(F.when(ask, F.struct("price", "qty"))).alias("a"))
-    out = points.select("symbol_id", "idx", "ts_us").join(best, ["symbol_id", "idx"], "left")
-    out = out.select("symbol_id", "idx", "ts_us", F.col("b.price").alias("best_bid"), F.col("a.price").alias("best_ask"), F.col("b.qty").alias("bid_qty"), F.col("a.qty").alias("ask_qty"))
+    """bbo() at the points by the levels' intervals alone: the second reconstruction of a dual run, for `compare`.
+
+    Points and levels meet in chunks. There each level covers the points within its interval, worse prices before better
+    ones, and what covers a point last is its best: a slice a level, no row a point and level.
+    """
+    cut = levels(md).withColumn("chunk", F.explode(F.expr(f"sequence(from_idx div {CHUNK}, (to_idx - 1) div {CHUNK})")))
+    cut = cut.select("symbol_id", "chunk", F.col("side").cast("int").alias("side"), F.col("price").cast("long").alias("price"), "qty", "from_idx", "to_idx")
+    at = points.select("symbol_id", F.expr(f"idx div {CHUNK}").alias("chunk"), "idx", F.col("ts_us").cast("long").alias("ts_us"))
+
+    def cover(p: pa.Table, t: pa.Table) -> pa.Table:
+        p = p.sort_by("idx")
+        idx, side, price, qty = p["idx"].to_numpy(), t["side"].to_numpy(), t["price"].to_numpy(), t["qty"].to_numpy()
+        starts, ends = (np.searchsorted(idx, t[c].to_numpy(), side="left") for c in ("from_idx", "to_idx"))
+        out = {}
+        for which, by in (("bid", np.lexsort((qty, price))), ("ask", np.lexsort((-qty, -price)))):
+            by = by[side[by] == (BID if which == "bid" else ASK)]
+            top = np.full(len(idx), -1)
+            for k, a, z in zip(by.tolist(), starts[by].tolist(), ends[by].tolist()):
+                top[a:z] = k
+            none = top < 0
+            for name, values in (("best_" + which, price), (which + "_qty", qty)):
+                out[name] = pa.array(np.where(none, 0, np.append(values, 0)[top]), pa.int64(), mask=none)
+        return pa.table({c: p[c] for c in ("symbol_id", "idx", "ts_us")} | {c: out[c] for c in _FOUND[:4]})
+
+    schema = ", ".join(f"{c} long" for c in ("symbol_id", "idx", "ts_us", *_FOUND[:4]))
+    out = at.withColumn("symbol_id", F.col("symbol_id").cast("long")).groupBy("symbol_id", "chunk").cogroup(cut.withColumn("symbol_id", F.col("symbol_id").cast("long")).groupBy("symbol_id", "chunk")).applyInArrow(cover, schema)
     return out.withColumn("mid_x2", F.col("best_bid") + F.col("best_ask"))
 
 
@@ -201,8 +222,10 @@ def violations(best: DataFrame) -> DataFrame:
 
 
 def compare(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Rows that only one of two reconstructions of the book has, and which one."""
-    return one.exceptAll(other).withColumn("only_in", F.lit("first")).unionByName(other.exceptAll(one).withColumn("only_in", F.lit("second")))
+    """Rows that only one of two reconstructions of the book has, and which one; each is computed once."""
+    n = F.sum("_side")
+    both = one.withColumn("_side", F.lit(1)).union(other.withColumn("_side", F.lit(-1))).groupBy(*one.columns).agg(n.alias("_n")).where("_n <> 0")
+    return both.select(*one.columns, F.when(F.col("_n") > 0, "first").otherwise("second").alias("only_in"), F.explode(F.expr("array_repeat(0, cast(abs(_n) as int))")).alias("_n")).drop("_n")
 
 
 def mid_changes(best: DataFrame) -> DataFrame:

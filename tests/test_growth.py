@@ -23,6 +23,30 @@ def test_grid_has_no_more_partitions_than_one_table(spark):
     assert sorted(map(tuple, out.collect())) == sorted((a, b, c, d) for a in axes["a"] for b in axes["b"] for c in axes["c"] for d in axes["d"])
 
 
+def test_two_books_over_chunks_and_empty_sides(spark, monkeypatch):
+    monkeypatch.setattr(book, "CHUNK", 16)
+    rows = broken_snapshots(21, 400)
+    md = as_events(spark, rows)
+    plain = plain_book(rows)
+    got = book.bbo_by_intervals(md, md).collect()
+    assert len(got) == 400 and all((r.best_bid, r.best_ask, r.bid_qty, r.ask_qty) == plain[r.idx] for r in got)
+    assert any(r.best_bid is None for r in got) and book.compare(book.bbo(md), book.bbo_by_intervals(md, md)).count() == 0
+
+
+def test_second_book_makes_no_row_a_point_and_level(spark):
+    md = as_events(spark, [(0, 0, p, 1) for p in range(1, 301)]).drop("epoch")
+    plan = book.bbo_by_intervals(md, md)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 1  # of the levels with their instrument's last event
+
+
+@pytest.mark.parametrize("ours, theirs", [([1, 1, 2, None], [1, 3, None]), ([], [5, 5]), ([4], [4])])
+def test_compare_counts_repeats(spark, ours, theirs):
+    frame = lambda xs: spark.createDataFrame([(x, random.Random(1).random()) for x in xs], "a long, b double")
+    one, two = frame(ours), frame(theirs)
+    want = [(r.a, "first") for r in one.exceptAll(two).collect()] + [(r.a, "second") for r in two.exceptAll(one).collect()]
+    assert sorted(((r.a, r.only_in) for r in book.compare(one, two).collect()), key=str) == sorted(want, key=str)
+
+
 class _Kept:
     """Keyed state as a dictionary."""
 
