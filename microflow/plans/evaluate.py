@@ -77,9 +77,13 @@ def fills_of(md: DataFrame, cells: DataFrame, period_us: int, qty: int = 20, hor
     cell_cols = ["strategy", "latency_us"]
     best, spans = written(book.bbo(md), "best"), book.levels(md)
     known = features(md, best, period_us, sample_us, window_us)
-    placed = orders(quoted(known, cells.select(*cell_cols).distinct()), md, spans, qty, cell_cols)
+    placed = written(orders(quoted(known, cells.select(*cell_cols).distinct()), md, spans, qty, cell_cols), "placed")
+    # rules often quote the same price: what becomes of an order is followed once, not once a cell
+    keys = ["symbol_id", "side", "price", "idx", "ts_us"]
+    apart = placed.select(*keys, "qty", "ahead").distinct().withColumn("order_id", F.concat_ws("-", *keys))
+    followed = queue.follow_models(apart, md, period_us).drop("order_id", "qty", "ahead", "fills")
     # cells are a few literal rows
-    done = queue.follow_models(placed, md, period_us).join(F.broadcast(cells), ["strategy", "latency_us", "model"], "left_semi").drop("fills")
+    done = written(placed.join(followed, keys).join(F.broadcast(cells), ["strategy", "latency_us", "model"], "left_semi"), "followed")
     fills = done.where("filled > 0").select("symbol_id", *cell_cols, "model", "order_id", F.col("first_fill_us").alias("ts_us"), "side", "price", F.col("filled").alias("qty"), "mid_x2")
     marked = markout.priced(markout.samples(fills, book.mid_changes(best), [horizon_us]))
     return done, marked

@@ -94,3 +94,11 @@ def test_replay_cuts_large_tables_into_more_pieces(spark, monkeypatch):
     rows = spark.range(500).select((F.col("id") % 2).alias("symbol_id"), "id")
     got = sinks.replayed(rows, "id", lambda s: s.select("symbol_id", "id"))
     assert sorted(r.id for r in got.collect()) == list(range(500)) and len(runs) == 5
+
+
+def test_sweep_follows_an_order_once_for_all_cells(spark, monkeypatch):
+    seen, real = [], queue.follow_models
+    monkeypatch.setattr(queue, "follow_models", lambda orders, *a: seen.append(orders) or real(orders, *a))
+    QUERIES["strategy_sweep"](spark, "/root/testdata/sf0.001")
+    keys = ["symbol_id", "side", "price", "idx", "ts_us"]
+    assert seen[0].count() == seen[0].select(*keys).distinct().count() > 0
