@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from microflow.operators.windows import carried, day_of
 from microflow.sources.adapters import ASK, BEGIN, BID, DEPTH, END, LEVEL
-from microflow.sources.shared import written
+from microflow.sources.shared import sent, written
 
 #: Events of an instrument that one ordered pass covers.
 CHUNK = 4096
@@ -44,7 +44,7 @@ def levels(md: DataFrame) -> DataFrame:
     ignored. to_idx is exclusive; what is alive at the end ends one past the instrument's last event. Null prices or sides make
     no level.
     """
-    last = md.groupBy("symbol_id").agg((F.max("idx") + 1).alias("end_idx"))
+    last = sent(md.groupBy("symbol_id").agg((F.max("idx") + 1).alias("end_idx")), "ends")
     if "epoch" in md.columns:
         rows, ends = snapshots(md)
         level = F.col("type") == LEVEL

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from microflow.operators.windows import carried, day_of
+from microflow.sources.shared import sent
 
 
 def samples(fills: DataFrame, marks: DataFrame, horizons_us: list[int]) -> DataFrame:
@@ -25,7 +26,7 @@ def samples(fills: DataFrame, marks: DataFrame, horizons_us: list[int]) -> DataF
     line = m.unionByName(d, allowMissingColumns=True)
     line = carried(line.withColumn("day", day_of("t")), ["symbol_id"], "day", ["t", "kind", "idx"], lasts={"at": F.col("mid_x2")})
     seen = line.where("kind = 1").select("s.*", "at")
-    out = seen.join(last, "symbol_id", "left").withColumn("resolved", F.coalesce((F.col("due_us") <= F.col("last_us")) & F.col("at").isNotNull(), F.lit(False)))
+    out = seen.join(sent(last, "last-marks"), "symbol_id", "left").withColumn("resolved", F.coalesce((F.col("due_us") <= F.col("last_us")) & F.col("at").isNotNull(), F.lit(False)))
     return out.select(*cols, "horizon_us", "due_us", F.when(F.col("resolved"), F.col("at")).alias("mid_x2_at"), "resolved")
 
 

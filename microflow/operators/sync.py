@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from microflow.operators.windows import carried, day_of
-from microflow.sources.shared import written
+from microflow.sources.shared import sent, written
 
 #: Messages of an instrument that one window takes together.
 STRETCH = 65_536
@@ -52,7 +52,7 @@ def synchronised(messages: DataFrame) -> DataFrame:
     # written once, as three branches read it from here on
     rows = written(rows.withColumn("first", F.coalesce(F.col("last") == F.col("base"), F.lit(False))).drop("base"), "accepted")
     dialect = rows.where("accepted").groupBy("symbol_id").agg(F.min_by(F.col("prev_id").isNotNull(), "ln").alias("futures"))
-    rows = rows.join(dialect, "symbol_id", "left")
+    rows = rows.join(sent(dialect, "dialect"), "symbol_id", "left")
     follows = F.when(F.col("first"), (F.col("first_id") <= F.col("last") + 1) & (F.col("final_id") >= F.col("last") + 1)).when(F.col("futures") & F.col("prev_id").isNotNull(), F.col("prev_id") == F.col("last")).otherwise(F.col("first_id") == F.col("last") + 1)
     rows = rows.withColumn("gap", F.col("accepted") & ~follows)
     broken = written(rows.where("gap").groupBy("symbol_id", "epoch").agg(F.min("ln").alias("broken_ln")), "broken")

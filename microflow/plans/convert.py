@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from microflow.functions import decode
 from microflow.operators import sync
 from microflow.sources.adapters import BEGIN, DEPTH, END, LEVEL, TRADE
-from microflow.sources.shared import written
+from microflow.sources.shared import sent, written
 
 _TYPES = {"begin": BEGIN, "level": LEVEL, "end": END, "trade": TRADE, "depth": DEPTH}
 
@@ -34,7 +34,7 @@ def known_lines(lines: DataFrame, dimension: DataFrame) -> DataFrame:
     """
     rows = decode.envelopes(lines)
     rows = rows.withColumn("malformed", F.col("malformed") | F.col("channel").isNull())
-    out = rows.join(instruments(dimension), "symbol", "left")
+    out = rows.join(sent(instruments(dimension), "instruments"), "symbol", "left")
     return out.withColumn("wrong_symbol", ~F.col("malformed") & F.col("symbol_id").isNull())
 
 

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that are sent to all tasks at most.
+SENT = 100_000
 
 _made: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
@@ -46,3 +50,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_clean)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sent(df: DataFrame, name: str) -> DataFrame:
+    """df, a row per instrument, as a table that goes to all tasks when joined; one of more than SENT rows is joined by a shuffle.
+
+    A shuffle by a few instruments would gather all rows in as many tasks, on however many machines.
+    """
+    table = written(df, name)
+    return F.broadcast(table) if table.count() <= SENT else table

@@ -23,6 +23,13 @@ def test_grid_has_no_more_partitions_than_one_table(spark):
     assert sorted(map(tuple, out.collect())) == sorted((a, b, c, d) for a in axes["a"] for b in axes["b"] for c in axes["c"] for d in axes["d"])
 
 
+def test_lines_of_one_instrument_stay_in_their_partitions(spark):
+    lines = spark.range(1, 4001, 1, 8).select(F.col("id").alias("ln"), F.concat(F.lit('{"t":5,"c":"trade","s":"SYM0","d":{"T":5,"a":1,"p":"100.00","q":"1.0","m":true}}')).alias("value"))
+    rows = convert.known_lines(lines, spark.createDataFrame([("SYM0", 0)], "symbol string, symbol_id long"))
+    parts = [r["count"] for r in decode.decoded(rows, 0.01, 0.1).where("not broken").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 4000 and max(parts) <= 500
+
+
 def test_two_books_over_chunks_and_empty_sides(spark, monkeypatch):
     monkeypatch.setattr(book, "CHUNK", 16)
     rows = broken_snapshots(21, 400)
