@@ -14,12 +14,12 @@ _PLACES = "10000000000"
 LETTERS = "eaionrstlhdcumfp"
 
 
-def _start(i: int, length: str, parts: int) -> str:
+def _start(i: int | str, length: str, parts: int) -> str:
     """Where the i-th (from 0) of `parts` segments of a line of some length starts; the last ones are longer."""
     return f"({i} * ({length} div {parts}) + greatest({i} - {parts} + {length} % {parts}, 0))"
 
 
-def _size(i: int, length: str, parts: int) -> str:
+def _size(i: int | str, length: str, parts: int) -> str:
     return f"(({length} div {parts}) + if({i} >= {parts} - {length} % {parts}, 1, 0))"
 
 
@@ -30,18 +30,29 @@ def segments(errors: int) -> str:
 
 
 def probes(errors: int) -> str:
-    """The keys under which a line finds lines that are shorter by 0 to `errors`.
+    """The places where a line looks for lines that are shorter by 0 to `errors`: an array of structs for `probe_key`.
 
     If the i-th segment is the first to match, the parts before it have i errors at most (from 0) and those after it
     errors - i, which bounds how far it can have moved.
     """
-    parts, out = errors + 1, []
+    out = []
     for less in range(errors + 1):
-        n = f"(n - {less})"
-        for i in range(parts):
+        for i in range(errors + 1):
             for move in range(max(-i, less - (errors - i)), min(i, less + errors - i) + 1):
-                out.append(f"xxhash64({i}, {n}, substring(line, {_start(i, n, parts)} + {move} + 1, {_size(i, n, parts)}))")
-    return ", ".join(out)
+                out.append(f"struct({i} as i, {less} as less, {move} as move)")
+    return f"array({', '.join(out)})"
+
+
+def probe_key(errors: int) -> str:
+    """The key of place p of `probes` in a line of n characters.
+
+    One expression for all places: one for each made a method too long for the JVM to compile. A line of ASCII is cut as
+    bytes, where no characters need counting; the hash is the same.
+    """
+    parts, n = errors + 1, "(n - p.less)"
+    start, size = f"{_start('p.i', n, parts)} + p.move + 1", _size("p.i", n, parts)
+    piece = f"if(n = octet_length(line), substring(cast(line as binary), {start}, {size}), cast(substring(line, {start}, {size}) as binary))"
+    return f"xxhash64(p.i, {n}, {piece})"
 
 
 def _once(expr: str, name: str):
@@ -107,24 +118,48 @@ def _place(id_: str = "id", no: str = "no"):
     return F.expr(f"cast(coalesce(cast({id_} as decimal(38,0)), 9223372036854775808) * {_PLACES} + {no} as decimal(38,0))")
 
 
+def _among(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows whose `on` is in ids, a written table."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids, on, "left_semi")
+
+
+def meeting(lines: DataFrame, errors: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """The index entries and the probes, (lid, n, key) each, that share a key with one of another line; written tables.
+
+    By a semi-join, so an entry that shares its key with many others is one row still.
+    """
+    long = lines.select("lid", "line", F.length("line").alias("n")).where(F.col("n") >= min_chars)
+    index = long.select("lid", "n", F.expr(f"explode(array({segments(errors)}))").alias("key"))
+    # shorter partners may be under min_chars, where nothing is indexed
+    probe = long.select("lid", "n", "line", F.expr(f"explode({probes(errors)})").alias("p")).select("lid", "n", F.expr(probe_key(errors)).alias("key"))
+    own = index.select("key", F.col("lid").alias("a"))
+    probed = written(probe.join(own, (probe.key == own.key) & (probe.lid != own.a), "left_semi"), "line-probed")
+    keys = written(probed.select("key").distinct(), "line-keys")
+    indexed = written(_among(index, keys, "key"), "line-indexed")
+    drop(keys)
+    return indexed, probed
+
+
 def near_pairs(lines: DataFrame, errors: int, min_chars: int) -> DataFrame:
     """(a, b): all pairs of different lines within the edit distance, as structs of their names.
 
-    lines: lid, lid2, line, sketch, of distinct texts. Lines meet by lid, whatever shares it; the texts decide.
+    lines: lid, lid2, line, of distinct texts. Lines meet by lid, whatever shares it; the texts decide. Only lines that
+    share a key with another one are sketched.
     """
-    long = lines.select("lid", "line", F.length("line").alias("n"), "sketch").where(F.col("n") >= min_chars)
-    # both sides from one pass: side 0 is the index
-    index = long.select("lid", "n", "sketch", F.expr(f"explode(array({segments(errors)}))").alias("key"))
-    # shorter partners may be under min_chars, where nothing is indexed
-    probe = long.select("lid", "n", "sketch", F.expr(f"explode(array({probes(errors)}))").alias("key"))
-    a, b = index.select("key", F.col("lid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), probe.select("key", F.col("lid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    indexed, probed = meeting(lines, errors, min_chars)
+    met = written(indexed.select("lid").unionByName(probed.select("lid")).distinct(), "line-met")
+    sketched = written(_among(lines.select("lid", "lid2", "line"), met, "lid").select("lid", "lid2", "line", F.expr(sketch("line")).alias("sketch")), "line-sketches")
+    drop(met)
+    bits = sketched.select("lid", "sketch")
+    a = indexed.join(bits, "lid").select("key", F.col("lid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = probed.join(bits, "lid").select("key", F.col("lid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     # of two lines of one length only one order counts
     met = a.join(b, (a.key == b.key) & (F.col("nb") - F.col("na")).between(0, errors) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b"))) & F.expr(f"bit_count(shiftrightunsigned(sa ^ sb, 32)) <= {3 * errors} and bit_count((sa ^ sb) & 4294967295) <= {2 * errors}"))
     pairs = written(met.select("a", "b").distinct(), "line-candidates")
-    wanted = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
-    wanted = written(wanted, "line-wanted")
-    n = wanted.count()
-    texts = written(lines.select("lid", F.struct("lid", "lid2").alias("name"), "line").join(F.broadcast(wanted) if n <= BROADCAST_LINES else wanted, "lid", "left_semi"), "line-texts")
+    drop(indexed, probed)
+    wanted = written(pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct(), "line-wanted")
+    texts = written(_among(sketched.select("lid", F.struct("lid", "lid2").alias("name"), "line"), wanted, "lid"), "line-texts")
+    drop(sketched)
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("name").alias("one"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("name").alias("two"), F.col("line").alias("y")), "b")
     out = written(similar(both.select(F.col("one").alias("a"), F.col("two").alias("b"), "x", "y"), errors), "line-pairs")
     drop(pairs, wanted, texts)
@@ -142,21 +177,23 @@ def dropped_lines(docs: DataFrame, errors: int = 2, min_chars: int = 20, id_col:
 
     Each line of n characters is cut into errors + 1 segments, one of which a partner within `errors` edits has
     unchanged and hardly moved. Segments are indexed by number, line length and text; every line probes the lengths up
-    to its own. Meeting lines whose words' sketch and letters' counts allow it are verified by a bit-parallel band.
+    to its own. Lines that meet another one are sketched; pairs whose words' sketch and letters' counts allow it are
+    verified by a bit-parallel band.
     """
     lines = _lines(docs, id_col, text_col)
     filled = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     name, other = F.xxhash64("line").alias("lid"), F.xxhash64(F.lit(2), "line").alias("lid2")
-    distinct = filled.groupBy("line").agg(F.count("*").alias("times"), F.min(_place()).alias("first")).select(name, other, "line", "times", "first", F.expr(sketch("line")).alias("sketch"))
+    distinct = filled.groupBy("line").agg(F.count("*").alias("times"), F.min(_place()).alias("first")).select(name, other, "line", "times", "first")
     distinct = written(distinct, "lines")
     pairs = near_pairs(distinct, errors, min_chars)
     firsts = distinct.select("lid", "lid2", "first")
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = both.select(F.col("a.lid").alias("a"), F.col("a.lid2").alias("a2"), F.col("b.lid").alias("lid"), F.col("b.lid2").alias("lid2"))
     near = both.join(firsts, ["lid", "lid2"]).groupBy(F.col("a").alias("lid"), F.col("a2").alias("lid2")).agg(F.min("first").alias("near"))
-    # lines that occur once and have no partner are never dropped
+    # lines that occur once and have no partner are never dropped; their places need no shuffle
     known = distinct.select("lid", "lid2", "times", "first").join(near, ["lid", "lid2"], "left").where("times > 1 or near is not null").select("lid", "lid2", "first", "near")
-    places = filled.select("id", "th", "no", name, other).distinct()
+    known = written(known, "line-known")
+    places = _among(filled.select("id", "th", "no", name, other), known.select("lid"), "lid").distinct()
     gone = places.join(known, ["lid", "lid2"]).withColumn("place", _place()).where("place > first or place > near")
     gone = gone.groupBy("id", "th").agg(F.count(F.when(F.col("place") > F.col("first"), 1)).alias("n_exact"), F.count("*").alias("n"), F.array_sort(F.collect_list("no")).alias("dropped"))
     rows = docs.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("th"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))

@@ -200,6 +200,49 @@ def test_lines_edges(spark):
     assert sorted((r.doc_id or 0, r.dropped) for r in got) == [(0, [0]), (1, []), (1, []), (2, [0])]
 
 
+def line_tables(monkeypatch):
+    """The tables that line_dedup writes from now on, by name."""
+    out, write = {}, line_dedup.written
+
+    def written(df, name):
+        out[name] = (df, table := write(df, name))
+        return table
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    monkeypatch.setattr(line_dedup, "drop", lambda *_: None)
+    return out
+
+
+def test_lines_in_methods_that_the_jvm_compiles(spark, monkeypatch):
+    found = line_tables(monkeypatch)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan isn't known before it runs
+    try:
+        line_dedup.dropped_lines(table(spark, [(1, "a line of more than twenty characters"), (2, "a line of more than 20 characters")])).collect()
+        for name, (df, _) in found.items():
+            stages = spark.sparkContext._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+            for i in range(stages.size()):
+                assert stages.apply(i)._3().maxMethodCodeSize() <= 8000, name
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_only_meeting_lines_are_sketched(spark, rng, monkeypatch):
+    found = line_tables(monkeypatch)
+    alone = ["".join(rng.choice("abcdefgh ") for _ in range(40)) + "." for _ in range(200)]
+    rows = [(i, line) for i, line in enumerate(alone)] + [(300, "one line here, of some thirty letters"), (301, "one line here; of some thirty letters")]
+    got = {r.doc_id: r.n_near for r in line_dedup.dropped_lines(table(spark, rows)).collect()}
+    assert {k for k, n in got.items() if n} == {301}
+    assert sum(t.count() for _, t in found.values() if "sketch" in t.columns) == 2
+
+
+def test_lines_that_share_a_segment_meet_in_a_row_each(spark, rng, monkeypatch):
+    found = line_tables(monkeypatch)
+    rows = [(i, "é" * 20 + "".join(rng.choice("abcdefgh ") for _ in range(39)) + ".") for i in range(400)]
+    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.dropped) for r in line_dedup.dropped_lines(table(spark, [*rows, (500, rows[7][1][:-2] + "z.")])).collect()}
+    assert {k for k, r in got.items() if r[2]} == {500}
+    assert 400 <= found["line-probed"][1].count() <= 12 * 401 and 400 <= found["line-indexed"][1].count() <= 3 * 401
+
+
 def test_words_of_one_polynomial_hash_stay_apart(spark):
     one = "a"
     for _ in range(10):
