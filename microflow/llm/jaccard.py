@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from microflow.llm.common import as_bytes, col, free, mix64, partitions, table, word_hashes, written
+from microflow.llm.common import as_bytes, col, drop, free, mix64, partitions, table, word_hashes, written
 
 #: Shingles whose rank is sent to all tasks, at most; which ones are sent changes the speed only, not the result.
 RANKED = 2_000_000
@@ -21,6 +21,8 @@ FAMILY, BLOCK = 16, 256
 LIST_PART = 512
 #: Longs of a set's parity sketch; sets of WIDE_FROM shingles have another one of WIDE longs.
 SKETCH, WIDE, WIDE_FROM = 8, 128, 1000
+#: Longs that a sketch is folded to in the sparse product; with fewer, sets of some hundred shingles that share one by accident pass.
+FOLDED = 4
 #: Entries of lists that one task of the sparse product takes, about.
 UNIT = 20_000
 _SCALE = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +88,7 @@ class Join:
         self.percent, self.words = percent, words
         self.id_type = self.docs.schema["id"].dataType.simpleString()
         self.spark = docs.sparkSession
+        self.folds = [f"x{i}" for i in range(FOLDED)]
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """Per document its set's size and name; and the shingles that some part of the input holds several times.
@@ -217,7 +220,7 @@ class Join:
         return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
     def blocks(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Of the open lists: (cls, big, x0, x1) of all sets, with their folded sketches; (unit, part, cls, n, comp), sets in parts; (ua, pa, ub, pb), parts to compare.
+        """Of the open lists: (cls, big, x0, x1, ...) of all sets, with their folded sketches; (unit, part, cls, n, comp), sets in parts; (ua, pa, ub, pb), parts to compare.
 
         Sets with one least shingle are a family, a unit of its own, if there are many of them. The sets outside of
         families that share a list with one are its guests, another unit. Units are cut into parts of BLOCK sets in the
@@ -225,8 +228,8 @@ class Join:
         their parts, those don't meet that belong to one component or whose sizes differ too much.
         """
         sets = rows.groupBy("cls").agg(F.min(F.struct("pos", "s"))["s"].alias("least"), F.first("n").alias("n"), F.first("comp").alias("comp"))
-        half = SKETCH // 2
-        folded = [F.expr(f"aggregate(slice(sketch, {i * half + 1}, {half}), 0L, (s, x) -> s ^ x)").alias(f"x{i}") for i in (0, 1)]
+        size = SKETCH // FOLDED
+        folded = [F.expr(f"aggregate(slice(sketch, {i * size + 1}, {size}), 0L, (s, x) -> s ^ x)").alias(x) for i, x in enumerate(self.folds)]
         sizes = sets.groupBy("least").agg(F.count("*").alias("m")).where(F.col("m") >= FAMILY)
         sets = written(sets.join(sizes, "least", "left").select("cls", "least", "n", "comp", F.col("m").isNotNull().alias("big")).join(self.sets.select("cls", *folded), "cls"), "families")
         known = rows.select("s", "cls", "n").join(sets.select("cls", F.when(F.col("big"), F.col("least")).alias("family")), "cls")
@@ -244,16 +247,39 @@ class Join:
         right = parts.select(*[F.col(c).alias(c + "b") for c in ("unit", "part", "lo", "hi", "c0", "c1")])
         both = meet.join(left, meet.ua == left.unita).join(right, meet.ub == right.unitb).where("ua <> ub or parta <= partb")
         one = (F.col("c0a") == F.col("c1a")) & (F.col("c0b") == F.col("c1b")) & (F.col("c0a") == F.col("c0b"))
-        return sets.select("cls", "big", "x0", "x1"), members, both.where(~one & self.ranges("loa", "hia", "lob", "hib")).select("ua", F.col("parta").alias("pa"), "ub", F.col("partb").alias("pb"))
+        return sets.select("cls", "big", *self.folds), members, both.where(~one & self.ranges("loa", "hia", "lob", "hib")).select("ua", F.col("parta").alias("pa"), "ub", F.col("partb").alias("pb"))
 
     def product(self, members: DataFrame, tasks: DataFrame, classes: DataFrame) -> DataFrame:
-        """Links (a, b) between components within pairs of parts, by the product of their incidence matrices."""
+        """Links (a, b) between components within pairs of parts, by the product of their incidence matrices.
+
+        Parts meet as parity sketches first. Texts go only to the tasks in which their set may have a partner: sets that
+        share a common shingle by accident are many, and meet as many others as the square of the input.
+        """
         tasks = written(tasks.withColumn("task", F.xxhash64("ua", "pa", "ub", "pb")), "part-pairs")
         used = tasks.select(F.col("ua").alias("unit"), F.col("pa").alias("part"), "task", F.lit(0).alias("side")).unionByName(tasks.select(F.col("ub").alias("unit"), F.col("pb").alias("part"), "task", F.lit(1).alias("side")))
-        wanted = members.join(used.select("unit", "part").distinct(), ["unit", "part"], "left_semi").select("cls", "comp", "unit", "part")
-        texts = written(self.texts(wanted.select("cls"), classes), "part-texts")
         words, percent = self.words, self.percent
 
+        def meeting(t: pa.Table) -> pa.Table:
+            side, n, comp = t["side"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["comp"].to_numpy()
+            sketch = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+            wide = {i: np.array(x, np.int64).view(np.uint64) for i, x in enumerate(t["wide"].to_pylist()) if x is not None}
+            keep = np.zeros(len(side), bool)
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            for i in left.tolist():
+                differ = np.bitwise_count(sketch[i] ^ sketch[right]).sum(axis=1, dtype=np.int64)
+                low, high = np.minimum(n[i], n[right]), np.maximum(n[i], n[right])
+                ok = right[(comp[i] != comp[right]) & (100 * low >= percent * high) & ((100 + percent) * differ <= (100 - percent) * (low + high))]
+                if i in wide:
+                    ok = ok[[j not in wide or (100 + percent) * int(np.bitwise_count(wide[i] ^ wide[j]).sum(dtype=np.int64)) <= (100 - percent) * (n[i] + n[j]) for j in ok.tolist()]] if len(ok) else ok
+                if len(ok):
+                    keep[i] = keep[ok] = True
+            return t.select(["task", "side", "cls", "comp"]).filter(pa.array(keep))
+
+        sketches = members.select("unit", "part", "cls", "n", "comp").join(self.sets.select("cls", "sketch", "wide"), "cls")
+        met = sketches.join(used, ["unit", "part"]).select("task", "side", "cls", "n", "comp", "sketch", "wide")
+        met = written(met.groupBy("task").applyInArrow(meeting, "task long, side int, cls long, comp long"), "part-sets")
+        texts = written(self.texts(met.select("cls"), classes), "part-texts")
+
         def multiply(t: pa.Table) -> pa.Table:
             side = t["side"].to_numpy()
             names, comps = t["cls"].to_numpy(), t["comp"].to_numpy()
@@ -283,7 +309,7 @@ class Join:
                 out.add((comps[x[i]], comps[y[j]]))
             return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-        placed = wanted.join(used, ["unit", "part"]).join(texts, "cls").select("task", "side", "cls", "comp", "text")
+        placed = met.join(texts, "cls").select("task", "side", "cls", "comp", "text")
         return placed.groupBy("task").applyInArrow(multiply, "a long, b long")
 
     def overlaps(self, rows: DataFrame) -> DataFrame:
@@ -294,20 +320,22 @@ class Join:
         cut into parts and their block into a task for each two parts. Pairs of one component, and pairs that their
         sizes, their places in the order or their folded sketches don't allow, aren't made.
         """
-        percent = self.percent
+        percent, folds = self.percent, self.folds
         whole = Window.partitionBy("s")
+        # written, as it is read three times, and the shuffles that made it go before the next ones are made
+        rows = written(rows.withColumn("block", F.min("cls").over(whole)).withColumn("m", F.count("*").over(whole)).where("m > 1"), "block-lists")
         units = max(4 * partitions(self.spark), rows.count() // UNIT)
-        rows = rows.withColumn("block", F.min("cls").over(whole)).withColumn("m", F.count("*").over(whole)).where("m > 1")
         many = rows.where(F.col("m") > LIST_PART).groupBy("block").agg(F.ceil(F.max("m") / LIST_PART).cast("int").alias("parts"))
         rows = rows.join(many, "block", "left").withColumn("unit", F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("block"), F.lit(units))).otherwise(F.col("block")))
         rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("cls"), "parts").cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.select("s", "cls", "n", "pos", "comp", "x0", "x1", "part", "unit", F.least("part", "other").alias("pi"), F.greatest("part", "other").alias("pj"))
+        rows = rows.select("s", "cls", "n", "pos", "comp", *folds, "part", "unit", F.least("part", "other").alias("pi"), F.greatest("part", "other").alias("pj"))
 
         def multiply(t: pa.Table) -> pa.Table:
-            s, cls, n, pos, comp, part, x0, x1 = (t[c].to_numpy() for c in ("s", "cls", "n", "pos", "comp", "part", "x0", "x1"))
+            s, cls, n, pos, comp, part = (t[c].to_numpy() for c in ("s", "cls", "n", "pos", "comp", "part"))
             order = np.lexsort((cls, s))
-            s, n, pos, part, x0, x1, comp = s[order], n[order].astype(np.int64), pos[order].astype(np.int64), part[order], x0[order].view(np.uint64), x1[order].view(np.uint64), comp[order]
+            s, n, pos, part, comp = s[order], n[order].astype(np.int64), pos[order].astype(np.int64), part[order], comp[order]
+            sketches = [t[c].to_numpy()[order].view(np.uint64) for c in folds]
             sets, at = np.unique(cls[order], return_inverse=True)
             two = bool(t["pi"][0].as_py() != t["pj"][0].as_py())
             edges = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True])))
@@ -332,7 +360,7 @@ class Join:
                     i, j = i[ok], j[ok]
                     low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                     most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                    differ = np.bitwise_count(x0[i] ^ x0[j]).astype(np.int64) + np.bitwise_count(x1[i] ^ x1[j])
+                    differ = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in sketches)
                     ok = (100 * low >= percent * high) & ((100 + percent) * most >= percent * (low + high)) & ((100 + percent) * differ <= (100 - percent) * (low + high))
                     i, j = i[ok], j[ok]
                     if len(i):
@@ -401,10 +429,11 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     rows = with_comp(lists)
     whole = Window.partitionBy("s")
     rows = written(rows.withColumn("lo", F.min("comp").over(whole)).withColumn("hi", F.max("comp").over(whole)).where("lo <> hi").select("s", "cls", "n", "pos", "comp"), "open-lists")
+    drop(lists)
     sets, members, tasks = join.blocks(rows)
     across = written(join.product(members, tasks, classes), "part-links")
     # sets outside of large families
-    overlap = join.overlaps(rows.join(sets.where("not big").select("cls", "x0", "x1"), "cls"))
+    overlap = join.overlaps(rows.join(sets.where("not big").select("cls", *join.folds), "cls"))
     bound = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     pairs = written(overlap.where((100 + percent) * bound >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
     found = join.linked(pairs, classes).unionByName(across)

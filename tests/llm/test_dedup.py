@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -261,3 +262,22 @@ def test_clashing_names(spark):
     assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "else", None: None}
     left = jaccard.drop_near_copies(docs)
     assert left.columns == docs.columns and left.count() == 3
+
+
+def test_texts_go_only_where_sketches_leave_a_partner(spark, monkeypatch):
+    """Many sets that share one shingle only are a family, and so far apart that none of their texts needs to travel."""
+    rng = random.Random(41)
+    fresh = lambda n: [f"w{rng.getrandbits(60)}" for _ in range(n)]
+    apart = [" ".join(["in", "the", "same", "words", *fresh(2 + k % 9)]) for k in range(120)]
+    text = fresh(30)
+    near = [" ".join([*text[:k], f"n{k}", *text[k + 1 :]]) for k in (0, 29)]
+    seen, real = [], jaccard.written
+    monkeypatch.setattr(jaccard, "FAMILY", 4)
+    monkeypatch.setattr(jaccard, "LONG_LIST", 1000)
+    monkeypatch.setattr(jaccard, "RANKED", 0)  # else the shared shingle comes last in every set
+    monkeypatch.setattr(jaccard, "written", lambda df, name: seen.append((name, out := real(df, name))) or out)
+    docs = spark.createDataFrame(list(enumerate([*apart, *near])), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, percent=80).collect()}
+    assert got == {k: 120 if k == 121 else k for k in range(122)}
+    sets, texts = ([df for n, df in seen if n == name][-1] for name in ("parts", "part-texts"))
+    assert sets.count() >= 4 and texts.count() == 0
