@@ -106,12 +106,29 @@ class Sides:
 
 
 _FOUND = ("best_bid", "best_ask", "bid_qty", "ask_qty", "bid_depth", "ask_depth")
+#: Of a whole book: the number of levels of a side, and the sum of their names, which stands for every price and quantity.
+_WHOLE = ("n_bids", "n_asks", "bids", "asks")
 
 
-def book_at(md: DataFrame, points: DataFrame | None = None, ticks: int = 0) -> DataFrame:
+def _names(price: np.ndarray, qty: np.ndarray) -> np.ndarray:
+    """64-bit names of levels; sums of names are taken modulo 2**64."""
+    x = price.astype(np.int64).view(np.uint64)
+    for y in (qty.astype(np.int64).view(np.uint64), np.uint64(0)):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x = (x ^ (x >> np.uint64(31))) + y * np.uint64(0x9E3779B97F4A7C15)
+    return x
+
+
+def _signed(x: int) -> int:
+    return ((x + (1 << 63)) & ((1 << 64) - 1)) - (1 << 63)
+
+
+def book_at(md: DataFrame, points: DataFrame | None = None, ticks: int = 0, whole: bool = False) -> DataFrame:
     """(symbol_id, idx, ts_us, best_bid, best_ask, bid_qty, ask_qty, bid_depth, ask_depth) after each point (symbol_id, idx, ts_us).
 
-    Depths: lots within `ticks` of the best price of a side, inclusive; 0 for an empty side or ticks below 0.
+    Depths: lots within `ticks` of the best price of a side, inclusive; 0 for an empty side or ticks below 0. whole: also
+    n_bids, n_asks, bids and asks, numbers of levels and names of all levels of a side.
 
     An instrument's events are cut into chunks. A chunk gets the levels that are alive at its start and the changes within
     it, and passes over them in order: the work is one step a change and point, and chunks are tasks of their own.
@@ -131,25 +148,37 @@ def book_at(md: DataFrame, points: DataFrame | None = None, ticks: int = 0) -> D
     def walk(t: pa.Table) -> pa.Table:
         order, idx = t["order"].to_numpy(), t["idx"].to_numpy()
         by = np.lexsort((order, idx))
-        book, out = Sides(), []
+        book, out, named, sums = Sides(), [], ({}, {}), [0, 0]
         bids, asks = (side.qty for side in book.sides)
-        for i, k, side, price, qty in zip(idx[by].tolist(), order[by].tolist(), t["side"].to_numpy()[by].tolist(), t["price"].to_numpy()[by].tolist(), t["qty"].to_numpy()[by].tolist()):
+        prices, quantities = t["price"].to_numpy()[by], t["qty"].to_numpy()[by]
+        names = _names(prices, quantities).tolist() if whole else [0] * len(by)
+        for i, k, side, price, qty, name in zip(idx[by].tolist(), order[by].tolist(), t["side"].to_numpy()[by].tolist(), prices.tolist(), quantities.tolist(), names):
             if k < 3:
                 book.put(side, price, qty)
+                if whole:
+                    sums[side] -= named[side].pop(price, 0)
+                    if qty > 0:
+                        named[side][price] = name
+                        sums[side] += name
                 continue
-            b, a, *quantities = book.touch()
+            b, a, *best = book.touch()
             deep = range(ticks + 1)
-            out.append((i, qty, b, a, *quantities, 0 if b is None else sum(bids.get(b - j, 0) for j in deep), 0 if a is None else sum(asks.get(a + j, 0) for j in deep)))
-        cols = list(zip(*out)) or [()] * 8
-        return pa.table({"symbol_id": pa.array([t["symbol_id"][0].as_py()] * len(out), pa.int64())} | {n: pa.array(c, pa.int64()) for n, c in zip(("idx", "ts_us", *_FOUND), cols)})
+            every = (len(bids), len(asks), *map(_signed, sums)) if whole else ()
+            out.append((i, qty, b, a, *best, 0 if b is None else sum(bids.get(b - j, 0) for j in deep), 0 if a is None else sum(asks.get(a + j, 0) for j in deep), *every))
+        cols = list(zip(*out)) or [()] * len(made)
+        return pa.table({"symbol_id": pa.array([t["symbol_id"][0].as_py()] * len(out), pa.int64())} | {n: pa.array(c, pa.int64()) for n, c in zip(made, cols)})
 
-    schema = ", ".join(f"{c} long" for c in ("symbol_id", "idx", "ts_us", *_FOUND))
+    made = ("idx", "ts_us", *_FOUND, *(_WHOLE if whole else ()))
+    schema = ", ".join(f"{c} long" for c in ("symbol_id", *made))
     return rows.groupBy("symbol_id", "chunk").applyInArrow(walk, schema)
 
 
-def bbo(md: DataFrame, points: DataFrame | None = None) -> DataFrame:
-    """(symbol_id, idx, ts_us, best_bid, best_ask, bid_qty, ask_qty, mid_x2) after each event; null where a side is empty."""
-    return book_at(md, points).drop("bid_depth", "ask_depth").withColumn("mid_x2", F.col("best_bid") + F.col("best_ask"))
+def bbo(md: DataFrame, points: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """(symbol_id, idx, ts_us, best_bid, best_ask, bid_qty, ask_qty, mid_x2) after each event; null where a side is empty.
+
+    whole: before mid_x2 also n_bids, n_asks, bids and asks of book_at().
+    """
+    return book_at(md, points, whole=whole).drop("bid_depth", "ask_depth").withColumn("mid_x2", F.col("best_bid") + F.col("best_ask"))
 
 
 def depth_within(md: DataFrame, points: DataFrame, ticks: int) -> DataFrame:
@@ -167,11 +196,12 @@ def live(points: DataFrame, spans: DataFrame) -> DataFrame:
     return at.join(cut, ["symbol_id", "piece"]).where("from_idx <= idx and idx < to_idx").select("symbol_id", "idx", "side", "price", "qty")
 
 
-def bbo_by_intervals(md: DataFrame, points: DataFrame) -> DataFrame:
+def bbo_by_intervals(md: DataFrame, points: DataFrame, whole: bool = False) -> DataFrame:
     """bbo() at the points by the levels' intervals alone: the second reconstruction of a dual run, for `compare`.
 
     Points and levels meet in chunks. There each level covers the points within its interval, worse prices before better
-    ones, and what covers a point last is its best: a slice a level, no row a point and level.
+    ones, and what covers a point last is its best: a slice a level, no row a point and level. whole: levels that don't
+    come out best count too, in running sums of their number and names over the points.
     """
     cut = levels(md).withColumn("chunk", F.explode(F.expr(f"sequence(from_idx div {CHUNK}, (to_idx - 1) div {CHUNK})")))
     cut = cut.select("symbol_id", "chunk", F.col("side").cast("int").alias("side"), F.col("price").cast("long").alias("price"), "qty", "from_idx", "to_idx")
@@ -181,18 +211,29 @@ def bbo_by_intervals(md: DataFrame, points: DataFrame) -> DataFrame:
         p = p.sort_by("idx")
         idx, side, price, qty = p["idx"].to_numpy(), t["side"].to_numpy(), t["price"].to_numpy(), t["qty"].to_numpy()
         starts, ends = (np.searchsorted(idx, t[c].to_numpy(), side="left") for c in ("from_idx", "to_idx"))
+        names = _names(price, qty)
         out = {}
+
+        def running(values: np.ndarray, mine: np.ndarray) -> np.ndarray:
+            steps = np.zeros(len(idx) + 1, np.uint64)
+            np.add.at(steps, starts[mine], values[mine])
+            np.subtract.at(steps, ends[mine], values[mine])
+            return np.cumsum(steps, dtype=np.uint64)[:-1].view(np.int64)
+
         for which, by in (("bid", np.lexsort((qty, price))), ("ask", np.lexsort((-qty, -price)))):
             by = by[side[by] == (BID if which == "bid" else ASK)]
+            if whole:
+                out |= {f"n_{which}s": pa.array(running(np.ones(len(side), np.uint64), by)), f"{which}s": pa.array(running(names, by))}
             top = np.full(len(idx), -1)
             for k, a, z in zip(by.tolist(), starts[by].tolist(), ends[by].tolist()):
                 top[a:z] = k
             none = top < 0
             for name, values in (("best_" + which, price), (which + "_qty", qty)):
                 out[name] = pa.array(np.where(none, 0, np.append(values, 0)[top]), pa.int64(), mask=none)
-        return pa.table({c: p[c] for c in ("symbol_id", "idx", "ts_us")} | {c: out[c] for c in _FOUND[:4]})
+        return pa.table({c: p[c] for c in ("symbol_id", "idx", "ts_us")} | {c: out[c] for c in made})
 
-    schema = ", ".join(f"{c} long" for c in ("symbol_id", "idx", "ts_us", *_FOUND[:4]))
+    made = (*_FOUND[:4], *(_WHOLE if whole else ()))
+    schema = ", ".join(f"{c} long" for c in ("symbol_id", "idx", "ts_us", *made))
     out = at.withColumn("symbol_id", F.col("symbol_id").cast("long")).groupBy("symbol_id", "chunk").cogroup(cut.withColumn("symbol_id", F.col("symbol_id").cast("long")).groupBy("symbol_id", "chunk")).applyInArrow(cover, schema)
     return out.withColumn("mid_x2", F.col("best_bid") + F.col("best_ask"))
 

@@ -115,9 +115,9 @@ def book_after_snapshot(spark, sf_dir):
 
 @query("dual_book", "symbol_id:l n:l n_first:l n_second:l", SQL_SNAP_BOOK + ";SELECT symbol_id, count(*) AS n, 0 AS n_first, 0 AS n_second FROM best GROUP BY 1")
 def dual_book(spark, sf_dir):
-    """Two reconstructions of the book, by ordered passes and by an interval join, and the rows only one of them has."""
+    """Two reconstructions of the book, by ordered passes and by intervals: the events after which best prices, numbers of levels or any level differ."""
     md = written(converted(spark, sf_dir), "converted")
-    one, two = book.bbo(md), book.bbo_by_intervals(md, md)
+    one, two = book.bbo(md, whole=True), book.bbo_by_intervals(md, md, whole=True)
     off = book.compare(one, two).groupBy("symbol_id").agg(F.count_if(F.col("only_in") == "first").alias("a"), F.count_if(F.col("only_in") == "second").alias("b"))
     rows = md.groupBy("symbol_id").agg(F.count("*").alias("n")).join(off, "symbol_id", "left")
     return rows.select("symbol_id", "n", F.coalesce("a", F.lit(0)).alias("n_first"), F.coalesce("b", F.lit(0)).alias("n_second"))

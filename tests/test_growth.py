@@ -6,10 +6,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from microflow import recorder_queries  # noqa: F401  registers dual_book
 from microflow.functions import decode
 from microflow.operators import book, queue, report
 from microflow.plans import convert
 from microflow.queries import QUERIES
+from microflow.sources.adapters import DEPTH
 from microflow.streaming import books, sinks
 
 from .test_pieces import as_events, broken_snapshots, plain_book
@@ -40,6 +42,33 @@ def test_two_books_over_chunks_and_empty_sides(spark, monkeypatch):
     assert any(r.best_bid is None for r in got) and book.compare(book.bbo(md), book.bbo_by_intervals(md, md)).count() == 0
 
 
+def test_dual_run_holds_every_level(spark, monkeypatch):
+    """Levels behind the best are compared too, after each event."""
+    monkeypatch.setattr(book, "CHUNK", 2)
+    md = as_events(spark, [(DEPTH, 0, 100, 5), (DEPTH, 0, 90, 1), (DEPTH, 1, 101, 2), (DEPTH, 0, 90, 3), (DEPTH, 1, 105, 4), (DEPTH, 0, 90, 0), (DEPTH, 1, 105, 0)]).drop("epoch")
+    off = lambda other: sorted((r.idx, r.only_in) for r in book.compare(book.bbo(md, whole=True), book.bbo_by_intervals(other, md, whole=True)).collect())
+    both = lambda *idx: [(i, x) for i in idx for x in ("first", "second")]
+    assert off(md) == []
+    assert off(md.withColumn("qty", F.when(F.col("idx") == 3, 7).otherwise(F.col("qty")))) == both(3, 4)
+    assert off(md.where("idx <> 1")) == both(1, 2) and off(md.where("idx <> 4")) == both(4, 5)
+
+
+def test_whole_books_over_chunks_and_snapshots(spark, monkeypatch):
+    monkeypatch.setattr(book, "CHUNK", 16)
+    md = as_events(spark, broken_snapshots(22, 400))
+    spans = book.levels(md).collect()
+    got = book.bbo_by_intervals(md, md, whole=True).collect()
+    assert len(got) == 400 and all(r["n_bids n_asks".split()[side]] == sum(x.side == side and x.from_idx <= r.idx < x.to_idx for x in spans) for r in got for side in (0, 1))
+    assert book.compare(book.bbo(md, whole=True), book.bbo_by_intervals(md, md, whole=True)).count() == 0
+
+
+def test_dual_book_compares_whole_books(spark, monkeypatch):
+    seen, real = [], book.compare
+    monkeypatch.setattr(book, "compare", lambda one, two: seen.append(one.columns) or real(one, two))
+    QUERIES["dual_book"](spark, "/root/testdata/sf0.001")
+    assert {"n_bids", "n_asks", "bids", "asks"} <= set(seen[0])
+
+
 def test_second_book_makes_no_row_a_point_and_level(spark):
     md = as_events(spark, [(0, 0, p, 1) for p in range(1, 301)]).drop("epoch")
     plan = book.bbo_by_intervals(md, md)._jdf.queryExecution().optimizedPlan().toString()
